@@ -201,6 +201,11 @@ def performance_metrics(rx: DataFrame, params: Params = Params()) -> DataFrame:
             F.lit(params.target_fill_rate).alias("target_value"),
             F.lit("ratio").alias("unit"),
         ),
-        F.struct(F.lit("throughput"), F.col("rate"), F.lit(params.min_throughput), F.lit("events/s")),
+        F.struct(
+            F.lit("throughput").alias("metric_type"),
+            F.col("rate").alias("metric_value"),
+            F.lit(params.min_throughput).alias("target_value"),
+            F.lit("events/s").alias("unit"),
+        ),
     )
     return one.select(F.inline(rows))

@@ -40,7 +40,7 @@ def skew_safe_join(
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a frame (an upper-side estimate for file scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(df: DataFrame) -> int:

@@ -1,0 +1 @@
+"""End-to-end plans and the named queries over the test tables."""

@@ -3,8 +3,21 @@
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP": T.TimestampType(),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema from ``name TYPE`` pairs, usable before a session exists."""
+    pairs = (column.split() for column in spec.split(","))
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
 
 
 MEDICINES = _struct(

@@ -11,6 +11,7 @@ from replenish.operators.projections import history_between
 from replenish.schema import PRESCRIPTIONS
 
 CORRUPT = "_corrupt_record"
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # text files keep microseconds
 
 
 def read_history_csv(spark: SparkSession, path: str, schema: T.StructType = PRESCRIPTIONS) -> DataFrame:
@@ -18,7 +19,7 @@ def read_history_csv(spark: SparkSession, path: str, schema: T.StructType = PRES
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return (
         spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+        .option("columnNameOfCorruptRecord", CORRUPT).option("timestampFormat", MICROS).csv(path)
     )
 
 
@@ -34,7 +35,7 @@ def write_history(rx: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_history_csv(rx: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rx.write.mode(mode).option("header", True).csv(path)
+    rx.write.mode(mode).option("header", True).option("timestampFormat", MICROS).csv(path)
 
 
 def prescription_rows(raw: DataFrame, now: Column | None = None) -> DataFrame:
@@ -93,5 +94,5 @@ def not_yet_forecast(items: DataFrame, forecasts: DataFrame) -> DataFrame:
 def export_history(rx: DataFrame, start: str, end: str, fmt: str, path: str) -> None:
     if fmt not in ("csv", "json", "parquet", "orc"):
         raise ValueError(f"unsupported format: {fmt}")
-    writer = history_between(rx, start, end).write.mode("overwrite").format(fmt)
+    writer = history_between(rx, start, end).write.mode("overwrite").format(fmt).option("timestampFormat", MICROS)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)

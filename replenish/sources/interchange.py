@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replenish.sources.history import MICROS
+
 SEGMENT_END = "~"
 
 
@@ -74,8 +76,8 @@ def from_json(df: DataFrame, schema: T.StructType | str, name: str = "json") ->
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("timestampFormat", MICROS).json(path)
 
 
 def import_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("timestampFormat", MICROS).json(path)

@@ -89,5 +89,5 @@ def sliding_events(events: DataFrame, size: int, params: Params = Params()) -> D
     ident = events.schema["prescription_id"].dataType.simpleString()
     schema = f"prescription_id {ident}, medicine_id {kind}, count bigint, sum double, mean double, min double, max double"
     return spread.groupBy("medicine_id", "cell").transformWithStateInPandas(
-        statefulProcessor=SlidingBuffer(size_us), outputStructType=StructType.fromDDL(schema), outputMode="Append", timeMode="EventTime"
+        statefulProcessor=SlidingBuffer(size_us), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
