@@ -46,7 +46,7 @@ def src1(spark, d):
 
 @query(
     "src2_history_by_day",
-    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, sum(quantity) AS total FROM ev GROUP BY 1",
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, round(sum(quantity), 4) AS total FROM ev GROUP BY 1",
     ("ev",),
 )
 def src2(spark, d):
@@ -522,8 +522,8 @@ def agg20_top(spark, d):
 
 @query(
     "agg_performance_metrics",
-    """SELECT 'fill_rate' AS metric_type, round(avg(CASE WHEN quantity >= 300 THEN 0 ELSE 1 END), 6) AS metric_value, 0.9995 AS target_value, 'ratio' AS unit FROM ev
-       UNION ALL SELECT 'throughput', round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6), 10000, 'events/s' FROM ev""",
+    """SELECT 'fill_rate' AS metric_type, round(avg(CASE WHEN quantity >= 300 THEN 0 ELSE 1 END), 6) AS metric_value, 0.9995::DOUBLE AS target_value, 'ratio' AS unit FROM ev
+       UNION ALL SELECT 'throughput', round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6), 10000::DOUBLE, 'events/s' FROM ev""",
     ("ev",),
 )
 def agg_metrics(spark, d):
