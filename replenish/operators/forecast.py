@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replenish.functions import scalars as S
+from replenish.operators.aggregates import daily_demand
 from replenish.operators.projections import usable_series
 from replenish.operators.ranking import top_items
 from replenish.params import Params
@@ -101,206 +102,172 @@ def series_stats(daily: DataFrame, key: str = "medicine_id") -> DataFrame:
         n.alias("n"),
         F.array(*month_days).alias("mo_n"),
         F.array(*offsets).alias("wd_off"),
+        F.array(*[F.floor((n - 1 - o) / 7).cast("double") + 1 for o in offsets]).alias("wd_n"),
     ).withColumn("mean", F.col("sy") / F.col("n"))
-    counted = counted.withColumn("wd_n", F.transform("wd_off", lambda o: F.floor((F.col("n") - 1 - o) / 7).cast("double") + 1))
     variance = F.greatest(F.lit(0.0), F.col("syy") / F.col("n") - F.col("mean") * F.col("mean"))
     return counted.withColumn("std", F.sqrt(variance))
 
 
-def _total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
+def fit_components(stats: DataFrame, params: Params = Params()) -> DataFrame:
+    """Parameters of the three components, one row per item, and which of them the series supports.
 
-
-def component_forecasts(stats: DataFrame, params: Params = Params()) -> DataFrame:
-    """Trend, autoregressive and additive forecasts as arrays over the horizon, NULL where the series is too short.
-
-    * trend: least squares on the day index plus weekday means of its residuals, for ``min(horizon, n // 2)``
-      days, padded with its last value;
-    * ar: first-order autoregression by least squares, in closed form per day ahead;
+    * trend: least squares on the day index plus weekday means of its residuals;
+    * ar: first-order autoregression by least squares;
     * additive: mean plus weekday effect plus, from a year of data on, month effect.
     """
-    z, horizon = params.z, params.horizon
-    s = usable_series(stats, params)
-    n, sy = F.col("n"), F.col("sy")
-    s = s.select(
+    n, sy, mean = F.col("n"), F.col("sy"), F.col("mean")
+    s = usable_series(stats, params).select(
         "*",
         (n * (n - 1) / 2).alias("_st"),
         ((n - 1) * n * (2 * n - 1) / 6).alias("_stt"),
         (F.col("sdy") - F.unix_date("first_day").cast("double") * sy).alias("_sty"),
     )
-    s = s.withColumn(
-        "slope", F.try_divide(n * F.col("_sty") - F.col("_st") * sy, n * F.col("_stt") - F.col("_st") * F.col("_st"))
-    ).withColumn("intercept", (sy - F.col("slope") * F.col("_st")) / n)
-
-    def weekday_residual(k: Column) -> Column:
-        count, offset = F.get("wd_n", k), F.get("wd_off", k)
-        days = count * offset + 7 * count * (count - 1) / 2
-        return F.coalesce(
-            F.try_divide(F.get("wd_sum", k) - F.col("intercept") * count - F.col("slope") * days, count), F.lit(0.0)
-        )
-
-    seven, twelve = F.sequence(F.lit(0), F.lit(6)), F.sequence(F.lit(0), F.lit(11))
-    s = s.select(
-        "*",
-        F.transform(seven, weekday_residual).alias("_wd_res"),
-        F.transform(
-            seven, lambda k: F.coalesce(F.try_divide(F.get("wd_sum", k), F.get("wd_n", k)) - F.col("mean"), F.lit(0.0))
-        ).alias("_wd_eff"),
-        F.transform(
-            twelve,
-            lambda m: F.when(
-                n >= 365, F.coalesce(F.try_divide(F.get("mo_sum", m), F.get("mo_n", m)) - F.col("mean"), F.lit(0.0))
-            ).otherwise(0.0),
-        ).alias("_mo_eff"),
-    )
-    spread = F.col("syy") - n * F.col("mean") * F.col("mean")
-    line = F.col("slope") * F.col("slope") * (F.col("_stt") - F.col("_st") * F.col("_st") / n)
-    season = _total(F.zip_with("wd_n", "_wd_res", lambda c, r: c * r * r))
-    by_day = _total(F.zip_with("wd_n", "_wd_eff", lambda c, e: c * e * e))
-    by_month = _total(F.zip_with("mo_n", "_mo_eff", lambda c, e: c * e * e))
+    st, stt = F.col("_st"), F.col("_stt")
     m, sx = n - 1, sy - F.col("last_value")
     sxx = F.col("syy") - F.col("last_value") * F.col("last_value")
     s = s.select(
         "*",
-        F.sqrt(F.greatest(F.lit(0.0), spread - line - season) / (n - 1)).alias("trend_std"),
-        F.sqrt(F.greatest(F.lit(0.0), spread - by_day - by_month) / (n - 1)).alias("additive_std"),
+        F.try_divide(n * F.col("_sty") - st * sy, n * stt - st * st).alias("slope"),
         F.try_divide(m * F.col("sxy") - sx * (sy - F.col("first_value")), m * sxx - sx * sx).alias("phi"),
-    )
-    ahead = F.sequence(F.lit(0), F.lit(horizon - 1))
-    steps = F.least(F.lit(horizon), F.floor(n / 2)).cast("int")
-
-    def weekday_at(h: Column) -> Column:
-        return F.pmod(F.weekday("last_day") + 1 + h, F.lit(7))
-
-    def trend_at(h: Column) -> Column:
-        at = F.least(h, steps - 1)
-        return F.col("intercept") + F.col("slope") * (n + at) + F.get("_wd_res", weekday_at(at))
-
-    def additive_at(h: Column) -> Column:
-        month = F.month(F.date_add("last_day", h + 1))
-        return F.col("mean") + F.get("_wd_eff", weekday_at(h)) + F.get("_mo_eff", month - 1)
-
-    trend = F.when(F.col("trend_ok"), F.transform(ahead, trend_at))
-    ar = F.when(
-        F.col("ar_ok") & F.col("phi").isNotNull(),
-        F.transform(
-            ahead,
-            lambda h: S.at_least_zero(
-                F.col("mean") + F.pow(F.col("phi"), h + 1) * (F.col("last_value") - F.col("mean"))
-            ),
-        ),
-    )
-    additive = F.when(F.col("additive_ok"), F.transform(ahead, additive_at))
+    ).withColumn("intercept", (sy - F.col("slope") * st) / n)
+
+    def weekday_residual(k: int) -> Column:
+        count, offset = F.get("wd_n", F.lit(k)), F.get("wd_off", F.lit(k))
+        days = count * offset + 7 * count * (count - 1) / 2
+        part = F.get("wd_sum", F.lit(k)) - F.col("intercept") * count - F.col("slope") * days
+        return F.coalesce(F.try_divide(part, count), F.lit(0.0))
+
+    def effect(kind: str, k: int) -> Column:
+        return F.coalesce(F.try_divide(F.get(f"{kind}_sum", F.lit(k)), F.get(f"{kind}_n", F.lit(k))) - mean, F.lit(0.0))
+
     s = s.select(
-        "*", trend.alias("_trend"), ar.alias("ar_f"), additive.alias("_additive"), steps.alias("trend_steps")
+        "*",
+        F.array(*[weekday_residual(k) for k in range(7)]).alias("wd_res"),
+        F.array(*[effect("wd", k) for k in range(7)]).alias("wd_eff"),
+        F.array(*[F.when(n >= 365, effect("mo", k)).otherwise(0.0) for k in range(12)]).alias("mo_eff"),
     )
 
-    def shifted(array: str, by: Column) -> Column:
-        return F.transform(array, lambda x: S.at_least_zero(x + by))
+    def explained(kind: str, by: str, size: int) -> Column:
+        at = [(F.get(f"{kind}_n", F.lit(k)), F.get(by, F.lit(k))) for k in range(size)]
+        return sum((c * e * e for c, e in at), F.lit(0.0))
 
-    zt, za = F.lit(z) * F.col("trend_std"), F.lit(z) * F.col("additive_std")
+    spread = F.col("syy") - n * mean * mean
+    line = F.col("slope") * F.col("slope") * (stt - st * st / n)
+    trend_left = spread - line - explained("wd", "wd_res", 7)
+    additive_left = spread - explained("wd", "wd_eff", 7) - explained("mo", "mo_eff", 12)
     return s.select(
-        "medicine_id",
-        "first_day",
-        "last_day",
-        "n",
-        "trend_steps",
-        shifted("_trend", F.lit(0.0)).alias("trend_f"),
-        shifted("_trend", -zt).alias("trend_lo"),
-        shifted("_trend", zt).alias("trend_hi"),
-        "ar_f",
-        shifted("_additive", F.lit(0.0)).alias("additive_f"),
-        shifted("_additive", -za).alias("additive_lo"),
-        shifted("_additive", za).alias("additive_hi"),
-        "mean_selling",
-        "std_selling",
-    )
-
+        "medicine_id", "first_day", "last_day", "n", "mean", "last_value", "mean_selling", "std_selling",
+        "slope", "intercept", "phi", "wd_res", "wd_eff", "mo_eff", "trend_ok", "additive_ok",
+        (F.col("ar_ok") & F.col("phi").isNotNull()).alias("ar_ok"),
+        F.sqrt(F.greatest(F.lit(0.0), trend_left) / (n - 1)).alias("trend_std"),
+        F.sqrt(F.greatest(F.lit(0.0), additive_left) / (n - 1)).alias("additive_std"),
+        F.least(F.lit(params.horizon), F.floor(n / 2)).cast("int").alias("trend_steps"),
+    )
 
-def _long(rows: DataFrame, model: str, confidence: float, lower: Column, upper: Column, value: Column, width: Column) -> DataFrame:
-    zipped = F.arrays_zip(value.alias("forecast"), lower.alias("lower"), upper.alias("upper"), width.alias("uncertainty"))
-    return (
-        rows.filter(value.isNotNull())
-        .select("medicine_id", "last_day", F.posexplode(zipped).alias("h", "_v"))
-        .select(
-            "medicine_id",
-            F.lit(model).alias("model"),
-            F.lit(confidence).alias("confidence"),
-            F.col("h").cast("bigint").alias("h"),
-            S.forecast_date(F.col("last_day"), F.col("h")).alias("forecast_date"),
-            "_v.forecast",
-            "_v.lower",
-            "_v.upper",
-            "_v.uncertainty",
-        )
-    )
 
+def component_forecasts(fitted: DataFrame, params: Params = Params()) -> DataFrame:
+    """All three forecasts side by side, one row per item and day ahead; NULL where a component is missing.
 
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
+    The trend covers ``min(horizon, n // 2)`` days and is padded with its last value.
+    The days are exploded before anything is computed from them, so the fitted parameters
+    are evaluated once per item and the rest is plain arithmetic in generated code.
+    """
+    z, n = F.lit(params.z), F.col("n")
+    days = F.sequence(F.lit(0).cast("bigint"), F.lit(params.horizon - 1).cast("bigint"))
+    rows = fitted.select("*", F.explode(days).alias("h")).withColumn(
+        "forecast_date", S.forecast_date(F.col("last_day"), F.col("h"))
+    )
+    at = F.least(F.col("h"), (F.col("trend_steps") - 1).cast("bigint"))
+    trend_weekday = F.pmod(F.weekday("last_day") + 1 + at, F.lit(7)).cast("int")
+    trend = F.col("intercept") + F.col("slope") * (n + at) + F.get("wd_res", trend_weekday)
+    ar = F.col("mean") + F.pow(F.col("phi"), F.col("h") + 1) * (F.col("last_value") - F.col("mean"))
+    additive = F.col("mean") + F.get("wd_eff", F.weekday("forecast_date")) + F.get("mo_eff", F.month("forecast_date") - 1)
+    rows = rows.select(
+        "medicine_id", "last_day", "h", "forecast_date", "trend_steps", "trend_std", "additive_std",
+        "mean_selling", "std_selling",
+        F.when(F.col("trend_ok"), trend).alias("_trend"),
+        F.when(F.col("ar_ok"), S.at_least_zero(ar)).alias("ar"),
+        F.when(F.col("additive_ok"), additive).alias("_additive"),
+    )
+
+    def floored(value: str, by: Column) -> Column:
+        return F.when(F.col(value).isNotNull(), S.at_least_zero(F.col(value) + by))
+
+    zt, za = z * F.col("trend_std"), z * F.col("additive_std")
+    return rows.select(
+        "medicine_id", "last_day", "h", "forecast_date", "trend_steps", "mean_selling", "std_selling", "ar",
+        floored("_trend", F.lit(0.0)).alias("trend"),
+        floored("_trend", -zt).alias("trend_lo"),
+        floored("_trend", zt).alias("trend_hi"),
+        floored("_additive", F.lit(0.0)).alias("additive"),
+        floored("_additive", -za).alias("additive_lo"),
+        floored("_additive", za).alias("additive_hi"),
+    )
+
+
+def _long(rows: DataFrame, model: str, confidence: float, value: Column, lower: Column, upper: Column, width: Column) -> DataFrame:
+    return rows.filter(value.isNotNull()).select(
+        "medicine_id",
+        F.lit(model).alias("model"),
+        F.lit(confidence).alias("confidence"),
+        "h",
+        "forecast_date",
+        value.alias("forecast"),
+        lower.alias("lower"),
+        upper.alias("upper"),
+        width.alias("uncertainty"),
+    )
 
 
 def trend_forecast(components: DataFrame, params: Params = Params()) -> DataFrame:
     """Long trend forecast, only for the days it really covers (no padding)."""
-    steps = F.greatest(F.col("trend_steps"), F.lit(0))
-    covered = components.select(
-        "medicine_id", "last_day", *[F.slice(c, F.lit(1), steps).alias(c) for c in ("trend_f", "trend_lo", "trend_hi")]
-    )
     lo, hi = F.col("trend_lo"), F.col("trend_hi")
-    return _long(covered, "trend", params.confidence, lo, hi, F.col("trend_f"), _minus(hi, lo))
+    own = components.filter(F.col("h") < F.col("trend_steps"))
+    return _long(own, "trend", params.confidence, F.col("trend"), lo, hi, hi - lo)
 
 
 def additive_forecast(components: DataFrame, params: Params = Params()) -> DataFrame:
     lo, hi = F.col("additive_lo"), F.col("additive_hi")
-    return _long(components, "additive", params.confidence, lo, hi, F.col("additive_f"), _minus(hi, lo))
+    return _long(components, "additive", params.confidence, F.col("additive"), lo, hi, hi - lo)
 
 
-def _population_std(array: Column) -> Column:
-    count = F.size(array)
-    mean = _total(array) / count
-    square = _total(F.transform(array, lambda x: x * x)) / count
-    return F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+def _ar_spread() -> Column:
+    """Deviation of an item's own autoregressive vector (at most ``horizon`` rows per item)."""
+    return F.stddev_pop("ar").over(W.partitionBy("medicine_id"))
 
 
 def ar_forecast(components: DataFrame, params: Params = Params()) -> DataFrame:
     """Long autoregressive forecast; its uncertainty is the deviation of its own forecast vector."""
-    rows = components.withColumn("_sd", _population_std(F.col("ar_f")))
-    f, sd = F.col("ar_f"), F.col("_sd")
-    lo, hi = F.transform(f, lambda x: x - 1.96 * sd), F.transform(f, lambda x: x + 1.96 * sd)
-    return _long(rows, "ar", params.confidence, lo, hi, f, F.transform(f, lambda x: x * 0 + sd))
-
-
-def ensemble_arrays(components: DataFrame, params: Params = Params()) -> DataFrame:
-    """Weighted mean over the components present, and bounds from those that have them."""
-    weights = {"trend_f": params.trend_weight, "ar_f": params.ar_weight, "additive_f": params.additive_weight}
-    weight = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
-    ahead = F.sequence(F.lit(0), F.lit(params.horizon - 1))
-
-    def mean_at(h: Column) -> Column:
-        parts = (F.coalesce(F.get(c, h) * w, F.lit(0.0)) for c, w in weights.items())
-        return sum(parts, F.lit(0.0)) / F.col("_weight")
-
-    rows = components.withColumn("_weight", weight).withColumn(
-        "ensemble_f", F.when(F.col("_weight") > 0, F.transform(ahead, mean_at))
-    ).withColumn("_ar_sd", F.lit(1.96) * _population_std(F.col("ar_f")))
+    rows = components.filter(F.col("ar").isNotNull()).withColumn("_sd", _ar_spread())
+    f, sd = F.col("ar"), F.col("_sd")
+    return _long(rows, "ar", params.confidence, f, f - 1.96 * sd, f + 1.96 * sd, sd)
+
+
+def ensemble_columns(components: DataFrame, params: Params = Params()) -> DataFrame:
+    """Adds the weighted mean over the components present, and bounds from those that have them."""
+    weights = {"trend": params.trend_weight, "ar": params.ar_weight, "additive": params.additive_weight}
+    present = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    value = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    rows = components.withColumn("ensemble", F.when(present > 0, value / present)).withColumn(
+        "_ar_sd", F.lit(1.96) * _ar_spread()
+    )
 
     def bound(kind: str, sign: int) -> Column:
         trend, additive = F.col(f"trend_{kind}"), F.col(f"additive_{kind}")
-        return (
-            F.when(trend.isNotNull() & additive.isNotNull(), F.zip_with(trend, additive, lambda a, b: (a + b) / 2))
-            .when(trend.isNotNull(), trend)
-            .when(additive.isNotNull(), additive)
-            .otherwise(F.transform("ensemble_f", lambda x: x + sign * F.col("_ar_sd")))
-        )
+        both = (trend + additive) / 2
+        return F.coalesce(both, trend, additive, F.col("ensemble") + sign * F.col("_ar_sd"))
 
-    lower = F.transform(bound("lo", -1), S.at_least_zero)
-    return rows.withColumn("ensemble_lo", lower).withColumn("ensemble_hi", bound("hi", 1)).drop("_weight", "_ar_sd")
+    return (
+        rows.withColumn("ensemble_lo", F.when(F.col("ensemble").isNotNull(), S.at_least_zero(bound("lo", -1))))
+        .withColumn("ensemble_hi", bound("hi", 1))
+        .drop("_ar_sd")
+    )
 
 
 def ensemble_forecast(components: DataFrame, params: Params = Params()) -> DataFrame:
-    rows = ensemble_arrays(components, params)
+    rows = ensemble_columns(components, params)
     lo, hi = F.col("ensemble_lo"), F.col("ensemble_hi")
-    return _long(rows, "ensemble", params.confidence, lo, hi, F.col("ensemble_f"), _minus(hi, lo))
+    return _long(rows, "ensemble", params.confidence, F.col("ensemble"), lo, hi, hi - lo)
 
 
 def combine_forecasts(forecasts: DataFrame, params: Params = Params()) -> DataFrame:
@@ -315,22 +282,6 @@ def combine_forecasts(forecasts: DataFrame, params: Params = Params()) -> DataFr
     )
 
 
-def baseline_arrays(stats: DataFrame, params: Params = Params()) -> DataFrame:
-    """Mean selling-day demand with a weekly sine, one array of ``horizon`` values per item."""
-    ahead = F.sequence(F.lit(0), F.lit(params.horizon - 1))
-    value = F.transform(ahead, lambda i: F.col("mean_selling") + S.sine_season(F.col("mean_selling"), i))
-    rows = stats.withColumn("_v", value)
-    unc = F.lit(1.96) * F.col("std_selling")
-    return rows.select(
-        "medicine_id",
-        "last_day",
-        F.transform("_v", S.at_least_zero).alias("baseline_f"),
-        F.transform("_v", lambda x: S.at_least_zero(x - unc)).alias("baseline_lo"),
-        F.transform("_v", lambda x: x + unc).alias("baseline_hi"),
-        F.transform("_v", lambda x: x * 0 + F.col("std_selling")).alias("baseline_unc"),
-    )
-
-
 def demand_stats(daily: DataFrame, key: str = "medicine_id") -> DataFrame:
     """Mean and sample deviation of selling-day demand only (all the baseline needs)."""
     return daily.groupBy(key).agg(
@@ -341,11 +292,28 @@ def demand_stats(daily: DataFrame, key: str = "medicine_id") -> DataFrame:
     )
 
 
+def _baseline_value() -> Column:
+    return F.col("mean_selling") + S.sine_season(F.col("mean_selling"), F.col("h"))
+
+
 def baseline_forecast(stats: DataFrame, params: Params = Params()) -> DataFrame:
-    rows = baseline_arrays(stats, params)
+    """Mean selling-day demand with a weekly sine; needs the per-item ``demand_stats``."""
+    days = F.sequence(F.lit(0).cast("bigint"), F.lit(params.horizon - 1).cast("bigint"))
+    rows = stats.select("medicine_id", "last_day", "mean_selling", "std_selling", F.explode(days).alias("h"))
+    rows = rows.withColumn("_v", _baseline_value()).withColumn(
+        "forecast_date", S.forecast_date(F.col("last_day"), F.col("h"))
+    )
+    v, sd = F.col("_v"), F.col("std_selling")
     return _long(
-        rows, "historical_baseline", 0.80,
-        F.col("baseline_lo"), F.col("baseline_hi"), F.col("baseline_f"), F.col("baseline_unc"),
+        rows, "historical_baseline", 0.80, S.at_least_zero(v), S.at_least_zero(v - 1.96 * sd), v + 1.96 * sd, sd
+    )
+
+
+def forecast_vectors(forecasts: DataFrame) -> DataFrame:
+    """Long forecasts as one row per item with arrays in day order (``horizon`` values each)."""
+    days = F.sort_array(F.collect_list(F.struct("h", "forecast", "uncertainty")))
+    return forecasts.groupBy("medicine_id").agg(days.alias("_d")).select(
+        "medicine_id", F.col("_d.forecast").alias("forecast"), F.col("_d.uncertainty").alias("uncertainty")
     )
 
 
@@ -355,7 +323,7 @@ def constant_forecast(items: DataFrame, params: Params = Params()) -> DataFrame:
         "medicine_id",
         F.lit("simple_baseline").alias("model"),
         F.lit(0.50).alias("confidence"),
-        F.explode(F.sequence(F.lit(0), F.lit(params.horizon - 1))).cast("bigint").alias("h"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(params.horizon - 1).cast("bigint"))).alias("h"),
         F.lit(10.0).alias("forecast"),
         F.lit(5.0).alias("lower"),
         F.lit(15.0).alias("upper"),
@@ -364,23 +332,19 @@ def constant_forecast(items: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def best_forecast(components: DataFrame, params: Params = Params()) -> DataFrame:
-    """Ensemble, else trend, additive, ar, else the historical baseline; row-local, one model per item."""
-    rows = ensemble_arrays(components, params)
-    value = F.transform(
-        F.sequence(F.lit(0), F.lit(params.horizon - 1)),
-        lambda i: F.col("mean_selling") + S.sine_season(F.col("mean_selling"), i),
-    )
-    unc = F.lit(1.96) * F.col("std_selling")
-    has = F.col("ensemble_f").isNotNull()
-    return rows.withColumn("_v", value).select(
+    """Ensemble where any component exists, else the historical baseline; row-local."""
+    rows = ensemble_columns(components, params).withColumn("_v", _baseline_value())
+    has, v, sd = F.col("ensemble").isNotNull(), F.col("_v"), F.col("std_selling")
+    return rows.select(
         "medicine_id",
-        "last_day",
         F.when(has, "ensemble").otherwise("historical_baseline").alias("model"),
         F.when(has, params.confidence).otherwise(0.80).alias("confidence"),
-        F.coalesce("ensemble_f", F.transform("_v", S.at_least_zero)).alias("f"),
-        F.coalesce("ensemble_lo", F.transform("_v", lambda x: S.at_least_zero(x - unc))).alias("lo"),
-        F.coalesce("ensemble_hi", F.transform("_v", lambda x: x + unc)).alias("hi"),
-        F.coalesce(_minus(F.col("ensemble_hi"), F.col("ensemble_lo")), F.transform("_v", lambda x: x * 0 + F.col("std_selling"))).alias("unc"),
+        "h",
+        "forecast_date",
+        F.coalesce("ensemble", S.at_least_zero(v)).alias("forecast"),
+        F.coalesce("ensemble_lo", S.at_least_zero(v - 1.96 * sd)).alias("lower"),
+        F.coalesce("ensemble_hi", v + 1.96 * sd).alias("upper"),
+        F.coalesce(F.col("ensemble_hi") - F.col("ensemble_lo"), sd).alias("uncertainty"),
     )
 
 
@@ -391,29 +355,29 @@ def pick_model(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("medicine_id", "h").agg(best.alias("_b")).select("medicine_id", "h", "_b.*")
 
 
-def available_models(components: DataFrame) -> DataFrame:
+def available_models(fitted: DataFrame) -> DataFrame:
     """Which components exist per item, as text in a fixed order."""
     names = F.concat_ws(
         ",",
-        F.when(F.col("trend_f").isNotNull(), "trend"),
-        F.when(F.col("ar_f").isNotNull(), "ar"),
-        F.when(F.col("additive_f").isNotNull(), "additive"),
-        F.when(F.coalesce("trend_f", "ar_f", "additive_f").isNotNull(), "ensemble"),
+        F.when(F.col("trend_ok"), "trend"),
+        F.when(F.col("ar_ok"), "ar"),
+        F.when(F.col("additive_ok"), "additive"),
+        F.when(_any_model(), "ensemble"),
     )
-    return components.select("medicine_id", names.alias("models"), (names != "").alias("trained"))
+    return fitted.select("medicine_id", names.alias("models"), _any_model().alias("trained"))
+
+
+def _any_model() -> Column:
+    return F.col("trend_ok") | F.col("ar_ok") | F.col("additive_ok")
 
 
 def train_top(rx: DataFrame, top_n: int, params: Params = Params()) -> DataFrame:
-    """Forecast components of the ``top_n`` items by demand: one series pass for all of them."""
+    """Fitted components of the ``top_n`` items by demand: one series pass for all of them."""
     chosen = F.broadcast(top_items(rx, top_n).select("medicine_id"))  # top_n rows
-    daily = rx.join(chosen, "medicine_id", "left_semi").groupBy("medicine_id", F.to_date("timestamp").alias("date")).agg(
-        F.sum("quantity").alias("demand")
-    )
-    return component_forecasts(series_stats(daily), params)
+    return fit_components(series_stats(daily_demand(rx.join(chosen, "medicine_id", "left_semi"))), params)
 
 
-def training_report(components: DataFrame) -> DataFrame:
-    trained = F.coalesce("trend_f", "ar_f", "additive_f").isNotNull()
-    return components.agg(
-        F.count("*").alias("items"), F.count_if(trained).alias("trained"), F.count_if(~trained).alias("failed")
+def training_report(fitted: DataFrame) -> DataFrame:
+    return fitted.agg(
+        F.count("*").alias("items"), F.count_if(_any_model()).alias("trained"), F.count_if(~_any_model()).alias("failed")
     )

@@ -54,7 +54,7 @@ def monte_carlo_interval(
     alpha = 1 - params.confidence
     spark = forecasts.sparkSession
     noise = spark.range(simulations).select(
-        F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(params.horizon - 1))).cast("bigint").alias("h")
+        F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(params.horizon - 1).cast("bigint"))).alias("h")
     )
     q = (
         noise.withColumn("z", draws.normal(f"mc{params.seed}", F.col("sim"), F.col("h")))
@@ -79,12 +79,13 @@ def bootstrap_mean(daily: DataFrame, rounds: int, params: Params = Params()) ->
     """
     alpha = 1 - params.confidence
     days = daily.select("date").distinct()
-    weights = days.select(
-        "date",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(rounds - 1)),
-            lambda b: draws.poisson1(draws.uniform(f"boot{params.seed}", F.col("date"), b)),
-        ).alias("_w"),
+    draw = days.select("date", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).withColumn(
+        "u", draws.uniform(f"boot{params.seed}", F.col("date"), F.col("b"))
+    )
+    weights = (
+        draw.select("date", F.struct("b", draws.poisson1(F.col("u")).alias("w")).alias("_d"))
+        .groupBy("date")
+        .agg(F.sort_array(F.collect_list("_d"))["w"].alias("_w"))  # one number per round
     )
     spread = daily.join(weights, "date").select("medicine_id", "demand", F.posexplode("_w").alias("round", "w"))
     means = (

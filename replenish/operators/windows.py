@@ -52,7 +52,7 @@ def window_stats(rx: DataFrame, size: int, slide: int | None = None, key: str =
         F.sum(n).alias("count"),
         F.sum(v * n).alias("sum"),
         F.sum(v * v * n).alias("_sq"),
-        F.percentile("quantity", 0.5, "_n").alias("median"),
+        F.percentile("quantity", 0.5, F.col("_n")).alias("median"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
