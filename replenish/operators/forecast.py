@@ -309,6 +309,17 @@ def baseline_forecast(stats: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def baseline_vectors(stats: DataFrame, params: Params = Params()) -> DataFrame:
+    """The baseline as one row per item with ``forecast`` and ``uncertainty`` arrays, without exploding days."""
+    days = F.sequence(F.lit(0), F.lit(params.horizon - 1))
+    value = F.transform(
+        days, lambda h: S.at_least_zero(F.col("mean_selling") + S.sine_season(F.col("mean_selling"), h))
+    )
+    return stats.select(
+        "medicine_id", value.alias("forecast"), F.array_repeat("std_selling", params.horizon).alias("uncertainty")
+    )
+
+
 def forecast_vectors(forecasts: DataFrame) -> DataFrame:
     """Long forecasts as one row per item with arrays in day order (``horizon`` values each)."""
     days = F.sort_array(F.collect_list(F.struct("h", "forecast", "uncertainty")))
