@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from replenish.functions import draws
 from replenish.functions import scalars as S
+from replenish.operators.joins import spread_by_item
 from replenish.params import Params
 
 
@@ -100,7 +101,7 @@ def optimize_items(items: DataFrame, params: Params = Params()) -> DataFrame:
     """The full per-item record with its expected costs."""
     level = F.col("current_inventory") + F.col("order_quantity")
     out = (
-        stock_targets(items, params)
+        stock_targets(spread_by_item(items), params)
         .withColumn("_level", level)
         .withColumn("expected_holding_cost", holding_cost(F.col("_level"), params))
         .withColumn("expected_waste", expected_waste(F.col("_level"), F.col("shelf_life_days")))

@@ -51,6 +51,17 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(text)
 
 
+def spread_by_item(rows: DataFrame, key: str = "medicine_id") -> DataFrame:
+    """Item-level rows over all cores before a costly per-row step.
+
+    Such rows are few bytes but much work each, so a fixed partition count is
+    asked for; the adaptive planner would merge them by size into a few tasks.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores), key)
+
+
 def with_catalog(facts: DataFrame, medicines: DataFrame, key: str = "medicine_id") -> DataFrame:
     """Fact rows with their catalog columns (prescriptions or orders with items)."""
     return skew_safe_join(facts, medicines, key)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replenish.operators.joins import spread_by_item
 from replenish.params import Params
 
 
@@ -68,7 +69,7 @@ def value_iteration(histograms: DataFrame, params: Params = Params()) -> DataFra
 
     kind = histograms.schema["medicine_id"].dataType.simpleString()
     schema = f"medicine_id {kind}, stock_level bigint, order_quantity bigint, value double"
-    return histograms.select("medicine_id", "demands", "counts").mapInPandas(per_batch, schema)
+    return spread_by_item(histograms.select("medicine_id", "demands", "counts")).mapInPandas(per_batch, schema)
 
 
 def apply_policy(stock: DataFrame, policy: DataFrame, params: Params = Params()) -> DataFrame:
