@@ -13,6 +13,7 @@ from replenish.operators.aggregates import modal_category, numeric_marginals, va
 from replenish.operators.joins import pick_by_interval
 from replenish.operators.windows import cumulative_counts
 from replenish.params import Params
+from replenish.session import stored
 
 # Fixed value lists of the generated catalog.
 CATEGORIES = (
@@ -35,12 +36,13 @@ class Marginals:
 
 
 def fit(rx: DataFrame) -> Marginals:
+    """Marginals of a history. Each is one pruned pass, stored so that sampling never rescans the history."""
     return Marginals(
-        numeric=numeric_marginals(rx, ["quantity", "patient_age"]),
-        medicine=value_share(rx, "medicine_id"),
-        location=value_share(rx, "location"),
-        hour=value_share(rx.select(F.hour("timestamp").alias("hour")), "hour"),
-        category_of=modal_category(rx),
+        numeric=stored(numeric_marginals(rx, ["quantity", "patient_age"]), "fit-numeric"),
+        medicine=stored(value_share(rx, "medicine_id"), "fit-medicine"),
+        location=stored(value_share(rx, "location"), "fit-location"),
+        hour=stored(value_share(rx.select(F.hour("timestamp").alias("hour")), "hour"), "fit-hour"),
+        category_of=stored(modal_category(rx), "fit-category"),
     )
 
 

@@ -15,6 +15,7 @@ from replenish.plans import inputs  # noqa: F401
 from replenish.plans.basics import u_sql
 from replenish.plans.registry import common, query
 from replenish.plans.tidy import big, r, sql_ts, ts
+from replenish.session import stored
 from replenish.sources import tables as T
 
 common("evu", "SELECT * REPLACE (user_id AS medicine_id) FROM ev", "ev")
@@ -63,9 +64,9 @@ def history(spark, d):
 
 
 def synthetic(spark, d):
-    """As many synthetic rows as the history has."""
+    """As many synthetic rows as the history has, stored because every measure reads them."""
     rx = history(spark, d)
-    return SY.sample(spark, rx.count(), SY.fit(rx))
+    return stored(SY.sample(spark, rx.count(), SY.fit(rx)), "synthetic")
 
 
 # ---------------------------------------------------------------- synthesis

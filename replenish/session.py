@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "replenish", master: str | None = None, **conf) -> SparkSession:
@@ -53,3 +53,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     ensure_checkpoints(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a parquet table in the shared folder: computed once, columnar, and free of its lineage.
+
+    For results that several later steps read; a lost executor rereads the table instead of
+    recomputing the steps before it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
