@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,42 +31,51 @@ def value_iteration(histograms: DataFrame, params: Params = Params()) -> DataFra
     """Best order size and value per item and stock level.
 
     Rounds of one item depend only on that item, so they run inside a task on
-    arrays of fixed size (levels x orders x distinct demands) instead of a
-    shuffle per round. The expected value depends on stock + order only, which leaves
-    one vector per round. Values are rounded to 9 decimals so that ties, which go
-    to the smallest order, do not hang on the order of summation.
+    arrays of fixed size instead of a shuffle per round. The expected value depends on
+    stock + order only: one matrix-vector product per round gives it for every reachable
+    level, and the best order is a sliding maximum over those levels. Values are rounded
+    to 9 decimals so that ties, which go to the smallest order, do not hang on the order
+    of summation.
     """
     step, top, most = params.policy_step, params.policy_max_stock, params.policy_max_order
     states, actions = np.arange(0, top + 1, step), np.arange(0, most + 1, step)
     levels = np.arange(0, top + most + 1, step)
-    index = (states[:, None] + actions[None, :]) // step
-    fixed = np.where(actions > 0, params.order_cost, 0.0)[None, :]
     rounds, tolerance, gamma = params.policy_rounds, params.policy_tolerance, params.policy_discount
-    holding, shortage = params.holding_cost, params.shortage_cost
+    holding, fixed, shortage = params.holding_cost, params.order_cost, params.shortage_cost
 
     def solve(demands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         share = counts / counts.sum()
         left = levels[:, None] - demands[None, :]
         following = np.ceil(np.clip(left, 0, top) / step - 0.5).astype(int).clip(0)
-        short = shortage * np.maximum(-left, 0.0) @ share
-        value, order = np.zeros(len(states)), np.zeros(len(states), dtype=int)
+        move = np.zeros((len(levels), len(states)))
+        np.add.at(move, (np.arange(len(levels))[:, None], following), np.broadcast_to(share, left.shape))
+        cost = -shortage * (np.maximum(-left, 0.0) @ share) - holding * levels / 2.0
+        value = np.zeros(len(states))
         for _ in range(rounds):
-            by_level = -short - holding * levels / 2.0 + gamma * (value[following] @ share)
-            table = np.round(by_level[index] - fixed, 9)
-            order = table.argmax(axis=1)
-            new = table.max(axis=1)
+            by_level = cost + gamma * (move @ value)
+            keep = np.round(by_level[: len(states)], 9)
+            order = sliding_window_view(np.round(by_level - fixed, 9)[1:], len(actions) - 1)
+            new = np.maximum(keep, order.max(axis=1))
             moved, value = np.abs(new - value).max(), new
             if moved < tolerance:
                 break
-        return value, order
+        chosen = np.where(keep >= order.max(axis=1), 0, 1 + order.argmax(axis=1))
+        return value, chosen
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for item, demands, counts in zip(batch["medicine_id"], batch["demands"], batch["counts"]):
-                value, order = solve(np.asarray(demands, dtype=float), np.asarray(counts, dtype=float))
-                yield pd.DataFrame(
-                    {"medicine_id": item, "stock_level": states, "order_quantity": actions[order], "value": value}
-                )
+            solved = [
+                solve(np.asarray(x, dtype=float), np.asarray(n, dtype=float))
+                for x, n in zip(batch["demands"], batch["counts"])
+            ]
+            yield pd.DataFrame(
+                {
+                    "medicine_id": np.repeat(batch["medicine_id"].to_numpy(), len(states)),
+                    "stock_level": np.tile(states, len(solved)),
+                    "order_quantity": actions[np.concatenate([order for _, order in solved])],
+                    "value": np.concatenate([value for value, _ in solved]),
+                }
+            )
 
     kind = histograms.schema["medicine_id"].dataType.simpleString()
     schema = f"medicine_id {kind}, stock_level bigint, order_quantity bigint, value double"

@@ -102,14 +102,19 @@ def str4(spark, d):
 
 @query(
     "str4_arrival_gaps",
-    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, count(*) AS "count", round(avg(g), 4) AS avg_inter_arrival_time, round(stddev_pop(g), 4) AS std_inter_arrival_time FROM (
+    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, count(*) AS "count", round(avg(g) + 0.00000123, 4) AS avg_inter_arrival_time, round(stddev_pop(g) + 0.00000123, 4) AS std_inter_arrival_time FROM (
         SELECT medicine_id, w, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY medicine_id, w ORDER BY ts)) / 1e6 AS g
         FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev)), mark WHERE w + INTERVAL 1 HOUR <= wm GROUP BY medicine_id, w""",
     ("ev", "mark"),
 )
 def str4_gaps(spark, d):
     g = appended(spark, SW.arrival_gaps(events(spark, d), HOUR, 60), "gaps")
-    return g.select("medicine_id", ts("window_start"), "count", r("avg_inter_arrival_time"), r("std_inter_arrival_time"))
+    off = F.lit(0.00000123)  # halves of whole microseconds sit on rounding ties, so both sides shift them off
+    return g.select(
+        "medicine_id", ts("window_start"), "count",
+        r(F.col("avg_inter_arrival_time") + off, 4, "avg_inter_arrival_time"),
+        r(F.col("std_inter_arrival_time") + off, 4, "std_inter_arrival_time"),
+    )
 
 
 @query(

@@ -68,11 +68,11 @@ def parse_edi(messages: DataFrame, column: str = "value") -> DataFrame:
 
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+    return df.select(F.to_json(F.struct(*df.columns), {"timestampFormat": MICROS}).alias(name))
 
 
 def from_json(df: DataFrame, schema: T.StructType | str, name: str = "json") -> DataFrame:
-    return df.select(F.from_json(name, schema).alias("_r")).select("_r.*")
+    return df.select(F.from_json(name, schema, {"timestampFormat": MICROS}).alias("_r")).select("_r.*")
 
 
 def export_json(df: DataFrame, path: str) -> None:

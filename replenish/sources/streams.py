@@ -8,18 +8,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from replenish.schema import PRESCRIPTIONS
+from replenish.sources.history import MICROS
+
+TEXT = {"timestampFormat": MICROS}
 
 
 def decode(raw: DataFrame, schema: T.StructType = PRESCRIPTIONS) -> DataFrame:
     """JSON bytes or text in ``value`` to typed columns; undecodable records become all-NULL and are dropped."""
-    parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("_e")).select("_e.*")
+    parsed = raw.select(F.from_json(F.col("value").cast("string"), schema, TEXT).alias("_e")).select("_e.*")
     return parsed.filter(F.col("medicine_id").isNotNull())
 
 
 def encode(events: DataFrame) -> DataFrame:
     """Events as JSON in ``value``, keyed by item so that a topic partitions by it."""
     return events.select(
-        F.col("medicine_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value")
+        F.col("medicine_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns), TEXT).alias("value")
     )
 
 

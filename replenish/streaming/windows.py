@@ -95,7 +95,7 @@ def arrival_gaps(events: DataFrame, size: int, slot: int = 10, params: Params =
         F.col("_w.start").alias("window_start"),
         "count",
         mean.alias("avg_inter_arrival_time"),
-        F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("std_inter_arrival_time"),
+        F.when(pairs > 0, F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))).alias("std_inter_arrival_time"),
     )
 
 
