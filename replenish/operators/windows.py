@@ -1,11 +1,11 @@
 """Time windows and ordered per-key computations.
 
 Row-level orders per key (running stock, arrival gaps, last-n features) are
-computed in time chunks: a chunk is ``(key, fixed time span)``, chunks are
+computed in chunks: a chunk is a time span of a key (see ``_chunked``), chunks are
 summarised to one row, the summaries are scanned in order per key, and each row
 combines its chunk's carry-in with its rank inside the chunk. A key with a third
 of all rows is therefore spread over its chunks; what runs per key in one task
-is one row per chunk, which the calendar bounds.
+is one row per chunk.
 
 Daily series need no chunks: they have at most one row per item and day.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replenish.functions.scalars import micros
+from replenish.operators.joins import skew_safe_join
+from replenish.session import stored
 
 MICRO = 1_000_000
 
@@ -172,8 +174,23 @@ def sliding_stats(rx: DataFrame, size: int, key: str = "medicine_id") -> DataFra
 # ---------------------------------------------------------------- chunked scans
 
 
-def _chunk(time: str, seconds: int) -> Column:
-    return F.floor(micros(F.col(time)) / F.lit(seconds * MICRO)).cast("bigint")
+CHUNK_ROWS = 4_000_000
+
+
+def _chunked(df: DataFrame, key: str, time: str, ties: list[Column], seconds: int, most: int = CHUNK_ROWS) -> DataFrame:
+    """Adds ``_chunk``, an id that grows with (time, ties) inside every key.
+
+    Chunks are time spans of ``seconds``. If a key has more than ``most`` rows in one span, chunks
+    become the partitions of a range sort by (key, time, ties) instead, which splits any
+    concentration, even many rows at one instant; that layout is stored once so
+    that all steps see the same chunks. ``ties`` should then identify a row.
+    """
+    span = F.floor(micros(F.col(time)) / F.lit(seconds * MICRO)).cast("bigint")
+    largest = df.groupBy(key, span.alias("_chunk")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if largest is None or largest <= most:
+        return df.withColumn("_chunk", span)
+    part = F.shiftright(F.monotonically_increasing_id(), 33)
+    return stored(df.orderBy(key, time, *ties).withColumn("_chunk", part), "range-chunks")
 
 
 COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -186,12 +203,13 @@ def running(
     ties: list[Column],
     values: dict[str, tuple[str, Column]],
     chunk_seconds: int = 86400,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Running sum, min or max per key in (time, ties) order, inclusive of the row.
 
     ``values`` maps an output name to ``(how, expression)``.
     """
-    rows = df.withColumn("_chunk", _chunk(time, chunk_seconds))
+    rows = _chunked(df, key, time, ties, chunk_seconds, chunk_rows)
     for name, (_, expr) in values.items():
         rows = rows.withColumn(f"_v_{name}", expr)
     per_chunk = rows.groupBy(key, "_chunk").agg(
@@ -216,10 +234,10 @@ def running(
 
 
 def with_previous(
-    df: DataFrame, key: str, time: str, ties: list[Column], chunk_seconds: int = 86400
+    df: DataFrame, key: str, time: str, ties: list[Column], chunk_seconds: int = 86400, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Adds ``previous``: the time (microseconds) of the key's preceding row, NULL for its first."""
-    rows = df.withColumn("_chunk", _chunk(time, chunk_seconds)).withColumn("_us", micros(F.col(time)))
+    rows = _chunked(df, key, time, ties, chunk_seconds, chunk_rows).withColumn("_us", micros(F.col(time)))
     ends = rows.groupBy(key, "_chunk").agg(F.max("_us").alias("_end"))
     carry = ends.select(key, "_chunk", F.lag("_end").over(W.partitionBy(key).orderBy("_chunk")).alias("_before"))
     inside = W.partitionBy(key, "_chunk").orderBy(time, *ties)
@@ -381,7 +399,7 @@ def stock_walk(
     """
     start = stock.select("medicine_id", F.col("current_inventory").alias("_start"))
     walked = running(changes, "medicine_id", "timestamp", ties, {"_sum": ("sum", F.col("delta"))}, chunk_seconds)
-    walked = walked.join(start, "medicine_id").withColumn("_s", F.col("_start") + F.col("_sum"))
+    walked = skew_safe_join(walked, start, "medicine_id").withColumn("_s", F.col("_start") + F.col("_sum"))
     if not clamp:
         return walked.withColumnRenamed("_s", "stock_after").drop("_sum", "_start")
     low = running(walked, "medicine_id", "timestamp", ties, {"_low": ("min", F.col("_s"))}, chunk_seconds)

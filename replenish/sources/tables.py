@@ -54,7 +54,7 @@ def prescriptions(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("o_orderpriority") == "1-URGENT").alias("is_emergency"),
         (F.lit(1) + F.col("o_custkey") % 90).alias("patient_age"),
     )
-    return dispensing(spark, folder).join(head, "basket_id")
+    return skew_safe_join(dispensing(spark, folder), head, "basket_id")
 
 
 def stream_columns(ev: DataFrame, key: str | Column = "event_type") -> DataFrame:
@@ -97,7 +97,7 @@ def orders_with_items(spark: SparkSession, folder: str) -> DataFrame:
     lines = dispensing(spark, folder).select("medicine_id", "quantity", "basket_id", "line")
     price = medicines(spark, folder).select("medicine_id", F.col("unit_price").alias("unit_cost"))
     return (
-        skew_safe_join(lines.join(head, "basket_id"), price, "medicine_id")
+        skew_safe_join(skew_safe_join(lines, head, "basket_id"), price, "medicine_id")
         .withColumn("order_id", F.concat_ws("-", F.lit("PO"), F.col("basket_id"), F.col("line")))
         .withColumn("total_cost", F.col("quantity") * F.col("unit_cost"))
     )
