@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from replenish.operators.joins import skew_safe_join
 from replenish.operators.ranking import first_per_group
+from replenish.session import stored
 
 
 def basket_items(rx: DataFrame) -> DataFrame:
@@ -19,8 +20,15 @@ def basket_pairs(items: DataFrame, block: int = 256) -> DataFrame:
 
     A basket with more than ``block`` items is cut into hash blocks and its pairs
     are produced per pair of blocks, so even one giant basket is spread over many
-    tasks of at most about ``block * block`` pairs; ordinary baskets are one block.
+    tasks of at most about ``block * block`` pairs. Without such a basket it is a plain self join.
     """
+    sizes = items.groupBy("basket_id").agg(F.count("*").alias("_k"))
+    largest = sizes.agg(F.max("_k")).first()[0]
+    if largest is None or largest <= block:
+        left = items.select("basket_id", F.col("medicine_id").alias("med1"))
+        right = items.select("basket_id", F.col("medicine_id").alias("med2"))
+        return left.join(right, "basket_id").filter("med1 < med2")
+    items = stored(items, "basket-items")
     big = items.groupBy("basket_id").agg(F.count("*").alias("_k")).filter(F.col("_k") > block)
     sized = skew_safe_join(items, big, "basket_id", "left")
     blocks = F.coalesce(F.ceil(F.col("_k") / F.lit(block)), F.lit(1)).cast("int")
@@ -41,7 +49,8 @@ def edge_counts(pairs: DataFrame) -> DataFrame:
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of each edge; mirrored after counting, so only counted edges are doubled."""
-    return edges.unionByName(edges.select(F.col("med2").alias("med1"), F.col("med1").alias("med2"), "n"))
+    there, back = F.struct("med1", "med2"), F.struct(F.col("med2").alias("med1"), F.col("med1").alias("med2"))
+    return edges.select(F.explode(F.array(there, back)).alias("_e"), "n").select("_e.med1", "_e.med2", "n")
 
 
 def association_scores(edges: DataFrame, vertices: DataFrame) -> DataFrame:

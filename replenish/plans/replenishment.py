@@ -1,7 +1,8 @@
 """From raw history to order recommendations: the library's main plan.
 
-Shuffles: history to (item, day) sums, those to one row per item, one for the
-stock totals, and the final sort by priority. Everything between is row-local.
+Shuffles: history to (item, day) sums, those to one row per item, one to spread
+the items over all cores, and the final sort by priority. The per-item results
+are written once, so the totals over all items do not repeat the work.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from replenish.operators.aggregates import daily_demand
 from replenish.operators.joins import with_forecast
 from replenish.operators.ranking import by_priority
 from replenish.params import Params
+from replenish.session import stored
 
 
 def items_with_baseline(rx: DataFrame, stock: DataFrame, params: Params = Params()) -> DataFrame:
@@ -39,5 +41,6 @@ def items_with_best_forecast(rx: DataFrame, stock: DataFrame, params: Params = P
 
 
 def recommendations(items: DataFrame, capacity=None, params: Params = Params()) -> DataFrame:
-    results = I.optimize_items(items, params)
+    """Sorted order recommendations. The per-item results are stored once: totals and rows both read them."""
+    results = stored(I.optimize_items(items, params), "optimization-results")
     return by_priority(I.recommend(I.allocate_with_capacity(results, capacity, params), params))
