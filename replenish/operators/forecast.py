@@ -270,6 +270,40 @@ def ensemble_forecast(components: DataFrame, params: Params = Params()) -> DataF
     return _long(rows, "ensemble", params.confidence, F.col("ensemble"), lo, hi, hi - lo)
 
 
+def all_forecasts(components: DataFrame, params: Params = Params()) -> DataFrame:
+    """Every available forecast of every item and day in long form, from one pass over the components."""
+    rows = ensemble_columns(components.withColumn("_sd", _ar_spread()), params).withColumn("_v", _baseline_value())
+    v, sd, ar, ar_sd = F.col("_v"), F.col("std_selling"), F.col("ar"), F.col("_sd")
+
+    def entry(model: str, confidence: float, keep: Column, value: Column, lower: Column, upper: Column, width: Column) -> Column:
+        fields = F.struct(
+            F.lit(model).alias("model"),
+            F.lit(confidence).alias("confidence"),
+            value.alias("forecast"),
+            lower.alias("lower"),
+            upper.alias("upper"),
+            width.alias("uncertainty"),
+        )
+        return F.when(keep & value.isNotNull(), fields)
+
+    def interval(model: str, keep: Column = F.lit(True)) -> Column:
+        lo, hi = F.col(f"{model}_lo"), F.col(f"{model}_hi")
+        return entry(model, params.confidence, keep, F.col(model), lo, hi, hi - lo)
+
+    everything = F.array(
+        interval("trend", F.col("h") < F.col("trend_steps")),
+        entry("ar", params.confidence, F.lit(True), ar, ar - 1.96 * ar_sd, ar + 1.96 * ar_sd, ar_sd),
+        interval("additive"),
+        interval("ensemble"),
+        entry(
+            "historical_baseline", 0.80, F.lit(True), S.at_least_zero(v), S.at_least_zero(v - 1.96 * sd), v + 1.96 * sd, sd
+        ),
+    )
+    return rows.select("medicine_id", "h", "forecast_date", F.explode(F.array_compact(everything)).alias("_e")).select(
+        "medicine_id", "h", "forecast_date", "_e.*"
+    )
+
+
 def combine_forecasts(forecasts: DataFrame, params: Params = Params()) -> DataFrame:
     """Weighted mean per item and day of any padded long component forecasts ``(model, h, forecast)``."""
     weight = (

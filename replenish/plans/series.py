@@ -435,9 +435,8 @@ def fc4(spark, d):
 
 
 def _all_components(spark, d):
-    c = components(spark, d)
-    parts = [f(c).select("medicine_id", "model", "h", "forecast") for f in (FC.trend_forecast, FC.ar_forecast, FC.additive_forecast)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = FC.all_forecasts(components(spark, d))
+    return every.filter(F.col("model").isin("trend", "ar", "additive")).select("medicine_id", "model", "h", "forecast")
 
 
 @query(
@@ -513,11 +512,7 @@ def fc8(spark, d):
     ("base", "ens"),
 )
 def fc9(spark, d):
-    c = components(spark, d)
-    cols = ["medicine_id", "model", "confidence", "h", "forecast", "lower", "upper", "uncertainty"]
-    candidates = FC.baseline_forecast(fitted(spark, d)).select(*cols)
-    for part in (FC.trend_forecast, FC.ar_forecast, FC.additive_forecast, FC.ensemble_forecast):
-        candidates = candidates.unionByName(part(c).select(*cols))
+    candidates = FC.all_forecasts(components(spark, d))
     return FC.pick_model(candidates).select("medicine_id", "h", "model", r("forecast", 3))
 
 
