@@ -9,10 +9,12 @@ want a result for every event.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +23,9 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from replenish.functions.scalars import micros
 from replenish.params import Params
 
+# The processor travels to the workers by value, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = StructType([StructField("us", LongType()), StructField("quantity", DoubleType())])
 
