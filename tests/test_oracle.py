@@ -22,5 +22,6 @@ def test_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    without = set(REGISTRY) - set(entry.oracle_sql())
+    assert set(REGISTRY) <= set(entry.queries())
     assert without == {"inv17_policy", "syn4_generated_events"}
