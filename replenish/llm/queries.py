@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replenish.llm import mixing, shards, simhash, urls
+from replenish.llm import decontaminate, mixing, quality, shards, simhash, urls
 from replenish.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,21 @@ def query(key: str, sql: str | None = None):
     return register
 
 
+@query("op1_template_decontamination")
+def template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("text_hash")
+
+
 @query("op2_simhash_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+@query("op3_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 URL_SQL = r"""
 WITH parts AS (
   SELECT page_id,
