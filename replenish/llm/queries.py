@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from replenish.llm import decontaminate, mixing, quality, shards, simhash, urls
+from replenish.llm import decontaminate, mixing, quality, shards, simhash, substrings, token_files, urls
 from replenish.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,19 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+@query("op4_token_files")
+def token_file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.cut(read(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 URL_SQL = r"""
 WITH parts AS (
   SELECT page_id,

@@ -49,3 +49,14 @@ def linked(prints, bits=4):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {p: find(p) for p in keys}
+
+
+def cut(texts, length=35):
+    """Kept words of each text, with its counts."""
+    lists = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in lists for i in range(len(w) - length + 1))
+    out = []
+    for w in lists:
+        gone = {i + k for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for k in range(length)}
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
