@@ -8,8 +8,9 @@ be decoded from several places at once. Its last four bytes are a checksum of al
 
 Files are written by Spark's committer on any storage: a block is one record, ended by a newline,
 and files follow the order of the ids. They are read as whole files; each block gives its length.
+Beside them lie the table of shares and the first position of each part (one task's files).
 
-    magic "TRB1", length of the block u32, first id's position in the corpus u64, ids u64,
+    magic "TRB1", length of the block u32, part u32, first id's position in the part u64, ids u64,
     documents u32, lanes u32, checkpoints u32, stream words u32,
     per document: doc_id i64, is null u8, ids u32 (three arrays),
     per checkpoint: stream words before it u32, then all states u64 per checkpoint,
@@ -18,6 +19,8 @@ and files follow the order of the ids. They are read as whole files; each block
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 
@@ -27,7 +30,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from replenish.llm.tables import broadcast_if_small
 from replenish.session import scratch_path, stored
 
 END = 1
@@ -37,10 +39,9 @@ LANES = 1024
 CHECKPOINT = 64
 BLOCKS_A_FILE = 32
 MAGIC = b"TRB1"
-HEAD = struct.Struct("<4sIQQIIII")
+HEAD = struct.Struct("<4sIIQQIIII")
 _LOW = np.uint64(1 << 31)
 _CACHE = 500_000
-_PARTS = 1_000_000
 
 
 class Table:
@@ -116,7 +117,7 @@ def decode(n: int, table: Table, places, states, stream, every: int = CHECKPOINT
     return out
 
 
-def pack(start: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray, table: Table) -> bytes:
+def pack(part: int, start: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray, table: Table) -> bytes:
     places, states, stream = encode(ids, table)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     body = b"".join((
@@ -124,13 +125,13 @@ def pack(start: int, doc_ids: list, counts: np.ndarray, ids: np.ndarray, table:
         places.astype("<u4").tobytes(), states.astype("<u8").tobytes(), stream.astype("<u4").tobytes(),
     ))
     size = HEAD.size + len(body) + 4
-    head = HEAD.pack(MAGIC, size, start, len(ids), len(doc_ids), LANES, len(places), len(stream))
+    head = HEAD.pack(MAGIC, size, part, start, len(ids), len(doc_ids), LANES, len(places), len(stream))
     return head + body + struct.pack("<I", zlib.crc32(body, zlib.crc32(head)))
 
 
 def unpack(raw: memoryview, table: Table):
-    """(start, doc_ids, counts, ids) of a block, after its checksum was found right."""
-    magic, size, start, n, docs, lanes, points, words = HEAD.unpack_from(raw)
+    """(part, start, doc_ids, counts, ids) of a block, after its checksum was found right."""
+    magic, size, part, start, n, docs, lanes, points, words = HEAD.unpack_from(raw)
     if magic != MAGIC or len(raw) < size or zlib.crc32(raw[: size - 4]) != struct.unpack_from("<I", raw, size - 4)[0]:
         raise ValueError("damaged block")
     at = HEAD.size
@@ -144,7 +145,7 @@ def unpack(raw: memoryview, table: Table):
     doc_ids, nulls, counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
     places, states, stream = take("<u4", points), take("<u8", points * lanes), take("<u4", words)
     ids = decode(n, table, places, states.reshape(points, lanes), stream)
-    return start, [None if z else int(d) for d, z in zip(doc_ids, nulls)], counts, ids
+    return part, start, [None if z else int(d) for d, z in zip(doc_ids, nulls)], counts, ids
 
 
 def blocks(raw: memoryview):
@@ -156,81 +157,142 @@ def blocks(raw: memoryview):
         at += size + 1
 
 
+# how a tokenizer cuts texts that drops white space and splits there before anything else
+_SEPARABLE = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# a word of Latin letters that normalization only lower-cases, and a mark
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+
+
 class _Encoder:
-    """Ids of a text, put together from those of its parts between spaces and line ends.
+    """Ids of a text by the tokenizers library, as bytes.
 
-    The tokenizer drops white space and splits there before anything else, so the parts' ids joined are
-    the text's ids; parts seen before need no new encoding.
+    A tokenizer that drops white space gives a text the ids of its parts between spaces and line ends,
+    so parts seen before need no new encoding. New plain words go to the model many at a time, without
+    the patterns that would only find each whole; the last id of each has the end-of-word mark.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        vocabulary = self.whole.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.separable = json.loads(self.whole.to_str())["pre_tokenizer"] == _SEPARABLE
         self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", map(self._bytes, self._ids(self.whole, list(".,;:!?"))))) | {"": b""}
+        mark = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes(self, ids: list) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn_words(self, new: list[str]) -> None:
+        ids = np.array(self._ids(self.plain, [" ".join(new)])[0], self.kind)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(new) and stops[-1] == len(ids):
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(new, (stops * ids.itemsize).tolist()):
+                self.words[word] = raw[at:stop]
+                at = stop
+        else:
+            self.words.update(zip(new, map(self._bytes, self._ids(self.whole, new))))
+
+    def _learn(self, new: list[str]) -> None:
+        found = [(part, _PLAIN.fullmatch(part)) for part in new]
+        split = [(part, m[1].lower(), m[2]) for part, m in found if m]
+        words = {word for _, word, _ in split}.difference(self.words)
+        if words:
+            self._learn_words(list(words))
+        for part, word, mark in split:
+            self.seen[part] = self.words[word] + self.marks[mark]
+        rest = [part for part, m in found if not m]
+        self.seen.update(zip(rest, map(self._bytes, self._ids(self.whole, rest))))
 
     def __call__(self, text: str) -> bytes:
+        if not self.separable:
+            return self._bytes(self._ids(self.whole, [text])[0])
         parts = text.replace("\n", " ").split(" ")
-        new = list(set(parts).difference(self.seen))
         if len(self.seen) > _CACHE:
             self.seen.clear()
-            new = list(set(parts))
-        for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.seen[part] = np.array(got.ids, "<u4").tobytes()
+            self.words.clear()
+        new = set(parts).difference(self.seen)
+        if new:
+            self._learn(list(new))
         return b"".join(map(self.seen.__getitem__, parts))
 
 
-def _tokenize(path: str, end: int, block: int):
+def _tokenize(path: str, end: int):
     def rows(batches):
-        encoder, part = _Encoder(path), TaskContext.get().partitionId()
-        tail = np.array([end], "<u4").tobytes()
-        doc_ids, counts, ids, size, before, number = [], [], [], 0, 0, 0
-
-        def done():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()),
-                 pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(ids)], pa.binary())],
-                names=["part", "number", "before", "size", "doc_ids", "counts", "ids"],
-            )
-
+        encoder = _Encoder(path)
+        tail = np.array([end], encoder.kind).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = encoder(text or "") + tail
-                doc_ids.append(doc_id)
-                counts.append(len(own) // 4)
-                ids.append(own)
-                size += counts[-1]
-                if size >= block:
-                    yield done()
-                    before, number = before + size, number + 1
-                    doc_ids, counts, ids, size = [], [], [], 0
-        if doc_ids:
-            yield done()
+            ids = [encoder(t or "") + tail for t in batch.column(2).to_pylist()]
+            counts = pa.array([len(x) // len(tail) for x in ids], pa.int64())
+            wide = pa.array([len(tail)] * len(ids), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), counts, wide, pa.array(ids, pa.binary())], names=["doc_id", "tie", "n", "wide", "ids"]
+            )
 
     return rows
 
 
+def _values(raw: bytes, wide: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{wide}")
+
+
 def _count_ids(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            own = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
+        for wide in set(batch.column(0).to_pylist()):
+            own = np.bincount(_values(b"".join(x for w, x in zip(*(c.to_pylist() for c in batch.columns)) if w == wide), wide), minlength=len(total))
             own[: len(total)] += total
             total = own
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "count"])
 
 
-def _coder(table):
+def _coder(table, block: int):
     def rows(batches):
-        own = Table(*table.value)
+        own, part = Table(*table.value), TaskContext.get().partitionId()
+        doc_ids, counts, ids, size, before = [], [], [], 0, 0
+
+        def done():
+            packed = pack(part, before, doc_ids, np.array(counts), np.concatenate(ids), own)
+            return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["block"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                packed = pack(r["start"], r["doc_ids"], np.array(r["counts"]), np.frombuffer(r["ids"], "<u4"), own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["part"]], pa.int32()), pa.array([r["number"]], pa.int32()), pa.array([packed], pa.binary())],
-                    names=["part", "number", "block"],
-                )
+            for doc_id, n, wide, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                doc_ids.append(doc_id)
+                counts.append(n)
+                ids.append(_values(raw, wide))
+                size += n
+                if size >= block:
+                    yield done()
+                    before += size
+                    doc_ids, counts, ids, size = [], [], [], 0
+        if doc_ids:
+            yield done()
 
     return rows
 
@@ -238,38 +300,47 @@ def _coder(table):
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, block: int = BLOCK) -> None:
     """Tokenize every text, add the end id to each and write the files in ascending order of doc_id.
 
-    Null ids come first, a null text has the end id only, rows with equal ids follow by text. The
-    vocabulary bounds the frequency table, and one row a task the table of starts.
+    Null ids come first, a null text has the end id only, rows with equal ids follow by their texts'
+    hashes. The vocabulary bounds the table of shares; the table of parts has a row a task.
     """
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    schema = "part int, number int, before long, size long, doc_ids array<long>, counts array<int>, ids binary"
-    parts = stored(ordered.mapInArrow(_tokenize(tokenizer, end, block), schema), "token-blocks")
-    counts = parts.select("ids").mapInArrow(_count_ids, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    tokens = stored(keyed.mapInArrow(_tokenize(tokenizer, end), "doc_id long, tie long, n long, wide int, ids binary"), "token-ids")
+    counts = tokens.select("wide", "ids").mapInArrow(_count_ids, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     seen = counts.orderBy("id").toPandas()
     ids = seen["id"].to_numpy(np.int64)
     shares = shares_of(seen["count"].to_numpy(np.int64)) if len(ids) else np.zeros(0, np.int64)
     rows = list(zip(ids.tolist(), shares.tolist()))
     spark.createDataFrame(rows, "id long, share long").coalesce(1).write.parquet(f"{path}/table")
-    sizes = parts.groupBy("part").agg(F.sum("size").alias("part_size"))
-    upto = F.sum("part_size").over(Window.orderBy("part")) - F.col("part_size")
-    starts = broadcast_if_small(sizes.select("part", upto.alias("part_start")), _PARTS)
-    placed = parts.join(starts, "part").withColumn("start", F.col("part_start") + F.col("before"))
-    placed = placed.select("part", "number", "start", "doc_ids", "counts", "ids")
     shared = spark.sparkContext.broadcast((ids, shares))
-    coded = placed.mapInArrow(_coder(shared), "part int, number int, block binary")
-    coded = coded.repartitionByRange("part", "number").sortWithinPartitions("part", "number")
+    ordered = tokens.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    coded = ordered.select("doc_id", "n", "wide", "ids").mapInArrow(_coder(shared, block), "block binary")
     coded.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", BLOCKS_A_FILE).text(f"{path}/blocks")
+    sizes = _files(spark, path).mapInArrow(_sizes, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    first = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    sizes.select("part", first.alias("first")).coalesce(1).write.parquet(f"{path}/parts")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks").select("content")
+
+
+def _sizes(batches):
+    for batch in batches:
+        for raw in batch.column(0):
+            heads = [HEAD.unpack_from(b) for b in blocks(memoryview(raw.as_buffer()))]
+            yield pa.RecordBatch.from_arrays([pa.array([h[2] for h in heads], pa.int64()), pa.array([h[4] for h in heads], pa.int64())], names=["part", "n"])
 
 
-def _reader(table, take):
+def _reader(shared, take):
     def rows(batches):
-        own = Table(*table.value)
+        ids, shares, first = shared.value
+        own = Table(ids, shares)
         for batch in batches:
             for raw in batch.column(0):
                 for block in blocks(memoryview(raw.as_buffer())):
-                    yield take(*unpack(block, own))
+                    part, start, *rest = unpack(block, own)
+                    yield take(first[part] + start, *rest)
 
     return rows
 
@@ -294,8 +365,8 @@ def _documents(start, doc_ids, counts, ids) -> pa.RecordBatch:
 def _read(spark: SparkSession, path: str, take, schema: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/table").orderBy("id").collect()
     pair = np.array([r["id"] for r in rows], np.int64), np.array([r["share"] for r in rows], np.int64)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/blocks").select("content")
-    return files.mapInArrow(_reader(spark.sparkContext.broadcast(pair), take), schema)
+    first = {r["part"]: r["first"] for r in spark.read.parquet(f"{path}/parts").collect()}
+    return _files(spark, path).mapInArrow(_reader(spark.sparkContext.broadcast((*pair, first)), take), schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
