@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replenish.llm import decontaminate, mixing, quality, shards, simhash, substrings, token_files, urls
+from replenish.llm import decontaminate, language, licences, mixing, quality, shards, simhash, substrings, token_files, urls
 from replenish.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,16 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op6_language_field")
+def language_field(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(read(spark, folder, "documents"))
+
+
+@query("op7_licence_scan")
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(read(spark, folder, "documents"))
+
+
 URL_SQL = r"""
 WITH parts AS (
   SELECT page_id,
