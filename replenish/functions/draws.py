@@ -1,6 +1,6 @@
 """Pseudo-random draws that are functions of the data.
 
-A draw hashes ``seed|key|...`` with md5 and reads the first 32 bits, so a rerun,
+A draw hashes ``seed|key|...`` with md5 and reads the first 52 bits, so a rerun,
 a retried task and an independent SQL engine all see the same value. No state,
 no shuffle, no dependence on partitioning.
 """
@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO32 = 4294967296.0
+# a double holds every draw plus a half exactly
+DIGITS, RANGE = 13, 4503599627370496.0
 
 
 def _key(seed, parts) -> Column:
@@ -22,14 +23,14 @@ def _key(seed, parts) -> Column:
     return F.concat_ws("|", *cols)
 
 
-def bits32(seed, *parts) -> Column:
-    """Integer draw in [0, 2**32)."""
-    return F.conv(F.substring(F.md5(_key(seed, parts)), 1, 8), 16, 10).cast("bigint")
+def bits(seed, *parts) -> Column:
+    """Integer draw in [0, 2**52)."""
+    return F.conv(F.substring(F.md5(_key(seed, parts)), 1, DIGITS), 16, 10).cast("bigint")
 
 
 def uniform(seed, *parts) -> Column:
     """Uniform draw in the open interval (0, 1)."""
-    return (bits32(seed, *parts) + F.lit(0.5)) / F.lit(TWO32)
+    return (bits(seed, *parts) + F.lit(0.5)) / F.lit(RANGE)
 
 
 def below(n: Column, seed, *parts) -> Column:
@@ -69,6 +70,6 @@ def normal_value(seed, *parts) -> float:
 
     def u(tag: str) -> float:
         text = "|".join([f"{seed}{tag}", *[str(p) for p in parts]])
-        return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / TWO32
+        return (int(hashlib.md5(text.encode()).hexdigest()[:DIGITS], 16) + 0.5) / RANGE
 
     return math.sqrt(-2.0 * math.log(u("a"))) * math.cos(2.0 * math.pi * u("b"))

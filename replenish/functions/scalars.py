@@ -67,10 +67,14 @@ def tagged_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(digits.cast("string"), 6, "0"), F.substring(digest, 1, 8))
 
 
+def millis_id(prefix: str, ts: Column) -> Column:
+    """prefix + epoch milliseconds."""
+    return F.concat(F.lit(prefix), F.floor(micros(ts) / 1000).cast("bigint").cast("string"))
+
+
 def event_id(prefix: str, ts: Column, *parts: Column) -> Column:
-    """prefix + epoch milliseconds + a short hash, since milliseconds repeat."""
-    millis = F.floor(micros(ts) / 1000).cast("bigint").cast("string")
-    return F.concat(F.lit(prefix), millis, F.lit("-"), F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8))
+    """prefix + epoch milliseconds + 64 bits of a hash, since milliseconds repeat."""
+    return F.concat(millis_id(prefix, ts), F.lit("-"), F.substring(F.md5(F.concat_ws("|", *parts)), 1, 16))
 
 
 def service_z(level: Column | float) -> Column:

@@ -1,4 +1,4 @@
-"""Order-up policies on a stock grid, one per item, by value iteration."""
+"""Order-up policies on a stock grid, one per item, by policy iteration."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from replenish.operators.joins import spread_by_item
 from replenish.params import Params
 
+# items whose equations are solved at once, and the gain below which two orders count as equal
+BLOCK = 64
+SAME = 1e-7
+
 
 def demand_histogram(daily: DataFrame, key: str = "medicine_id") -> DataFrame:
     """Distinct daily demands and their counts per item, as two arrays bounded by the number of days."""
@@ -27,61 +31,108 @@ def nearest_level(stock: Column, step: int = 10, top: int = 1000) -> Column:
     return F.greatest(F.lit(0), F.ceil(inside / step - 0.5).cast("int"))
 
 
-def value_iteration(histograms: DataFrame, params: Params = Params()) -> DataFrame:
-    """Best order size and value per item and stock level.
+def optimal_policy(histograms: DataFrame, params: Params = Params()) -> DataFrame:
+    """Best order size and value per item and stock level, with the rounds it took and whether they converged.
 
-    Rounds of one item depend only on that item, so they run inside a task on
-    arrays of fixed size instead of a shuffle per round. The expected value depends on
-    stock + order only: one matrix-vector product per round gives it for every reachable
-    level, and the best order is a sliding maximum over those levels. Values are rounded
-    to 9 decimals so that ties, which go to the smallest order, do not hang on the order
-    of summation.
+    A round solves the linear equations of the current policy's values exactly and then improves the policy at
+    every level; it ends when no order changes, after a few rounds as a rule and ``policy_rounds`` at most. What
+    follows an order depends on stock + order only, so one product per round gives the value of every reachable
+    level, and the best order is a sliding maximum over those. Many items are solved in one batch of equations of
+    fixed size. Of orders of equal value the smallest is taken.
     """
     step, top, most = params.policy_step, params.policy_max_stock, params.policy_max_order
     states, actions = np.arange(0, top + 1, step), np.arange(0, most + 1, step)
     levels = np.arange(0, top + most + 1, step)
-    rounds, tolerance, gamma = params.policy_rounds, params.policy_tolerance, params.policy_discount
-    holding, fixed, shortage = params.holding_cost, params.order_cost, params.shortage_cost
-
-    def solve(demands: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = counts / counts.sum()
-        left = levels[:, None] - demands[None, :]
+    gamma, holding = params.policy_discount, params.holding_cost
+    fixed, shortage = params.order_cost, params.shortage_cost
+    here = np.arange(len(states))
+
+    def transitions(demands: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of every level, and where it leads."""
+        widest = max(map(len, demands))
+        demand, share = np.zeros((2, len(demands), widest))
+        for i, (d, n) in enumerate(zip(demands, counts)):
+            demand[i, : len(d)], share[i, : len(d)] = d, np.asarray(n, float) / np.sum(n)
+        left = levels[None, :, None] - demand[:, None, :]
         following = np.ceil(np.clip(left, 0, top) / step - 0.5).astype(int).clip(0)
-        move = np.zeros((len(levels), len(states)))
-        np.add.at(move, (np.arange(len(levels))[:, None], following), np.broadcast_to(share, left.shape))
-        cost = -shortage * (np.maximum(-left, 0.0) @ share) - holding * levels / 2.0
-        value = np.zeros(len(states))
-        for _ in range(rounds):
-            by_level = cost + gamma * (move @ value)
-            keep = np.round(by_level[: len(states)], 9)
-            order = sliding_window_view(np.round(by_level - fixed, 9)[1:], len(actions) - 1)
-            new = np.maximum(keep, order.max(axis=1))
-            moved, value = np.abs(new - value).max(), new
-            if moved < tolerance:
+        move = np.zeros((len(demands), len(levels), len(states)))
+        items, rows = np.ogrid[: len(demands), : len(levels)]
+        np.add.at(move, (items[:, :, None], rows[:, :, None], following), np.broadcast_to(share[:, None, :], left.shape))
+        short = (np.maximum(-left, 0.0) * share[:, None, :]).sum(axis=2)
+        return -shortage * short - holding * levels / 2.0, move
+
+    def solve(demands: list, counts: list):
+        cost, move = transitions(demands, counts)
+        size = len(cost)
+        order = np.zeros((size, len(states)), int)
+        rounds, open_ = np.zeros(size, int), np.ones(size, bool)
+        value = np.zeros((size, len(states)))
+        each = np.arange(size)[:, None]
+        for number in range(1, params.policy_rounds + 1):
+            at = here + order
+            steps = move[each, at]
+            gain = cost[each, at] - fixed * (order > 0)
+            value = np.linalg.solve(np.eye(len(states)) - gamma * steps, gain[:, :, None])[:, :, 0]
+            by_level = cost + gamma * (move @ value[:, :, None])[:, :, 0]
+            # all orders of a state: its own level, or any of the levels above for the fixed cost
+            choices = sliding_window_view(by_level, len(actions), axis=1)[:, : len(states)] - fixed * (actions > 0)
+            best = choices.max(axis=2)
+            new = (choices >= best[:, :, None] - SAME).argmax(axis=2)
+            same = best <= np.take_along_axis(choices, order[:, :, None], axis=2)[:, :, 0] + SAME
+            rounds[open_] = number
+            open_ = ~same.all(axis=1)
+            order = np.where(open_[:, None] & ~same, new, order) if open_.any() else order
+            if not open_.any():
+                order = new
                 break
-        chosen = np.where(keep >= order.max(axis=1), 0, 1 + order.argmax(axis=1))
-        return value, chosen
+        return value, order, rounds, ~open_
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            solved = [
-                solve(np.asarray(x, dtype=float), np.asarray(n, dtype=float))
-                for x, n in zip(batch["demands"], batch["counts"])
-            ]
-            yield pd.DataFrame(
-                {
-                    "medicine_id": np.repeat(batch["medicine_id"].to_numpy(), len(states)),
-                    "stock_level": np.tile(states, len(solved)),
-                    "order_quantity": actions[np.concatenate([order for _, order in solved])],
-                    "value": np.concatenate([value for value, _ in solved]),
-                }
-            )
+            for at in range(0, len(batch), BLOCK):
+                own = batch.iloc[at : at + BLOCK]
+                value, order, rounds, converged = solve(own["demands"].tolist(), own["counts"].tolist())
+                yield pd.DataFrame(
+                    {
+                        "medicine_id": np.repeat(own["medicine_id"].to_numpy(), len(states)),
+                        "stock_level": np.tile(states, len(own)),
+                        "order_quantity": actions[order.ravel()],
+                        "value": value.ravel(),
+                        "rounds": np.repeat(rounds, len(states)),
+                        "converged": np.repeat(converged, len(states)),
+                    }
+                )
 
     kind = histograms.schema["medicine_id"].dataType.simpleString()
-    schema = f"medicine_id {kind}, stock_level bigint, order_quantity bigint, value double"
+    schema = f"medicine_id {kind}, stock_level bigint, order_quantity bigint, value double, rounds bigint, converged boolean"
     return spread_by_item(histograms.select("medicine_id", "demands", "counts")).mapInPandas(per_batch, schema)
 
 
+def bellman_residual(histograms: DataFrame, policy: DataFrame, params: Params = Params()) -> DataFrame:
+    """(medicine_id, residual): the largest gap between a value and the best that one step from it can give.
+
+    Worked out by joins on the demand histogram, apart from the solver.
+    """
+    step, top, most = params.policy_step, params.policy_max_stock, params.policy_max_order
+    every = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, n: s + n)
+    each = histograms.select("medicine_id", F.explode(F.arrays_zip("demands", "counts")).alias("d"), every.alias("all"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top + most), F.lit(step)))
+    reached = each.select("medicine_id", F.col("d.demands").alias("demand"), (F.col("d.counts") / F.col("all")).alias("p"), levels.alias("level"))
+    left = F.col("level") - F.col("demand")
+    reached = reached.withColumn("stock_level", (nearest_level(left.cast("double"), step, top) * step).cast("bigint"))
+    known = policy.select("medicine_id", "stock_level", "value")
+    ahead = reached.join(known, ["medicine_id", "stock_level"]).groupBy("medicine_id", "level").agg(
+        F.sum(F.col("p") * (params.policy_discount * F.col("value") - params.shortage_cost * F.greatest(-left, F.lit(0.0)))).alias("v")
+    )
+    ahead = ahead.withColumn("v", F.col("v") - params.holding_cost * F.col("level") / 2)
+    from_ = F.sequence(F.greatest(F.col("level") - most, F.lit(0)), F.least(F.col("level"), F.lit(top)), F.lit(step))
+    tried = ahead.select("medicine_id", "level", "v", F.explode(from_.cast("array<bigint>")).alias("stock_level"))
+    paid = F.when(F.col("level") > F.col("stock_level"), params.order_cost).otherwise(0.0)
+    best = tried.groupBy("medicine_id", "stock_level").agg(F.max(F.col("v") - paid).alias("best"))
+    gap = F.abs(F.col("value") - F.col("best"))
+    return known.join(best, ["medicine_id", "stock_level"]).groupBy("medicine_id").agg(F.max(gap).alias("residual"))
+
+
 def apply_policy(stock: DataFrame, policy: DataFrame, params: Params = Params()) -> DataFrame:
     """Order size for each item's current stock: nearest grid level, then an equi join on (item, level)."""
     level = nearest_level(F.col("current_inventory"), params.policy_step, params.policy_max_stock) * params.policy_step

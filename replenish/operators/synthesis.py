@@ -15,17 +15,6 @@ from replenish.operators.windows import cumulative_counts
 from replenish.params import Params
 from replenish.session import stored
 
-# Fixed value lists of the generated catalog.
-CATEGORIES = (
-    "Antibiotics", "Analgesics", "Antivirals", "Cardiovascular", "Diabetes",
-    "Respiratory", "Gastro", "Dermatology", "Vitamins", "Others",
-)
-SHELF_LIVES = (180, 365, 730, 1095)
-STORAGE_TYPES = ("Room Temp", "Refrigerated", "Frozen")
-PACK_SIZES = (10, 30, 60, 100)
-LOCATIONS = ("Store1", "Store2", "Store3", "Online")
-
-
 @dataclass
 class Marginals:
     numeric: DataFrame
@@ -77,7 +66,8 @@ def sample(spark: SparkSession, n: int, m: Marginals, params: Params = Params())
     rows = _pick(rows, m.medicine, "medicine_id", seed)
     rows = _pick(rows, m.location, "location", seed)
     rows = _pick(rows, m.hour, "hour", seed)
-    rows = rows.join(m.category_of, "medicine_id")
+    of = m.category_of.withColumnRenamed("medicine_id", "_item")
+    rows = rows.join(of, F.col("medicine_id").eqNullSafe(F.col("_item")), "left").drop("_item")
     day = F.floor(draws.uniform(seed, F.lit("day"), F.col("id")) * 365).cast("int")
     base = F.lit("2024-01-01").cast("timestamp")
     return rows.select(
@@ -114,68 +104,3 @@ def augment(rx: DataFrame, factor: float = 1.5, params: Params = Params()) -> Da
     synthetic = sample(rx.sparkSession, n, fit(rx), params).drop("id")
     marked = rx.withColumn("is_synthetic", F.lit(False)).withColumn("prescription_id", F.col("prescription_id").cast("string"))
     return marked.unionByName(synthetic.withColumn("is_synthetic", F.lit(True)), allowMissingColumns=True)
-
-
-def catalog(spark: SparkSession, n: int, params: Params = Params()) -> DataFrame:
-    """``n`` catalog items with hashed attributes."""
-    seed = f"cat{params.seed}"
-
-    def u(name: str) -> Column:
-        return draws.uniform(seed, F.lit(name), F.col("id"))
-
-    def choice(name: str, values: tuple) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.floor(u(name) * len(values)).cast("int"))
-
-    return spark.range(n).select(
-        F.format_string("MED%04d", "id").alias("medicine_id"),
-        F.concat(F.lit("Medicine_"), F.col("id").cast("string")).alias("medicine_name"),
-        choice("category", CATEGORIES).alias("category"),
-        F.round(F.lit(10.0) + F.lit(490.0) * u("price"), 2).alias("unit_price"),
-        choice("shelf", SHELF_LIVES).cast("bigint").alias("shelf_life_days"),
-        choice("storage", STORAGE_TYPES).alias("storage_type"),
-        choice("pack", PACK_SIZES).cast("bigint").alias("pack_size"),
-        (F.lit(10.0) + F.lit(190.0) * u("base")).alias("base_demand"),
-        (F.lit(0.1) + F.lit(0.2) * u("variance")).alias("demand_variance"),
-        (F.lit(0.5) + u("season")).alias("seasonality_factor"),
-    )
-
-
-def generate_events(
-    catalog_items: DataFrame, n: int, start: str, hours: int, params: Params = Params()
-) -> DataFrame:
-    """Up to ``n`` events over a time range: items by base demand, seasonal quantity with noise, thinned by hour.
-
-    ``catalog_items`` has ``medicine_id, medicine_name, category, base_demand, demand_variance``. Base demand is
-    counted in hundredths to draw items with the integer interval join.
-    """
-    seed = f"gen{params.seed}"
-    spark = catalog_items.sparkSession
-    weights = catalog_items.select(
-        F.col("medicine_id").alias("value"), F.greatest(F.lit(1), F.round(F.col("base_demand") * 100)).cast("bigint").alias("n")
-    )
-    second = F.floor(draws.uniform(seed, F.lit("time"), F.col("id")) * (hours * 3600 + 1)).cast("int")
-    ts = F.lit(start).cast("timestamp") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
-    rows = spark.range(n).withColumn("timestamp", ts)
-    keep = draws.uniform(seed, F.lit("keep"), F.col("id")) < S.hour_weight(F.hour("timestamp")) / 2
-    rows = _pick(rows.filter(keep), weights, "medicine_id", seed)
-    rows = rows.join(catalog_items, "medicine_id")
-    base = F.col("base_demand") * S.seasonal_factor(F.col("category"), F.month("timestamp"))
-    noise = draws.normal(f"{seed}qty", F.col("id")) * F.col("demand_variance") * base
-    return rows.select(
-        F.col("id"),
-        S.event_id("RX", F.col("timestamp"), F.col("id")).alias("prescription_id"),
-        "timestamp",
-        "medicine_id",
-        "medicine_name",
-        "category",
-        F.greatest(F.lit(1), (base + noise).cast("bigint")).alias("quantity"),
-        (F.lit(1) + F.floor(draws.uniform(seed, F.lit("age"), F.col("id")) * 90)).cast("bigint").alias("patient_age"),
-        (draws.uniform(seed, F.lit("emergency"), F.col("id")) < 0.05).alias("is_emergency"),
-        F.when(draws.uniform(seed, F.lit("insurance"), F.col("id")) < 0.5, "Yes").otherwise("No").alias("insurance"),
-        F.get(
-            F.array(*[F.lit(v) for v in LOCATIONS]),
-            F.floor(draws.uniform(seed, F.lit("location"), F.col("id")) * len(LOCATIONS)).cast("int"),
-        ).alias("location"),
-        S.day_name(F.col("timestamp")).alias("day_of_week"),
-        F.hour("timestamp").alias("hour_of_day"),
-    )

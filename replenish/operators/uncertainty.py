@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +46,7 @@ def quantile_interval(daily: DataFrame, quantiles: tuple[float, float] = (0.025,
 
 
 def monte_carlo_interval(
-    forecasts: DataFrame, simulations: int, std: str = "std", params: Params = Params()
+    forecasts: DataFrame, simulations: int | None = None, std: str = "std", params: Params = Params()
 ) -> DataFrame:
     """Percentile interval of simulated normal noise around each forecast value.
 
@@ -53,7 +57,7 @@ def monte_carlo_interval(
     """
     alpha = 1 - params.confidence
     spark = forecasts.sparkSession
-    noise = spark.range(simulations).select(
+    noise = spark.range(simulations or params.simulations).select(
         F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(params.horizon - 1).cast("bigint"))).alias("h")
     )
     q = (
@@ -69,32 +73,39 @@ def monte_carlo_interval(
     )
 
 
-def bootstrap_mean(daily: DataFrame, rounds: int, params: Params = Params()) -> DataFrame:
+def bootstrap_mean(daily: DataFrame, rounds: int | None = None, params: Params = Params()) -> DataFrame:
     """Percentile interval of the mean selling-day demand by a Poisson bootstrap.
 
-    The weight of a day in a round depends on the day only, so one weight vector
-    is drawn per calendar day and joined by date. Daily rows are then spread
-    over the rounds and combined per (item, round) before any of it is shuffled.
-    Rounds in which an item drew no day are left out.
+    The weight of a day in a round depends on the day only, so one weight vector is drawn per calendar day. An
+    item's days meet their vectors as one small matrix: its rounds are two products, and no row is repeated per
+    round. Rounds in which an item drew none of its days have no mean; ``rounds`` says how many have.
     """
-    alpha = 1 - params.confidence
-    days = daily.select("date").distinct()
-    draw = days.select("date", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).withColumn(
-        "u", draws.uniform(f"boot{params.seed}", F.col("date"), F.col("b"))
-    )
-    weights = (
-        draw.select("date", F.struct("b", draws.poisson1(F.col("u")).alias("w")).alias("_d"))
-        .groupBy("date")
-        .agg(F.sort_array(F.collect_list("_d"))["w"].alias("_w"))  # one number per round
-    )
-    spread = daily.join(weights, "date").select("medicine_id", "demand", F.posexplode("_w").alias("round", "w"))
-    means = (
-        spread.filter("w > 0")
-        .groupBy("medicine_id", "round")
-        .agg((F.sum(F.col("w") * F.col("demand")) / F.sum("w")).alias("mean"))
-    )
-    return means.groupBy("medicine_id").agg(
-        F.count("*").alias("rounds"),
-        F.percentile("mean", alpha / 2).alias("lower"),
-        F.percentile("mean", 1 - alpha / 2).alias("upper"),
-    )
+    alpha, total = 1 - params.confidence, rounds or params.bootstrap_rounds
+    # days x rounds small numbers, bounded by the calendar
+    draw = daily.select("date").distinct().select("date", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("b"))
+    draw = draw.withColumn("w", draws.poisson1(draws.uniform(f"boot{params.seed}", F.col("date"), F.col("b"))))
+    weights = draw.groupBy("date").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("w"))
+    rows = weights.orderBy("date").collect()
+    at = {row["date"]: i for i, row in enumerate(rows)}
+    matrix = np.array([row["w"] for row in rows], dtype=np.uint8).reshape(len(rows), total)
+    shared = daily.sparkSession.sparkContext.broadcast((at, matrix))
+    ends = [alpha / 2, 1 - alpha / 2]
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, all_weights = shared.value
+        for batch in batches:
+            out = []
+            for days, demand in zip(batch["days"], batch["demands"]):
+                own = all_weights[[index[day] for day in days]].astype(float)
+                size = own.sum(axis=0)
+                means = (np.asarray(demand, float) @ own)[size > 0] / size[size > 0]
+                out.append((len(means), *(np.quantile(means, ends) if len(means) else (None, None))))
+            done = pd.DataFrame(out, columns=["rounds", "lower", "upper"])
+            done.insert(0, "medicine_id", batch["medicine_id"].to_numpy())
+            yield done
+
+    # one entry a selling day
+    pairs = F.sort_array(F.collect_list(F.struct("date", "demand")))
+    items = daily.groupBy("medicine_id").agg(pairs["date"].alias("days"), pairs["demand"].alias("demands"))
+    kind = daily.schema["medicine_id"].dataType.simpleString()
+    return items.mapInPandas(per_batch, f"medicine_id {kind}, rounds bigint, lower double, upper double")

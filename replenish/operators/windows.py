@@ -363,7 +363,8 @@ def cumulative_counts(counts: DataFrame, value: str = "value") -> DataFrame:
     this one is uniform, so the prefix sum runs in 4096 even groups whose totals
     are scanned first (4096 rows at most).
     """
-    named = counts.withColumn("_key", F.md5(F.col(value).cast("string"))).withColumn(
+    # a missing value has its own place
+    named = counts.withColumn("_key", F.md5(F.coalesce(F.col(value).cast("string"), F.lit("\u0000")))).withColumn(
         "_group", F.substring("_key", 1, 3)
     )
     groups = named.groupBy("_group").agg(F.sum("n").alias("_total"))

@@ -329,7 +329,7 @@ def agg1(spark, d):
     )
 
 
-U = "((('0x' || substr(md5(concat_ws('|', {key})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+U = "((('0x' || substr(md5(concat_ws('|', {key})), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def u_sql(*parts: str) -> str:
@@ -697,7 +697,7 @@ def fn6(spark, d):
 
 @query(
     "fn7_event_id",
-    """SELECT prescription_id, 'RX' || CAST(epoch_us(ts) // 1000 AS VARCHAR) || '-' || substr(md5(CAST(prescription_id AS VARCHAR)), 1, 8) AS tag FROM ev""",
+    """SELECT prescription_id, 'RX' || CAST(epoch_us(ts) // 1000 AS VARCHAR) || '-' || substr(md5(CAST(prescription_id AS VARCHAR)), 1, 16) AS tag FROM ev""",
     ("ev",),
 )
 def fn7(spark, d):

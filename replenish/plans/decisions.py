@@ -17,10 +17,9 @@ from replenish.plans import replenishment as PL
 from replenish.plans.basics import RULES_SQL, STRICT, u_sql
 from replenish.plans.registry import common, query
 from replenish.plans.tidy import big, r, sql_ts, ts
+from replenish.session import stored
 from replenish.sources import tables as T
 
-SCENARIOS = Params().but(shortage_scenarios=250)
-
 common(
     "totals",
     """SELECT medicine_id, sum(forecast) FILTER (h < 7) AS f7, sum(forecast) AS f30, avg(forecast) AS fm, any_value(std_selling) AS sd FROM base GROUP BY 1""",
@@ -39,11 +38,11 @@ common(
 common(
     "noise",
     f"""SELECT s, d, sqrt(-2 * ln({u_sql("'short42a'", "s", "d")})) * cos(2 * pi() * {u_sql("'short42b'", "s", "d")}) AS z
-        FROM (SELECT unnest(range(250)) AS s), (SELECT unnest(range(30)) AS d)""",
+        FROM (SELECT unnest(range(1000)) AS s), (SELECT unnest(range(30)) AS d)""",
 )
 common(
     "shortage",
-    """SELECT medicine_id, sum(excess) / 250 * 50 AS shortage_cost FROM (
+    """SELECT medicine_id, sum(excess) / 1000 * 50 AS shortage_cost FROM (
        SELECT medicine_id, s, arg_min(cum - level, d) FILTER (cum > level) AS excess FROM (
          SELECT t.medicine_id, s, d, inv + qty AS level, sum(greatest(0, forecast + std_selling * z)) OVER (PARTITION BY t.medicine_id, s ORDER BY d) AS cum
          FROM target t JOIN base ON base.medicine_id = t.medicine_id JOIN noise ON noise.d = base.h) GROUP BY 1, 2) GROUP BY 1""",
@@ -90,7 +89,7 @@ def inv1_5(spark, d):
     ("outcome",),
 )
 def inv6_9(spark, d):
-    o = I.optimize_items(items(spark, d), SCENARIOS)
+    o = I.optimize_items(items(spark, d))
     return o.select(
         "medicine_id",
         r("expected_holding_cost", 2, "holding"),
@@ -176,7 +175,7 @@ RECOMMEND_SQL = """SELECT medicine_id, 10.0::DOUBLE AS order_quantity, round(gre
 @query("inv13_recommendations", RECOMMEND_SQL, ("outcome", "target"))
 def inv13(spark, d):
     """The whole chain: history, daily demand, forecast, costs, allocation, sorted recommendations."""
-    out = PL.recommendations(items(spark, d), roomy(spark, d), SCENARIOS)
+    out = PL.recommendations(items(spark, d), roomy(spark, d))
     return out.select(
         "medicine_id", "order_quantity", r("priority", 6), r("expected_cost_savings", 2), "urgency", "rationale"
     )
@@ -189,7 +188,7 @@ def inv13(spark, d):
     ("outcome",),
 )
 def inv14_15(spark, d):
-    o = I.optimize_items(items(spark, d), SCENARIOS)
+    o = I.optimize_items(items(spark, d))
     return o.select("medicine_id", r(I.priority_score(), 6, "priority"), r(I.cost_savings(), 2, "savings"))
 
 
@@ -200,7 +199,7 @@ def inv14_15(spark, d):
     ("outcome",),
 )
 def fn14(spark, d):
-    return I.optimize_items(items(spark, d), SCENARIOS).select("medicine_id", I.rationale().alias("rationale"))
+    return I.optimize_items(items(spark, d)).select("medicine_id", I.rationale().alias("rationale"))
 
 
 @query(
@@ -226,64 +225,34 @@ def inv16(spark, d):
 
 # ---------------------------------------------------------------- policies
 
-common("hist", "SELECT medicine_id, demand, count(*) / sum(count(*)) OVER (PARTITION BY medicine_id) AS p FROM daily GROUP BY 1, 2", "daily")
-common(
-    "lev",
-    """SELECT medicine_id, p, y, 50 * greatest(0, demand - y) AS sh, greatest(0, ceil(least(1000, greatest(0, y - demand)) / 10 - 0.5))::INT * 10 AS nxt
-       FROM hist, (SELECT unnest(range(0, 1501, 10)) AS y)""",
-    "hist",
-)
-common("cost1", "SELECT medicine_id, y, -sum(p * sh) - 0.25 * y AS v FROM lev GROUP BY 1, 2", "lev")
-
-
-def _best(levels: str) -> str:
-    return f"""SELECT medicine_id, state, max(q) AS v, min(action) FILTER (q = m) AS action FROM (
-        SELECT *, max(q) OVER (PARTITION BY medicine_id, state) AS m FROM (
-          SELECT medicine_id, state, action, round(v - CASE WHEN action > 0 THEN 100 ELSE 0 END, 9) AS q
-          FROM (SELECT unnest(range(0, 1001, 10)) AS state), (SELECT unnest(range(0, 501, 10)) AS action) JOIN {levels} l ON l.y = state + action)) GROUP BY 1, 2"""
-
-
-common("best1", _best("cost1"), "cost1")
-common(
-    "cost2",
-    """SELECT lev.medicine_id, y, -sum(p * sh) - 0.25 * y + 0.95 * sum(p * v) AS v FROM lev JOIN best1 b ON b.medicine_id = lev.medicine_id AND b.state = nxt GROUP BY 1, 2""",
-    "lev",
-    "best1",
-)
-common("best2", _best("cost2"), "cost2")
-
+def _histogram(spark, d):
+    return PO.demand_histogram(A.daily_demand(T.dispensing(spark, d)))
 
-def _policy(spark, d, params: Params):
-    return PO.value_iteration(PO.demand_histogram(A.daily_demand(T.dispensing(spark, d))), params)
 
-
-@query(
-    "inv17_policy_two_rounds",
-    "SELECT medicine_id, state AS stock_level, action AS order_quantity, round(v + 0.0000012345, 5) AS value FROM best2",
-    ("best2",),
-)
-def inv17_two(spark, d):
-    return _policy(spark, d, Params().but(policy_rounds=2)).select(
-        # exact decimals would sit on rounding ties, so both sides shift them off
-        "medicine_id", "stock_level", "order_quantity", r(F.col("value") + 0.0000012345, 5, "value")
+@query("inv17_policy")
+def inv17(spark, d):
+    """Policies until no order changes (rows-only: SQL has no counterpart; inv17_bellman_residual checks the values)."""
+    return PO.optimal_policy(_histogram(spark, d)).select(
+        "medicine_id", "stock_level", "order_quantity", r("value", 3), "rounds", "converged"
     )
 
 
-@query("inv17_policy")
-def inv17(spark, d):
-    """Policies iterated to convergence (rows-only: SQL has no counterpart for the stopping rule)."""
-    return _policy(spark, d, Params()).select("medicine_id", "stock_level", "order_quantity", r("value", 3))
+@query("inv17_bellman_residual", "SELECT DISTINCT medicine_id, true AS converged, true AS solved FROM daily", ("daily",))
+def inv17_residual(spark, d):
+    """Whether each item's policy converged, and its values are those that one step from them gives."""
+    histogram = _histogram(spark, d)
+    policy = stored(PO.optimal_policy(histogram), "policy")
+    ended = policy.groupBy("medicine_id").agg(F.bool_and("converged").alias("converged"))
+    residual = PO.bellman_residual(histogram, policy)
+    return ended.join(residual, "medicine_id").select("medicine_id", "converged", (F.col("residual") < 1e-6).alias("solved"))
 
 
-@query(
-    "inv18_apply_policy",
-    """SELECT s.medicine_id, (greatest(0, ceil(least(1000, current_inventory) / 10 - 0.5))::INT * 10)::BIGINT AS stock_level, action AS order_quantity FROM stock s
-       JOIN best2 b ON b.medicine_id = s.medicine_id AND b.state = greatest(0, ceil(least(1000, current_inventory) / 10 - 0.5))::INT * 10""",
-    ("stock", "best2"),
-)
+@query("inv18_apply_policy")
 def inv18(spark, d):
-    policy = _policy(spark, d, Params().but(policy_rounds=2))
-    return PO.apply_policy(T.stock_levels(spark, d), policy).select("medicine_id", "stock_level", "order_quantity")
+    """Orders of the converged policies (rows-only, as inv17_policy)."""
+    return PO.apply_policy(T.stock_levels(spark, d), PO.optimal_policy(_histogram(spark, d))).select(
+        "medicine_id", "stock_level", "order_quantity"
+    )
 
 
 @query(
@@ -337,7 +306,7 @@ def ord1(spark, d):
 
 @query(
     "ord2_3_purchase_orders",
-    f"""SELECT 'PO' || CAST(epoch_us(last_dispensed) // 1000 AS VARCHAR) || '-' || substr(md5(concat_ws('|', medicine_id, q)), 1, 8) AS order_id, medicine_id, q AS quantity,
+    f"""SELECT 'PO' || CAST(epoch_us(last_dispensed) // 1000 AS VARCHAR) || '-' || substr(md5(concat_ws('|', medicine_id, q)), 1, 16) AS order_id, medicine_id, q AS quantity,
         unit_price AS unit_cost, round(q * unit_price, 2) AS total_cost, round(1 - current_inventory / reorder_point, 6) AS priority, 'PENDING' AS status,
         {sql_ts("last_dispensed + INTERVAL 7 DAY")} AS expected_delivery_date, CASE WHEN current_inventory < reorder_point * 0.5 THEN 'Supplier_A' ELSE 'Supplier_B' END AS supplier
         FROM (SELECT *, greatest(1, CAST(trunc(reorder_point * 2 - current_inventory) AS BIGINT)) AS q FROM stock WHERE current_inventory < reorder_point)""",
@@ -414,7 +383,7 @@ def ord7(spark, d):
 
 @query(
     "ord8_order_rows",
-    f"""SELECT 'ORD' || CAST(epoch_us(created_at) // 1000 AS VARCHAR) || '-' || substr(md5(order_id), 1, 8) AS order_id, medicine_id, quantity, 'PENDING' AS status,
+    f"""SELECT 'ORD' || CAST(epoch_us(created_at) // 1000 AS VARCHAR) || '-' || substr(md5(order_id), 1, 16) AS order_id, medicine_id, quantity, 'PENDING' AS status,
         round(total_cost, 2) AS total_cost, {sql_ts("created_at + INTERVAL 7 DAY")} AS expected_delivery_date FROM ord""",
     ("ord",),
 )

@@ -22,6 +22,10 @@ REGISTRY: dict[str, Entry] = {}
 COMMON: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
+# those that a query reads more than once and that are costly
+SHARED = {"syn", "outcome"}
+
+
 def common(name: str, text: str, *uses: str) -> None:
     COMMON[name] = (uses, text)
 
@@ -40,7 +44,7 @@ def with_common(body: str, *uses: str) -> str:
         add(name)
     if not ordered:
         return body
-    chain = ",\n".join(f"{n} AS ({COMMON[n][1]})" for n in ordered)
+    chain = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({COMMON[n][1]})" for n in ordered)
     return f"WITH {chain}\n{body}"
 
 

@@ -49,7 +49,7 @@ common(
                 qm, qs, qlo, qhi, am, asd, alo, ahi FROM (SELECT unnest(range((SELECT count(*) FROM evu))) AS id),
                 (SELECT count(*) AS n, avg(quantity) AS qm, stddev_samp(quantity) AS qs, min(quantity) AS qlo, max(quantity) AS qhi, avg(patient_age) AS am,
                    stddev_samp(patient_age) AS asd, min(patient_age) AS alo, max(patient_age) AS ahi FROM evu)) x
-        JOIN iv_med m ON d1 >= m.hi - m.n AND d1 < m.hi JOIN iv_loc l ON d2 >= l.hi - l.n AND d2 < l.hi JOIN iv_hour h ON d3 >= h.hi - h.n AND d3 < h.hi
+        ASOF JOIN (SELECT v, hi - n AS lo FROM iv_med) m ON d1 >= m.lo ASOF JOIN (SELECT v, hi - n AS lo FROM iv_loc) l ON d2 >= l.lo ASOF JOIN (SELECT v, hi - n AS lo FROM iv_hour) h ON d3 >= h.lo
         JOIN modal ON modal.medicine_id = m.v""",
     "evu",
     "iv_med",
@@ -136,43 +136,6 @@ def set1(spark, d):
     return SY.augment(history(spark, d), 1.5).groupBy("is_synthetic").agg(F.count("*").alias("n"))
 
 
-def _choice_sql(name: str, values: tuple) -> str:
-    listed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
-    return f"[{listed}][CAST(floor({u_sql(chr(39) + 'cat42' + chr(39), chr(39) + name + chr(39), 'id')} * {len(values)}) AS INT) + 1]"
-
-
-def _cat_u(name: str) -> str:
-    return u_sql("'cat42'", f"'{name}'", "id")
-
-
-@query(
-    "syn5_catalog",
-    f"""SELECT printf('MED%04d', id) AS medicine_id, 'Medicine_' || id AS medicine_name, {_choice_sql("category", SY.CATEGORIES)} AS category,
-        round(10 + 490 * {_cat_u("price")}, 2) AS unit_price, {_choice_sql("shelf", SY.SHELF_LIVES)}::BIGINT AS shelf_life_days, {_choice_sql("storage", SY.STORAGE_TYPES)} AS storage_type,
-        {_choice_sql("pack", SY.PACK_SIZES)}::BIGINT AS pack_size, round(10 + 190 * {_cat_u("base")}, 6) AS base_demand, round(0.1 + 0.2 * {_cat_u("variance")}, 6) AS demand_variance,
-        round(0.5 + {_cat_u("season")}, 6) AS seasonality_factor FROM (SELECT unnest(range((SELECT count(*) FROM part))) AS id)""",
-)
-def syn5(spark, d):
-    """A generated catalog as large as the given one."""
-    c = SY.catalog(spark, T.medicines(spark, d).count())
-    return c.select(
-        "medicine_id", "medicine_name", "category", "unit_price", "shelf_life_days", "storage_type", "pack_size",
-        r("base_demand", 6), r("demand_variance", 6), r("seasonality_factor", 6),
-    )
-
-
-@query("syn4_generated_events")
-def syn4(spark, d):
-    """Events generated from the given catalog and the demand seen in its history, one draw per past prescription."""
-    rx = T.dispensing(spark, d)
-    demand = rx.groupBy("medicine_id").agg(
-        F.avg("quantity").alias("base_demand"), (F.stddev_pop("quantity") / F.avg("quantity")).alias("demand_variance")
-    )
-    cat = demand.join(T.medicines(spark, d), "medicine_id")
-    events = SY.generate_events(cat, rx.count(), "2024-01-01", 365 * 24)
-    return events.select("prescription_id", ts("timestamp"), "medicine_id", "category", "quantity", "patient_age", "location", "day_of_week")
-
-
 # ---------------------------------------------------------------- privacy
 
 NUMERIC_SQL = """SELECT 'quantity_mean_similarity' AS metric, 1 - abs(a.qm - b.qm) / a.qm AS value FROM a, b UNION ALL

@@ -592,9 +592,6 @@ def uq1(spark, d):
     return U.confidence_interval(_baseline(spark, d), "forecast", "std").select("medicine_id", "h", r("lower"), r("upper"))
 
 
-BOOT = 81  # both percentiles fall on a draw, so no interpolated value sits on a rounding tie
-
-
 def _poisson_steps(most: int = 12) -> str:
     """Cumulative Poisson(1) probabilities as a SQL list."""
     cum, term, out = 0.0, math.exp(-1.0), []
@@ -610,30 +607,29 @@ POISSON_STEPS = _poisson_steps()
 
 @query(
     "uq2_bootstrap_mean",
-    f"""SELECT medicine_id, count(*) AS rounds, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM (
+    f"""SELECT medicine_id, count(*) AS rounds, round(quantile_cont(m, 0.025) + 0.0000001234, 6) AS lower, round(quantile_cont(m, 0.975) + 0.0000001234, 6) AS upper FROM (
         SELECT medicine_id, b, sum(w * demand) / sum(w) AS m FROM daily JOIN (
           SELECT date, b, len(list_filter({POISSON_STEPS}, lambda c: u >= c)) AS w FROM (
-            SELECT date, b, {u_sql("'boot42'", "date", "b")} AS u FROM (SELECT DISTINCT date FROM daily), (SELECT unnest(range({BOOT})) AS b))) x ON x.date = daily.date
+            SELECT date, b, {u_sql("'boot42'", "date", "b")} AS u FROM (SELECT DISTINCT date FROM daily), (SELECT unnest(range(1000)) AS b))) x ON x.date = daily.date
         GROUP BY 1, 2 HAVING sum(w) > 0) GROUP BY 1""",
     ("daily",),
 )
 def uq2(spark, d):
-    out = U.bootstrap_mean(A.daily_demand(T.dispensing(spark, d)), BOOT)
-    return out.select("medicine_id", "rounds", r("lower", 6), r("upper", 6))
-
-
-SIMS = 200
+    out = U.bootstrap_mean(A.daily_demand(T.dispensing(spark, d)))
+    # interpolated values can sit on rounding ties, so both sides shift them off
+    shifted = [r(F.col(c) + 0.0000001234, 6, c) for c in ("lower", "upper")]
+    return out.select("medicine_id", "rounds", *shifted)
 
 
 @query(
     "uq3_monte_carlo",
-    f"""SELECT medicine_id, base.h, round(quantile_cont(forecast + std_selling * z, 0.025), 4) AS lower, round(quantile_cont(forecast + std_selling * z, 0.975), 4) AS upper
-        FROM base JOIN (SELECT h, sqrt(-2 * ln({u_sql("'mc42a'", "s", "h")})) * cos(2 * pi() * {u_sql("'mc42b'", "s", "h")}) AS z
-          FROM (SELECT unnest(range({SIMS})) AS s), (SELECT unnest(range(30)) AS h)) noise ON noise.h = base.h GROUP BY 1, 2""",
+    f"""SELECT medicine_id, base.h, round(forecast + std_selling * lo, 4) AS lower, round(forecast + std_selling * hi, 4) AS upper
+        FROM base JOIN (SELECT h, quantile_cont(z, 0.025) AS lo, quantile_cont(z, 0.975) AS hi FROM (SELECT h, sqrt(-2 * ln({u_sql("'mc42a'", "s", "h")})) * cos(2 * pi() * {u_sql("'mc42b'", "s", "h")}) AS z
+          FROM (SELECT unnest(range(10000)) AS s), (SELECT unnest(range(30)) AS h)) GROUP BY 1) noise ON noise.h = base.h""",
     ("base",),
 )
 def uq3(spark, d):
-    return U.monte_carlo_interval(_baseline(spark, d), SIMS).select("medicine_id", "h", r("lower"), r("upper"))
+    return U.monte_carlo_interval(_baseline(spark, d)).select("medicine_id", "h", r("lower"), r("upper"))
 
 
 @query(

@@ -38,16 +38,31 @@ def write_history_csv(rx: DataFrame, path: str, mode: str = "overwrite") -> None
     rx.write.mode(mode).option("header", True).option("timestampFormat", MICROS).csv(path)
 
 
-def prescription_rows(raw: DataFrame, now: Column | None = None) -> DataFrame:
-    """Rows as the prescription table stores them: defaults for what is missing, item and quantity required."""
+def _rejected() -> Column:
+    return F.col("medicine_id").isNull() | F.col("quantity").isNull()
+
+
+def rejected_rows(raw: DataFrame) -> DataFrame:
+    """The rows that the prescription table can't take, as they came, with the reason."""
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("medicine_id", "quantity")])
+    return raw.filter(_rejected()).withColumn("reject_reason", F.concat(F.lit("missing: "), missing))
+
+
+def prescription_rows(raw: DataFrame, now: Column | None = None, batch_id: int = 0) -> DataFrame:
+    """Rows as the prescription table stores them: defaults for what is missing, item and quantity required.
+
+    A row without an id gets one from its time, the batch and its place in it, so equal rows stay apart and a
+    retried batch gives the same ids. What lacks item or quantity is in :func:`rejected_rows`.
+    """
     now = F.current_timestamp() if now is None else now
 
     def default(name: str, value: Column) -> Column:
         return F.coalesce(F.col(name), value) if name in raw.columns else value
 
     stamp = default("timestamp", now)
-    ident = S.event_id("RX", stamp, *[F.col(c).cast("string") for c in raw.columns])
-    return raw.filter(F.col("medicine_id").isNotNull() & F.col("quantity").isNotNull()).select(
+    place = F.lit(batch_id).cast("bigint"), F.monotonically_increasing_id()
+    ident = F.concat_ws("-", S.millis_id("RX", stamp), *[c.cast("string") for c in place])
+    return raw.filter(~_rejected()).select(
         (F.coalesce(F.col("prescription_id").cast("string"), ident) if "prescription_id" in raw.columns else ident).alias(
             "prescription_id"
         ),
@@ -62,9 +77,20 @@ def prescription_rows(raw: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def append_prescriptions(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Micro-batch append that is safe to retry: a batch owns its directory, ids are unique inside it."""
-    rows = prescription_rows(batch).dropDuplicates(["prescription_id"])
+    """Micro-batch append that is safe to retry: a batch owns its directory, ids are unique inside it.
+
+    Rows that repeat an id of their sender are stored once; ids made here are unique. Rejects are kept with their
+    reason under ``<path>_rejects``.
+    """
+    known = batch.filter(F.col("prescription_id").isNotNull()) if "prescription_id" in batch.columns else None
+    if known is None:
+        rows = prescription_rows(batch, batch_id=batch_id)
+    else:
+        given = prescription_rows(known, batch_id=batch_id).dropDuplicates(["prescription_id"])
+        made = prescription_rows(batch.filter(F.col("prescription_id").isNull()), batch_id=batch_id)
+        rows = given.unionByName(made)
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    rejected_rows(batch).write.mode("overwrite").parquet(f"{path}_rejects/batch={batch_id}")
 
 
 def medicine_rows(medicines: DataFrame) -> DataFrame:

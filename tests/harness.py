@@ -49,7 +49,7 @@ def compare(spark, key, entry, folder, con=None):
     got = [tuple(r) for r in df.collect()]
     t1 = time.time()
     if entry.sql is None:
-        return True, f"rows-only {len(got)} rows, spark {t1 - t0:.1f}s"
+        return False, f"no SQL to compare with: {len(got)} rows, spark {t1 - t0:.1f}s"
     con = con or connect(folder)
     res = con.execute(entry.sql)
     cols = [c[0] for c in res.description]
@@ -80,7 +80,7 @@ if __name__ == "__main__":
     folder = sys.argv[1]
     wanted = sys.argv[2:]
     spark = build_session(
-        master="local[8]",
+        master=os.environ.get("HARNESS_MASTER", "local[8]"),
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
            "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"},
     )

@@ -79,14 +79,14 @@ def test_budget_allocation_meets_service_level(spark):
     assert tight["status"] == "Infeasible"
 
 
-def test_policy_equals_plain_value_iteration(spark):
-    params = Params().but(policy_max_stock=40, policy_max_order=20, policy_rounds=6, policy_tolerance=0.0)
+def test_policy_equals_long_value_iteration(spark):
+    params = Params().but(policy_max_stock=40, policy_max_order=20)
     demands, counts = [4.0, 12.0, 25.0], [3, 2, 1]
     df = spark.createDataFrame([("a", demands, counts)], "medicine_id string, demands array<double>, counts array<bigint>")
-    got = {r["stock_level"]: r for r in PO.value_iteration(df, params).collect()}
+    got = {r["stock_level"]: r for r in PO.optimal_policy(df, params).collect()}
     states, actions, total = range(0, 41, 10), range(0, 21, 10), sum(counts)
     value = {s: 0.0 for s in states}
-    for _ in range(6):
+    for _ in range(800):
         new, order = {}, {}
         for s in states:
             options = []
@@ -103,6 +103,7 @@ def test_policy_equals_plain_value_iteration(spark):
     for s in states:
         assert got[s]["order_quantity"] == order[s]
         assert got[s]["value"] == pytest.approx(value[s], abs=1e-6)
+        assert got[s]["converged"] and got[s]["rounds"] < 20
 
 
 def test_nearest_level_ties_go_down(spark):

@@ -6,12 +6,16 @@ from harness import compare, connect
 from replenish.plans.catalog import REGISTRY
 
 
+# queries that SQL can't express; each has a test of its own
+ROWS_ONLY = {"inv17_policy", "inv18_apply_policy"}
+
+
 @pytest.fixture(scope="module")
 def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("key", list(REGISTRY))
+@pytest.mark.parametrize("key", [key for key in REGISTRY if key not in ROWS_ONLY])
 def test_matches_sql(spark, folder, con, key):
     ok, detail = compare(spark, key, REGISTRY[key], folder, con)
     assert ok, detail
@@ -24,4 +28,4 @@ def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(REGISTRY) - set(entry.oracle_sql())
     assert set(REGISTRY) <= set(entry.queries())
-    assert without == {"inv17_policy", "syn4_generated_events"}
+    assert without == ROWS_ONLY
