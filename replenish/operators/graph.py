@@ -11,8 +11,8 @@ from replenish.session import stored
 
 
 def basket_items(rx: DataFrame) -> DataFrame:
-    """Distinct items per basket."""
-    return rx.select("basket_id", "medicine_id").distinct()
+    """Distinct items per basket, stored for the steps that read them."""
+    return stored(rx.select("basket_id", "medicine_id").distinct(), "basket-items")
 
 
 def basket_pairs(items: DataFrame, block: int = 256) -> DataFrame:
@@ -20,15 +20,9 @@ def basket_pairs(items: DataFrame, block: int = 256) -> DataFrame:
 
     A basket with more than ``block`` items is cut into hash blocks and its pairs
     are produced per pair of blocks, so even one giant basket is spread over many
-    tasks of at most about ``block * block`` pairs. Without such a basket it is a plain self join.
+    tasks of at most about ``block * block`` pairs; other baskets are one block.
+    Items that several steps read (see :func:`basket_items`) are stored first.
     """
-    sizes = items.groupBy("basket_id").agg(F.count("*").alias("_k"))
-    largest = sizes.agg(F.max("_k")).first()[0]
-    if largest is None or largest <= block:
-        left = items.select("basket_id", F.col("medicine_id").alias("med1"))
-        right = items.select("basket_id", F.col("medicine_id").alias("med2"))
-        return left.join(right, "basket_id").filter("med1 < med2")
-    items = stored(items, "basket-items")
     big = items.groupBy("basket_id").agg(F.count("*").alias("_k")).filter(F.col("_k") > block)
     sized = skew_safe_join(items, big, "basket_id", "left")
     blocks = F.coalesce(F.ceil(F.col("_k") / F.lit(block)), F.lit(1)).cast("int")

@@ -9,48 +9,35 @@ from replenish.params import Params
 
 
 def hot_keys(df: DataFrame, key: str, one_in: int = 1000) -> DataFrame:
-    """Keys that own at least 1/one_in of all rows; by counting, at most ``one_in`` of them."""
+    """(key, share) of the keys that own at least 1/one_in of all rows; by counting, at most ``one_in`` of them."""
     counts = df.select(key).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n"))
-    return counts.filter(F.col("_n") * one_in >= total.scalar()).select(key)
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") * one_in >= total).select(key, (F.col("_n") / total).alias("share"))
 
 
-def skew_safe_join(
-    facts: DataFrame, dim: DataFrame, key: str, how: str = "inner", salts: int = 32, one_in: int = 1000
-) -> DataFrame:
-    """Fact-to-dimension equi join whose hot keys are spread over ``salts`` tasks.
+def skew_safe_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Fact-to-dimension equi join whose hot keys don't meet in one task.
 
-    When the planner's own statistics show the dimension fits
-    ``spark.sql.autoBroadcastJoinThreshold`` no shuffle happens and no salt is
-    needed, so the plain join is returned. Otherwise the hot keys are found from
-    a key-only aggregate; their fact rows get a salt from a hash of the row, and
-    only their dimension rows are repeated per salt.
+    The adaptive planner splits the large partitions of a shuffled join from what it has measured, so
+    the plain join is enough where nothing is known. Where :func:`hot_keys` were found before (once, for several
+    joins), their fact rows get a salt from a hash of the row, as many salts as the key's share of the
+    partitions, and only their dimension rows are repeated.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins keep every fact row on one side")
-    if planned_bytes(dim) <= broadcast_limit(facts):
+    if hot is None:
         return facts.join(dim, key, how)
-    hot = F.broadcast(hot_keys(facts, key, one_in).withColumn("_hot", F.lit(True)))  # at most one_in rows
-    row_hash = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    left = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), row_hash).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("share") * tasks)).cast("int")
+    known = F.broadcast(hot.select(key, salts.alias("_salts")))  # at most one_in rows
+    plain = [name for name, kind in facts.dtypes if "map<" not in kind and "variant" not in kind]
+    own = F.pmod(F.xxhash64(*plain), F.coalesce("_salts", F.lit(1))).cast("int")
+    left = facts.join(known, key, "left").withColumn("_salt", own).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = dim.join(known, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame (an upper-side estimate for file scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    if text and text[-1] in units:
-        return int(float(text[:-1]) * units[text[-1]])
-    return int(text)
-
-
 def spread_by_item(rows: DataFrame, key: str = "medicine_id") -> DataFrame:
     """Item-level rows over all cores before a costly per-row step.
 

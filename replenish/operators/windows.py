@@ -17,7 +17,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replenish.functions.scalars import micros
-from replenish.operators.joins import skew_safe_join
 from replenish.session import stored
 
 MICRO = 1_000_000
@@ -107,18 +106,25 @@ def hour_histogram(rx: DataFrame, size: int, key: str = "medicine_id") -> DataFr
     )
 
 
-def session_stats(rx: DataFrame, gap: int, key: str = "medicine_id") -> DataFrame:
+def session_stats(rx: DataFrame, gap: int, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
     """Sessions per key: an event at most ``gap`` seconds after the previous one continues its session.
 
-    Batch form by chunked gap marks, so that a key which never pauses is still
-    spread over its chunks: session numbers are a chunked running sum of the
-    'new session' marks, and sessions are then an ordinary aggregate.
+    Batch form over one range layout, so that a key which never pauses is still spread over its
+    chunks. A row opens a session if it lies too far behind the row before it; for the first row of a
+    chunk that is known from the chunk summaries, which also carry the numbers of sessions on.
     """
-    marked = with_previous(rx, key, "timestamp", [F.col("prescription_id")])
-    opens = (F.col("previous").isNull()) | (micros(F.col("timestamp")) - F.col("previous") > gap * MICRO)
-    flagged = marked.withColumn("_open", opens.cast("bigint"))
-    numbered = running(
-        flagged, key, "timestamp", [F.col("prescription_id")], {"_session": ("sum", F.col("_open"))}
+    rows = ranged(rx, key, "timestamp", [F.col("prescription_id")], parts).withColumn("_us", micros(F.col("timestamp")))
+    inside = W.partitionBy(key, "_chunk").orderBy("_place")
+    wait = F.col("_us") - F.lag("_us").over(inside)
+    rows = rows.withColumn("_opens", F.coalesce((wait > gap * MICRO).cast("bigint"), F.lit(0)))
+    chunks = rows.groupBy(key, "_chunk").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.sum("_opens").alias("_more"))
+    order = W.partitionBy(key).orderBy("_chunk")
+    pause = F.col("_first") - F.lag("_last").over(order)
+    chunks = chunks.withColumn("_new", F.coalesce(pause > gap * MICRO, F.lit(True)).cast("bigint"))
+    upto = F.sum(F.col("_new") + F.col("_more")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_more")
+    carry = chunks.select(key, "_chunk", upto.alias("_upto"))
+    numbered = _carried(rows, carry, key).withColumn(
+        "_session", F.col("_upto") + F.sum("_opens").over(inside.rowsBetween(W.unboundedPreceding, 0))
     )
     return (
         numbered.groupBy(key, "_session")
@@ -174,23 +180,24 @@ def sliding_stats(rx: DataFrame, size: int, key: str = "medicine_id") -> DataFra
 # ---------------------------------------------------------------- chunked scans
 
 
-CHUNK_ROWS = 4_000_000
+def ranged(df: DataFrame, key: str, time: str, ties: list[Column], parts: int | None = None) -> DataFrame:
+    """The rows in the order of (key, time, ties), sorted by range once and stored for all scans of a query.
 
+    ``_place`` grows along that order and ``_chunk`` is the part of the sort. Parts have about as many
+    rows each whatever the keys and times are, so a hot key or instant is spread over many;
+    ``ties`` should then identify a row. ``parts`` fixes their number.
+    """
+    order = [F.col(key), F.col(time), *ties]
+    spread = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = spread.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    return stored(placed.withColumn("_chunk", F.shiftright("_place", 33)), "range-layout")
 
-def _chunked(df: DataFrame, key: str, time: str, ties: list[Column], seconds: int, most: int = CHUNK_ROWS) -> DataFrame:
-    """Adds ``_chunk``, an id that grows with (time, ties) inside every key.
 
-    Chunks are time spans of ``seconds``. If a key has more than ``most`` rows in one span, chunks
-    become the partitions of a range sort by (key, time, ties) instead, which splits any
-    concentration, even many rows at one instant; that layout is stored once so
-    that all steps see the same chunks. ``ties`` should then identify a row.
-    """
-    span = F.floor(micros(F.col(time)) / F.lit(seconds * MICRO)).cast("bigint")
-    largest = df.groupBy(key, span.alias("_chunk")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if largest is None or largest <= most:
-        return df.withColumn("_chunk", span)
-    part = F.shiftright(F.monotonically_increasing_id(), 33)
-    return stored(df.orderBy(key, time, *ties).withColumn("_chunk", part), "range-chunks")
+def _carried(rows: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+    """Rows with the values that their chunk gets from those before it; a missing key is a key."""
+    carry = carry.withColumnsRenamed({key: "_carry_key", "_chunk": "_carry_chunk"})
+    same = F.col(key).eqNullSafe(F.col("_carry_key")) & (F.col("_chunk") == F.col("_carry_chunk"))
+    return rows.join(carry, same).drop("_carry_key", "_carry_chunk")
 
 
 COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -202,14 +209,13 @@ def running(
     time: str,
     ties: list[Column],
     values: dict[str, tuple[str, Column]],
-    chunk_seconds: int = 86400,
-    chunk_rows: int = CHUNK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running sum, min or max per key in (time, ties) order, inclusive of the row.
 
     ``values`` maps an output name to ``(how, expression)``.
     """
-    rows = _chunked(df, key, time, ties, chunk_seconds, chunk_rows)
+    rows = ranged(df, key, time, ties, parts)
     for name, (_, expr) in values.items():
         rows = rows.withColumn(f"_v_{name}", expr)
     per_chunk = rows.groupBy(key, "_chunk").agg(
@@ -219,8 +225,8 @@ def running(
     carry = per_chunk.select(
         key, "_chunk", *[COMBINE[how](f"_c_{name}").over(before).alias(f"_b_{name}") for name, (how, _) in values.items()]
     )
-    inside = W.partitionBy(key, "_chunk").orderBy(time, *ties).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(carry, [key, "_chunk"])
+    inside = W.partitionBy(key, "_chunk").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    out = _carried(rows, carry, key)
     for name, (how, _) in values.items():
         local, past = COMBINE[how](f"_v_{name}").over(inside), F.col(f"_b_{name}")
         if how == "sum":
@@ -230,27 +236,25 @@ def running(
         else:
             total = F.greatest(local, past)
         out = out.withColumn(name, total)
-    return out.drop("_chunk", *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
+    return out.drop("_chunk", "_place", *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
 
 
-def with_previous(
-    df: DataFrame, key: str, time: str, ties: list[Column], chunk_seconds: int = 86400, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
+def with_previous(df: DataFrame, key: str, time: str, ties: list[Column], parts: int | None = None) -> DataFrame:
     """Adds ``previous``: the time (microseconds) of the key's preceding row, NULL for its first."""
-    rows = _chunked(df, key, time, ties, chunk_seconds, chunk_rows).withColumn("_us", micros(F.col(time)))
+    rows = ranged(df, key, time, ties, parts).withColumn("_us", micros(F.col(time)))
     ends = rows.groupBy(key, "_chunk").agg(F.max("_us").alias("_end"))
     carry = ends.select(key, "_chunk", F.lag("_end").over(W.partitionBy(key).orderBy("_chunk")).alias("_before"))
-    inside = W.partitionBy(key, "_chunk").orderBy(time, *ties)
+    inside = W.partitionBy(key, "_chunk").orderBy("_place")
     return (
-        rows.join(carry, [key, "_chunk"])
+        _carried(rows, carry, key)
         .withColumn("previous", F.coalesce(F.lag("_us").over(inside), F.col("_before")))
-        .drop("_chunk", "_us", "_before")
+        .drop("_chunk", "_place", "_us", "_before")
     )
 
 
-def arrival_gaps(rx: DataFrame, key: str = "medicine_id", chunk_seconds: int = 86400) -> DataFrame:
+def arrival_gaps(rx: DataFrame, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
     """Mean and population deviation of the seconds between consecutive events of a key; NULL for one event."""
-    gaps = with_previous(rx, key, "timestamp", [], chunk_seconds).withColumn(
+    gaps = with_previous(rx.select(key, "timestamp"), key, "timestamp", [], parts).withColumn(
         "_gap", (micros(F.col("timestamp")) - F.col("previous")) / F.lit(float(MICRO))
     )
     return gaps.groupBy(key).agg(
@@ -265,7 +269,7 @@ def rolling_features(
     ties: list[Column],
     sizes: tuple[int, ...] = (5, 10, 20),
     key: str = "medicine_id",
-    chunk_seconds: int = 86400,
+    parts: int | None = None,
     block: int = 4096,
 ) -> DataFrame:
     """Mean, population std, max and min of the last n quantities of a key, once n of them exist.
@@ -275,7 +279,7 @@ def rolling_features(
     repeated at the head of the next one.
     """
     reach = max(sizes) - 1
-    ranked = running(rx, key, "timestamp", ties, {"_rank": ("sum", F.lit(1).cast("bigint"))}, chunk_seconds)
+    ranked = running(rx, key, "timestamp", ties, {"_rank": ("sum", F.lit(1).cast("bigint"))}, parts)
     home = F.floor((F.col("_rank") - 1) / F.lit(block)).cast("bigint")
     tail = F.col("_rank") > (F.col("_home") + 1) * block - reach
     blocks = F.when(tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home")))
@@ -391,22 +395,28 @@ def series_split(series: DataFrame, train_share: float = 0.8, key: str = "medici
 
 
 def stock_walk(
-    changes: DataFrame, stock: DataFrame, ties: list[Column], clamp: bool = True, chunk_seconds: int = 86400
+    changes: DataFrame, stock: DataFrame, ties: list[Column], clamp: bool = True, parts: int | None = None
 ) -> DataFrame:
     """Stock after every change of an item, clamped at zero after each one.
 
     ``changes`` has ``medicine_id, timestamp, delta``. With ``s`` the unclamped
-    walk, the clamped one is ``s - least(0, running minimum of s)``.
+    walk, the clamped one is ``s - least(0, running minimum of s)``. One range layout serves the sums and the
+    minima of each chunk; the opening stock meets the chunk summaries only.
     """
-    start = stock.select("medicine_id", F.col("current_inventory").alias("_start"))
-    walked = running(changes, "medicine_id", "timestamp", ties, {"_sum": ("sum", F.col("delta"))}, chunk_seconds)
-    walked = skew_safe_join(walked, start, "medicine_id").withColumn("_s", F.col("_start") + F.col("_sum"))
-    if not clamp:
-        return walked.withColumnRenamed("_s", "stock_after").drop("_sum", "_start")
-    low = running(walked, "medicine_id", "timestamp", ties, {"_low": ("min", F.col("_s"))}, chunk_seconds)
-    return low.withColumn("stock_after", F.col("_s") - F.least(F.lit(0.0), F.col("_low"))).drop(
-        "_sum", "_start", "_s", "_low"
-    )
+    key = "medicine_id"
+    rows = ranged(changes, key, "timestamp", ties, parts)
+    inside = W.partitionBy(key, "_chunk").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum("delta").over(inside))
+    chunks = rows.groupBy(key, "_chunk").agg(F.sum("delta").alias("_all"), F.min("_sum").alias("_least"))
+    before = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    start = stock.select(key, F.col("current_inventory").alias("_start"))
+    opened = chunks.withColumn("_past", F.coalesce(F.sum("_all").over(before), F.lit(0.0))).join(start, key)
+    opened = opened.withColumn("_from", F.col("_start") + F.col("_past"))
+    carry = opened.select(key, "_chunk", "_from", F.min(F.col("_from") + F.col("_least")).over(before).alias("_low"))
+    walked = _carried(rows, carry, key).withColumn("_s", F.col("_from") + F.col("_sum"))
+    low = F.least(F.lit(0.0), F.col("_low"), F.col("_from") + F.min("_sum").over(inside))
+    after = F.col("_s") - low if clamp else F.col("_s")
+    return walked.withColumn("stock_after", after).drop("_sum", "_from", "_low", "_s", "_place", "_chunk")
 
 
 def threshold_crossings(daily: DataFrame, stock: DataFrame) -> DataFrame:

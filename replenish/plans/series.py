@@ -152,7 +152,7 @@ def _rolling_sql(n: int) -> str:
 )
 def win3(spark, d):
     rx = T.event_history(spark, d).select("prescription_id", "medicine_id", "timestamp", "quantity")
-    out = W.rolling_features(rx, [F.col("prescription_id")], block=512)
+    out = W.rolling_features(rx, [F.col("prescription_id")])
     names = [c for c in out.columns if c.startswith("rolling_")]
     return out.select("prescription_id", *[r(c) for c in names])
 
@@ -205,7 +205,7 @@ def win6(spark, d):
         F.when(F.col("location") == "R", F.col("quantity")).otherwise(-F.col("quantity")).alias("delta"),
     )
     start = T.stock_levels(spark, d).select("medicine_id", (F.col("current_inventory") * 0.1).alias("current_inventory"))
-    walk = W.stock_walk(changes, start, [F.col("basket_id"), F.col("line"), F.col("delta")], chunk_seconds=366 * 86400)
+    walk = W.stock_walk(changes, start, [F.col("basket_id"), F.col("line"), F.col("delta")])
     return walk.select("medicine_id", "basket_id", "line", "delta", r("stock_after"))
 
 

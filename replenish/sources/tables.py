@@ -15,7 +15,6 @@ SHELF_LIFE_DAYS = (180, 365, 730, 1095)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
