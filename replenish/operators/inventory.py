@@ -117,23 +117,25 @@ def optimize_items(items: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def allocate_with_capacity(results: DataFrame, capacity: float | Column | None = None, params: Params = Params()) -> DataFrame:
-    """Least-cost order quantities under a storage capacity.
+    """Least-cost order quantities under a storage capacity, each with status, reason and shortfall.
 
     Cost rises with every quantity and capacity only limits the sum from above, so each
-    ordering item takes the minimum order and the others nothing, if that is feasible at all.
+    ordering item takes the minimum order and the others nothing. An item whose optimal quantity is below the
+    minimum order can't have one: it alone is infeasible and orders nothing. If the capacity can't hold
+    the rest, every row says by how much it is short.
     """
     cap = params.storage_capacity if capacity is None else capacity
     cap = cap if isinstance(cap, Column) else F.lit(float(cap))
-    low = F.when(F.col("should_order"), F.lit(params.min_order_qty)).otherwise(0.0)
+    tight = F.col("should_order") & (F.col("optimal_order_quantity") < params.min_order_qty)
+    low = F.when(F.col("should_order") & ~tight, F.lit(params.min_order_qty)).otherwise(0.0)
     out = results.withColumn("optimized_order_quantity", low)
-    totals = out.agg(
-        F.struct(
-            F.sum(F.col("current_inventory") + F.col("optimized_order_quantity")).alias("used"),
-            F.count_if(F.col("should_order") & (F.col("optimal_order_quantity") < params.min_order_qty)).alias("tight"),
-        )
-    ).scalar()
-    feasible = (totals["used"] <= cap) & (totals["tight"] == 0)
-    return out.withColumn("status", F.when(feasible, "Optimal").otherwise("Infeasible"))
+    used = out.agg(F.sum(F.col("current_inventory") + F.col("optimized_order_quantity"))).scalar()
+    short = F.greatest(F.lit(0.0), used - cap)
+    return (
+        out.withColumn("capacity_shortfall", short)
+        .withColumn("status", F.when((short > 0) | tight, "Infeasible").otherwise("Optimal"))
+        .withColumn("reason", F.when(short > 0, "capacity is short").when(tight, "optimal quantity below the minimum order"))
+    )
 
 
 def allocate_with_budget(

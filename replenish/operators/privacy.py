@@ -12,6 +12,11 @@ from replenish.operators.joins import align_shares
 from replenish.params import Params
 
 
+def common_categories(original: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """Categories that both have."""
+    return original.select("category").intersect(synthetic.select("category"))
+
+
 def numeric_similarity(original: DataFrame, synthetic: DataFrame, columns: tuple[str, ...] = ("quantity", "patient_age")) -> DataFrame:
     """``1 - |a - b| / a`` of mean and sample deviation, one row per measure; NULL where ``a`` is zero."""
 

@@ -305,11 +305,11 @@ def join5(spark, d):
     "join6_open_recommendations",
     """SELECT medicine_id, greatest(1, CAST(trunc(reorder_point * 2 - current_inventory) AS BIGINT)) AS order_quantity FROM stock
        WHERE current_inventory < reorder_point
-         AND medicine_id NOT IN (SELECT medicine_id FROM ord WHERE status = 'PENDING' AND urgency = 'HIGH')""",
+         AND medicine_id NOT IN (SELECT medicine_id FROM ord WHERE status IN ('PENDING', 'APPROVED'))""",
     ("stock", "ord"),
 )
 def join6(spark, d):
-    placed = T.orders_with_items(spark, d).filter("status = 'PENDING' AND urgency = 'HIGH'")
+    placed = P.pending_orders(T.orders_with_items(spark, d))
     return J.without_ordered(I.simple_reorder(T.stock_levels(spark, d)), placed).select("medicine_id", "order_quantity")
 
 
@@ -595,18 +595,6 @@ def top8(spark, d):
 # ---------------------------------------------------------------- set operations
 
 
-@query(
-    "set2_common_categories",
-    """SELECT category FROM (SELECT DISTINCT category FROM stock WHERE current_inventory < reorder_point * 0.5) INTERSECT
-       SELECT DISTINCT category FROM stock WHERE current_inventory >= reorder_point""",
-    ("stock",),
-)
-def set2(spark, d):
-    s = T.stock_levels(spark, d)
-    low = s.filter("current_inventory < reorder_point * 0.5").select("category")
-    return low.intersect(s.filter("current_inventory >= reorder_point").select("category"))
-
-
 @query(
     "set4_alert_list",
     """SELECT alert_type, medicine_id, message, severity FROM alert UNION ALL

@@ -101,8 +101,8 @@ def inv6_9(spark, d):
 
 @query(
     "inv10_capacity_allocation",
-    """SELECT medicine_id, (CASE WHEN should_order THEN 10 ELSE 0 END)::DOUBLE AS optimized_order_quantity, CASE WHEN (SELECT sum(inv + CASE WHEN should_order THEN 10 ELSE 0 END) <= 1.2 * sum(inv)
-       AND sum(CASE WHEN should_order AND opt < 10 THEN 1 ELSE 0 END) = 0 FROM target) THEN 'Optimal' ELSE 'Infeasible' END AS status FROM target""",
+    """SELECT medicine_id, (CASE WHEN should_order AND opt >= 10 THEN 10 ELSE 0 END)::DOUBLE AS optimized_order_quantity, CASE WHEN should_order AND opt < 10 THEN 'Infeasible' WHEN (SELECT sum(inv + CASE WHEN should_order AND opt >= 10 THEN 10 ELSE 0 END) <= 1.2 * sum(inv)
+       FROM target) THEN 'Optimal' ELSE 'Infeasible' END AS status FROM target""",
     ("target",),
 )
 def inv10(spark, d):
@@ -144,14 +144,14 @@ def inv11(spark, d):
     "join4_12_supply_priority",
     """SELECT s.medicine_id, CASE WHEN days < 7 THEN 1.0 WHEN days < 14 THEN 0.7 WHEN days < 30 THEN 0.4 ELSE 0.1 END::DOUBLE AS priority FROM (
        SELECT stock.medicine_id, CASE WHEN fm IS NULL THEN 30 ELSE current_inventory / greatest(fm, 1) END AS days FROM stock
-       LEFT JOIN (SELECT t.* FROM totals t JOIN stock k ON k.medicine_id = t.medicine_id WHERE prescription_count >= 25) t ON t.medicine_id = stock.medicine_id) s""",
+       LEFT JOIN totals t ON t.medicine_id = stock.medicine_id) s""",
     ("stock", "totals"),
 )
 def join4(spark, d):
-    """Items with little history have no forecast and count as 30 days of supply."""
+    """Items without a forecast would count as 30 days of supply."""
     stock = T.stock_levels(spark, d)
-    thick = J.only_forecast(FC.demand_stats(A.daily_demand(T.dispensing(spark, d))), stock.filter("prescription_count >= 25"))
-    mean = A.forecast_stats(FC.baseline_forecast(thick), "medicine_id").select("medicine_id", F.col("mean_forecast").alias("mean_demand"))
+    stats = FC.demand_stats(A.daily_demand(T.dispensing(spark, d)))
+    mean = A.forecast_stats(FC.baseline_forecast(stats), "medicine_id").select("medicine_id", F.col("mean_forecast").alias("mean_demand"))
     return J.days_of_supply(stock, mean).select("medicine_id", I.supply_priority(F.col("days_of_supply")).alias("priority"))
 
 
@@ -169,7 +169,7 @@ RECOMMEND_SQL = """SELECT medicine_id, 10.0::DOUBLE AS order_quantity, round(gre
        round(greatest(0, short * 2 + waste * 1.5 - total), 2) AS expected_cost_savings, CASE WHEN inv < ss THEN 'HIGH' ELSE 'NORMAL' END AS urgency,
        coalesce(nullif(concat_ws('; ', CASE WHEN inv < ss THEN 'Inventory below safety stock' END, CASE WHEN inv < rop THEN 'Below reorder point' END,
          CASE WHEN short > 100 THEN 'High shortage risk' END), ''), 'Optimal replenishment cycle') AS rationale FROM outcome
-       WHERE should_order AND (SELECT sum(inv + CASE WHEN should_order THEN 10 ELSE 0 END) <= 1.2 * sum(inv) AND sum(CASE WHEN should_order AND opt < 10 THEN 1 ELSE 0 END) = 0 FROM target)"""
+       WHERE should_order AND opt >= 10 AND (SELECT sum(inv + CASE WHEN should_order AND opt >= 10 THEN 10 ELSE 0 END) <= 1.2 * sum(inv) FROM target)"""
 
 
 @query("inv13_recommendations", RECOMMEND_SQL, ("outcome", "target"))
@@ -286,12 +286,12 @@ def inv19(spark, d):
 @query(
     "inv20_adjustments",
     """SELECT s.medicine_id, current_inventory AS inventory_before, q AS adjustment, n AS transactions, current_inventory + q AS inventory_after FROM stock s
-       JOIN (SELECT medicine_id, sum(CASE WHEN location = 'R' THEN quantity ELSE -quantity END) AS q, count(*) AS n FROM disp WHERE location <> 'N' GROUP BY 1) a ON a.medicine_id = s.medicine_id""",
+       JOIN (SELECT medicine_id, sum(CASE WHEN location = 'R' THEN quantity ELSE -quantity END) AS q, count(*) AS n FROM disp GROUP BY 1) a ON a.medicine_id = s.medicine_id""",
     ("stock", "disp"),
 )
 def inv20(spark, d):
     back = F.when(F.col("location") == "R", F.col("quantity")).otherwise(-F.col("quantity"))
-    moves = T.dispensing(spark, d).filter("location <> 'N'").select("medicine_id", back.alias("adjustment"))
+    moves = T.dispensing(spark, d).select("medicine_id", back.alias("adjustment"))
     return I.adjust_stock(T.stock_levels(spark, d), moves)
 
 
@@ -395,9 +395,8 @@ def ord8(spark, d):
 @query(
     "ord9_sync_summary",
     """SELECT count(*) AS total, count(s.medicine_id) AS successful, count(*) - count(s.medicine_id) AS failed FROM med
-       LEFT JOIN (SELECT medicine_id FROM stock WHERE current_inventory >= 300) s ON s.medicine_id = med.medicine_id""",
+       LEFT JOIN stock s ON s.medicine_id = med.medicine_id""",
     ("med", "stock"),
 )
 def ord9(spark, d):
-    extract = T.stock_levels(spark, d).filter("current_inventory >= 300")
-    return O.sync_summary(T.medicines(spark, d), extract)
+    return O.sync_summary(T.medicines(spark, d), T.stock_levels(spark, d))

@@ -129,11 +129,21 @@ def syn3(spark, d):
 
 @query(
     "set1_augmented",
-    """SELECT false AS is_synthetic, count(*) AS n FROM evu UNION ALL SELECT true, CAST(trunc(count(*) * 0.5) AS BIGINT) FROM evu""",
-    ("evu",),
+    """SELECT false AS is_synthetic, CAST(prescription_id AS VARCHAR) AS prescription_id, medicine_id, quantity, location FROM evu
+       UNION ALL SELECT true, prescription_id, medicine_id, quantity, location FROM syn WHERE id < (SELECT trunc(count(*) * 0.5) FROM evu)""",
+    ("evu", "syn"),
 )
 def set1(spark, d):
-    return SY.augment(history(spark, d), 1.5).groupBy("is_synthetic").agg(F.count("*").alias("n"))
+    return SY.augment(history(spark, d), 1.5).select("is_synthetic", "prescription_id", "medicine_id", "quantity", "location")
+
+
+@query(
+    "set2_common_categories",
+    "SELECT DISTINCT category FROM evu INTERSECT SELECT DISTINCT category FROM syn",
+    ("evu", "syn"),
+)
+def set2(spark, d):
+    return PV.common_categories(history(spark, d), synthetic(spark, d))
 
 
 # ---------------------------------------------------------------- privacy

@@ -496,13 +496,12 @@ def fc7(spark, d):
 @query(
     "fc8_constant",
     """SELECT medicine_id, h, 10.0::DOUBLE AS forecast, 5.0::DOUBLE AS lower, 15.0::DOUBLE AS upper, 2.5::DOUBLE AS uncertainty, 0.5::DOUBLE AS confidence
-       FROM stock, (SELECT unnest(range(30)) AS h) WHERE prescription_count < 25""",
+       FROM stock, (SELECT unnest(range(30)) AS h)""",
     ("stock",),
 )
 def fc8(spark, d):
-    """Constant forecast for items with too little history (fewer than 25 prescriptions)."""
-    thin = T.stock_levels(spark, d).filter("prescription_count < 25")
-    return FC.constant_forecast(thin).select("medicine_id", "h", "forecast", "lower", "upper", "uncertainty", "confidence")
+    """The forecast of last resort, for every item."""
+    return FC.constant_forecast(T.stock_levels(spark, d)).select("medicine_id", "h", "forecast", "lower", "upper", "uncertainty", "confidence")
 
 
 @query(
@@ -557,17 +556,16 @@ def agg21(spark, d):
 
 @query(
     "src8_forecast_store",
-    """SELECT medicine_id, round(sum(forecast), 4) AS total, true AS stored FROM base WHERE medicine_id IN (SELECT medicine_id FROM stock WHERE prescription_count >= 30) GROUP BY 1
-       UNION ALL SELECT medicine_id, NULL, false FROM stock WHERE prescription_count < 30""",
+    """SELECT medicine_id, round(sum(forecast), 4) AS total, true AS stored FROM base GROUP BY 1
+       UNION ALL SELECT medicine_id, NULL, false FROM stock WHERE medicine_id NOT IN (SELECT medicine_id FROM base)""",
     ("base", "stock"),
 )
 def src8(spark, d):
-    """Forecasts of the frequent items are stored and reloaded; the others are found still to do."""
+    """Forecasts are stored and reloaded; items that have none are found still to do."""
     path = scratch_path(spark, "forecasts")
     stats = FC.demand_stats(A.daily_demand(T.dispensing(spark, d)))
     levels = T.stock_levels(spark, d).select("medicine_id", "prescription_count")
-    frequent = P.select_items(stats, levels.filter("prescription_count >= 30"))
-    H.write_forecasts(FC.baseline_forecast(frequent), path, "2024-01-01")
+    H.write_forecasts(FC.baseline_forecast(stats), path, "2024-01-01")
     stored = H.read_forecasts(spark, path)
     known = stored.groupBy("medicine_id").agg(r(F.sum("forecast"), name="total")).withColumn("stored", F.lit(True))
     todo = H.not_yet_forecast(levels, stored).select("medicine_id", F.lit(None).cast("double").alias("total"), F.lit(False).alias("stored"))
