@@ -1,7 +1,8 @@
 """Streaming operators drained over the event table, checked against the same SQL as their batch forms.
 
-Append-mode windows are final once the watermark has passed them, so the SQL of those
-queries keeps the windows that end at or before ``max(ts) - 10 minutes``.
+Windows are read from tables of changes (update mode), which have the last, still open ones too. Sessions and chained
+gaps can only be appended: they are final once the watermark has passed them, so the SQL of those queries
+keeps what ends at or before ``max(ts) - 10 minutes``.
 """
 
 from __future__ import annotations
@@ -39,7 +40,21 @@ def appended(spark, df, label):
 def changed(spark, df, label, keys):
     base = scratch_path(spark, label)
     SK.drain(SK.changes_table(df, f"{base}/table", f"{base}/checkpoint"))
-    return SK.latest(spark, f"{base}/table", keys)
+    return SK.current(spark, f"{base}/table", keys)
+
+
+WINDOW_KEYS = ["medicine_id", "window_start"]
+
+
+def each_second(spark, df, label, keys):
+    """A stream under a processing-time trigger, stopped once it has caught up."""
+    base = scratch_path(spark, label)
+    running = SK.every(SK.changes_table(df, f"{base}/table", f"{base}/checkpoint"), seconds=1)
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return SK.current(spark, f"{base}/table", keys)
 
 
 STATS_SQL = """count(*) AS "count", round(sum(quantity), 4) AS sum, round(avg(quantity), 6) AS mean, round(median(quantity), 4) AS median,
@@ -52,22 +67,22 @@ def _stats(df):
 
 @query(
     "str1_tumbling",
-    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, {STATS_SQL} FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev), mark
-        WHERE w + INTERVAL 1 HOUR <= wm GROUP BY medicine_id, w""",
-    ("ev", "mark"),
+    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, {STATS_SQL} FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev)
+        GROUP BY medicine_id, w""",
+    ("ev",),
 )
 def str1(spark, d):
-    return _stats(appended(spark, SW.windowed(events(spark, d), HOUR), "tumbling"))
+    return _stats(changed(spark, SW.windowed(events(spark, d), HOUR), "tumbling", WINDOW_KEYS))
 
 
 @query(
     "str2_hopping",
     f"""SELECT medicine_id, {sql_ts("w")} AS window_start, {STATS_SQL} FROM (
-        SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS w FROM ev, (SELECT unnest(range(4)) AS k)), mark WHERE w + INTERVAL 1 HOUR <= wm GROUP BY medicine_id, w""",
-    ("ev", "mark"),
+        SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS w FROM ev, (SELECT unnest(range(4)) AS k)) GROUP BY medicine_id, w""",
+    ("ev",),
 )
 def str2(spark, d):
-    return _stats(appended(spark, SW.windowed(events(spark, d), HOUR, QUARTER_HOUR), "hopping"))
+    return _stats(changed(spark, SW.windowed(events(spark, d), HOUR, QUARTER_HOUR), "hopping", WINDOW_KEYS))
 
 
 @query(
@@ -89,11 +104,11 @@ def str3(spark, d):
     f"""SELECT medicine_id, {sql_ts("w")} AS window_start, count(*) AS "count", round(avg(CAST(is_emergency AS INT)), 6) AS emergency_rate,
         round(count(*) * (1 + avg(CAST(is_emergency AS INT))), 4) AS necessity_score, count(DISTINCT location) AS location_diversity,
         round(avg(patient_age), 4) AS avg_patient_age, round(stddev_pop(patient_age), 4) AS age_std
-        FROM (SELECT * REPLACE (user_id AS medicine_id), time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev), mark WHERE w + INTERVAL 1 HOUR <= wm GROUP BY medicine_id, w""",
-    ("ev", "mark"),
+        FROM (SELECT * REPLACE (user_id AS medicine_id), time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev) GROUP BY medicine_id, w""",
+    ("ev",),
 )
 def str4(spark, d):
-    f = appended(spark, SW.features(events(spark, d, "user_id"), HOUR), "features")
+    f = changed(spark, SW.features(events(spark, d, "user_id"), HOUR), "features", WINDOW_KEYS)
     return f.select(
         "medicine_id", ts("window_start"), "count", r("emergency_rate", 6), r("necessity_score"), "location_diversity",
         r("avg_patient_age"), r("age_std"),
@@ -119,15 +134,58 @@ def str4_gaps(spark, d):
 
 @query(
     "str4_hour_distribution",
-    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, hour_of_day, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS w FROM ev), mark
-        WHERE w + INTERVAL 1 DAY <= wm GROUP BY 1, 2, 3""",
-    ("ev", "mark"),
+    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, hour_of_day, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS w FROM ev)
+        GROUP BY 1, 2, 3""",
+    ("ev",),
 )
 def str4_hours(spark, d):
-    h = appended(spark, SW.hour_distribution(events(spark, d), 86400), "hours")
+    h = changed(spark, SW.hour_distribution(events(spark, d), 86400), "hours", [*WINDOW_KEYS, "hour_of_day"])
     return h.withColumn("window_start", ts("window_start"))
 
 
+@query(
+    "str5_trigger_each_slide",
+    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, {STATS_SQL} FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev)
+        GROUP BY medicine_id, w""",
+    ("ev",),
+)
+def str5(spark, d):
+    """The tumbling windows of a stream that a clock triggers."""
+    return _stats(each_second(spark, SW.windowed(events(spark, d), HOUR), "triggered", WINDOW_KEYS))
+
+
+@query(
+    "str6_late_events",
+    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, count(*) AS "count", round(sum(quantity), 4) AS sum FROM (
+        SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 15 DAY FROM ev)) GROUP BY medicine_id, w""",
+    ("ev",),
+)
+def str6(spark, d):
+    """Events that arrive after the watermark has passed their window change nothing: the newer half comes first, in two batches."""
+    base = scratch_path(spark, "late")
+    rx = T.event_history(spark, d).select("prescription_id", "medicine_id", "quantity", "timestamp")
+    half = rx.agg(F.date_trunc("day", F.min("timestamp")) + F.expr("INTERVAL 15 DAYS")).scalar()
+    newer = F.col("timestamp") >= half
+    # the watermark that rows are held against is the one before the last batch
+    even = F.col("prescription_id") % 2 == 0
+    for part in (newer & even, newer & ~even, ~newer):
+        rx.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    feed = spark.readStream.schema(rx.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    rows = changed(spark, SW.windowed(feed, HOUR), "late-windows", WINDOW_KEYS)
+    return rows.select("medicine_id", ts("window_start"), "count", r("sum"))
+
+
+@query(
+    "str12_state_each_second",
+    """SELECT user_id AS medicine_id, round(sum(quantity), 4) AS total_quantity, count(*) AS "count", round(sum(quantity) / count(*), 2) AS avg_per_rx FROM ev GROUP BY 1""",
+    ("ev",),
+)
+def str12(spark, d):
+    """Live totals delivered by a clock."""
+    totals = each_second(spark, A.running_totals(events(spark, d, "user_id")), "live", ["medicine_id"])
+    return totals.withColumn("total_quantity", r("total_quantity"))
+
+
 @query(
     "str7_live_totals",
     """SELECT user_id AS medicine_id, round(sum(quantity), 4) AS total_quantity, count(*) AS "count", round(sum(quantity) / count(*), 2) AS avg_per_rx FROM ev GROUP BY 1""",
@@ -140,12 +198,12 @@ def str7(spark, d):
 
 @query(
     "str7_event_rate",
-    f"""SELECT {sql_ts("w")} AS window_start, round(count(*) / 60.0, 6) AS rate, count(*) AS events FROM (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS w FROM ev), mark
-        WHERE w + INTERVAL 1 MINUTE <= wm GROUP BY w""",
-    ("ev", "mark"),
+    f"""SELECT {sql_ts("w")} AS window_start, round(count(*) / 60.0, 6) AS rate, count(*) AS events FROM (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS w FROM ev)
+        GROUP BY w""",
+    ("ev",),
 )
 def str7_rate(spark, d):
-    rate = appended(spark, SW.event_rate(events(spark, d), 60), "rate")
+    rate = changed(spark, SW.event_rate(events(spark, d), 60), "rate", ["window_start"])
     return rate.select(ts("window_start"), r("rate", 6), "events")
 
 
@@ -196,7 +254,7 @@ def _depleted(spark, d):
     ("evstock",),
 )
 def str9_stock(spark, d):
-    rows = SK.latest(spark, f"{_depleted(spark, d)}/stock", ["medicine_id"])
+    rows = SK.current(spark, f"{_depleted(spark, d)}/stock", ["medicine_id"])
     return rows.select("medicine_id", r("current_inventory"))
 
 

@@ -28,9 +28,44 @@ def changes_table(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
     return df.writeStream.outputMode("update").foreachBatch(_write_batch(path)).option("checkpointLocation", checkpoint)
 
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current state of a changes table: the newest row of each group."""
-    rows = spark.read.parquet(path)
+def batches(spark: SparkSession, path: str) -> list[str]:
+    """Folder values of the batches that a table of changes has, in order; merged ones end in a half."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
+    return sorted((n.split("=")[1] for n in names if n.startswith(f"{BATCH}=")), key=float)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], keep: int = 1) -> None:
+    """Bring a table of changes down to the newest row of each group, but for its last ``keep`` batches.
+
+    The merged rows appear by one rename, as a batch between the newest that they come from and the next, and
+    the older folders go after that. Whenever it is broken off, the newest row of every group is still there.
+    """
+    old = batches(spark, path)[: -keep or None]
+    if len(old) < 2:
+        return
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/{BATCH}={n}" for n in old])
+    latest(rows, keys).write.mode("overwrite").parquet(f"{path}/_merged")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    merged = f"{int(float(old[-1]))}.5"
+    if merged in old:
+        merged = f"{merged}5"
+    fs.rename(at(f"{path}/_merged"), at(f"{path}/{BATCH}={merged}"))
+    for n in old:
+        fs.delete(at(f"{path}/{BATCH}={n}"), True)
+
+
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Current state of a table of changes."""
+    return latest(spark.read.parquet(path), keys)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each group."""
     rest = [c for c in rows.columns if c not in keys and c != BATCH]
     newest = F.max_by(F.struct(*rest), BATCH)
     return rows.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")

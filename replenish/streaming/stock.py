@@ -26,18 +26,24 @@ def _folders(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
 
 
-def deplete(events: DataFrame, stock: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+MODES = ("first", "crossing", "every")
+
+
+def deplete(events: DataFrame, stock: DataFrame, folder: str, checkpoint: str, mode: str = "first") -> DataStreamWriter:
     """Keep stock levels and alerts current while events arrive.
 
     The state store holds the consumed total per item. Each micro-batch sees only the
     items it changed, joins them with the opening stock and writes, under its own id,
 
     * ``stock``: total consumed and stock left (clamped at zero) of the changed items;
-    * ``alerts``: one low-stock alert per item that is below its reorder point
-      and was not alerted by an earlier batch, which for falling stock is the crossing.
+    * ``alerts``: low-stock alerts of the changed items that are below their reorder point. By ``mode``, ``first``
+      alerts an item once; ``crossing`` once, and only if it was not below at the opening (stock only falls, so an
+      item crosses once); ``every`` in each batch in which it was dispensed.
 
     Batches that are retried overwrite their own directories.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     totals = running_totals(events)
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -48,12 +54,14 @@ def deplete(events: DataFrame, stock: DataFrame, folder: str, checkpoint: str) -
             .withColumn("raw_stock", left)
             .withColumn("current_inventory", F.greatest(F.lit(0.0), left))
         )
-        rows.select("medicine_id", "total_quantity", "current_inventory", "reorder_point", "medicine_name").write.mode(
+        rows.select("medicine_id", "total_quantity", "opening", "current_inventory", "reorder_point", "medicine_name").write.mode(
             "overwrite"
         ).parquet(f"{folder}/stock/batch_id={batch_id}")
         current = spark.read.parquet(f"{folder}/stock/batch_id={batch_id}")
+        if mode == "crossing":
+            current = current.filter("opening >= reorder_point")
         raised = raise_low_stock(current, F.current_timestamp(), "warning").select(*ALERT_COLUMNS)
-        before = _existing(spark, f"{folder}/alerts", batch_id)
+        before = None if mode == "every" else _existing(spark, f"{folder}/alerts", batch_id)
         fresh = raised if before is None else new_alerts(raised, before)
         fresh.select(*ALERT_COLUMNS).write.mode("overwrite").parquet(f"{folder}/alerts/batch_id={batch_id}")
 

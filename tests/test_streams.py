@@ -76,7 +76,7 @@ def test_update_mode_totals(spark, feed, tmp_path):
     from replenish.operators.aggregates import running_totals
 
     SK.drain(SK.changes_table(running_totals(read(spark, feed)), f"{tmp_path}/out", f"{tmp_path}/cp"))
-    got = SK.latest(spark, f"{tmp_path}/out", ["medicine_id"])
+    got = SK.current(spark, f"{tmp_path}/out", ["medicine_id"])
     want = running_totals(SR.decode(spark.read.text(feed)))
     assert flat(got.select(want.columns).collect()) == flat(want.collect())
 
@@ -111,7 +111,7 @@ def test_depletion_alerts_once_over_batches(spark, feed, tmp_path):
     SK.drain(ST.deplete(read(spark, feed), stock, str(tmp_path), f"{tmp_path}/cp"))
     alerts = spark.read.parquet(f"{tmp_path}/alerts").collect()
     assert [(r["medicine_id"], r["message"]) for r in alerts] == [("a", "A below reorder point")]
-    left = {r["medicine_id"]: r["current_inventory"] for r in SK.latest(spark, f"{tmp_path}/stock", ["medicine_id"]).collect()}
+    left = {r["medicine_id"]: r["current_inventory"] for r in SK.current(spark, f"{tmp_path}/stock", ["medicine_id"]).collect()}
     used = SR.decode(spark.read.text(feed)).groupBy("medicine_id").agg(F.sum("quantity").alias("q")).collect()
     assert left == {r["medicine_id"]: max(0.0, {"a": 100.0, "b": 1000.0}[r["medicine_id"]] - r["q"]) for r in used}
 
@@ -162,3 +162,66 @@ def test_bounds_hold_around_forecasts(spark, folder):
     best = FC.best_forecast(FC.component_forecasts(FC.fit_components(stats)))
     assert best.filter("lower > upper or lower < 0 or forecast < 0").count() == 0
     assert best.count() == 30 * stats.count()
+
+
+def test_rows_without_id_are_all_stored(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", 1, at)] * 3 + [(f"i{k % 7}", k, at) for k in range(2000)] + [(None, 1, at), ("a", None, at)]
+    df = spark.createDataFrame(rows, "medicine_id string, quantity int, timestamp timestamp").repartition(3)
+    H.append_prescriptions(df, f"{tmp_path}/rx", 4)
+    H.append_prescriptions(df, f"{tmp_path}/rx", 5)
+    stored = spark.read.parquet(f"{tmp_path}/rx")
+    assert stored.count() == stored.select("prescription_id").distinct().count() == 2 * 2003
+    rejected = spark.read.parquet(f"{tmp_path}/rx_rejects").collect()
+    assert sorted(r["reject_reason"] for r in rejected) == ["missing: medicine_id"] * 2 + ["missing: quantity"] * 2
+    # ids of the sender are stored once
+    given = df.filter("medicine_id = 'a'").withColumn("prescription_id", F.when(F.col("quantity") == 1, "R1"))
+    H.append_prescriptions(given, f"{tmp_path}/given", 0)
+    assert spark.read.parquet(f"{tmp_path}/given").count() == 1
+
+
+def test_bad_records_are_kept_apart(spark):
+    good = json.dumps(event(1, 0))
+    no_item = json.dumps({k: v for k, v in event(2, 5).items() if k != "medicine_id"})
+    raw = spark.createDataFrame([(good,), (no_item,), ("{broken",), (None,)], "value string")
+    assert sorted(r["medicine_id"] for r in SR.decode(raw).collect()) == ["a", "unknown"]
+    assert {(r["value"], r["reason"]) for r in SR.undecodable(raw).collect()} == {("{broken", "no JSON of the schema"), (None, "no value")}
+
+
+def test_table_of_one_file_and_of_many(spark, tmp_path):
+    df = spark.range(50)
+    df.repartition(4).write.parquet(f"{tmp_path}/many.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/part")
+    one = next(p for p in os.listdir(f"{tmp_path}/part") if p.endswith(".parquet"))
+    os.rename(f"{tmp_path}/part/{one}", f"{tmp_path}/one.parquet")
+    for name in ("many", "one"):
+        SK.drain(SK.append_table(SR.parquet_table(spark, str(tmp_path), name), f"{tmp_path}/out-{name}", f"{tmp_path}/cp-{name}"))
+        assert spark.read.parquet(f"{tmp_path}/out-{name}").count() == 50
+
+
+def test_compacted_changes_keep_the_newest_rows(spark, feed, tmp_path):
+    from replenish.operators.aggregates import running_totals
+
+    SK.drain(SK.changes_table(running_totals(read(spark, feed)), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    before = flat(SK.current(spark, f"{tmp_path}/out", ["medicine_id"]).collect())
+    assert len(SK.batches(spark, f"{tmp_path}/out")) == 4
+    for _ in range(2):
+        SK.compact(spark, f"{tmp_path}/out", ["medicine_id"])
+        assert len(SK.batches(spark, f"{tmp_path}/out")) == 2
+        assert flat(SK.current(spark, f"{tmp_path}/out", ["medicine_id"]).collect()) == before
+
+
+@pytest.mark.parametrize("mode, items", [("first", ["a", "b"]), ("crossing", ["a"]), ("every", ["a", "a", "b", "b", "b", "b"])])
+def test_alert_modes(spark, feed, tmp_path, mode, items):
+    stock = spark.createDataFrame(
+        [("a", "A", 160.0, 60.0), ("b", "B", 5.0, 10.0)],
+        "medicine_id string, medicine_name string, current_inventory double, reorder_point double",
+    )
+    SK.drain(ST.deplete(read(spark, feed), stock, str(tmp_path), f"{tmp_path}/cp", mode))
+    assert sorted(r["medicine_id"] for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) == items
+
+
+def test_missing_items_are_drawn_too(spark):
+    counts = spark.createDataFrame([("a", 5), (None, 3)], "value string, n bigint")
+    got = {r["value"]: (r["lo"], r["hi"]) for r in WN.cumulative_counts(counts).collect()}
+    assert set(got) == {"a", None} and sorted(got.values())[0][0] == 0 and max(h for _, h in got.values()) == 8
