@@ -34,7 +34,59 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
-@query("op3_quality_rules")
+QUALITY_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (
+  SELECT rid, i, list_slice(w, i, i + 4) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM texts)),
+repeated AS (
+  SELECT rid, i - coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -9) AS step
+  FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, sum(least(5, step))::BIGINT AS n FROM repeated GROUP BY rid),
+lines AS (
+  SELECT rid, (count(*) - count(DISTINCT l))::BIGINT AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM texts)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+counts AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM texts LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+counted AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+known AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT counted.*, q FROM counted JOIN known USING (doc_id) WHERE NOT base_failed),
+tries AS (
+  SELECT 'n_symbols' AS rule, unnest([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0]::DOUBLE[]) AS cutoff
+  UNION ALL SELECT 'n_dup_lines', unnest([0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[])
+  UNION ALL SELECT 'n_repeat_words', unnest([0.02, 0.05, 0.1, 0.15]::DOUBLE[])
+  UNION ALL SELECT 'long', unnest([7, 8, 9, 10, 12, 15]::DOUBLE[])
+  UNION ALL SELECT 'short', unnest([1.5, 2, 2.5, 3, 3.5]::DOUBLE[])),
+amounts AS (
+  SELECT *, CASE rule WHEN 'n_symbols' THEN n_symbols > n_words * cutoff WHEN 'n_dup_lines' THEN n_dup_lines > n_words * cutoff
+    WHEN 'n_repeat_words' THEN n_repeat_words > n_words * cutoff WHEN 'long' THEN word_chars > n_words * cutoff
+    ELSE word_chars < n_words * cutoff END AS rejects
+  FROM held, tries),
+tested AS (
+  SELECT lang, rule, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND rejects) AS lost, count(*) FILTER (q = 0 AND rejects) AS caught
+  FROM amounts GROUP BY ALL),
+passed AS (
+  SELECT * FROM tested WHERE caught > 5 * lost AND lost < n * 0.01 AND list_sum(list_transform(range(lost + 1), lambda k:
+    exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01) + (n - k) * ln(0.99))))
+    <= 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM held)) * (SELECT count(*) FROM tries))),
+best AS (
+  SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY caught - 5 * lost DESC,
+    CASE WHEN rule = 'short' THEN cutoff ELSE -cutoff END) AS rank FROM passed) WHERE rank = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (SELECT 1 FROM best WHERE best.lang IS NOT DISTINCT FROM counted.lang AND CASE rule
+         WHEN 'n_symbols' THEN n_symbols > n_words * cutoff WHEN 'n_dup_lines' THEN n_dup_lines > n_words * cutoff
+         WHEN 'n_repeat_words' THEN n_repeat_words > n_words * cutoff WHEN 'long' THEN word_chars > n_words * cutoff
+         ELSE word_chars < n_words * cutoff END) AS kept
+FROM counted
+"""
+
+
+@query("op3_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
 

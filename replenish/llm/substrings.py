@@ -183,19 +183,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     schema = "doc_id long, mark long, h long, f long, s int, e int"
     seeds = stored(marked.mapInArrow(_seed_rows(length, gram), schema), "substring-seeds")
-    twice = seeds.groupBy("h").count().filter("count > 1").select("h")
+    # stored apart from the join, which Spark can then split at hot anchors
+    twice = stored(seeds.groupBy("h").count().filter("count > 1").select("h"), "substring-repeated-anchors")
     seeds = stored(seeds.join(twice, "h", "left_semi"), "substring-repeated-seeds")
     one = F.min(F.struct("doc_id", "mark", "s", "e"))
     reaches = stored(seeds.groupBy("h", "f").agg(F.count("*").alias("n"), one.alias("one")), "substring-reaches")
     equal = seeds.join(reaches.filter("n > 1").select("h", "f"), ["h", "f"], "left_semi")
     spans = equal.select("doc_id", "mark", "s", (F.col("e") + length).alias("e"))
     # different reaches of one anchor, window by window
-    mixed = reaches.groupBy("h").count().filter("count > 1").select("h")
+    mixed = stored(reaches.groupBy("h").count().filter("count > 1").select("h"), "substring-mixed-anchors")
     open_ = reaches.join(mixed, "h", "left_semi").select(F.col("one.doc_id").alias("its_id"), F.col("one.mark").alias("its_mark"), "one.s", "one.e")
     runs = open_.groupBy("its_id", "its_mark").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     windows = marked.join(runs, _same(marked, runs)).select("doc_id", "mark", "text", "runs")
     windows = stored(windows.mapInArrow(_window_rows(length), "doc_id long, mark long, w0 long, w1 long, s int"), "substring-windows")
-    met = windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1")
+    met = stored(windows.groupBy("w0", "w1").count().filter("count > 1").select("w0", "w1"), "substring-repeated-windows")
     found = windows.join(met, ["w0", "w1"], "left_semi").select("doc_id", "mark", "s", (F.col("s") + length).alias("e"))
     both = spans.union(found).select(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark"), "s", "e")
     # no more spans than the document has words
