@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -48,11 +50,31 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder for one run's tables."""
+    """A fresh path under the shared folder for one run's tables; see :func:`clear_scratch`."""
     ensure_checkpoints(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
+    _made.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Delete the tables that this process wrote under the shared folder, once no result is read from them any more.
+
+    Called at exit; a long-lived session calls it between jobs.
+    """
+    while _made:
+        spark, path = _made.pop()
+        with contextlib.suppress(Exception):  # a stopped session keeps its files
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(clear_scratch)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
