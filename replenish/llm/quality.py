@@ -16,18 +16,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replenish.llm.tables import SPACE, broadcast_if_small, words
+from replenish.llm.tables import broadcast_if_small, words
 from replenish.session import stored
 
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20
-SYMBOLS = "#*$%&|<>"
+BLANKS = " \t\n\x0b\x0c\r"
 # share of a stratum's good documents that all rules together may reject, and the chance of breaking it
 LIMIT = 0.05
 RISK = 0.05
 # labelled junk that must be caught for each good document lost
-WORTH = 5
+WORTH = 20
 # strata up to which their cutoffs are sent to every executor
 BROADCAST_STRATA = 10_000
 
@@ -73,17 +73,17 @@ def _alike_next(keys: str, bits: str) -> Column:
 def with_counts(docs: DataFrame) -> DataFrame:
     """The rows with the five counts and base_failed.
 
-    Repeated windows are found inside a row: window hashes are sorted with their positions in the low
+    Repeated windows are found inside a row: if its window hashes aren't all different, they are sorted with their positions in the low
     bits, neighbours with equal upper bits are tried again by their other bits, and the positions left
     are those of windows that come twice or more.
     """
-    line_has_word = lambda line: F.length(F.regexp_replace(line, SPACE, "")) > 0
+    line_has_word = lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0
     text = F.coalesce("text", F.lit(""))
     out = docs.select("*", words(F.col("text")).alias("_w"), F.filter(F.split(text, "\n"), line_has_word).alias("_lines"))
     out = out.select(
         "*",
         F.size("_w").cast("long").alias("_n"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_dup"),
         F.when(
@@ -97,7 +97,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
     )
     bits = F.col("_bits")
     upper = lambda h, i: _shift("shiftleft", _shift("shiftrightunsigned", h, bits), bits).bitwiseOR(i.cast("long"))
-    out = out.select("*", F.sort_array(F.transform("_h", upper)).alias("_k"))
+    # most texts repeat no window and need no more than this
+    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
+    out = out.select("*", F.when(repeats, F.sort_array(F.transform("_h", upper))).alias("_k"))
     out = out.select("*", _alike_next("_k", "_bits").alias("_maybe"), (_shift("shiftleft", F.lit(1).cast("long"), bits) - 1).alias("_mask"))
     place = lambda x: x.bitwiseAND(F.col("_mask"))
     lower = lambda x: _shift("shiftleft", F.get("_h", place(x).cast("int")), bits).bitwiseOR(place(x))

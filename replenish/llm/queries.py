@@ -71,11 +71,11 @@ tested AS (
   SELECT lang, rule, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND rejects) AS lost, count(*) FILTER (q = 0 AND rejects) AS caught
   FROM amounts GROUP BY ALL),
 passed AS (
-  SELECT * FROM tested WHERE caught > 5 * lost AND lost < n * 0.01 AND list_sum(list_transform(range(lost + 1), lambda k:
+  SELECT * FROM tested WHERE caught > 20 * lost AND lost < n * 0.01 AND list_sum(list_transform(range(lost + 1), lambda k:
     exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01) + (n - k) * ln(0.99))))
     <= 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM held)) * (SELECT count(*) FROM tries))),
 best AS (
-  SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY caught - 5 * lost DESC,
+  SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY caught - 20 * lost DESC,
     CASE WHEN rule = 'short' THEN cutoff ELSE -cutoff END) AS rank FROM passed) WHERE rank = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM best WHERE best.lang IS NOT DISTINCT FROM counted.lang AND CASE rule
