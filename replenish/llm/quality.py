@@ -5,8 +5,9 @@ labelled documents, apart for each language. For every rule and candidate cutoff
 labelled documents that it would reject is tested by the exact binomial tail: a cutoff is certified
 if so few rejections were unlikely with a true rate above the rule's part of the limit. The level is
 divided by the number of all tests (strata, rules, cutoffs), so with the stated confidence no chosen
-cutoff breaks the limit in any stratum. Of the certified cutoffs the one that catches most labelled
-junk per lost good document is taken; a stratum with too few labels gets none. All DataFrame work.
+cutoff breaks the limit in any stratum. Rule by rule, the certified cutoff that catches most of the labelled
+junk which the rules before it let pass is taken, where that is worth the good documents lost; a
+stratum with too few labels gets none. All DataFrame work.
 """
 
 from __future__ import annotations
@@ -142,38 +143,43 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT, risk: float = RISK) -> DataFrame:
-    """(stratum, cut_<rule>...) of every language with labels; null where no cutoff is certified.
+    """(stratum, cut_<rule>...) of every language with labels; null where no cutoff is taken.
 
     ``labels`` has doc_id and quality (1 good, 0 junk); of several labels of a document the lowest
-    counts, null ones don't. Only documents that pass the base rules are tested.
+    counts, null ones don't. Only documents that pass the base rules are tested. The rules are settled in
+    their order, each by what the ones before it leave; that a cutoff is certified never depends on it.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    held = counted.filter("not base_failed").join(known, "doc_id")
+    held = counted.filter("not base_failed").join(known, "doc_id").select("lang", *COUNTS, "q")
+    held = stored(held, "quality-held")
     good, junk = F.col("q") == 1, F.col("q") == 0
-    tries = [(r, c) for r in rules for c in r.cutoffs]
-
-    def how_many(rule: Rule, cutoff: float, which: Column) -> Column:
-        return F.sum((which & rule.rejects(F.lit(cutoff))).cast("long"))
-
-    sums = [F.sum(good.cast("long")).alias("n")]
-    for i, (r, c) in enumerate(tries):
-        sums += [how_many(r, c, good).alias(f"lost_{i}"), how_many(r, c, junk).alias(f"caught_{i}")]
-    strata = stored(held.groupBy(F.col("lang").alias("stratum")).agg(*sums), "quality-strata")
-    level = risk / max(1, strata.count() * len(tries))
-    tried = strata.select(
-        "stratum", "n",
-        F.explode(F.array(*[
-            F.struct(F.lit(r.name).alias("rule"), F.lit(c).alias("cutoff"), F.lit(c if r.low else -c).alias("strict"),
-                     F.col(f"lost_{i}").alias("lost"), F.col(f"caught_{i}").alias("caught"))
-            for i, (r, c) in enumerate(tries)
-        ])).alias("t"),
-    ).select("stratum", "n", "t.*")
-    gain = F.col("caught") - WORTH * F.col("lost")
-    passed = tried.filter((binomial_tail(F.col("n"), F.col("lost"), limit / len(rules)) <= level) & (gain > 0))
-    # most junk for its price, then the loosest
-    best = passed.groupBy("stratum", "rule").agg(F.min_by("cutoff", F.struct(-gain, F.col("strict"))).alias("cutoff"))
-    cuts = [F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules]
-    return best.groupBy("stratum").agg(*cuts)
+    chosen = stored(held.groupBy(F.col("lang").alias("stratum")).agg(F.count_if(good).alias("n")), "quality-strata")
+    level = risk / max(1, chosen.count() * sum(len(r.cutoffs) for r in rules))
+    for number, rule in enumerate(rules):
+        left = F.lit(True)
+        for r in rules[:number]:
+            left = left & ~F.coalesce(r.rejects(F.col(f"cut_{r.name}")), F.lit(False))
+        sums = []
+        for i, c in enumerate(rule.cutoffs):
+            out = rule.rejects(F.lit(c))
+            counts = {"all": good & out, "lost": good & out & left, "caught": junk & out & left}
+            sums += [F.count_if(which).alias(f"{name}_{i}") for name, which in counts.items()]
+        same = F.col("lang").eqNullSafe(F.col("stratum"))
+        seen = held.join(broadcast_if_small(chosen, BROADCAST_STRATA), same).groupBy("stratum").agg(F.first("n").alias("n"), *sums)
+        tried = F.array(*[
+            F.struct(*[F.col(f"{name}_{i}").alias(name) for name in ("all", "lost", "caught")], F.lit(c).alias("cutoff"))
+            for i, c in enumerate(rule.cutoffs)
+        ])
+        seen = seen.select("stratum", "n", F.explode(tried).alias("t")).select("stratum", "n", "t.*")
+        gain = F.col("caught") - WORTH * F.col("lost")
+        certified = binomial_tail(F.col("n"), F.col("all"), limit / len(rules)) <= level
+        # of equal gains the loosest
+        loose = F.col("cutoff") if rule.low else -F.col("cutoff")
+        best = seen.filter(certified & (gain > 0)).groupBy(F.col("stratum").alias("s"))
+        best = best.agg(F.min_by("cutoff", F.struct(-gain, loose)).alias(f"cut_{rule.name}"))
+        chosen = chosen.join(best, F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s")
+        chosen = stored(chosen, "quality-cutoffs")
+    return chosen.drop("n")
 
 
 def with_verdict(counted: DataFrame, cuts: DataFrame, rules=RULES) -> DataFrame:

@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
-QUALITY_SQL = r"""
+QUALITY_COUNTS = r"""
 WITH texts AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -55,38 +55,38 @@ counts AS (
   FROM texts LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 counted AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
 known AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT counted.*, q FROM counted JOIN known USING (doc_id) WHERE NOT base_failed),
-tries AS (
-  SELECT 'n_symbols' AS rule, unnest([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0]::DOUBLE[]) AS cutoff
-  UNION ALL SELECT 'n_dup_lines', unnest([0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[])
-  UNION ALL SELECT 'n_repeat_words', unnest([0.02, 0.05, 0.1, 0.15]::DOUBLE[])
-  UNION ALL SELECT 'long', unnest([7, 8, 9, 10, 12, 15]::DOUBLE[])
-  UNION ALL SELECT 'short', unnest([1.5, 2, 2.5, 3, 3.5]::DOUBLE[])),
-amounts AS (
-  SELECT *, CASE rule WHEN 'n_symbols' THEN n_symbols > n_words * cutoff WHEN 'n_dup_lines' THEN n_dup_lines > n_words * cutoff
-    WHEN 'n_repeat_words' THEN n_repeat_words > n_words * cutoff WHEN 'long' THEN word_chars > n_words * cutoff
-    ELSE word_chars < n_words * cutoff END AS rejects
-  FROM held, tries),
-tested AS (
-  SELECT lang, rule, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND rejects) AS lost, count(*) FILTER (q = 0 AND rejects) AS caught
-  FROM amounts GROUP BY ALL),
-passed AS (
-  SELECT * FROM tested WHERE caught > 20 * lost AND lost < n * 0.01 AND list_sum(list_transform(range(lost + 1), lambda k:
-    exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01) + (n - k) * ln(0.99))))
-    <= 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM held)) * (SELECT count(*) FROM tries))),
-best AS (
-  SELECT lang, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY caught - 20 * lost DESC,
-    CASE WHEN rule = 'short' THEN cutoff ELSE -cutoff END) AS rank FROM passed) WHERE rank = 1)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT EXISTS (SELECT 1 FROM best WHERE best.lang IS NOT DISTINCT FROM counted.lang AND CASE rule
-         WHEN 'n_symbols' THEN n_symbols > n_words * cutoff WHEN 'n_dup_lines' THEN n_dup_lines > n_words * cutoff
-         WHEN 'n_repeat_words' THEN n_repeat_words > n_words * cutoff WHEN 'long' THEN word_chars > n_words * cutoff
-         ELSE word_chars < n_words * cutoff END) AS kept
-FROM counted
-"""
-
-
-@query("op3_quality_rules", QUALITY_SQL)
+left0 AS (SELECT counted.*, q, true AS alive FROM counted JOIN known USING (doc_id) WHERE NOT base_failed)"""
+
+
+def _quality_sql() -> str:
+    """Rule by rule: counts of every cutoff, the one taken, and what it leaves."""
+    steps, joins, kept = [], [], ["NOT base_failed"]
+    tests = sum(len(r.cutoffs) for r in quality.RULES)
+    for k, r in enumerate(quality.RULES):
+        sign = "<" if r.low else ">"
+        out = f"{r.amount} {sign} n_words * cutoff"
+        steps.append(f"""
+tried{k} AS (
+  SELECT lang, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND {out}) AS every, count(*) FILTER (q = 1 AND alive AND {out}) AS lost,
+         count(*) FILTER (q = 0 AND alive AND {out}) AS caught
+  FROM left{k}, (SELECT unnest({list(r.cutoffs)}::DOUBLE[]) AS cutoff) GROUP BY ALL),
+taken{k} AS (
+  SELECT lang AS of{k}, cutoff AS cut{k} FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY caught - 20 * lost DESC, {"" if r.low else "-"}cutoff) AS rank
+    FROM tried{k} WHERE caught > 20 * lost AND every < n * 0.01 AND list_sum(list_transform(range(every + 1), lambda k:
+      exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01) + (n - k) * ln(0.99))))
+      <= 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM left0)) * {tests})) WHERE rank = 1),
+left{k + 1} AS (
+  SELECT x.* REPLACE (alive AND NOT coalesce({r.amount} {sign} n_words * cut{k}, false) AS alive)
+  FROM left{k} x LEFT JOIN taken{k} ON lang IS NOT DISTINCT FROM of{k})""")
+        joins.append(f"LEFT JOIN taken{k} ON lang IS NOT DISTINCT FROM of{k}")
+        kept.append(f"NOT coalesce({r.amount} {sign} n_words * cut{k}, false)")
+    return f"""{QUALITY_COUNTS},{",".join(steps)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {" AND ".join(kept)} AS kept
+FROM counted {" ".join(joins)}"""
+
+
+@query("op3_quality_rules", _quality_sql())
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
