@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from replenish.session import scratch_path, stored
+from replenish.session import scratch_path
 
 END = 1
 SCALE = 20
@@ -41,7 +41,8 @@ BLOCKS_A_FILE = 32
 MAGIC = b"TRB1"
 HEAD = struct.Struct("<4sIIQQIIII")
 _LOW = np.uint64(1 << 31)
-_CACHE = 500_000
+# parts and words whose ids a worker keeps, and texts that it encodes at a time
+_PARTS, _WORDS, _TEXTS = 450_000, 600_000, 256
 
 
 class Table:
@@ -195,8 +196,10 @@ class _Encoder:
         mark = getattr(self.whole.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
-        self.plain = Tokenizer(self.whole.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+        # ASCII letters stand for themselves, other letters for their bytes
+        self.ascii, self.latin = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
 
@@ -207,52 +210,66 @@ class _Encoder:
     def _bytes(self, ids: list) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn_words(self, new: list[str]) -> None:
-        ids = np.array(self._ids(self.plain, [" ".join(new)])[0], self.kind)
+    def _learn_words(self, tokenizer, new: list[str]) -> None:
+        ids = np.array(self._ids(tokenizer, [" ".join(new)])[0], self.kind)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) == len(new) and stops[-1] == len(ids):
-            raw, at = ids.tobytes(), 0
-            for word, stop in zip(new, (stops * ids.itemsize).tolist()):
-                self.words[word] = raw[at:stop]
-                at = stop
+            raw, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
+            self.words.update(zip(new, [raw[i:j] for i, j in zip([0, *stops], stops)]))
         else:
             self.words.update(zip(new, map(self._bytes, self._ids(self.whole, new))))
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         found = [(part, _PLAIN.fullmatch(part)) for part in new]
         split = [(part, m[1].lower(), m[2]) for part, m in found if m]
         words = {word for _, word, _ in split}.difference(self.words)
-        if words:
-            self._learn_words(list(words))
-        for part, word, mark in split:
-            self.seen[part] = self.words[word] + self.marks[mark]
+        if len(self.words) + len(words) > _WORDS:
+            self.words.clear()
+            words = {word for _, word, _ in split}
+        for tokenizer, own in ((self.ascii, [w for w in words if w.isascii()]), (self.latin, [w for w in words if not w.isascii()])):
+            if own:
+                self._learn_words(tokenizer, own)
+        of, marks = self.words, self.marks
+        self.seen.update({part: of[word] + marks[mark] for part, word, mark in split})
         rest = [part for part, m in found if not m]
         self.seen.update(zip(rest, map(self._bytes, self._ids(self.whole, rest))))
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.separable:
-            return self._bytes(self._ids(self.whole, [text])[0])
-        parts = text.replace("\n", " ").split(" ")
-        if len(self.seen) > _CACHE:
+            return [self._bytes(ids) for ids in self._ids(self.whole, texts)]
+        parts = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.seen) > _PARTS:
             self.seen.clear()
-            self.words.clear()
-        new = set(parts).difference(self.seen)
+        new = set().union(*parts).difference(self.seen)
         if new:
-            self._learn(list(new))
-        return b"".join(map(self.seen.__getitem__, parts))
+            self._learn(new)
+        get = self.seen.__getitem__
+        return [b"".join(map(get, own)) for own in parts]
+
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    """One for each worker, so that the next task finds the words of the last one."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = _Encoder(path)
+    return _ENCODERS[path]
 
 
 def _tokenize(path: str, end: int):
     def rows(batches):
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         tail = np.array([end], encoder.kind).tobytes()
-        for batch in batches:
-            ids = [encoder(t or "") + tail for t in batch.column(2).to_pylist()]
-            counts = pa.array([len(x) // len(tail) for x in ids], pa.int64())
-            wide = pa.array([len(tail)] * len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), counts, wide, pa.array(ids, pa.binary())], names=["doc_id", "tie", "n", "wide", "ids"]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(at, _TEXTS)
+                ids = [own + tail for own in encoder([t or "" for t in batch.column(2).to_pylist()])]
+                counts = pa.array([len(x) // len(tail) for x in ids], pa.int64())
+                wide = pa.array([len(tail)] * len(ids), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), counts, wide, pa.array(ids, pa.binary())], names=["doc_id", "tie", "n", "wide", "ids"]
+                )
 
     return rows
 
@@ -305,7 +322,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, block: int
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    tokens = stored(keyed.mapInArrow(_tokenize(tokenizer, end), "doc_id long, tie long, n long, wide int, ids binary"), "token-ids")
+    tokens = keyed.mapInArrow(_tokenize(tokenizer, end), "doc_id long, tie long, n long, wide int, ids binary")
+    kept = scratch_path(spark, "token-ids")
+    tokens.write.option("compression", "zstd").parquet(kept)
+    tokens = spark.read.schema(tokens.schema).parquet(kept)
     counts = tokens.select("wide", "ids").mapInArrow(_count_ids, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
     seen = counts.orderBy("id").toPandas()
     ids = seen["id"].to_numpy(np.int64)
