@@ -98,7 +98,22 @@ def token_file_digests(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op5_substring_dedup")
+REPEATS_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT rid, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM texts)),
+repeated AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, i + k AS pos FROM repeated, (SELECT unnest(range(35)) AS k)),
+placed AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM texts),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS line FROM placed ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""
+
+
+@query("op5_substring_dedup", REPEATS_SQL)
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.cut(read(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
