@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from replenish.functions import draws
 from replenish.functions import scalars as S
-from replenish.operators.aggregates import modal_category, numeric_marginals, value_share
 from replenish.operators.joins import pick_by_interval
 from replenish.operators.windows import cumulative_counts
 from replenish.params import Params
 from replenish.session import stored
 
+
 @dataclass
 class Marginals:
     numeric: DataFrame
@@ -25,13 +25,37 @@ class Marginals:
 
 
 def fit(rx: DataFrame) -> Marginals:
-    """Marginals of a history. Each is one pruned pass, stored so that sampling never rescans the history."""
+    """Marginals of a history, counted in one pass over it and stored, so that sampling never rescans it."""
+    sides = ["medicine_id", "category", "location", "hour"]
+    numeric = ["quantity", "patient_age"]
+    moments = [
+        F.struct(
+            F.lit(c).alias("column"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+            F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
+        )
+        for c in numeric
+    ]
+    rows = rx.select(*sides[:3], F.hour("timestamp").alias("hour"), *numeric)
+    counted = rows.groupingSets([sides[:2], ["location"], ["hour"], []], *sides).agg(
+        F.grouping_id().alias("without"), F.count("*").alias("n"), F.array(*moments).alias("m")
+    )
+    cells = stored(counted, "fit-cells")
+
+    def kept(*columns: str) -> DataFrame:
+        return cells.filter(F.col("without") == sum(1 << k for k, c in enumerate(reversed(sides)) if c not in columns))
+
+    def shares(counts: DataFrame, column: str) -> DataFrame:
+        counts = counts.groupBy(F.col(column).alias("value")).agg(F.sum("n").alias("n"))
+        return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
+
+    pairs = kept("medicine_id", "category")
+    best = F.min(F.struct((-F.col("n")).alias("k"), F.col("category")))
     return Marginals(
-        numeric=stored(numeric_marginals(rx, ["quantity", "patient_age"]), "fit-numeric"),
-        medicine=stored(value_share(rx, "medicine_id"), "fit-medicine"),
-        location=stored(value_share(rx, "location"), "fit-location"),
-        hour=stored(value_share(rx.select(F.hour("timestamp").alias("hour")), "hour"), "fit-hour"),
-        category_of=stored(modal_category(rx), "fit-category"),
+        numeric=kept().select(F.inline("m")),
+        medicine=shares(pairs, "medicine_id"),
+        location=shares(kept("location"), "location"),
+        hour=shares(kept("hour"), "hour"),
+        category_of=pairs.groupBy("medicine_id").agg(best["category"].alias("category")),
     )
 
 

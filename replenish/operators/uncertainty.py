@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replenish.functions import draws
-from replenish.functions.scalars import at_least_zero
+from replenish.functions.scalars import at_least_zero, sine_season
 from replenish.params import Params
 
 
@@ -109,3 +109,15 @@ def bootstrap_mean(daily: DataFrame, rounds: int | None = None, params: Params =
     items = daily.groupBy("medicine_id").agg(pairs["date"].alias("days"), pairs["demand"].alias("demands"))
     kind = daily.schema["medicine_id"].dataType.simpleString()
     return items.mapInPandas(per_batch, f"medicine_id {kind}, rounds bigint, lower double, upper double")
+
+
+def bootstrap_forecast(daily: DataFrame, rounds: int | None = None, params: Params = Params()) -> DataFrame:
+    """Percentile interval of the baseline forecast refitted in every round, per item and day ahead.
+
+    A refit has the round's mean, and its forecast for a day is that mean times a positive season factor, under
+    which percentiles keep: they are taken once over the means.
+    """
+    days = F.sequence(F.lit(0).cast("bigint"), F.lit(params.horizon - 1).cast("bigint"))
+    rows = bootstrap_mean(daily, rounds, params).select("medicine_id", F.explode(days).alias("h"), "lower", "upper")
+    ends = [at_least_zero(F.col(c) + sine_season(F.col(c), F.col("h"))).alias(c) for c in ("lower", "upper")]
+    return rows.select("medicine_id", "h", *ends)

@@ -283,6 +283,22 @@ def inv19(spark, d):
     return I.stock_after_orders(T.stock_levels(spark, d), placed).select("medicine_id", "current_inventory")
 
 
+@query(
+    "inv19_place_orders",
+    """SELECT 'stock' AS effect, s.medicine_id, (current_inventory + coalesce(q, 0))::DOUBLE AS quantity, NULL::VARCHAR AS message FROM stock s
+         LEFT JOIN (SELECT medicine_id, sum(quantity) AS q FROM ord WHERE status = 'APPROVED' GROUP BY 1) o ON o.medicine_id = s.medicine_id
+       UNION ALL SELECT 'open', medicine_id, greatest(1, CAST(trunc(reorder_point * 2 - current_inventory) AS BIGINT))::DOUBLE, NULL FROM stock
+         WHERE current_inventory < reorder_point AND medicine_id NOT IN (SELECT medicine_id FROM ord WHERE status = 'APPROVED')
+       UNION ALL SELECT 'alert', medicine_id, NULL, 'Order placed: ' || CAST(quantity AS BIGINT) || ' units' FROM ord WHERE status = 'APPROVED'""",
+    ("stock", "ord"),
+)
+def inv19_step(spark, d):
+    """Stock, open recommendations and alerts after the approved orders, in one step."""
+    stock = T.stock_levels(spark, d)
+    placed = T.orders_with_items(spark, d).filter("status = 'APPROVED'")
+    return PL.place_orders(stock, I.simple_reorder(stock), placed, F.col("created_at"))
+
+
 @query(
     "inv20_adjustments",
     """SELECT s.medicine_id, current_inventory AS inventory_before, q AS adjustment, n AS transactions, current_inventory + q AS inventory_after FROM stock s

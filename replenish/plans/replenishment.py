@@ -7,11 +7,13 @@ are written once, so the totals over all items do not repeat the work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replenish.operators import alerts as AL
 from replenish.operators import forecast as FC
 from replenish.operators import inventory as I
+from replenish.operators import joins as J
 from replenish.operators.aggregates import daily_demand
 from replenish.operators.joins import with_forecast
 from replenish.operators.ranking import by_priority
@@ -44,3 +46,20 @@ def recommendations(items: DataFrame, capacity=None, params: Params = Params())
     """Sorted order recommendations. The per-item results are stored once: totals and rows both read them."""
     results = stored(I.optimize_items(items, params), "optimization-results")
     return by_priority(I.recommend(I.allocate_with_capacity(results, capacity, params), params))
+
+
+def place_orders(stock: DataFrame, recommendations: DataFrame, placed: DataFrame, when: Column) -> DataFrame:
+    """What placing orders does, as rows (effect, medicine_id, quantity, message).
+
+    ``stock`` gives each item's stock with what is ordered, ``open`` the recommendations that are left, and
+    ``alert`` one message per order.
+    """
+    after = I.stock_after_orders(stock, placed)
+    left = J.without_ordered(recommendations, placed)
+    alerts = AL.order_placed(placed, when)
+    none = F.lit(None).cast("string")
+    return (
+        after.select(F.lit("stock").alias("effect"), "medicine_id", F.col("current_inventory").cast("double").alias("quantity"), none.alias("message"))
+        .unionByName(left.select(F.lit("open").alias("effect"), "medicine_id", F.col("order_quantity").cast("double").alias("quantity"), none.alias("message")))
+        .unionByName(alerts.select(F.lit("alert").alias("effect"), "medicine_id", F.lit(None).cast("double").alias("quantity"), "message"))
+    )

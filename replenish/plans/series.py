@@ -603,14 +603,21 @@ def _poisson_steps(most: int = 12) -> str:
 POISSON_STEPS = _poisson_steps()
 
 
-@query(
-    "uq2_bootstrap_mean",
-    f"""SELECT medicine_id, count(*) AS rounds, round(quantile_cont(m, 0.025) + 0.0000001234, 6) AS lower, round(quantile_cont(m, 0.975) + 0.0000001234, 6) AS upper FROM (
-        SELECT medicine_id, b, sum(w * demand) / sum(w) AS m FROM daily JOIN (
+common(
+    "rounds",
+    f"""SELECT medicine_id, b, sum(w * demand) / sum(w) AS m FROM daily JOIN (
           SELECT date, b, len(list_filter({POISSON_STEPS}, lambda c: u >= c)) AS w FROM (
             SELECT date, b, {u_sql("'boot42'", "date", "b")} AS u FROM (SELECT DISTINCT date FROM daily), (SELECT unnest(range(1000)) AS b))) x ON x.date = daily.date
-        GROUP BY 1, 2 HAVING sum(w) > 0) GROUP BY 1""",
-    ("daily",),
+        GROUP BY 1, 2 HAVING sum(w) > 0""",
+    "daily",
+)
+
+
+@query(
+    "uq2_bootstrap_mean",
+    """SELECT medicine_id, count(*) AS rounds, round(quantile_cont(m, 0.025) + 0.0000001234, 6) AS lower, round(quantile_cont(m, 0.975) + 0.0000001234, 6) AS upper
+       FROM rounds GROUP BY 1""",
+    ("rounds",),
 )
 def uq2(spark, d):
     out = U.bootstrap_mean(A.daily_demand(T.dispensing(spark, d)))
@@ -619,6 +626,18 @@ def uq2(spark, d):
     return out.select("medicine_id", "rounds", *shifted)
 
 
+@query(
+    "uq2_bootstrap_forecast",
+    """SELECT medicine_id, h, round(greatest(0, lo + 0.2 * lo * sin(2 * pi() * h / 7)) + 0.0000012345, 5) AS lower,
+         round(greatest(0, hi + 0.2 * hi * sin(2 * pi() * h / 7)) + 0.0000012345, 5) AS upper
+       FROM (SELECT medicine_id, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rounds GROUP BY 1), (SELECT unnest(range(30)) AS h)""",
+    ("rounds",),
+)
+def uq2_forecast(spark, d):
+    out = U.bootstrap_forecast(A.daily_demand(T.dispensing(spark, d)))
+    return out.select("medicine_id", "h", *[r(F.col(c) + 0.0000012345, 5, c) for c in ("lower", "upper")])
+
+
 @query(
     "uq3_monte_carlo",
     f"""SELECT medicine_id, base.h, round(forecast + std_selling * lo, 4) AS lower, round(forecast + std_selling * hi, 4) AS upper
