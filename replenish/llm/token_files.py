@@ -36,13 +36,13 @@ END = 1
 SCALE = 20
 BLOCK = 1 << 18
 LANES = 1024
-CHECKPOINT = 64
+CHECKPOINT = 128
 BLOCKS_A_FILE = 32
 MAGIC = b"TRB1"
 HEAD = struct.Struct("<4sIIQQIIII")
 _LOW = np.uint64(1 << 31)
-# parts and words whose ids a worker keeps, and texts that it encodes at a time
-_PARTS, _WORDS, _TEXTS = 450_000, 600_000, 256
+# parts (twice) and words whose ids a worker keeps, and texts that it encodes at a time
+_PARTS, _WORDS, _TEXTS = 400_000, 700_000, 256
 
 
 class Table:
@@ -191,6 +191,7 @@ class _Encoder:
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.separable = json.loads(self.whole.to_str())["pre_tokenizer"] == _SEPARABLE
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.marks = dict(zip(".,;:!?", map(self._bytes, self._ids(self.whole, list(".,;:!?"))))) | {"": b""}
         mark = getattr(self.whole.model, "end_of_word_suffix", None)
@@ -239,8 +240,12 @@ class _Encoder:
             return [self._bytes(ids) for ids in self._ids(self.whole, texts)]
         parts = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.seen) > _PARTS:
-            self.seen.clear()
+            # what is still used comes back from there
+            self.older, self.seen = self.seen, {}
         new = set().union(*parts).difference(self.seen)
+        if back := new.intersection(self.older):
+            self.seen.update(zip(back, map(self.older.__getitem__, back)))
+            new -= back
         if new:
             self._learn(new)
         get = self.seen.__getitem__
