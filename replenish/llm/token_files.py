@@ -243,9 +243,10 @@ class _Encoder:
             # what is still used comes back from there
             self.older, self.seen = self.seen, {}
         new = set().union(*parts).difference(self.seen)
-        if back := new.intersection(self.older):
-            self.seen.update(zip(back, map(self.older.__getitem__, back)))
-            new -= back
+        if self.older:
+            back = {part: self.older[part] for part in new if part in self.older}
+            self.seen.update(back)
+            new.difference_update(back)
         if new:
             self._learn(new)
         get = self.seen.__getitem__
