@@ -42,7 +42,7 @@ MAGIC = b"TRB1"
 HEAD = struct.Struct("<4sIIQQIIII")
 _LOW = np.uint64(1 << 31)
 # parts (twice) and words whose ids a worker keeps, and texts that it encodes at a time
-_PARTS, _WORDS, _TEXTS = 400_000, 700_000, 256
+_PARTS, _WORDS, _TEXTS = 150_000, 200_000, 256
 
 
 class Table:
