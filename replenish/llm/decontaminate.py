@@ -4,7 +4,8 @@ Texts are made canonical: numbers, names (capitalised words inside a sentence) a
 numbers become typed placeholders, the rest is lower-cased and split at anything but letters and
 digits. Windows of template tokens are hashed and joined to those of the benchmark. Where windows
 meet, the values that stood in the slots are compared along the alignment: a question that was only
-re-parameterised replaces each value by one other everywhere. All of it is DataFrame work.
+re-parameterised replaces each value by one other everywhere. Slots that clash with that take the
+windows that hold them out of what is covered, never the rest. All of it is DataFrame work.
 
 The corpus is read twice: once to find the ids with a matching window, which needs hashes only, and
 once to align those few rows.
@@ -63,6 +64,20 @@ def window_hashes(tokens: str, width: int) -> Column:
     return F.when(F.size(tokens) >= width, F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, width))))
 
 
+def _clashing(pairs: str) -> Column:
+    """Of distinct (asked, held, n) those against a one-to-one map, where n slots have the pair.
+
+    Of a value's several replacements the value itself stands, else the most frequent; the others clash.
+    Of what stands, different values with one replacement all clash.
+    """
+    rank = lambda p: F.struct(p["asked"] == p["held"], p["n"], p["held"])
+    stands = lambda p: ~F.exists(pairs, lambda q: (q["asked"] == p["asked"]) & (rank(q) > rank(p)))
+    shared = lambda p: F.exists(
+        pairs, lambda q: (q["held"] == p["held"]) & (q["asked"] != p["asked"]) & stands(q)
+    )
+    return F.filter(pairs, lambda p: ~stands(p) | shared(p))
+
+
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, literal: int = LEAST_LITERAL) -> tuple[DataFrame, DataFrame]:
     """Items (item, item_id, item_tokens) and their windows (h, item, j) with enough literal tokens.
 
@@ -88,8 +103,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, kind, n_covered, n_tokens, n_slots, n_changed, text_hash): each document with an item it holds.
 
-    kind is ``verbatim`` where all slots agree, else ``reparameterised``; an alignment whose slot values
-    don't map one to one is left out. Null and short texts hold nothing; repeated rows are found each.
+    kind is ``verbatim`` where all slots agree, else ``reparameterised``; windows with slots whose values
+    don't map one to one are not covered, unless they lie in a run of equal tokens as long as is needed. Null and short texts hold nothing; repeated rows are found each.
     Other columns are not read. Empty tables give no rows.
     """
     items, windows = benchmark_windows(benchmark, width, literal)
@@ -134,23 +149,50 @@ def contaminated(
         F.first("n_tokens").alias("n_tokens"), F.collect_set("j").alias("starts"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    asked = F.transform("slots", lambda s: s["asked"])
-    held = F.transform("slots", lambda s: s["held"])
-    both = F.transform("slots", lambda s: F.struct(s["asked"], s["held"]))
-    kinds = F.size(F.array_distinct(both))
-    one_to_one = (kinds == F.size(F.array_distinct(asked))) & (kinds == F.size(F.array_distinct(held)))
+    both = F.transform("slots", lambda s: F.struct(s["asked"].alias("asked"), s["held"].alias("held")))
+    aligned = aligned.withColumn("both", both).withColumn("kinds", F.array_distinct("both"))
+    one_to_one = F.size("kinds") == F.size(F.array_distinct(F.transform("kinds", lambda k: k["asked"])))
+    one_to_one &= F.size("kinds") == F.size(F.array_distinct(F.transform("kinds", lambda k: k["held"])))
+    counted = F.transform(
+        "kinds",
+        lambda k: F.struct(k["asked"].alias("asked"), k["held"].alias("held"), F.size(F.filter("both", lambda x: x == k)).alias("n")),
+    )
+    aligned = aligned.withColumn("counted", F.when(~one_to_one, counted))
+    bad = F.transform(_clashing("counted"), lambda p: F.struct(p["asked"].alias("asked"), p["held"].alias("held")))
+    aligned = aligned.withColumn("bad", F.coalesce(bad, F.array().cast("array<struct<asked:string,held:string>>")))
+    # the places of an item whose slots clash, and those whose slots changed
+    of_bad = lambda s: F.array_contains("bad", F.struct(s["asked"].alias("asked"), s["held"].alias("held")))
+    changed = F.filter("slots", lambda s: s["asked"] != s["held"])
+    at = lambda slots: F.transform(slots, lambda s: s["at"])
+    aligned = aligned.withColumn("clash_at", at(F.filter("slots", of_bad))).withColumn("changed_at", at(changed))
+    free = lambda places: F.filter("starts", lambda j: ~F.exists(places, lambda k: (k >= j) & (k < j + width)))
+    spots_of = lambda starts: F.array_distinct(F.flatten(F.transform(starts, lambda j: F.sequence(j, j + (width - 1)))))
+    aligned = aligned.withColumn("good", spots_of(free("clash_at")))
+    # runs of equal tokens: windows without a change that meet or overlap, as (first place, place after the last)
+    nothing = F.array().cast("array<struct<low:int,high:int>>")
+    runs = F.aggregate(
+        F.array_sort(free("changed_at")),
+        nothing,
+        lambda r, j: F.when(
+            (F.size(r) > 0) & (j <= F.element_at(r, -1)["high"]),
+            F.concat(F.slice(r, 1, F.size(r) - 1), F.array(F.struct(F.element_at(r, -1)["low"].alias("low"), (j + width).cast("int").alias("high")))),
+        ).otherwise(F.concat(r, F.array(F.struct(j.cast("int").alias("low"), (j + width).cast("int").alias("high"))))),
+    )
+    need = F.least(F.lit(run), F.ceil(F.col("n_tokens") * share))
+    long_ = F.filter(runs, lambda r: r["high"] - r["low"] >= need)
+    verbatim = F.flatten(F.transform(long_, lambda r: F.sequence(r["low"], r["high"] - 1)))
+    aligned = aligned.withColumn("verbatim", F.when(~one_to_one, verbatim).otherwise(F.array().cast("array<int>")))
     # the places that an alignment covers; alignments of one item and row are put together
-    spots = F.array_distinct(F.flatten(F.transform("starts", lambda j: F.sequence(j, j + (width - 1)))))
-    aligned = aligned.filter(one_to_one).select(
-        "row", "item", "doc_id", "text_hash", "item_id", "n_tokens", spots.alias("spots"), F.size("slots").alias("n_slots"),
-        F.size(F.filter("slots", lambda s: s["asked"] != s["held"])).alias("n_changed"),
-    )
+    aligned = aligned.select(
+        "row", "item", "doc_id", "text_hash", "item_id", "n_tokens", F.array_union("good", "verbatim").alias("spots"),
+        F.size("slots").alias("n_slots"), F.size("changed_at").alias("n_changed"),
+    ).filter(F.size("spots") > 0)
     whole = aligned.groupBy("row", "item").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("item_id").alias("item_id"),
         F.first("n_tokens").alias("n_tokens"), F.size(F.array_distinct(F.flatten(F.collect_set("spots")))).alias("n_covered"),
         F.sum("n_slots").alias("n_slots"), F.sum("n_changed").alias("n_changed"),
     )
-    enough = F.col("n_covered") >= F.least(F.lit(run), F.ceil(F.col("n_tokens") * share))
+    enough = F.col("n_covered") >= need
     kind = F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim")
     return whole.filter(enough).select(
         "doc_id", "item_id", kind.alias("kind"), "n_covered", "n_tokens", "n_slots", "n_changed", "text_hash"

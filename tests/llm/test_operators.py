@@ -130,6 +130,23 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_clashing_slots_drop_their_windows_only(spark):
+    tail = "and then asks who of the four paid most for the hay of the old grey horse"
+    twice = f"the farmer buys 5 sacks of oats at the market and later on sells 5 sacks to a neighbour {tail}"
+    two = f"the farmer buys 3 sacks of oats at the market and later on sells 5 sacks to a neighbour {tail}"
+    short = "what is left of the oats if 5 of all the sacks fall off and 5 of them burst"
+    bench = spark.createDataFrame([(1, twice), (2, two), (3, short)], "item_id long, text string")
+    texts = [
+        # one of two occurrences changed; two equal ones made different; two different ones made equal
+        (1, twice.replace("sells 5", "sells 6")), (2, twice.replace("buys 5", "buys 4").replace("sells 5", "sells 7")),
+        (3, two.replace("buys 3", "buys 4").replace("sells 5", "sells 4")), (4, short.replace("and 5", "and 6")),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {(1, 1, "reparameterised"), (2, 1, "reparameterised"), (3, 2, "reparameterised"), (4, 3, "reparameterised")} <= got
+    assert decontaminate.remove(docs, bench).count() == 0
+
+
 # ---------------------------------------------------------------- repeated passages
 
 
