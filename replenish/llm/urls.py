@@ -1,8 +1,8 @@
 """URL filters: pattern rules found through their rarest literal token.
 
 A rule names a host with its subdomains and a start of the path, or gives a regular expression with
-literal tokens that every fitting URL has. The tokens of all rules are counted over all URLs, each
-rule is filed under the one that fewest URLs have, and a URL's own tokens fetch the rules to try.
+literal tokens that every fitting URL has; one with several forms, whose tokens differ, is filed for
+each form. The tokens of all rules are counted over all URLs, each form is filed under the one that fewest URLs have, and a URL's own tokens fetch the rules to try.
 Only those run their regular expression. All of it is DataFrame work.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,14 @@ BROADCAST_RULES = 200_000
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is what results show; ``tokens`` stand alone in every URL that ``regex`` fits."""
+    """``name`` is what results show; in every URL that ``regex`` fits ``tokens``, or those of one of ``others``, stand alone."""
 
     name: str
     regex: str
     tokens: tuple[str, ...]
     verdict: str
     explicit: bool
+    others: tuple[tuple[str, ...], ...] = ()
 
 
 def prefix_rule(verdict: str, place: str) -> Rule:
@@ -42,8 +44,12 @@ def prefix_rule(verdict: str, place: str) -> Rule:
 
 
 def word_rule(verdict: str, *tokens: str) -> Rule:
-    """A rule on neighbouring parts of a host name, as in ``cheap-pills``."""
-    return Rule("*" + "-".join(tokens) + "*", rf"^([^/]*[.-])?{'[-.]?'.join(map(re.escape, tokens))}[.-][^/]*(/|$)", tokens[:1], verdict, False)
+    """A rule on neighbouring parts of a host name, as in ``cheap-pills``, ``cheap.pills`` or ``cheappills``."""
+    regex = rf"^([^/]*[.-])?{'[-.]?'.join(map(re.escape, tokens))}[.-][^/]*(/|$)"
+    # each gap apart or joined; the first form has all apart
+    gaps = product(" ", *[(" ", "")] * (len(tokens) - 1))
+    forms = [tuple("".join(g + t for g, t in zip(gap, tokens)).split()) for gap in gaps]
+    return Rule("*" + "-".join(tokens) + "*", regex, forms[0], verdict, False, tuple(forms[1:]))
 
 
 EXPLICIT = (
@@ -82,17 +88,18 @@ def tokens(host: Column, path: Column) -> Column:
 
 
 def rule_index(spark: SparkSession, urls: DataFrame, rules) -> DataFrame:
-    """(token, name, regex, verdict, explicit): each rule under its token with the fewest URLs; ties go by code point."""
-    rows = [(i, r.name, r.regex, list(r.tokens), r.verdict, r.explicit) for i, r in enumerate(rules)]
+    """(token, name, regex, verdict, explicit): each form of a rule under its token with the fewest URLs; ties go by code point."""
+    forms = [(r, form) for r in rules for form in (r.tokens, *r.others)]
+    rows = [(i, r.name, r.regex, list(form), r.verdict, r.explicit) for i, (r, form) in enumerate(forms)]
     table = spark.createDataFrame(
-        rows, "rule_id int, name string, regex string, tokens array<string>, verdict string, explicit boolean"
+        rows, "form_id int, name string, regex string, tokens array<string>, verdict string, explicit boolean"
     )
     listed = table.withColumn("token", F.explode("tokens"))
     wanted = broadcast_if_small(listed.select("token").distinct(), BROADCAST_RULES)
     seen = urls.select(F.explode("tokens").alias("token")).join(wanted, "token").groupBy("token").count()
     counted = listed.join(seen, "token", "left").withColumn("n", F.coalesce("count", F.lit(0)))
-    best = counted.groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    return table.drop("tokens").join(best, "rule_id").drop("rule_id")
+    best = counted.groupBy("form_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    return table.drop("tokens").join(best, "form_id").drop("form_id")
 
 
 def judge(pages: DataFrame, rules=EXPLICIT + JUNK, otherwise: str = OTHERWISE) -> DataFrame:

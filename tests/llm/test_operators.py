@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -319,6 +320,23 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert {r["name"]: r["token"] for r in urls.rule_index(spark, parts, rules).collect()} == {"example.org/en/1": "en", "both": "cheap"}
 
 
+def test_fetched_rules_are_all_that_fit(spark):
+    """Every regular expression on every URL gives the same patterns, for joined and separated words."""
+    hosts = [
+        "cheappills.com", "cheap-pills.com", "cheap.pills.com", "x.adstrack.net", "spamfarm.org", "a-linkfarm.x", "freebets.y", "freebets", "cheap.com", "pills.cheap.org",
+        "cheappillsx.com", "xcheappills.com", "casino.net", "ads.adstrack.org", "link.farm.x", "a.bc.d", "ab.c.d", "abc.d", "a.b-c.d", "ab.d",
+    ]
+    rules = (*urls.JUNK, urls.word_rule("block", "a", "b", "c"))
+    df = spark.createDataFrame(list(enumerate(f"http://{h}/p" for h in hosts)), "page_id long, url string")
+    got = {r["page_id"]: (r["pattern"], r["verdict"]) for r in urls.judge(df, rules).collect()}
+    fits = [max((r.name for r in rules if re.search(r.regex, f"{h}/p")), default=None) for h in hosts]
+    assert got == {i: (name, "block" if name else "allow") for i, name in enumerate(fits)}
+    assert sum(name is not None for name in fits) == 14
+    host, path = urls.split_url(F.col("url"))
+    index = urls.rule_index(spark, df.select(urls.tokens(host, path).alias("tokens")), (urls.word_rule("block", "cheap", "pills"),))
+    assert {r["token"] for r in index.collect()} == {"pills", "cheappills"}
+
+
 # ---------------------------------------------------------------- shards
 
 
