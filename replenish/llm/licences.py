@@ -4,12 +4,18 @@ Text and templates are lower-cased and cut to words of letters and digits. A coe
 only possible between bigram counts a and b with t / (2 - t) <= a / b <= (2 - t) / t, so the number of
 words leaves few templates or none; of those, one that shares too few words to reach t is passed
 over, and the rest are compared. Parts are sentences, lines, paragraphs and whole texts.
+
+Notices that are none of these, as those wrapped in a longer comment or inside a line, are passages:
+runs of words over line ends from a shared bigram to another one, whose coefficient reaches the
+threshold. Only starts with enough shared bigrams within the largest possible run are tried.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +96,11 @@ class Templates:
             for a in range(1, int(b / ratio) + 2):
                 if b * ratio <= a + 1e-9 and a * ratio <= b + 1e-9:
                     self.by_size.setdefault(a, []).append(entry)
+        self.ratio = ratio
+        self.with_bigram: dict[tuple[str, str], list[int]] = {}
+        for number, (_, _, bigrams) in enumerate(self.all):
+            for g in bigrams:
+                self.with_bigram.setdefault(g, []).append(number)
 
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """The template with the largest coefficient of the threshold or more; of equals the first by name."""
@@ -110,28 +121,83 @@ class Templates:
         return found
 
     def parts(self, text: str):
-        """(kind, first line, last line, words) of every part; a part that is all of a larger one comes once."""
+        """(kind, first line, last line, words, place of the first word) of every part; a part that is all of a larger one comes once."""
         line_number = 0
         everything: list[str] = []
         paragraphs = _PARAGRAPH.split(text)
         gaps = _PARAGRAPH.findall(text) + [""]
         for paragraph, gap in zip(paragraphs, gaps):
-            first, of_paragraph = line_number, []
+            first, of_paragraph, start = line_number, [], len(everything)
             for line in paragraph.split("\n"):
                 words = normal(line)
-                yield "line", line_number, line_number, words
+                at = start + len(of_paragraph)
+                yield "line", line_number, line_number, words, at
                 sentences = _SENTENCE.split(line)
                 if len(sentences) > 1:
                     for sentence in sentences:
-                        yield "sentence", line_number, line_number, normal(sentence)
+                        of_sentence = normal(sentence)
+                        yield "sentence", line_number, line_number, of_sentence, at
+                        at += len(of_sentence)
                 of_paragraph += words
                 line_number += 1
             if line_number > first + 1:
-                yield "paragraph", first, line_number - 1, of_paragraph
+                yield "paragraph", first, line_number - 1, of_paragraph, start
             everything += of_paragraph
             line_number += gap.count("\n") - 1
         if len(paragraphs) > 1:
-            yield "text", 0, line_number, everything
+            yield "text", 0, line_number, everything, 0
+
+    def passages(self, words: list[str]):
+        """(first word, word after the last, licence, dice) of runs like a template; of those that overlap the one that shares most."""
+        placed: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        known = self.with_bigram
+        for i, g in enumerate(zip(words, words[1:])):
+            if g in known:
+                for number in known[g]:
+                    placed.setdefault(number, []).append((i, g))
+        found = []
+        for number, hits in placed.items():
+            name, _, bigrams = self.all[number]
+            size = bigrams.total()
+            least, most = ceil(size * self.ratio - 1e-9), int(size / self.ratio + 1e-9)
+            for k in range(len(hits) - least + 1):
+                first = hits[k][0]
+                if hits[k + least - 1][0] - first >= most:
+                    continue
+                left, shared, best = dict(bigrams), 0, None
+                for i, g in hits[k : k + most]:
+                    if i - first >= most:
+                        break
+                    if left[g]:
+                        left[g] -= 1
+                        shared += 1
+                        score = 2 * shared / (i - first + 1 + size)
+                        if score >= self.threshold and (best is None or score > best[1]):
+                            best = shared, score, i + 2
+                if best:
+                    found.append((-best[0], -best[1], name, first, best[2]))
+        taken: list[tuple[int, int]] = []
+        for _, score, name, first, end in sorted(found):
+            k = bisect_right(taken, (first, end))
+            if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (first, end))
+                yield first, end, name, -score
+
+    def found(self, text: str):
+        """(kind, first line, last line, licence, dice); a passage comes if no part that is found holds half of its words."""
+        spans, starts, numbers, everything = [], [], [], []
+        for kind, first, last, words, at in self.parts(text):
+            if kind == "line":
+                starts.append(at)
+                numbers.append(first)
+                everything += words
+            if best := self.best(words):
+                spans.append((at, at + len(words)))
+                yield kind, first, last, *best
+        line = lambda place: numbers[bisect_right(starts, place) - 1]
+        for first, end, *best in sorted(self.passages(everything)):
+            if all(2 * (min(end, b) - max(first, a)) < end - first for a, b in spans):
+                yield "passage", line(first), line(end - 1), *best
 
 
 def _scan(templates, threshold):
@@ -140,10 +206,9 @@ def _scan(templates, threshold):
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, first, last, words in own.parts(text or ""):
-                    if best := own.best(words):
-                        ids.append(doc_id)
-                        found.append((kind, first, last, *best))
+                for row in own.found(text or ""):
+                    ids.append(doc_id)
+                    found.append(row)
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), *(pa.array(c) for c in zip(*found))],
@@ -154,7 +219,7 @@ def _scan(templates, threshold):
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, part, first_line, last_line, licence, dice) of every part of a text that is like a template.
+    """(doc_id, part, first_line, last_line, licence, dice) of every part or passage of a text that is like a template.
 
     Null and empty texts have none; repeated rows are scanned each, repeated notices come each; other
     columns are not read. One pass over the texts, nothing is moved.

@@ -292,6 +292,26 @@ def test_licences(spark, docs, empty):
         assert own.best(words) == ((min(scores)[1], -min(scores)[0]) if scores else None)
 
 
+def test_licences_inside_longer_parts(spark):
+    import textwrap
+
+    mit, gpl, mpl = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["GPL-3.0"][1], licences.TEMPLATES["MPL-2.0"][0]
+    before = "This file is part of a larger thing that was made long ago by several people of the town."
+    wrapped = "\n".join(textwrap.wrap(gpl, 60))
+    comment = "\n".join(f"# {x}".rstrip() for x in [*textwrap.wrap(f"{before} {before} {before}", 60), "", *textwrap.wrap(mit, 60), "", "The software is as it is and was."])
+    texts = [
+        (1, f"{before}\n{wrapped}\n{before}"), (2, comment), (3, f"{before} And it has a second sentence. {mpl} {before}"), (4, f"{before}\n{before} " + "of the work is the " * 400),
+        (5, f"{before}\n{wrapped}\n{before}\n\n{before}\n{wrapped}\n{before}"), (6, mit),
+    ]
+    got = rows(licences.scan(spark.createDataFrame(texts, "doc_id long, text string")))
+    n = wrapped.count("\n") + 1
+    want = [
+        (1, "passage", 1, n, "GPL-3.0", 1.0), (2, "passage", comment.count("\n") - 1 - len(textwrap.wrap(mit, 60)), comment.count("\n") - 2, "MIT", 1.0), (3, "passage", 0, 0, "MPL-2.0", 1.0),
+        (5, "passage", 1, n, "GPL-3.0", 1.0), (5, "passage", n + 4, 2 * n + 3, "GPL-3.0", 1.0), (6, "line", 0, 0, "MIT", 1.0),
+    ]
+    assert got == want
+
+
 # ---------------------------------------------------------------- URLs
 
 
