@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replenish.llm import decontaminate, language, licences, mixing, quality, shards, simhash, substrings, token_files, urls
+from replenish.llm import collocations, decontaminate, language, licences, mixing, quality, shards, simhash, substrings, token_files, urls
 from replenish.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +216,42 @@ JOIN taken t ON s.source IS NOT DISTINCT FROM t.source AND s.h = t.h
 @query("op10_mix_sources", MIX_SQL)
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
+
+
+PHRASE_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, list_slice(w, i, i + m - 1) AS g
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, m, g, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, m, g, c AS a FROM f WHERE m > 1),
+cuts AS (
+  SELECT x.lang, x.m, x.g, x.a, x.k, l.c AS l, r.c AS r, ((2000000::HUGEINT * x.a) // (l.c + r.c))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) x
+  JOIN f l ON l.lang = x.lang AND l.g = list_slice(x.g, 1, x.k)
+  JOIN f r ON r.lang = x.lang AND r.g = list_slice(x.g, x.k + 1, x.m)),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, list_slice(g, p, p + size - 1) AS g, max(a) AS most
+  FROM (SELECT lang, g, a, m, size, unnest(range(1, m - size + 2)) AS p FROM (SELECT *, unnest(range(2, m)) AS size FROM cand))
+  GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN inside i ON w.lang = i.lang AND w.g = i.g
+  WHERE i.most IS NULL OR 100::HUGEINT * i.most < 80::HUGEINT * w.a),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank
+  FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", PHRASE_SQL)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
