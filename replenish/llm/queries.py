@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replenish.llm import collocations, decontaminate, language, licences, mixing, quality, shards, simhash, substrings, token_files, urls
+from replenish.llm import collocations, decontaminate, language, licences, mixing, prefix_trie, quality, shards, simhash, substrings, syncmers, token_files, urls
 from replenish.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +218,49 @@ def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+@query("op11_syncmer_fingerprints")
+def syncmer_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.fingerprint_edits(read(spark, folder, "documents"))
+
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS t, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'role': role, 't': t} ORDER BY turn NULLS FIRST, encode(role), encode(t)) AS w FROM turns GROUP BY conv_id),
+plans AS (
+  SELECT conv_id, w, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), c -> list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+           (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 9 AS h
+  FROM own),
+whole AS (
+  SELECT p.conv_id, list_concat(coalesce(list_slice(b.w, 1, p.h), []), coalesce(list_slice(p.w, p.h + 1, len(p.w)), [])) AS w
+  FROM plans p LEFT JOIN own b ON b.conv_id = p.base),
+paths AS (
+  SELECT conv_id, d, list_slice(w, 1, d) AS g, d = len(w) AS is_end FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, g, min(conv_id) AS owner, count(*) AS n,
+         coalesce(sha256(string_agg(CASE WHEN is_end THEN conv_id::VARCHAR END, ',' ORDER BY conv_id)), sha256('')) AS ends_sha256
+  FROM paths GROUP BY d, g),
+named AS (
+  SELECT n.*, p.owner AS parent, (n.n - 1) * CASE WHEN n.d = 0 THEN 0 ELSE octet_length(encode(n.g[n.d].t)) END AS saves,
+         (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND list_slice(c.g, 1, n.d) = n.g) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.g = list_slice(n.g, 1, n.d - 1)),
+below AS (
+  SELECT k.d, k.g, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(saves)::BIGINT AS saved_tokens
+  FROM (SELECT unnest(range(0, d + 1)) AS d, g AS full_g, n_children, saves FROM named) x, LATERAL (SELECT x.d, list_slice(x.full_g, 1, x.d) AS g) k
+  GROUP BY k.d, k.g)
+SELECT owner AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM named JOIN below USING (d, g)
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, folder, "conversations"))
+
+
 PHRASE_SQL = r"""
 WITH texts AS (
   SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t

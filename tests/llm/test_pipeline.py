@@ -43,7 +43,7 @@ def test_pipeline(spark, folder):
 def test_named_queries(spark, folder):
     from replenish.llm.queries import ORACLE_SQL, QUERIES
 
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_named_queries_match_sql(spark, folder):
