@@ -106,35 +106,41 @@ def hour_histogram(rx: DataFrame, size: int, key: str = "medicine_id") -> DataFr
     )
 
 
-def session_stats(rx: DataFrame, gap: int, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
-    """Sessions per key: an event at most ``gap`` seconds after the previous one continues its session.
+def numbered_sessions(spans: DataFrame, gap: int, key: str, parts: int | None = None) -> DataFrame:
+    """Spans ``(first_event, last_event)`` of a key, in order and apart, with the number ``_session`` of their session.
 
-    Batch form over one range layout, so that a key which never pauses is still spread over its
-    chunks. A row opens a session if it lies too far behind the row before it; for the first row of a
-    chunk that is known from the chunk summaries, which also carry the numbers of sessions on.
+    A span at most ``gap`` seconds behind the one before it continues its session. One range layout, so that a key which
+    never pauses is still spread over its chunks: the first span of a chunk is held against the chunk summaries, which
+    also carry the numbers of sessions on.
     """
-    rows = ranged(rx, key, "timestamp", [F.col("prescription_id")], parts).withColumn("_us", micros(F.col("timestamp")))
+    rows = ranged(spans, key, "first_event", [F.col("last_event")], parts)
+    rows = rows.withColumn("_from", micros(F.col("first_event"))).withColumn("_to", micros(F.col("last_event")))
     inside = W.partitionBy(key, "_chunk").orderBy("_place")
-    wait = F.col("_us") - F.lag("_us").over(inside)
+    wait = F.col("_from") - F.lag("_to").over(inside)
     rows = rows.withColumn("_opens", F.coalesce((wait > gap * MICRO).cast("bigint"), F.lit(0)))
-    chunks = rows.groupBy(key, "_chunk").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.sum("_opens").alias("_more"))
+    chunks = rows.groupBy(key, "_chunk").agg(F.min("_from").alias("_first"), F.max("_to").alias("_last"), F.sum("_opens").alias("_more"))
     order = W.partitionBy(key).orderBy("_chunk")
     pause = F.col("_first") - F.lag("_last").over(order)
     chunks = chunks.withColumn("_new", F.coalesce(pause > gap * MICRO, F.lit(True)).cast("bigint"))
     upto = F.sum(F.col("_new") + F.col("_more")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_more")
     carry = chunks.select(key, "_chunk", upto.alias("_upto"))
-    numbered = _carried(rows, carry, key).withColumn(
+    return _carried(rows, carry, key).withColumn(
         "_session", F.col("_upto") + F.sum("_opens").over(inside.rowsBetween(W.unboundedPreceding, 0))
     )
+
+
+def sessions_of(spans: DataFrame, gap: int, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
+    """One row per session of spans that carry ``count`` and ``sum``."""
     return (
-        numbered.groupBy(key, "_session")
+        numbered_sessions(spans, gap, key, parts)
+        .groupBy(key, "_session")
         .agg(
-            F.min("timestamp").alias("session_start"),
-            F.max("timestamp").alias("session_end"),
-            F.count("*").alias("count"),
-            F.sum("quantity").alias("sum"),
-            F.avg("quantity").alias("mean"),
+            F.min("first_event").alias("session_start"),
+            F.max("last_event").alias("session_end"),
+            F.sum("count").alias("count"),
+            F.sum("sum").alias("sum"),
         )
+        .withColumn("mean", F.try_divide("sum", "count"))
         .withColumn(
             "session_duration", (micros(F.col("session_end")) - micros(F.col("session_start"))) / F.lit(float(MICRO))
         )
@@ -142,6 +148,19 @@ def session_stats(rx: DataFrame, gap: int, key: str = "medicine_id", parts: int
     )
 
 
+def session_stats(rx: DataFrame, gap: int, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
+    """Sessions per key: an event at most ``gap`` seconds after the previous one continues its session.
+
+    Events of one key inside one cell of ``gap`` seconds are of one session whatever lies between them, so
+    cells are combined first and only their spans are put in order.
+    """
+    cell = F.floor(micros(F.col("timestamp")) / F.lit(gap * MICRO))
+    spans = rx.groupBy(key, cell.alias("_cell")).agg(
+        F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event"), F.count("*").alias("count"), F.sum("quantity").alias("sum")
+    )
+    return sessions_of(spans.drop("_cell"), gap, key, parts)
+
+
 # ---------------------------------------------------------------- per-event sliding window
 
 

@@ -1,8 +1,6 @@
 """Streaming operators drained over the event table, checked against the same SQL as their batch forms.
 
-Windows are read from tables of changes (update mode), which have the last, still open ones too. Sessions and chained
-gaps can only be appended: they are final once the watermark has passed them, so the SQL of those queries
-keeps what ends at or before ``max(ts) - 10 minutes``.
+Windows, sessions and gaps are read from tables of changes (update mode), which have the last, still open ones too.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from replenish.session import scratch_path
 from replenish.sources import history as H
 from replenish.sources import streams as SR
 from replenish.sources import tables as T
+from replenish.streaming import gaps as SG
 from replenish.streaming import sinks as SK
 from replenish.streaming import sliding as SL
 from replenish.streaming import stock as ST
@@ -88,15 +87,16 @@ def str2(spark, d):
 @query(
     "str3_sessions",
     f"""SELECT medicine_id, {sql_ts("min(ts)")} AS session_start, {sql_ts("max(ts)")} AS session_end, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS session_duration,
-        count(*) AS "count", round(sum(quantity), 4) AS sum, round(avg(quantity), 6) AS mean FROM (
+        count(*) AS "count", round(sum(quantity), 4) AS sum, round(avg(quantity), 6) AS mean, max(ts) + INTERVAL 15 MINUTE > (SELECT wm FROM mark) AS is_open FROM (
           SELECT *, sum(opens) OVER (PARTITION BY medicine_id ORDER BY ts, prescription_id) AS sid FROM (
             SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY medicine_id ORDER BY ts, prescription_id) <= 900e6 THEN 0 ELSE 1 END AS opens FROM ev))
-        GROUP BY medicine_id, sid HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT wm FROM mark)""",
+        GROUP BY medicine_id, sid""",
     ("ev", "mark"),
 )
 def str3(spark, d):
-    s = appended(spark, SW.sessions(events(spark, d), QUARTER_HOUR), "sessions")
-    return s.select("medicine_id", ts("session_start"), ts("session_end"), r("session_duration", 6), "count", r("sum"), r("mean", 6))
+    cells = changed(spark, SW.session_cells(events(spark, d), QUARTER_HOUR), "sessions", ["medicine_id", "cell"])
+    s = SW.live_sessions(cells, QUARTER_HOUR)
+    return s.select("medicine_id", ts("session_start"), ts("session_end"), r("session_duration", 6), "count", r("sum"), r("mean", 6), "is_open")
 
 
 @query(
@@ -119,11 +119,13 @@ def str4(spark, d):
     "str4_arrival_gaps",
     f"""SELECT medicine_id, {sql_ts("w")} AS window_start, count(*) AS "count", round(avg(g) + 0.00000123, 4) AS avg_inter_arrival_time, round(stddev_pop(g) + 0.00000123, 4) AS std_inter_arrival_time FROM (
         SELECT medicine_id, w, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY medicine_id, w ORDER BY ts)) / 1e6 AS g
-        FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev)), mark WHERE w + INTERVAL 1 HOUR <= wm GROUP BY medicine_id, w""",
-    ("ev", "mark"),
+        FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM ev)) GROUP BY medicine_id, w""",
+    ("ev",),
 )
 def str4_gaps(spark, d):
-    g = appended(spark, SW.arrival_gaps(events(spark, d), HOUR, 60), "gaps")
+    with SL.state_provider(spark):
+        slots = changed(spark, SG.slot_gaps(events(spark, d), 60), "gaps", ["medicine_id", "slot"])
+    g = SG.window_gaps(slots, HOUR, 60)
     off = F.lit(0.00000123)  # halves of whole microseconds sit on rounding ties, so both sides shift them off
     return g.select(
         "medicine_id", ts("window_start"), "count",
@@ -214,13 +216,8 @@ def str7_rate(spark, d):
     ("ev",),
 )
 def str8(spark, d):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, SL.STATE_PROVIDER)
-    try:
+    with SL.state_provider(spark):
         rows = appended(spark, SL.sliding_events(events(spark, d), HOUR), "sliding")
-    finally:
-        spark.conf.set(key, before)
     return rows.select("prescription_id", "medicine_id", "count", r("sum"), "min", "max")
 
 
@@ -242,9 +239,10 @@ def event_stock(spark, d):
     )
 
 
-def _depleted(spark, d):
+def _depleted(spark, d, stock=None, mode="first"):
     base = scratch_path(spark, "stock")
-    SK.drain(ST.deplete(events(spark, d, "user_id"), event_stock(spark, d), base, f"{base}/checkpoint"))
+    with SL.state_provider(spark):
+        SK.drain(ST.deplete(events(spark, d, "user_id"), stock or event_stock(spark, d), base, f"{base}/checkpoint", mode))
     return base
 
 
@@ -269,6 +267,18 @@ def str9_alerts(spark, d):
     return rows.select("medicine_id", "alert_type", "severity", "message")
 
 
+@query(
+    "str9_unknown_items",
+    """SELECT user_id AS medicine_id, round(sum(quantity), 4) AS total_quantity, 'no opening stock' AS reason FROM ev WHERE user_id % 10 = 0 GROUP BY 1""",
+    ("ev",),
+)
+def str9_unknown(spark, d):
+    """Events of items that the stock table does not have are kept, with the reason."""
+    base = _depleted(spark, d, event_stock(spark, d).filter("medicine_id % 10 <> 0"))
+    rows = SK.current(spark, f"{base}/unknown", ["medicine_id"])
+    return rows.select("medicine_id", r("total_quantity"), "reason")
+
+
 @query("str11_unique_events", "SELECT prescription_id, medicine_id, quantity FROM ev", ("ev",))
 def str11(spark, d):
     """The event stream delivered twice keeps each event once."""

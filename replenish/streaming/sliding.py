@@ -9,13 +9,14 @@ want a result for every event.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -27,6 +28,20 @@ from replenish.params import Params
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_provider(spark: SparkSession) -> Iterator[None]:
+    """The state provider that keyed processors need, for queries that are started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 EVENT = StructType([StructField("us", LongType()), StructField("quantity", DoubleType())])
 
 

@@ -1,17 +1,16 @@
 """Windowed aggregates over unbounded prescriptions.
 
-State is bounded by the watermark. Nothing gathers a window's rows: statistics
-are partial aggregates, and arrival gaps are chained over short slots whose
-summaries are all a window keeps.
+State is bounded by the watermark. Nothing gathers a window's rows: statistics and sessions are partial
+aggregates. Streams keep what can be merged (cells, counts), and what needs an order is put together from
+their current tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.functions.scalars import micros
-from replenish.operators.windows import FEATURE_NAMES, feature_aggregates
+from replenish.operators.windows import FEATURE_NAMES, feature_aggregates, sessions_of
 from replenish.params import Params
 
 
@@ -50,71 +49,24 @@ def hour_distribution(events: DataFrame, size: int, params: Params = Params(), k
     return counts.select(key, F.col("_w.start").alias("window_start"), "hour_of_day", "n")
 
 
-def _fold_gaps(slots: Column) -> Column:
-    """Sum of squared gaps over ordered slots ``(first, last, squares)``, gaps between slots included."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0.0).alias("squares"))
+def session_cells(events: DataFrame, gap: int, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
+    """The stream side of sessions: span, count and sum of every (key, cell of ``gap`` seconds), for update mode.
 
-    def step(acc: Column, slot: Column) -> Column:
-        between = F.coalesce((slot["first"] - acc["last"]) / F.lit(1e6), F.lit(0.0))
-        return F.struct(slot["last"].alias("last"), (acc["squares"] + slot["squares"] + between * between).alias("squares"))
-
-    return F.aggregate(slots, start, step)["squares"]
-
-
-def arrival_gaps(events: DataFrame, size: int, slot: int = 10, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
-    """Mean and population deviation of arrival gaps per window by two chained aggregates.
-
-    The first keeps the times of one ``slot``; the second keeps one
-    ``(first, last, squared gaps)`` record per slot. The mean is
-    ``(last - first) / (n - 1)``; the deviation follows from the squares.
+    Events of a cell are of one session, so a session is a run of cells; state is four numbers a cell, and a hot key is
+    spread over its cells. Sessions, open ones too, are :func:`live_sessions` of the current cells: a late event
+    that fills a pause changes its cell, and the sessions on both sides are one from then on.
     """
-    if size % slot:
-        raise ValueError("size must be a multiple of slot")
-    times = F.sort_array(F.collect_list(micros(F.col("timestamp"))))
-    short = _marked(events, params).groupBy(key, F.window("timestamp", f"{slot} seconds")).agg(
-        F.count("*").alias("n"), times.alias("_t")
-    )
-    later = F.slice("_t", F.lit(2), F.size("_t"))
-    gaps = F.zip_with(F.slice("_t", F.lit(1), F.size("_t") - 1), later, lambda a, b: (b - a) / F.lit(1e6))
-    squares = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
-    slots = short.select(
-        key,
-        F.window_time("window").alias("_at"),
-        "n",
-        F.struct(F.get("_t", F.lit(0)).alias("first"), F.get("_t", F.size("_t") - 1).alias("last"), squares.alias("squares")).alias("_slot"),
-    )
-    whole = slots.groupBy(key, F.window("_at", f"{size} seconds").alias("_w")).agg(
-        F.sum("n").alias("count"), F.sort_array(F.collect_list("_slot")).alias("_slots")
-    )
-    first, last = F.get("_slots", F.lit(0))["first"], F.get("_slots", F.size("_slots") - 1)["last"]
-    pairs = F.col("count") - 1
-    mean = F.try_divide((last - first) / F.lit(1e6), pairs)
-    square = F.try_divide(_fold_gaps(F.col("_slots")), pairs)
-    return whole.select(
-        key,
-        F.col("_w.start").alias("window_start"),
-        "count",
-        mean.alias("avg_inter_arrival_time"),
-        F.when(pairs > 0, F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))).alias("std_inter_arrival_time"),
+    stats = _marked(events, params).groupBy(key, F.window("timestamp", f"{gap} seconds").alias("_c")).agg(
+        F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event"), F.count("*").alias("count"), F.sum("quantity").alias("sum")
     )
+    return stats.select(key, F.col("_c.start").alias("cell"), "first_event", "last_event", "count", "sum")
 
 
-def sessions(events: DataFrame, gap: int, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
-    """Every session once it is closed by the watermark; its end is its last event."""
-    window = F.session_window("timestamp", f"{gap} seconds").alias("_s")
-    stats = _marked(events, params).groupBy(key, window).agg(
-        F.count("*").alias("count"), F.sum("quantity").alias("sum"), F.avg("quantity").alias("mean")
-    )
-    end = F.col("_s.end") - F.make_dt_interval(secs=F.lit(gap).cast("decimal(18,6)"))
-    return stats.select(
-        key,
-        F.col("_s.start").alias("session_start"),
-        end.alias("session_end"),
-        ((micros(end) - micros(F.col("_s.start"))) / F.lit(1e6)).alias("session_duration"),
-        "count",
-        "sum",
-        "mean",
-    )
+def live_sessions(cells: DataFrame, gap: int, params: Params = Params(), key: str = "medicine_id", parts: int | None = None) -> DataFrame:
+    """Sessions of the current cells of a stream; ``is_open`` until the watermark has passed the end by ``gap`` seconds."""
+    mark = cells.agg(F.date_trunc("millisecond", F.max("last_event")) - F.expr(f"INTERVAL {params.watermark}")).scalar()
+    rows = sessions_of(cells, gap, key, parts)
+    return rows.withColumn("is_open", F.col("session_end") + F.expr(f"INTERVAL {gap} SECONDS") > mark)
 
 
 def unique_events(events: DataFrame, params: Params = Params()) -> DataFrame:

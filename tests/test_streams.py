@@ -225,3 +225,67 @@ def test_missing_items_are_drawn_too(spark):
     counts = spark.createDataFrame([("a", 5), (None, 3)], "value string, n bigint")
     got = {r["value"]: (r["lo"], r["hi"]) for r in WN.cumulative_counts(counts).collect()}
     assert set(got) == {"a", None} and sorted(got.values())[0][0] == 0 and max(h for _, h in got.values()) == 8
+
+
+def _one_by_one(spark, tmp_path, seconds, items=None):
+    """A stream whose batches are the given lists of event times."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    n = 0
+    for k, batch in enumerate(seconds):
+        write(str(folder), f"{k}.json", [event(n + i, s, (items or {}).get(s, "a")) for i, s in enumerate(batch)], 1_700_000_000 + k)
+        n += len(batch)
+    return read(spark, str(folder))
+
+
+def test_late_events_join_sessions(spark, tmp_path):
+    # 0-60 and 200-230 are apart by more than 100 s until 130 arrives; 400 stays alone
+    feed = _one_by_one(spark, tmp_path, [[0, 60, 200], [230, 400], [130]])
+    SK.drain(SK.changes_table(SW.session_cells(feed, 100), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    cells = SK.current(spark, f"{tmp_path}/out", ["medicine_id", "cell"])
+    got = sorted((r["session_duration"], r["count"], r["is_open"]) for r in SW.live_sessions(cells, 100).collect())
+    assert got == [(0.0, 1, True), (230.0, 5, True)]
+    # as the batch form has it, also over several chunks
+    batch = SR.decode(spark.read.text(str(tmp_path / "in")))
+    for parts in (None, 3):
+        assert sorted((r["session_duration"], r["count"]) for r in WN.session_stats(batch, 100, parts=parts).collect()) == [(0.0, 1), (230.0, 5)]
+    old = spark.read.parquet(f"{tmp_path}/out").filter("batch_id = 0").drop("batch_id")
+    assert sorted(r["count"] for r in SW.live_sessions(old, 100).collect()) == [1, 2]
+
+
+def test_sessions_that_are_over(spark, tmp_path):
+    feed = _one_by_one(spark, tmp_path, [[0, 10], [2000]])
+    SK.drain(SK.changes_table(SW.session_cells(feed, 100, Params().but(watermark="1 minute")), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    cells = SK.current(spark, f"{tmp_path}/out", ["medicine_id", "cell"])
+    got = SW.live_sessions(cells, 100, Params().but(watermark="1 minute")).collect()
+    assert sorted((r["count"], r["is_open"]) for r in got) == [(1, True), (2, False)]
+
+
+def test_gaps_of_slots_that_late_events_change(spark, tmp_path):
+    from replenish.streaming import gaps as SG
+
+    batches = [[0, 3, 31, 299], [45, 2, 301], [7, 30, 650]]
+    feed = _one_by_one(spark, tmp_path, batches, {650: "b", 301: "b"})
+    query = SK.drain(SK.changes_table(SG.slot_gaps(feed, 10), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    assert query.exception() is None
+    slots = SK.current(spark, f"{tmp_path}/out", ["medicine_id", "slot"])
+    got = {(r["medicine_id"], r["window_start"].minute): (r["count"], r["avg_inter_arrival_time"], r["std_inter_arrival_time"]) for r in SG.window_gaps(slots, 300).collect()}
+    times = sorted(s for b in batches for s in b if s < 300)
+    steps = [b - a for a, b in zip(times, times[1:])]
+    mean = sum(steps) / len(steps)
+    std = (sum((s - mean) ** 2 for s in steps) / len(steps)) ** 0.5
+    assert got[("a", 0)] == (len(times), pytest.approx(mean), pytest.approx(std))
+    assert got[("b", 5)] == (1, None, None) and got[("b", 10)] == (1, None, None)
+
+
+def test_items_without_opening_stock_are_kept(spark, feed, tmp_path):
+    columns = "medicine_id string, medicine_name string, current_inventory double, reorder_point double"
+    # two opening rows of one item add up, one without reorder point never alerts
+    stock = spark.createDataFrame([("a", "A", 60.0, None), ("a", "A", 40.0, None)], columns)
+    SK.drain(ST.deplete(read(spark, feed), stock, str(tmp_path), f"{tmp_path}/cp"))
+    used = {r["medicine_id"]: r["q"] for r in SR.decode(spark.read.text(feed)).groupBy("medicine_id").agg(F.sum("quantity").alias("q")).collect()}
+    left = SK.current(spark, f"{tmp_path}/stock", ["medicine_id"]).collect()
+    assert [(r["medicine_id"], r["total_quantity"], r["current_inventory"]) for r in left] == [("a", used["a"], max(0.0, 100 - used["a"]))]
+    unknown = SK.current(spark, f"{tmp_path}/unknown", ["medicine_id"]).collect()
+    assert [tuple(r) for r in unknown] == [("b", used["b"], "no opening stock")]
+    assert spark.read.parquet(f"{tmp_path}/alerts").count() == 0
