@@ -11,15 +11,15 @@ before or after it lies at the same distance.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.session import stored
-
 K, S = 32, 8
 _STEP = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,9 +141,8 @@ _FIELDS = [
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ]
+_RESULT = pa.schema(_FIELDS)
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_OPEN = pa.schema([*_FIELDS, ("part", pa.int64()), ("head", pa.string()), ("tail", pa.string())])
-
 
 def _row(doc_id, a: _Text, b: _Text) -> dict:
     sha, edited = _edited(a, b)
@@ -153,36 +152,60 @@ def _row(doc_id, a: _Text, b: _Text) -> dict:
     }
 
 
-def _packed(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
+def _key(doc_id: int | None, tie: int) -> tuple[bool, int, int]:
+    return doc_id is not None, doc_id or 0, tie
+
+
+_PACKED = pa.schema([("part", pa.int32()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+
+
+def _pack(shared):
+    """Rows with their part, texts compressed; rows of a batch that agree in id and text become one with a count."""
+
+    def rows(batches):
+        bounds, press = shared.value, zstandard.ZstdCompressor(1)
+        for batch in batches:
+            seen: dict[tuple, list] = {}
+            for doc_id, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                key = _key(doc_id, tie)
+                if key in seen:
+                    seen[key][4] += 1
+                else:
+                    seen[key] = [bisect_right(bounds, key) - 1, False, doc_id, tie, 1, press.compress(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*seen.values()), _PACKED)] if seen else [[]] * 6, schema=_PACKED)
+
+    return rows
 
 
 def _in_order(batches):
-    """Rows of one part in order, each with the next; the first text and the last row of the part stay open."""
-    last, last_id, out, size = None, None, [], 0
+    """Every row of a part with the next in order; the part's last row comes from the next part and is only looked at."""
+    press, last, out, size = zstandard.ZstdDecompressor(), None, [], 0
     for batch in batches:
-        for part, doc_id, text in zip(*(batch.column(i) for i in range(3))):
-            now = _Text(text.as_py())
-            if last is None:
-                out.append({"part": part.as_py(), "head": now.text})
+        for part, only, doc_id, tie, n, packed in zip(*(batch.column(i) for i in range(6))):
+            key = (part.as_py(), *_key(doc_id.as_py(), tie.as_py()))
+            if last is not None and last[0][0] == key[0]:
+                before, count = last[1], last[2]
+                if key == last[0] and not only.as_py():
+                    last = (key, before, count + n.as_py(), last[3])
+                    continue
+                now = _Text(press.decompress(packed.as_buffer()).decode())
+                out += [_row(last[3], before, before)] * (count - 1) + [_row(last[3], before, now)]
+                size += len(before.raw) * count
             else:
-                out.append(_row(last_id, last, now))
-            last, last_id, at = now, doc_id.as_py(), part.as_py()
-            size += len(now.raw)
+                now = _Text(press.decompress(packed.as_buffer()).decode())
+            last = (key, now, n.as_py(), doc_id.as_py())
             if size > _STEP:
-                yield _packed(out, _OPEN)
+                yield pa.RecordBatch.from_pylist(out, schema=_RESULT)
                 out, size = [], 0
-    if last is not None:
-        yield _packed([*out, {"part": at, "doc_id": last_id, "tail": last.text}], _OPEN)
+            if only.as_py():
+                last = None
+    yield pa.RecordBatch.from_pylist(out, schema=_RESULT)
 
 
-def _across(batches):
-    for batch in batches:
-        for doc_id, text, following in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            yield _packed([_row(doc_id, _Text(text), _Text(following))], pa.schema(_FIELDS))
+SAMPLES = 20
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The order is ascending doc_id, null first, then the text's hash; rows that agree in both are alike. The
@@ -190,20 +213,39 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     first. ``near_edited`` and ``near_next`` compare a text with its edited form and with the next. Null texts are empty;
     empty texts are all alike. Repeated rows stay; an empty table gives no rows; other columns are not read.
 
-    Texts are sorted by range once, rows are handled with the next in the same part, and what is open at the ends of parts, two
-    rows a part, is joined by the part's number.
+    Parts of the order begin at rows of the table; about ``SAMPLES`` keys a part are drawn to choose them, which bounds
+    what the driver sees and touches no result. The first text of each part also goes to the end of the one before, so every
+    row meets its next in its own part. Texts are shuffled once, compressed; rows that agree are counted before.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = texts.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
-    placed = keyed.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
-    rows = placed.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
-    done = stored(rows.mapInArrow(_in_order, f"{RESULT}, part long, head string, tail string"), "syncmer-rows")
-    heads = done.filter("head is not null").select("part", "head")
-    # one number for each part of the sort, not a document's
-    parts = sorted(r["part"] for r in heads.select("part").collect())
-    after = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])), "part long, next long")
-    tails = done.filter("tail is not null").select("part", "doc_id", "tail").join(after, "part")
-    open_ = tails.join(heads.select(F.col("part").alias("next"), "head"), "next").select("doc_id", "tail", "head")
-    columns = [name for name, _ in _FIELDS]
-    return done.filter("fingerprint is not null").select(*columns).union(open_.mapInArrow(_across, RESULT))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    keys = rows.select("doc_id", "tie")
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
+    least, count = keys.agg(F.min(order).alias("least"), F.count("*").alias("n")).first()
+    if least is None:
+        return spark.createDataFrame([], RESULT)
+    drawn = keys.sample(min(1.0, SAMPLES * parts / count), 1).select(order.alias("k")).distinct().collect()
+    sample = sorted({tuple(r["k"]) for r in drawn} | {tuple(least)})
+    bounds = sorted({sample[len(sample) * k // parts] for k in range(parts)} | {tuple(least)})
+    shared = spark.sparkContext.broadcast(bounds)
+    packed = rows.mapInArrow(_pack(shared), "part int, last boolean, doc_id long, tie long, n long, packed binary")
+    # the beginning of part k ends part k - 1
+    firsts = [((k - 1) % len(bounds), b[1] if b[0] else None, b[2]) for k, b in enumerate(bounds)]
+    firsts = F.broadcast(spark.createDataFrame(firsts, "part int, first_id long, first_tie long"))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    heads = rows.join(firsts, same).select("part", "doc_id", "tie", "text").dropDuplicates(["part"])
+    heads = heads.mapInArrow(_pack_heads, packed.schema)
+    dealt = packed.union(heads).repartitionById(len(bounds), "part")
+    ordered = dealt.sortWithinPartitions("part", "last", F.col("doc_id").isNotNull(), "doc_id", "tie")
+    return ordered.mapInArrow(_in_order, RESULT)
+
+
+def _pack_heads(batches):
+    press = zstandard.ZstdCompressor(1)
+    for batch in batches:
+        part, doc_id, tie, text = batch.columns
+        n = len(batch)
+        packed = pa.array([press.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([part, pa.array([True] * n), doc_id, tie, pa.array([1] * n, pa.int64()), packed], schema=_PACKED)
