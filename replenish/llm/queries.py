@@ -231,8 +231,8 @@ own AS (
 plans AS (
   SELECT conv_id, w, conv_id - conv_id % 5 AS base,
          xor(4294967295, list_reduce(
-           list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), c -> list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
-           (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 9 AS h
+           list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 9 AS h
   FROM own),
 whole AS (
   SELECT p.conv_id, list_concat(coalesce(list_slice(b.w, 1, p.h), []), coalesce(list_slice(p.w, p.h + 1, len(p.w)), [])) AS w
