@@ -145,29 +145,33 @@ def allocate_with_budget(
     budget: float | Column | None = None,
     params: Params = Params(),
 ) -> DataFrame:
-    """Least-cost order quantities that reach 95 % of mean demand under capacity and budget.
+    """Least-cost order quantities that reach 95 % of mean demand under capacity and budget, each with status and reason.
 
     Holding and fixed cost rise with the quantity, so the service level binds: an item
-    orders what is missing to 95 % of its mean demand. Items without a forecast order nothing.
+    orders what is missing to 95 % of its mean demand. Items without a forecast order nothing. An item that would have to
+    order more than its maximum can't reach its level: it alone is infeasible and orders nothing. If capacity or
+    budget can't hold the rest, every row says so.
     """
     cap = params.storage_capacity if capacity is None else capacity
     money = params.budget if budget is None else budget
     cap = cap if isinstance(cap, Column) else F.lit(float(cap))
     money = money if isinstance(money, Column) else F.lit(float(money))
-    need = S.at_least_zero(F.lit(0.95) * mean_demand - F.col("current_inventory"))
-    out = items.withColumn("order_quantity", F.coalesce(need, F.lit(0.0))).withColumn(
-        "total_cost", F.col("order_quantity") * F.col("unit_cost")
-    )
+    need = F.coalesce(S.at_least_zero(F.lit(0.95) * mean_demand - F.col("current_inventory")), F.lit(0.0))
     most = F.least(F.coalesce(F.col("max_order_quantity"), F.lit(1000.0)), F.lit(10000.0))
+    out = (
+        items.withColumn("_tight", need > most)
+        .withColumn("order_quantity", F.when(F.col("_tight"), 0.0).otherwise(need))
+        .withColumn("total_cost", F.col("order_quantity") * F.col("unit_cost"))
+    )
     totals = out.agg(
-        F.struct(
-            F.sum(F.col("current_inventory") + F.col("order_quantity")).alias("used"),
-            F.sum("total_cost").alias("spent"),
-            F.count_if(F.col("order_quantity") > most).alias("tight"),
-        )
+        F.struct(F.sum(F.col("current_inventory") + F.col("order_quantity")).alias("used"), F.sum("total_cost").alias("spent"))
     ).scalar()
-    feasible = (totals["used"] <= cap) & (totals["spent"] <= money) & (totals["tight"] == 0)
-    return out.withColumn("status", F.when(feasible, "Optimal").otherwise("Infeasible"))
+    full, dear, tight = totals["used"] > cap, totals["spent"] > money, F.col("_tight")
+    reason = (
+        F.when(full, "capacity is short").when(dear, "budget is short").when(tight, "needs more than its maximum order")
+    )
+    status = F.when(full | dear | tight, "Infeasible").otherwise("Optimal")
+    return out.withColumn("status", status).withColumn("reason", reason).drop("_tight")
 
 
 def supply_priority(days: Column) -> Column:

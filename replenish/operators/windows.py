@@ -420,7 +420,8 @@ def stock_walk(
 
     ``changes`` has ``medicine_id, timestamp, delta``. With ``s`` the unclamped
     walk, the clamped one is ``s - least(0, running minimum of s)``. One range layout serves the sums and the
-    minima of each chunk; the opening stock meets the chunk summaries only.
+    minima of each chunk; the opening stock meets the chunk summaries only. Several opening rows of an item add up.
+    An item without any starts at zero and has ``opening_known`` false; a missing item is an item of its own.
     """
     key = "medicine_id"
     rows = ranged(changes, key, "timestamp", ties, parts)
@@ -428,10 +429,11 @@ def stock_walk(
     rows = rows.withColumn("_sum", F.sum("delta").over(inside))
     chunks = rows.groupBy(key, "_chunk").agg(F.sum("delta").alias("_all"), F.min("_sum").alias("_least"))
     before = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    start = stock.select(key, F.col("current_inventory").alias("_start"))
-    opened = chunks.withColumn("_past", F.coalesce(F.sum("_all").over(before), F.lit(0.0))).join(start, key)
-    opened = opened.withColumn("_from", F.col("_start") + F.col("_past"))
-    carry = opened.select(key, "_chunk", "_from", F.min(F.col("_from") + F.col("_least")).over(before).alias("_low"))
+    start = stock.groupBy(F.col(key).alias("_item")).agg(F.sum("current_inventory").alias("_start"))
+    opened = chunks.withColumn("_past", F.coalesce(F.sum("_all").over(before), F.lit(0.0)))
+    opened = opened.join(start, F.col(key).eqNullSafe(F.col("_item")), "left")
+    opened = opened.withColumn("_from", F.coalesce("_start", F.lit(0.0)) + F.col("_past"))
+    carry = opened.select(key, "_chunk", "_from", F.col("_start").isNotNull().alias("opening_known"), F.min(F.col("_from") + F.col("_least")).over(before).alias("_low"))
     walked = _carried(rows, carry, key).withColumn("_s", F.col("_from") + F.col("_sum"))
     low = F.least(F.lit(0.0), F.col("_low"), F.col("_from") + F.min("_sum").over(inside))
     after = F.col("_s") - low if clamp else F.col("_s")

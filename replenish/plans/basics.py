@@ -125,6 +125,19 @@ def src10(spark, d):
     return X.parse_edi(X.read_edi(spark, path))
 
 
+@query(
+    "src10_edi_lines",
+    "SELECT 'PO-' || split_part(order_id, '-', 2) AS order_id, quantity, unit_cost, CAST(medicine_id AS VARCHAR) AS medicine_id FROM ord",
+    ("ord",),
+)
+def src10_lines(spark, d):
+    """Whole baskets as messages of several lines, read back line by line."""
+    path = scratch_path(spark, "edi-lines")
+    lines = T.orders_with_items(spark, d).withColumn("order_id", F.concat_ws("-", F.lit("PO"), F.col("basket_id")))
+    X.edi_850_of_lines(lines).select("value").write.option("lineSep", "\n\n").text(path)
+    return X.parse_edi(X.read_edi(spark, path))
+
+
 @query(
     "src11_json_round_trip",
     f"SELECT prescription_id, medicine_id, quantity, {sql_ts('ts')} AS \"timestamp\", is_emergency, location FROM ev",

@@ -120,23 +120,33 @@ def inv10_small(spark, d):
     return I.allocate_with_capacity(I.stock_targets(items(spark, d))).select("medicine_id", "status")
 
 
+common(
+    "chosen",
+    """SELECT *, wanted > 20 AS tight, CASE WHEN wanted > 20 THEN 0 ELSE wanted END AS q FROM (
+       SELECT medicine_id, inv * 0.05 AS i, cost, fm, greatest(0, 0.95 * fm - inv * 0.05) AS wanted FROM target)""",
+    "target",
+)
+
+
 @query(
     "inv11_budget_allocation",
-    """SELECT medicine_id, round(q, 4) AS order_quantity, round(q * cost, 2) AS total_cost, CASE WHEN days < 7 THEN 1.0 WHEN days < 14 THEN 0.7 WHEN days < 30 THEN 0.4 ELSE 0.1 END::DOUBLE AS priority,
-       CASE WHEN (SELECT sum(i + q) <= 100000000 AND sum(q * cost) <= 1000000000 AND max(q) <= 1000 FROM (SELECT inv * 0.05 AS i, cost, greatest(0, 0.95 * fm - inv * 0.05) AS q FROM target)) THEN 'Optimal' ELSE 'Infeasible' END AS status
-       FROM (SELECT medicine_id, cost, greatest(0, 0.95 * fm - inv * 0.05) AS q, inv * 0.05 / greatest(fm, 1) AS days FROM target) WHERE q > 0""",
-    ("target",),
+    """SELECT medicine_id, round(q, 4) AS order_quantity, round(q * cost, 2) AS total_cost, CASE WHEN i / greatest(fm, 1) < 7 THEN 1.0 WHEN i / greatest(fm, 1) < 14 THEN 0.7 WHEN i / greatest(fm, 1) < 30 THEN 0.4 ELSE 0.1 END::DOUBLE AS priority,
+       CASE WHEN tight OR (SELECT sum(i + q) > 100000000 OR sum(q * cost) > 1000000000 FROM chosen) THEN 'Infeasible' ELSE 'Optimal' END AS status,
+       CASE WHEN (SELECT sum(i + q) > 100000000 FROM chosen) THEN 'capacity is short' WHEN (SELECT sum(q * cost) > 1000000000 FROM chosen) THEN 'budget is short'
+            WHEN tight THEN 'needs more than its maximum order' END AS reason
+       FROM chosen WHERE wanted > 0""",
+    ("chosen",),
 )
 def inv11(spark, d):
-    """Stock cut to a twentieth, so that the service level binds for many items."""
+    """Stock cut to a twentieth, so that the service level binds for many items; some need more than 20 units."""
     low = items(spark, d).withColumn("current_inventory", F.col("current_inventory") * 0.05).withColumn(
-        "max_order_quantity", F.lit(1000.0)
+        "max_order_quantity", F.lit(20.0)
     )
     mean = F.aggregate("forecast", F.lit(0.0), lambda a, x: a + x) / F.size("forecast")
     out = I.allocate_with_budget(low.withColumn("mean_demand", mean), F.col("mean_demand"), 1e8, 1e9)
     days = F.col("current_inventory") / F.greatest(F.col("mean_demand"), F.lit(1.0))
-    return out.filter("order_quantity > 0").select(
-        "medicine_id", r("order_quantity"), r("total_cost", 2), I.supply_priority(days).alias("priority"), "status"
+    return out.filter("order_quantity > 0 or status = 'Infeasible'").select(
+        "medicine_id", r("order_quantity"), r("total_cost", 2), I.supply_priority(days).alias("priority"), "status", "reason"
     )
 
 

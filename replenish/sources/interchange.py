@@ -11,8 +11,28 @@ from replenish.sources.history import MICROS
 SEGMENT_END = "~"
 
 
-def edi_850(orders: DataFrame) -> Column:
-    """Purchase order message per row, dated by ``created_at``."""
+def _line(number: Column, item: Column, quantity: Column, cost: Column) -> Column:
+    """PO1 segment of one order line."""
+    parts = ["PO1", number.cast("string"), quantity.cast("string"), "EA", F.coalesce(cost, F.lit(0.0)).cast("string"), "", "VP", item.cast("string")]
+    return F.concat_ws("*", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def edi_850_of_lines(lines: DataFrame) -> DataFrame:
+    """(order_id, value): one message per order with a PO1 segment for each of its lines.
+
+    ``lines`` has ``order_id, line, medicine_id, quantity, unit_cost, created_at`` and is dated by its first line. An
+    order's lines are put together in one row, as the message needs them; lines are ordered by number, then item.
+    """
+    line = F.struct("line", "medicine_id", "quantity", "unit_cost")
+    orders = lines.groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.min("created_at").alias("created_at"))
+    numbered = F.transform("lines", lambda x, i: _line(i + 1, x["medicine_id"], x["quantity"], x["unit_cost"]))
+    return orders.select("order_id", edi_850(orders, numbered).alias("value"))
+
+
+def edi_850(orders: DataFrame, lines: Column | None = None) -> Column:
+    """Purchase order message per row, dated by ``created_at``; ``lines`` are PO1 segments if there is not just one."""
+    if lines is None:
+        lines = F.array(_line(F.lit(1), F.col("medicine_id"), F.col("quantity"), F.col("unit_cost")))
     at = F.col("created_at")
     day, short_day, time = F.date_format(at, "yyyyMMdd"), F.date_format(at, "yyMMdd"), F.date_format(at, "HHmm")
 
@@ -31,10 +51,9 @@ def edi_850(orders: DataFrame) -> Column:
         segment("BEG", "00", "SA", F.col("order_id"), "", day),
         segment("REF", "DP", text("department", "PHARMACY")),
         segment("PER", "BD", text("contact_name", "Pharmacy Manager"), "TE", text("contact_phone", "000-000-0000")),
-        segment("PO1", "1", F.col("quantity").cast("string"), "EA",
-                F.coalesce(F.col("unit_cost"), F.lit(0.0)).cast("string"), "", "VP", F.col("medicine_id").cast("string")),
-        segment("CTT", "1"),
-        segment("SE", "7", "0001"),
+        F.concat_ws(SEGMENT_END + "\n", lines),
+        segment("CTT", F.size(lines).cast("string")),
+        segment("SE", (F.size(lines) + 6).cast("string"), "0001"),
         segment("GE", "1", "1"),
         segment("IEA", "1", "000000001"),
     ]
@@ -52,18 +71,26 @@ def read_edi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_edi(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Order fields of each message; segments are trimmed before they are recognised."""
+    """A row per order line of each message; segments are trimmed before they are recognised.
+
+    A message without any line gives one row, with zeros and empty texts for what it lacks.
+    """
     segments = F.transform(F.split(F.col(column), SEGMENT_END), lambda s: F.trim(F.regexp_replace(s, "[\r\n]", "")))
 
-    def field(tag: str, index: int) -> Column:
-        match = F.get(F.filter(segments, lambda s: s.startswith(tag)), F.lit(0))
+    def tagged(tag: str) -> Column:
+        return F.filter(segments, lambda s: s.startswith(tag + "*"))
+
+    def field(match: Column, index: int) -> Column:
         return F.get(F.split(match, r"\*"), F.lit(index))
 
-    return messages.select(
-        F.coalesce(field("BEG", 3), F.lit("")).alias("order_id"),
-        F.coalesce(field("PO1", 2).try_cast("double"), F.lit(0.0)).alias("quantity"),
-        F.coalesce(field("PO1", 4).try_cast("double"), F.lit(0.0)).alias("unit_cost"),
-        F.coalesce(field("PO1", 7), F.lit("")).alias("medicine_id"),
+    lines = messages.select(
+        F.coalesce(field(F.get(tagged("BEG"), F.lit(0)), 3), F.lit("")).alias("order_id"), F.explode_outer(tagged("PO1")).alias("_line")
+    )
+    return lines.select(
+        "order_id",
+        F.coalesce(field(F.col("_line"), 2).try_cast("double"), F.lit(0.0)).alias("quantity"),
+        F.coalesce(field(F.col("_line"), 4).try_cast("double"), F.lit(0.0)).alias("unit_cost"),
+        F.coalesce(field(F.col("_line"), 7), F.lit("")).alias("medicine_id"),
     )
 
 

@@ -16,16 +16,23 @@ def append_table(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
-def _write_batch(path: str):
+def _write_batch(path: str, keys: list[str] | None, every: int):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        if keys and batch_id % every == every - 1:
+            compact(batch.sparkSession, path, keys)
 
     return write
 
 
-def changes_table(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Changed groups per micro-batch (update mode); a retried batch overwrites its own directory."""
-    return df.writeStream.outputMode("update").foreachBatch(_write_batch(path)).option("checkpointLocation", checkpoint)
+def changes_table(df: DataFrame, path: str, checkpoint: str, keys: list[str] | None = None, every: int = 64) -> DataStreamWriter:
+    """Changed groups per micro-batch (update mode); a retried batch overwrites its own directory.
+
+    With ``keys`` the table is brought down to the newest rows after each ``every`` batches, so that what
+    :func:`current` reads is the groups and ``every`` batches, however long the stream has run.
+    """
+    write = _write_batch(path, keys, every)
+    return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def batches(spark: SparkSession, path: str) -> list[str]:
@@ -60,8 +67,11 @@ def compact(spark: SparkSession, path: str, keys: list[str], keep: int = 1) -> N
 
 
 def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current state of a table of changes."""
-    return latest(spark.read.parquet(path), keys)
+    """Current state of a table of changes: its last merged batch and the newer ones."""
+    names = batches(spark, path)
+    merged = [i for i, n in enumerate(names) if "." in n]
+    wanted = names[merged[-1] if merged else 0 :]
+    return latest(spark.read.option("basePath", path).parquet(*[f"{path}/{BATCH}={n}" for n in wanted]), keys)
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
