@@ -25,39 +25,64 @@ MICRO = 1_000_000
 # ---------------------------------------------------------------- tumbling and hopping windows
 
 
-def window_stats(rx: DataFrame, size: int, slide: int | None = None, key: str = "medicine_id") -> DataFrame:
-    """count, sum, mean, median, population std, min, max and first/last time per key and window.
+def pane_counts(rx: DataFrame, pane: int, key: str = "medicine_id") -> DataFrame:
+    """(key, pane, quantity, n, first_event, last_event): rows per key, pane of ``pane`` seconds and value; batch or stream."""
+    counts = rx.groupBy(key, F.window("timestamp", f"{pane} seconds").alias("_p"), "quantity").agg(
+        F.count("*").alias("n"), F.min("timestamp").alias("first_event"), F.max("timestamp").alias("last_event")
+    )
+    return counts.select(key, F.unix_seconds(F.col("_p.start")).alias("pane"), *counts.columns[2:])
+
+
+def exact_median(counts: DataFrame, group: list[str], value: str = "quantity", n: str = "n", parts: int | None = None) -> DataFrame:
+    """(group..., median) of values that come ``n`` times, of groups of any size.
 
-    Rows are first counted per (key, pane, value), where a pane is the slide
-    length, and only those counts are copied to the overlapping windows. The
-    median comes from the counts, so no window's rows are gathered.
+    The counts are sorted by range of (group, value) and summed per chunk; the sums tell which chunks, two at most, hold a
+    group's middle ranks, and only those are looked at row by row. No task has all values of a group. Rows
+    without a value don't count; a group without values has no row.
+    """
+    rows = ranged(counts.filter(F.col(value).isNotNull()).select(F.struct(*group).alias("_g"), value, n), "_g", value, [], parts)
+    sums = rows.groupBy("_g", "_chunk").agg(F.sum(n).alias("_sum"))
+    whole = W.partitionBy("_g")
+    before = F.sum("_sum").over(whole.orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")
+    total = F.sum("_sum").over(whole)
+    low, high = F.floor((total + 1) / 2), F.floor((total + 2) / 2)
+    sums = sums.select("_g", "_chunk", "_sum", before.alias("_before"), low.alias("_low"), high.alias("_high"))
+    middle = sums.filter((F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_sum") >= F.col("_low")))
+    inside = W.partitionBy("_g", "_chunk").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    near = _carried(rows, middle.drop("_sum"), "_g").withColumn("_upto", F.col("_before") + F.sum(n).over(inside))
+    near = near.filter((F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col(n) < F.col("_high")))
+    both = near.groupBy("_g").agg(((F.min(value) + F.max(value)) / 2).alias("median"))
+    return both.select(*[F.col("_g")[c].alias(c) for c in group], "median")
+
+
+def stats_of_counts(counts: DataFrame, size: int, slide: int | None = None, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
+    """count, sum, mean, median, population std, min, max and first/last time per key and window, from :func:`pane_counts`.
+
+    A pane is the slide, or the whole window if there is none; its counts are copied to the windows over it.
     """
     if slide and size % slide:
         raise ValueError("size must be a multiple of slide")
-    pane = slide or size
-    counts = rx.groupBy(key, F.window("timestamp", f"{pane} seconds").alias("_p"), "quantity").agg(
-        F.count("*").alias("_n"), F.min("timestamp").alias("_t0"), F.max("timestamp").alias("_t1")
-    )
-    start = F.unix_seconds(F.col("_p.start"))
+    start = F.col("pane")
     if slide:
         # windows that contain the pane start at pane - k * slide for k below size / slide
-        first = start - F.lit(size - slide)
-        starts = F.sequence(first, start, F.lit(slide).cast("bigint"))
+        starts = F.sequence(start - F.lit(size - slide), start, F.lit(slide).cast("bigint"))
         counts = counts.withColumn("_w", F.explode(starts))
     else:
         counts = counts.withColumn("_w", start)
-    n, v = F.col("_n"), F.col("quantity")
+    n, v = F.col("n"), F.col("quantity")
     out = counts.groupBy(key, "_w").agg(
-        F.min("_t0").alias("first_event"),
-        F.max("_t1").alias("last_event"),
+        F.min("first_event").alias("first_event"),
+        F.max("last_event").alias("last_event"),
         F.sum(n).alias("count"),
         F.sum(v * n).alias("sum"),
         F.sum(v * v * n).alias("_sq"),
-        F.percentile("quantity", 0.5, F.col("_n")).alias("median"),
+        F.sum(F.when(v.isNotNull(), n)).alias("_valued"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    mean = F.col("sum") / F.col("count")
+    medians = exact_median(counts, [key, "_w"], parts=parts).withColumnsRenamed({key: "_k", "_w": "_mw"})
+    out = out.join(medians, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_w") == F.col("_mw")), "left")
+    mean = F.try_divide("sum", "_valued")
     return out.select(
         key,
         F.timestamp_seconds("_w").alias("window_start"),
@@ -68,12 +93,17 @@ def window_stats(rx: DataFrame, size: int, slide: int | None = None, key: str =
         "sum",
         mean.alias("mean"),
         "median",
-        F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") / F.col("count") - mean * mean)).alias("std"),
+        F.when(F.col("_valued") > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide("_sq", "_valued") - mean * mean))).alias("std"),
         "min",
         "max",
     )
 
 
+def window_stats(rx: DataFrame, size: int, slide: int | None = None, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
+    """Statistics per key and window, with exact medians; rows are first counted per (key, pane, value)."""
+    return stats_of_counts(pane_counts(rx, slide or size, key), size, slide, key, parts)
+
+
 def feature_aggregates(size: int, distinct: Column) -> list[Column]:
     """Emergency, necessity, location and age features of a window, for any groupBy."""
     rate = F.avg(F.coalesce(F.col("is_emergency"), F.lit(False)).cast("int"))
@@ -164,36 +194,70 @@ def session_stats(rx: DataFrame, gap: int, key: str = "medicine_id", parts: int
 # ---------------------------------------------------------------- per-event sliding window
 
 
-def sliding_stats(rx: DataFrame, size: int, key: str = "medicine_id") -> DataFrame:
+PARTIAL = {"n": F.sum, "v": F.sum, "s": F.sum, "q": F.sum, "lo": F.min, "hi": F.max}
+
+
+def _both(name: str, a: Column, b: Column) -> Column:
+    """Two partial aggregates as one; either may be missing."""
+    if name in ("lo", "hi"):
+        return (F.least if name == "lo" else F.greatest)(a, b)
+    return F.coalesce(a + b, a, b)
+
+
+def sliding_stats(rx: DataFrame, size: int, key: str = "medicine_id", parts: int | None = None) -> DataFrame:
     """For every event time of a key: statistics of that key's events in the closed span [t - size, t].
 
-    Equal times of a key share their result, so rows are first combined per
-    (key, time). The axis is cut into cells of ``size`` seconds; a combined row
-    serves its own cell and, as history, the next one, so each task sees two
-    spans of a key and never its whole past.
+    Equal times of a key share their result, so rows are first combined per (key, time). The axis is cut into cells
+    of ``size`` seconds, so a span is the end of one cell and the beginning of the next: running aggregates from both
+    ends of every cell give both, and the end that belongs to t is the first at or after t - size. The cost of
+    an event doesn't depend on how many the span holds, nothing is subtracted, and a cell with any number of events is
+    spread over the chunks of a range layout. Events without a time have no span.
     """
-    at = rx.groupBy(key, "timestamp").agg(
-        F.count("*").alias("_n"),
-        F.sum("quantity").alias("_s"),
-        F.sum(F.col("quantity") * F.col("quantity")).alias("_q"),
-        F.min("quantity").alias("_lo"),
-        F.max("quantity").alias("_hi"),
+    at = rx.filter("timestamp is not null").groupBy(key, "timestamp").agg(
+        F.count("*").alias("n"),
+        F.count("quantity").alias("v"),
+        F.sum("quantity").alias("s"),
+        F.sum(F.col("quantity") * F.col("quantity")).alias("q"),
+        F.min("quantity").alias("lo"),
+        F.max("quantity").alias("hi"),
     )
     at = at.withColumn("_us", micros(F.col("timestamp")))
-    home = F.floor(F.col("_us") / F.lit(size * MICRO)).cast("bigint")
-    spread = at.withColumn("_home", home).withColumn("_cell", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = W.partitionBy(key, "_cell").orderBy("_us").rangeBetween(-size * MICRO, 0)
-    out = (
-        spread.withColumn("count", F.sum("_n").over(w))
-        .withColumn("sum", F.sum("_s").over(w))
-        .withColumn("_sq", F.sum("_q").over(w))
-        .withColumn("min", F.min("_lo").over(w))
-        .withColumn("max", F.max("_hi").over(w))
-        .filter(F.col("_cell") == F.col("_home"))
+    at = at.withColumn("_cell", F.floor(F.col("_us") / F.lit(size * MICRO)).cast("bigint"))
+    rows = ranged(at, key, "timestamp", [], parts)
+    inside, cells = W.partitionBy(key, "_cell", "_chunk"), W.partitionBy(key, "_cell")
+    upto, past = (W.unboundedPreceding, 0), (W.unboundedPreceding, -1)
+    chunks = rows.groupBy(key, "_cell", "_chunk").agg(*[how(c).alias(c) for c, how in PARTIAL.items()])
+    carry = chunks.select(
+        key, "_cell", "_chunk",
+        *[how(c).over(cells.orderBy("_chunk").rowsBetween(*past)).alias(f"_b_{c}") for c, how in PARTIAL.items()],
+        *[how(c).over(cells.orderBy(F.desc("_chunk")).rowsBetween(*past)).alias(f"_a_{c}") for c, how in PARTIAL.items()],
+    )
+    begun = {c: how(c).over(inside.orderBy("_place").rowsBetween(*upto)) for c, how in PARTIAL.items()}
+    left = {c: how(c).over(inside.orderBy(F.desc("_place")).rowsBetween(*upto)) for c, how in PARTIAL.items()}
+    rows = rows.select("*", *[x.alias(f"_i_{c}") for c, x in begun.items()], *[x.alias(f"_l_{c}") for c, x in left.items()])
+    rows = _carried(rows, carry, key, "_cell")
+    head = F.struct(*[_both(c, F.col(f"_b_{c}"), F.col(f"_i_{c}")).alias(c) for c in PARTIAL]).alias("_head")
+    tail = F.struct(*[_both(c, F.col(f"_a_{c}"), F.col(f"_l_{c}")).alias(c) for c in PARTIAL]).alias("_tail")
+    rows = rows.select(key, "timestamp", "_us", "_cell", head, tail)
+    # a tail serves times of the next cell up to its own time plus the size
+    asks = rows.select(key, "_cell", "_us", F.lit(0).alias("_kind"), "timestamp", "_head", F.lit(None).cast(rows.schema["_tail"].dataType).alias("_tail"))
+    ends = rows.select(
+        key, F.col("_cell") + 1, F.col("_us") + F.lit(size * MICRO), F.lit(1), F.lit(None).cast("timestamp"), F.lit(None).cast(rows.schema["_head"].dataType), "_tail"
+    )
+    both = ranged(asks.union(ends), key, "_us", [F.col("_kind")], parts)
+    firsts = both.groupBy(key, "_cell", "_chunk").agg(F.min_by("_tail", F.when(F.col("_tail").isNotNull(), F.col("_place"))).alias("_first"))
+    later = F.last("_first", ignorenulls=True).over(cells.orderBy(F.desc("_chunk")).rowsBetween(*past))
+    own = F.last("_tail", ignorenulls=True).over(inside.orderBy(F.desc("_place")).rowsBetween(*upto))
+    found = both.withColumn("_own", own).filter("_kind = 0")
+    found = _carried(found, firsts.select(key, "_cell", "_chunk", later.alias("_later")), key, "_cell")
+    found = found.withColumn("_end", F.coalesce("_own", "_later"))
+    whole = {c: _both(c, F.col("_head")[c], F.col("_end")[c]) for c in PARTIAL}
+    out = found.select(key, "timestamp", *[x.alias(f"_{c}") for c, x in whole.items()])
+    mean = F.try_divide("_s", "_v")
+    std = F.when(F.col("_v") > 0, F.sqrt(F.greatest(F.lit(0.0), F.try_divide("_q", "_v") - mean * mean)))
+    return out.select(
+        key, "timestamp", F.col("_n").alias("count"), F.col("_s").alias("sum"), mean.alias("mean"), std.alias("std"), F.col("_lo").alias("min"), F.col("_hi").alias("max")
     )
-    mean = F.col("sum") / F.col("count")
-    std = F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") / F.col("count") - mean * mean))
-    return out.select(key, "timestamp", "count", "sum", mean.alias("mean"), std.alias("std"), "min", "max")
 
 
 # ---------------------------------------------------------------- chunked scans
@@ -212,11 +276,13 @@ def ranged(df: DataFrame, key: str, time: str, ties: list[Column], parts: int |
     return stored(placed.withColumn("_chunk", F.shiftright("_place", 33)), "range-layout")
 
 
-def _carried(rows: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+def _carried(rows: DataFrame, carry: DataFrame, key: str, *more: str) -> DataFrame:
     """Rows with the values that their chunk gets from those before it; a missing key is a key."""
-    carry = carry.withColumnsRenamed({key: "_carry_key", "_chunk": "_carry_chunk"})
+    names = {key: "_carry_key", "_chunk": "_carry_chunk"} | {c: f"_carry{c}" for c in more}
     same = F.col(key).eqNullSafe(F.col("_carry_key")) & (F.col("_chunk") == F.col("_carry_chunk"))
-    return rows.join(carry, same).drop("_carry_key", "_carry_chunk")
+    for c in more:
+        same = same & (F.col(c) == F.col(f"_carry{c}"))
+    return rows.join(carry.withColumnsRenamed(names), same).drop(*names.values())
 
 
 COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from replenish.operators import aggregates as A
+from replenish.operators import windows as W
 from replenish.params import Params
 from replenish.plans import inputs  # noqa: F401
 from replenish.plans.registry import common, query
@@ -60,6 +61,11 @@ STATS_SQL = """count(*) AS "count", round(sum(quantity), 4) AS sum, round(avg(qu
        round(stddev_pop(quantity), 4) AS std, min(quantity) AS min, max(quantity) AS max"""
 
 
+def _windows(deliver, spark, d, label, size, slide=None):
+    counts = deliver(spark, SW.value_counts(events(spark, d), slide or size), label, ["medicine_id", *SW.COUNT_KEYS])
+    return W.stats_of_counts(counts, size, slide)
+
+
 def _stats(df):
     return df.select("medicine_id", ts("window_start"), "count", r("sum"), r("mean", 6), r("median"), r("std"), "min", "max")
 
@@ -71,7 +77,7 @@ def _stats(df):
     ("ev",),
 )
 def str1(spark, d):
-    return _stats(changed(spark, SW.windowed(events(spark, d), HOUR), "tumbling", WINDOW_KEYS))
+    return _stats(_windows(changed, spark, d, "tumbling", HOUR))
 
 
 @query(
@@ -81,7 +87,7 @@ def str1(spark, d):
     ("ev",),
 )
 def str2(spark, d):
-    return _stats(changed(spark, SW.windowed(events(spark, d), HOUR, QUARTER_HOUR), "hopping", WINDOW_KEYS))
+    return _stats(_windows(changed, spark, d, "hopping", HOUR, QUARTER_HOUR))
 
 
 @query(
@@ -153,7 +159,7 @@ def str4_hours(spark, d):
 )
 def str5(spark, d):
     """The tumbling windows of a stream that a clock triggers."""
-    return _stats(each_second(spark, SW.windowed(events(spark, d), HOUR), "triggered", WINDOW_KEYS))
+    return _stats(_windows(each_second, spark, d, "triggered", HOUR))
 
 
 @query(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.operators.windows import FEATURE_NAMES, feature_aggregates, sessions_of
+from replenish.operators.windows import FEATURE_NAMES, feature_aggregates, pane_counts, sessions_of
 from replenish.params import Params
 
 
@@ -18,8 +18,27 @@ def _marked(events: DataFrame, params: Params) -> DataFrame:
     return events.withWatermark("timestamp", params.watermark)
 
 
-def windowed(events: DataFrame, size: int, slide: int | None = None, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
-    """Tumbling (no slide) or hopping statistics per key and window."""
+def value_counts(events: DataFrame, pane: int, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
+    """The stream side of exact window statistics: rows per key, pane and value, for update mode.
+
+    State is one counter per value, spread over tasks by value, and a pane is held once however many windows
+    overlap it. The windows, open ones too, are ``stats_of_counts`` of the current counts, medians included.
+    """
+    return pane_counts(_marked(events, params), pane, key)
+
+
+COUNT_KEYS = ["pane", "quantity"]
+
+
+def windowed(
+    events: DataFrame, size: int, slide: int | None = None, params: Params = Params(), key: str = "medicine_id", accuracy: int | None = None
+) -> DataFrame:
+    """Tumbling (no slide) or hopping statistics per key and window as one aggregate, for sinks that take final rows.
+
+    With ``accuracy`` the median is a mergeable sketch whose rank is off by 1 / ``accuracy`` of the window's rows at
+    most, and state is bounded by it; without, the state of a window has a counter per distinct value.
+    """
+    middle = F.percentile_approx("quantity", 0.5, accuracy) if accuracy else F.median("quantity")
     window = F.window("timestamp", f"{size} seconds", f"{slide} seconds") if slide else F.window("timestamp", f"{size} seconds")
     stats = _marked(events, params).groupBy(key, window.alias("_w")).agg(
         F.min("timestamp").alias("first_event"),
@@ -27,7 +46,7 @@ def windowed(events: DataFrame, size: int, slide: int | None = None, params: Par
         F.count("*").alias("count"),
         F.sum("quantity").alias("sum"),
         F.avg("quantity").alias("mean"),
-        F.median("quantity").alias("median"),
+        middle.alias("median"),
         F.stddev_pop("quantity").alias("std"),
         F.min("quantity").alias("min"),
         F.max("quantity").alias("max"),

@@ -123,3 +123,35 @@ def test_sessions_join_at_the_gap(spark, parts):
 def test_short_series_is_not_averaged(spark):
     df = spark.createDataFrame([("a", d, float(d)) for d in (1, 2, 3)], "medicine_id string, date int, demand double")
     assert sorted(r["moving_average"] for r in WN.moving_average(df).collect()) == [1.0, 2.0, 3.0]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_sliding_spans_over_chunks(spark, parts):
+    """One cell with most of the events, spans that begin on an event, ties, missing values, keys and times."""
+    rng = random.Random(9)
+    events = [(rng.choice(["a", None]), t, rng.choice([1.0, 2.5, -3.0, None])) for t in [rng.randrange(100, 200) for _ in range(80)] + list(range(0, 700, 50))]
+    df = spark.createDataFrame(events, "medicine_id string, s long, quantity double").withColumn("timestamp", F.timestamp_seconds("s"))
+    got = {(r["medicine_id"], r["timestamp"].timestamp()): tuple(r)[2:] for r in WN.sliding_stats(df, 100, parts=parts).collect()}
+    assert WN.sliding_stats(df.withColumn("timestamp", F.lit(None).cast("timestamp")), 100).count() == 0
+    want = {}
+    for key, t, _ in events:
+        span = [q for k, u, q in events if k == key and t - 100 <= u <= t]
+        known = [q for q in span if q is not None]
+        mean = sum(known) / len(known) if known else None
+        std = max(0.0, sum(q * q for q in known) / len(known) - mean * mean) ** 0.5 if known else None
+        want[key, t] = (len(span), sum(known) if known else None, mean, std, min(known, default=None), max(known, default=None))
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert got[k] == tuple(x if x is None else pytest.approx(x, abs=1e-9) for x in w)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_exact_medians_over_chunks(spark, parts):
+    rng = random.Random(4)
+    rows = [(g, float(rng.randrange(8)), rng.randrange(1, 5)) for g in ["x", "y", None] for _ in range(30)] + [("one", 5.0, 1), ("two", 1.0, 2), ("two", 4.0, 2), ("none", None, 3)]
+    df = spark.createDataFrame(rows, "g string, quantity double, n long")
+    got = {r["g"]: r["median"] for r in WN.exact_median(df, ["g"], parts=parts).collect()}
+    import statistics
+
+    want = {g: statistics.median([v for k, v, n in rows if k == g for _ in range(n)]) for g in ("x", "y", None, "one", "two")}
+    assert got == want

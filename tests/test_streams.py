@@ -289,3 +289,30 @@ def test_items_without_opening_stock_are_kept(spark, feed, tmp_path):
     unknown = SK.current(spark, f"{tmp_path}/unknown", ["medicine_id"]).collect()
     assert [tuple(r) for r in unknown] == [("b", used["b"], "no opening stock")]
     assert spark.read.parquet(f"{tmp_path}/alerts").count() == 0
+
+
+def test_live_windows_with_exact_medians(spark, feed, tmp_path):
+    SK.drain(SK.changes_table(SW.value_counts(read(spark, feed), 60), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    counts = SK.current(spark, f"{tmp_path}/out", ["medicine_id", *SW.COUNT_KEYS])
+    cols = ["medicine_id", "window_start", "count", "sum", "median", "min", "max", "first_event", "last_event"]
+    got = WN.stats_of_counts(counts, 300, 60).select(*cols)
+    assert flat(got.collect()) == flat(SW.windowed(SR.decode(spark.read.text(feed)), 300, 60).select(*cols).collect())
+
+
+def test_sketched_median_keeps_its_rank(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 60)
+    df = spark.range(20_000).select(F.lit("a").alias("medicine_id"), at.alias("timestamp"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("quantity"))
+    values = sorted(r["quantity"] for r in df.collect())
+    for accuracy in (100, 1000):
+        row = SW.windowed(df, 3600, accuracy=accuracy).first()
+        assert abs(values.index(row["median"]) - len(values) / 2) <= len(values) / accuracy + 1
+
+
+def test_tables_of_changes_compact_themselves(spark, feed, tmp_path):
+    from replenish.operators.aggregates import running_totals
+
+    SK.drain(SK.changes_table(running_totals(read(spark, feed)), f"{tmp_path}/out", f"{tmp_path}/cp", ["medicine_id"], 2))
+    assert any("." in n for n in SK.batches(spark, f"{tmp_path}/out"))
+    want = running_totals(SR.decode(spark.read.text(feed)))
+    got = SK.current(spark, f"{tmp_path}/out", ["medicine_id"])
+    assert flat(got.select(want.columns).collect()) == flat(want.collect())
