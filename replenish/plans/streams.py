@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from replenish.operators import aggregates as A
 from replenish.operators import windows as W
-from replenish.params import Params
 from replenish.plans import inputs  # noqa: F401
 from replenish.plans.registry import common, query
 from replenish.plans.tidy import r, sql_ts, ts
 from replenish.session import scratch_path
 from replenish.sources import history as H
+from replenish.sources.ids import first_of_each
 from replenish.sources import streams as SR
 from replenish.sources import tables as T
 from replenish.streaming import gaps as SG
@@ -288,10 +288,13 @@ def str9_unknown(spark, d):
 
 @query("str11_unique_events", "SELECT prescription_id, medicine_id, quantity FROM ev", ("ev",))
 def str11(spark, d):
-    """The event stream delivered twice keeps each event once."""
-    twice = events(spark, d).unionByName(events(spark, d))
-    rows = appended(spark, SW.unique_events(twice, Params().but(watermark="60 days")), "unique")
-    return rows.select("prescription_id", "medicine_id", "quantity")
+    """The event stream delivered twice in each of two runs keeps each event once; the second run finds all ids stored."""
+    base = scratch_path(spark, "unique")
+    twice = events(spark, d).unionByName(events(spark, d)).select("prescription_id", "medicine_id", "quantity")
+    SK.drain(SK.unique_table(twice, f"{base}/table", f"{base}/c1", "prescription_id"))
+    again = spark.read.parquet(f"{base}/table").drop(SK.BATCH)
+    first_of_each(again, "prescription_id", f"{base}/table_ids", 1).write.parquet(f"{base}/table/{SK.BATCH}=1")
+    return spark.read.parquet(f"{base}/table").select("prescription_id", "medicine_id", "quantity")
 
 
 @query(

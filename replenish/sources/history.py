@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from replenish.functions import scalars as S
 from replenish.operators.projections import history_between
 from replenish.schema import PRESCRIPTIONS
+from replenish.sources.ids import first_of_each
 
 CORRUPT = "_corrupt_record"
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # text files keep microseconds
@@ -76,18 +77,16 @@ def prescription_rows(raw: DataFrame, now: Column | None = None, batch_id: int =
 
 
 def append_prescriptions(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Micro-batch append that is safe to retry: a batch owns its directory, ids are unique inside it.
+    """Micro-batch append that is safe to retry: a batch owns its directory.
 
-    Rows that repeat an id of their sender are stored once; ids made here are unique. Rejects are kept with their
-    reason under ``<path>_rejects``.
+    Rows that repeat an id of their sender are stored once over all batches (the ids lie under ``<path>_ids``); ids made
+    here are unique and rows that need one all stay. Rejects are kept with their reason under ``<path>_rejects``.
     """
-    known = batch.filter(F.col("prescription_id").isNotNull()) if "prescription_id" in batch.columns else None
-    if known is None:
-        rows = prescription_rows(batch, batch_id=batch_id)
+    if "prescription_id" in batch.columns:
+        good = batch.filter(~_rejected()).withColumn("prescription_id", F.col("prescription_id").cast("string"))
+        rows = prescription_rows(first_of_each(good, "prescription_id", f"{path}_ids", batch_id), batch_id=batch_id)
     else:
-        given = prescription_rows(known, batch_id=batch_id).dropDuplicates(["prescription_id"])
-        made = prescription_rows(batch.filter(F.col("prescription_id").isNull()), batch_id=batch_id)
-        rows = given.unionByName(made)
+        rows = prescription_rows(batch, batch_id=batch_id)
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     rejected_rows(batch).write.mode("overwrite").parquet(f"{path}_rejects/batch={batch_id}")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from replenish.params import Params
+from replenish.sources.ids import first_of_each
 
 BATCH = "batch_id"
 
@@ -35,6 +36,15 @@ def changes_table(df: DataFrame, path: str, checkpoint: str, keys: list[str] | N
     return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def unique_table(df: DataFrame, path: str, checkpoint: str, key: str) -> DataStreamWriter:
+    """Rows whose id came in no batch before, at any distance; rows without an id all stay."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first_of_each(batch, key, f"{path}_ids", batch_id).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def batches(spark: SparkSession, path: str) -> list[str]:
     """Folder values of the batches that a table of changes has, in order; merged ones end in a half."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
