@@ -7,11 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from replenish.operators import aggregates as A
+from replenish.operators import autoregression as AR
 from replenish.operators import forecast as FC
 from replenish.operators import joins as J
 from replenish.operators import projections as P
 from replenish.operators import ranking as R
+from replenish.operators import smoothing as SM
 from replenish.operators import uncertainty as U
+from replenish.operators import validation as VA
 from replenish.operators import windows as W
 from replenish.params import Params
 from replenish.plans import inputs  # noqa: F401
@@ -425,6 +428,47 @@ def fc3(spark, d):
     return FC.ar_forecast(components(spark, d)).select("medicine_id", "h", r("forecast", 3))
 
 
+LAGS = 14
+common(
+    "lags",
+    """WITH s AS (SELECT medicine_id, min(date) AS first, max(date) AS last, sum(demand) AS total, date_diff('day', min(date), max(date)) + 1 AS n FROM daily GROUP BY 1),
+       k AS (SELECT unnest(range(0, 15)) AS k),
+       pairs AS (SELECT a.medicine_id, date_diff('day', b.date, a.date) AS k, sum(a.demand * b.demand) AS p FROM daily a JOIN daily b
+                 ON b.medicine_id = a.medicine_id AND b.date BETWEEN a.date - INTERVAL 14 DAY AND a.date GROUP BY 1, 2),
+       cut AS (SELECT d.medicine_id, k.k, sum(CASE WHEN date_diff('day', first, date) >= k.k THEN demand ELSE 0 END) + sum(CASE WHEN date_diff('day', date, last) >= k.k THEN demand ELSE 0 END) AS both_sides
+               FROM daily d JOIN s ON s.medicine_id = d.medicine_id, k GROUP BY 1, 2)
+       SELECT s.medicine_id, k.k AS lag, n, CASE WHEN n > k.k THEN (coalesce(p, 0) - total / n * both_sides + (n - k.k) * (total / n) * (total / n)) / n ELSE 0 END AS cov
+       FROM s, k LEFT JOIN pairs ON pairs.medicine_id = s.medicine_id AND pairs.k = k.k JOIN cut ON cut.medicine_id = s.medicine_id AND cut.k = k.k""",
+    "daily",
+)
+
+
+@query("fc3_lag_covariances", "SELECT medicine_id, lag, round(cov, 4) AS cov FROM lags", ("lags",))
+def fc3_lags(spark, d):
+    sums = AR.lag_sums(A.daily_demand(T.dispensing(spark, d)), LAGS)
+    return sums.select("medicine_id", F.posexplode("cov").alias("lag", "cov")).select("medicine_id", F.col("lag").cast("bigint").alias("lag"), r("cov"))
+
+
+@query("fc3_two_week_autoregression")
+def fc3_two_weeks(spark, d):
+    """Recursive forecasts from 14 lags."""
+    f = AR.autoregressive_forecast(A.daily_demand(T.dispensing(spark, d)))
+    return f.select("medicine_id", "h", r("forecast", 3), r("lower", 3), r("upper", 3))
+
+
+@query("fc2_seasonal_smoothing")
+def fc2_smoothing(spark, d):
+    """Forecasts by a damped trend and weekly season, settings chosen per item."""
+    f = SM.smoothed_forecast(A.daily_demand(T.dispensing(spark, d)))
+    return f.select("medicine_id", "h", r("forecast", 3), r("lower", 3), r("upper", 3))
+
+
+@query("fc10_validation_errors")
+def fc10_validation(spark, d):
+    """Errors of all models on the last fifth of each series."""
+    return VA.validation_report(VA.validate(A.daily_demand(T.dispensing(spark, d)))).select("model", "items", "days", r("mae"), r("rmse"), "best_for")
+
+
 @query(
     "fc4_additive",
     "SELECT medicine_id, h, round(forecast, 3) AS forecast, round(lower_q, 3) AS lower, round(upper_q, 3) AS upper FROM additive",
