@@ -1,17 +1,19 @@
 """Quality rules whose cutoffs limit the share of good documents that they reject.
 
 Counts of each text feed a few rules; a rule rejects what lies beyond its cutoff. Cutoffs come from
-labelled documents, apart for each language. For every rule and candidate cutoff the number of good
-labelled documents that it would reject is tested by the exact binomial tail: a cutoff is certified
-if so few rejections were unlikely with a true rate above the rule's part of the limit. The level is
-divided by the number of all tests (strata, rules, cutoffs), so with the stated confidence no chosen
-cutoff breaks the limit in any stratum. Rule by rule, the certified cutoff that catches most of the labelled
-junk which the rules before it let pass is taken, where that is worth the good documents lost; a
-stratum with too few labels gets none. All DataFrame work.
+labelled documents, apart for each language. A quarter of the labels, by a hash of the id, proposes: rule by rule, the
+cutoff that catches most of the junk which the rules before it let pass, where that is worth the good
+documents lost. The other labels, which had no say in that, hold out: the union of the first rule, then of the
+first two and so on is tested at the whole limit by the exact binomial tail, and the first union that
+fails ends the sequence, so testing several costs no level. The level is divided by the number of strata. So with
+the stated confidence no stratum loses more of its good documents than the limit. Languages whose labels are too
+few to certify even rules that lose nothing form one stratum together, whose limit holds for them as a whole.
+All DataFrame work.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,8 @@ LIMIT = 0.05
 RISK = 0.05
 # labelled junk that must be caught for each good document lost
 WORTH = 20
+# first hex digits of an id's hash that make its label one that proposes: below 4, a quarter
+PROPOSING = "4"
 # strata up to which their cutoffs are sent to every executor
 BROADCAST_STRATA = 10_000
 
@@ -142,53 +146,85 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.least(F.lit(1.0), total)
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT, risk: float = RISK) -> DataFrame:
-    """(stratum, cut_<rule>...) of every language with labels; null where no cutoff is taken.
+def least_labels(strata: int, limit: float = LIMIT, risk: float = RISK) -> int:
+    """Good holdout labels from which a stratum can certify rules that lose none of them."""
+    return math.ceil(math.log(risk / strata) / math.log1p(-limit))
+
 
-    ``labels`` has doc_id and quality (1 good, 0 junk); of several labels of a document the lowest
-    counts, null ones don't. Only documents that pass the base rules are tested. The rules are settled in
-    their order, each by what the ones before it leave; that a cutoff is certified never depends on it.
+def labelled(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled rows past the base rules with ``q`` and whether they propose or hold out.
+
+    ``labels`` has doc_id and quality (1 good, 0 junk); of several labels of a document the lowest counts, null ones don't.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    held = counted.filter("not base_failed").join(known, "doc_id").select("lang", *COUNTS, "q")
-    held = stored(held, "quality-held")
+    held = counted.filter("not base_failed").join(known, "doc_id")
+    return held.select("lang", *COUNTS, "q", (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < PROPOSING).alias("proposes"))
+
+
+def cutoffs(counted: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT, risk: float = RISK) -> DataFrame:
+    """(pooled, stratum, cut_<rule>...) of every stratum with labels; null where no cutoff is certified.
+
+    ``stratum`` is a language with labels enough, null for documents without one and for the pooled rest.
+    """
+    held = stored(labelled(counted, labels), "quality-held")
     good, junk = F.col("q") == 1, F.col("q") == 0
-    chosen = stored(held.groupBy(F.col("lang").alias("stratum")).agg(F.count_if(good).alias("n")), "quality-strata")
-    level = risk / max(1, chosen.count() * sum(len(r.cutoffs) for r in rules))
+    holds = good & ~F.col("proposes")
+    langs = stored(held.groupBy(F.col("lang").alias("own")).agg(F.count_if(holds).alias("holds")), "quality-languages")
+    strata = langs.count() + 1
+    large = langs.filter(F.col("holds") >= least_labels(strata, limit, risk)).select("own", F.lit(True).alias("large"))
+    held = held.join(broadcast_if_small(large, BROADCAST_STRATA), F.col("lang").eqNullSafe(F.col("own")), "left")
+    pooled = F.col("large").isNull()
+    held = held.withColumn("pooled", pooled).withColumn("stratum", F.when(~pooled, F.col("lang"))).drop("lang", "own", "large")
+    held = stored(held, "quality-held-strata")
+    key = ["pooled", "stratum"]
+
+    def with_chosen(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        chosen = broadcast_if_small(chosen.withColumnsRenamed({"pooled": "_p", "stratum": "_s"}), BROADCAST_STRATA)
+        return rows.join(chosen, (F.col("pooled") == F.col("_p")) & F.col("stratum").eqNullSafe(F.col("_s"))).drop("_p", "_s")
+
+    def union(some) -> Column:
+        out = F.lit(False)
+        for r in some:
+            out = out | F.coalesce(r.rejects(F.col(f"cut_{r.name}")), F.lit(False))
+        return out
+
+    chosen = stored(held.groupBy(*key).agg(F.count_if(holds).alias("n")), "quality-strata")
     for number, rule in enumerate(rules):
-        left = F.lit(True)
-        for r in rules[:number]:
-            left = left & ~F.coalesce(r.rejects(F.col(f"cut_{r.name}")), F.lit(False))
+        left = F.col("proposes") & ~union(rules[:number])
         sums = []
         for i, c in enumerate(rule.cutoffs):
-            out = rule.rejects(F.lit(c))
-            counts = {"all": good & out, "lost": good & out & left, "caught": junk & out & left}
-            sums += [F.count_if(which).alias(f"{name}_{i}") for name, which in counts.items()]
-        same = F.col("lang").eqNullSafe(F.col("stratum"))
-        seen = held.join(broadcast_if_small(chosen, BROADCAST_STRATA), same).groupBy("stratum").agg(F.first("n").alias("n"), *sums)
-        tried = F.array(*[
-            F.struct(*[F.col(f"{name}_{i}").alias(name) for name in ("all", "lost", "caught")], F.lit(c).alias("cutoff"))
-            for i, c in enumerate(rule.cutoffs)
-        ])
-        seen = seen.select("stratum", "n", F.explode(tried).alias("t")).select("stratum", "n", "t.*")
+            out = left & rule.rejects(F.lit(c))
+            sums += [F.count_if(which & out).alias(f"{name}_{i}") for name, which in (("lost", good), ("caught", junk))]
+        seen = with_chosen(held, chosen).groupBy(*key).agg(*sums)
+        tried = F.array(*[F.struct(F.col(f"lost_{i}").alias("lost"), F.col(f"caught_{i}").alias("caught"), F.lit(c).alias("cutoff")) for i, c in enumerate(rule.cutoffs)])
+        seen = seen.select(*key, F.explode(tried).alias("t")).select(*key, "t.*")
         gain = F.col("caught") - WORTH * F.col("lost")
-        certified = binomial_tail(F.col("n"), F.col("all"), limit / len(rules)) <= level
         # of equal gains the loosest
         loose = F.col("cutoff") if rule.low else -F.col("cutoff")
-        best = seen.filter(certified & (gain > 0)).groupBy(F.col("stratum").alias("s"))
-        best = best.agg(F.min_by("cutoff", F.struct(-gain, loose)).alias(f"cut_{rule.name}"))
-        chosen = chosen.join(best, F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s")
-        chosen = stored(chosen, "quality-cutoffs")
-    return chosen.drop("n")
+        best = seen.filter(gain > 0).groupBy(F.col("pooled").alias("_p"), F.col("stratum").alias("_s")).agg(F.min_by("cutoff", F.struct(-gain, loose)).alias(f"cut_{rule.name}"))
+        same = (F.col("pooled") == F.col("_p")) & F.col("stratum").eqNullSafe(F.col("_s"))
+        chosen = stored(chosen.join(best, same, "left").drop("_p", "_s"), "quality-cutoffs")
+    lost = [F.count_if(holds & union(rules[: k + 1])).alias(f"lost_{k}") for k in range(len(rules))]
+    tested = with_chosen(held, chosen).groupBy(*key).agg(*lost).withColumnsRenamed({"pooled": "_p", "stratum": "_s"})
+    tested = chosen.join(tested, (F.col("pooled") == F.col("_p")) & F.col("stratum").eqNullSafe(F.col("_s")))
+    certified, out = F.lit(True), []
+    for k, rule in enumerate(rules):
+        certified = certified & (binomial_tail(F.col("n"), F.col(f"lost_{k}"), limit) <= risk / strata)
+        out.append(F.when(certified, F.col(f"cut_{rule.name}")).alias(f"cut_{rule.name}"))
+    return stored(tested.select(*key, *out), "quality-certified")
 
 
 def with_verdict(counted: DataFrame, cuts: DataFrame, rules=RULES) -> DataFrame:
-    cuts = broadcast_if_small(cuts, BROADCAST_STRATA)
+    """The rows with ``kept``; a language without cutoffs of its own goes by the pooled ones."""
+    names = [f"cut_{r.name}" for r in rules]
+    pool = cuts.filter("pooled").agg(F.first(F.struct(*names))).scalar()
+    own = broadcast_if_small(cuts.filter("not pooled").select("stratum", "pooled", *names), BROADCAST_STRATA)
+    joined = counted.join(own, F.col("lang").eqNullSafe(F.col("stratum")), "left")
     rejected = F.col("base_failed")
-    for r in rules:
-        rejected = rejected | F.coalesce(r.rejects(F.col(f"cut_{r.name}")), F.lit(False))
-    joined = counted.join(cuts, F.col("lang").eqNullSafe(F.col("stratum")), "left")
-    return joined.withColumn("kept", ~rejected).drop("stratum", *[f"cut_{r.name}" for r in rules])
+    for r, name in zip(rules, names):
+        cut = F.when(F.col("pooled").isNull(), pool[name]).otherwise(F.col(name))
+        rejected = rejected | F.coalesce(r.rejects(cut), F.lit(False))
+    return joined.withColumn("kept", ~rejected).drop("stratum", "pooled", *names)
 
 
 def judge(docs: DataFrame, labels: DataFrame, rules=RULES, limit: float = LIMIT, risk: float = RISK) -> DataFrame:

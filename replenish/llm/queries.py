@@ -55,32 +55,51 @@ counts AS (
   FROM texts LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
 counted AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
 known AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-left0 AS (SELECT counted.*, q, true AS alive FROM counted JOIN known USING (doc_id) WHERE NOT base_failed)"""
+tagged AS (
+  SELECT counted.*, q, substr(md5(doc_id::VARCHAR), 1, 1) < '4' AS proposes FROM counted JOIN known USING (doc_id) WHERE NOT base_failed),
+langs AS (SELECT lang, count(*) FILTER (q = 1 AND NOT proposes) AS holds FROM tagged GROUP BY lang),
+level AS (SELECT 0.05 / (count(*) + 1) AS risk FROM langs),
+large AS (SELECT lang AS own FROM langs WHERE holds >= (SELECT ceil(ln(risk) / ln(0.95)) FROM level)),
+stratified AS (
+  SELECT t.*, s.is_large IS NULL AS pooled, CASE WHEN s.is_large THEN t.lang END AS stratum
+  FROM tagged t LEFT JOIN (SELECT own, true AS is_large FROM large) s ON t.lang IS NOT DISTINCT FROM s.own),
+left0 AS (SELECT *, true AS alive FROM stratified)"""
 
 
 def _quality_sql() -> str:
-    """Rule by rule: counts of every cutoff, the one taken, and what it leaves."""
-    steps, joins, kept = [], [], ["NOT base_failed"]
-    tests = sum(len(r.cutoffs) for r in quality.RULES)
+    """Rule by rule what a quarter of the labels proposes, then the tests of the growing unions on the others."""
+    steps, joins, kept, certified = [], [], ["NOT base_failed"], []
+    last = len(quality.RULES)
     for k, r in enumerate(quality.RULES):
         sign = "<" if r.low else ">"
         out = f"{r.amount} {sign} n_words * cutoff"
         steps.append(f"""
 tried{k} AS (
-  SELECT lang, cutoff, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND {out}) AS every, count(*) FILTER (q = 1 AND alive AND {out}) AS lost,
-         count(*) FILTER (q = 0 AND alive AND {out}) AS caught
-  FROM left{k}, (SELECT unnest({list(r.cutoffs)}::DOUBLE[]) AS cutoff) GROUP BY ALL),
+  SELECT pooled, stratum, cutoff, count(*) FILTER (q = 1 AND {out}) AS lost, count(*) FILTER (q = 0 AND {out}) AS caught
+  FROM left{k}, (SELECT unnest({list(r.cutoffs)}::DOUBLE[]) AS cutoff) WHERE proposes AND alive GROUP BY ALL),
 taken{k} AS (
-  SELECT lang AS of{k}, cutoff AS cut{k} FROM (
-    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY caught - 20 * lost DESC, {"" if r.low else "-"}cutoff) AS rank
-    FROM tried{k} WHERE caught > 20 * lost AND every < n * 0.01 AND list_sum(list_transform(range(every + 1), lambda k:
-      exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01) + (n - k) * ln(0.99))))
-      <= 0.05 / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM left0)) * {tests})) WHERE rank = 1),
+  SELECT pooled AS pool{k}, stratum AS of{k}, cutoff AS cut{k} FROM (
+    SELECT *, row_number() OVER (PARTITION BY pooled, stratum ORDER BY caught - 20 * lost DESC, {"" if r.low else "-"}cutoff) AS rank
+    FROM tried{k} WHERE caught > 20 * lost) WHERE rank = 1),
 left{k + 1} AS (
-  SELECT x.* REPLACE (alive AND NOT coalesce({r.amount} {sign} n_words * cut{k}, false) AS alive)
-  FROM left{k} x LEFT JOIN taken{k} ON lang IS NOT DISTINCT FROM of{k})""")
-        joins.append(f"LEFT JOIN taken{k} ON lang IS NOT DISTINCT FROM of{k}")
-        kept.append(f"NOT coalesce({r.amount} {sign} n_words * cut{k}, false)")
+  SELECT x.* REPLACE (alive AND NOT coalesce({r.amount} {sign} n_words * cut{k}, false) AS alive), NOT alive OR coalesce({r.amount} {sign} n_words * cut{k}, false) AS out{k}, cut{k}
+  FROM left{k} x LEFT JOIN taken{k} ON pooled = pool{k} AND stratum IS NOT DISTINCT FROM of{k})""")
+        tail = f"""list_sum(list_transform(range(lost{k} + 1), lambda k:
+      exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.05) + (n - k) * ln(0.95))))"""
+        certified.append(f"lost{k} < n * 0.05 AND {tail} <= (SELECT risk FROM level)")
+        kept.append(f"NOT coalesce({r.amount} {sign} n_words * CASE WHEN own.stratum_known THEN own.cut{k} ELSE pool.cut{k} END, false)")
+    losses = ", ".join(f"count(*) FILTER (out{k}) AS lost{k}" for k in range(last))
+    cuts = ", ".join(f"max(cut{k}) AS cut{k}" for k in range(last))
+    steps.append(f"""
+tested AS (
+  SELECT pooled, stratum, count(*) AS n, {losses} FROM left{last} WHERE q = 1 AND NOT proposes GROUP BY ALL),
+proposed AS (SELECT pooled, stratum, {cuts} FROM left{last} GROUP BY ALL),
+cuts AS (
+  SELECT p.pooled, p.stratum, {", ".join(f"CASE WHEN {' AND '.join(certified[: k + 1])} THEN cut{k} END AS cut{k}" for k in range(last))}
+  FROM proposed p JOIN tested t ON p.pooled = t.pooled AND p.stratum IS NOT DISTINCT FROM t.stratum)""")
+    names = ", ".join(f"max(cut{k}) AS cut{k}" for k in range(last))
+    joins.append("LEFT JOIN (SELECT *, true AS stratum_known FROM cuts WHERE NOT pooled) own ON counted.lang IS NOT DISTINCT FROM own.stratum")
+    joins.append(f"CROSS JOIN (SELECT {names} FROM cuts WHERE pooled) pool")
     return f"""{QUALITY_COUNTS},{",".join(steps)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {" AND ".join(kept)} AS kept
 FROM counted {" ".join(joins)}"""
