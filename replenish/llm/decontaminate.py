@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates, which also finds re-parameterised questions.
 
-Texts are made canonical: numbers, names (capitalised words inside a sentence) and units after
-numbers become typed placeholders, the rest is lower-cased and split at anything but letters and
-digits. Windows of template tokens are hashed and joined to those of the benchmark. Where windows
+Texts are made canonical: numbers with their separators, names (runs of capitalised words inside a sentence) and
+units after numbers become typed placeholders, the rest is lower-cased and split at anything but letters and
+digits. Windows of template tokens are hashed and joined to those of the benchmark. Windows that are mostly slots
+count only with the same values; items shorter than a window are looked for as a whole, word for word. Where windows
 meet, the values that stood in the slots are compared along the alignment: a question that was only
 re-parameterised replaces each value by one other everywhere. Slots that clash with that take the
 windows that hold them out of what is covered, never the rest. All of it is DataFrame work.
@@ -22,6 +23,8 @@ from replenish.session import stored
 WINDOW = 8
 # of a window's tokens, those that must not be slots
 LEAST_LITERAL = 4
+# items below this number of tokens can't be told from chance; below a window, whole items are looked for
+LEAST_TOKENS = 4
 # a document holds an item from this share of its tokens, or this many, whichever is less
 SHARE = 0.5
 RUN = 13
@@ -37,17 +40,23 @@ UNITS = (
     "hours day days week weeks month months year years kmh mph percent dollar dollars cent cents euro euros degree degrees "
     "hz khz mhz ghz w kw v kv a j kj cal kcal pa kpa bar k c f"
 ).split()
-_NAME = r"\p{Lu}(?<=[\p{L}\p{Nd},;] .)[\p{L}\p{M}]*+"
-_UNIT = r"(?i)(\x02\p{Nd}*+ {1,2})(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}\p{Nd}])"
+# joints inside a number and inside a name, which keep its parts in one token
+_IN_NUMBER, _IN_NAME = "\u0005", "\u0006"
+_NUMBER_JOINT = r"(?<=\p{Nd})[.,](?=\p{Nd})"
+_NAME_JOINT = r" (?=\p{Lu})(?<=[\p{L}\p{Nd},;] \p{Lu}[\p{L}\p{M}]{0,30} )"
+_NAME = r"\p{Lu}(?<=[\p{L}\p{Nd},;] .)[\p{L}\p{M}\x06]*+"
+_UNIT = r"(?i)(\x02[\p{Nd}\x05]*+ {1,2})(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{M}\p{Nd}])"
 
 
 def canonical(text: Column, values: bool = False) -> Column:
     """Tokens of the template; with ``values``, a slot's token is its mark and what stood there."""
     own = "$0" if values else ""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, NAME + own)
-    numbered = F.regexp_replace(named, r"\p{Nd}++", f" {NUMBER}{own} ")
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBER_JOINT, _IN_NUMBER)
+    joined = F.regexp_replace(joined, _NAME_JOINT, _IN_NAME)
+    named = F.regexp_replace(joined, _NAME, NAME + own)
+    numbered = F.regexp_replace(named, r"\p{Nd}[\p{Nd}\x05]*+", f" {NUMBER}{own} ")
     marked = F.regexp_replace(numbered, _UNIT, f"$1{UNIT}" + ("$2" if values else ""))
-    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{Nd}\x01-\x03]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{Nd}\x01-\x03\x05\x06]+"), lambda t: t != "")
 
 
 def _slot(token: Column) -> Column:
@@ -79,9 +88,10 @@ def _clashing(pairs: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, literal: int = LEAST_LITERAL) -> tuple[DataFrame, DataFrame]:
-    """Items (item, item_id, item_tokens) and their windows (h, item, j) with enough literal tokens.
+    """Items (item, item_id, item_tokens) and their windows (h, item, j, rich).
 
-    Items shorter than a window can't be told from chance and have none. Repeated items stay apart.
+    ``rich`` windows have fewer than ``literal`` tokens that are no slots; they count with the same values only.
+    Items shorter than a window have none. Repeated items stay apart.
     """
     items = benchmark.select(
         F.monotonically_increasing_id().alias("item"), "item_id", canonical(F.col("text"), True).alias("item_tokens")
@@ -90,7 +100,24 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, literal: int =
     tokens = items.withColumn("template", _template("item_tokens"))
     placed = tokens.select("item", "template", F.posexplode(window_hashes("template", width)).alias("j", "h"))
     literals = F.size(F.filter(F.slice("template", F.col("j") + 1, width), lambda t: ~_slot(t)))
-    return items, placed.filter(literals >= literal).select("h", "item", "j")
+    return items, placed.select("h", "item", "j", (literals < literal).alias("rich"))
+
+
+def _whole_items(rows: DataFrame, items: DataFrame, widths: list[int]) -> DataFrame:
+    """Rows that hold an item of fewer tokens than a window word for word, as ``contaminated`` gives them."""
+    short = items.filter(F.size("item_tokens").isin(widths)).select("item", "item_id", "item_tokens", F.xxhash64("item_tokens").alias("h"))
+
+    def slices(w: int) -> Column:
+        at = F.sequence(F.lit(1), F.size("tokens") - (w - 1))
+        return F.when(F.size("tokens") >= w, F.transform(at, lambda i: F.slice("tokens", i, w)))
+
+    held = rows.select("row", "doc_id", "text_hash", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[slices(w) for w in widths]))))).alias("held"))
+    met = held.withColumn("h", F.xxhash64("held")).join(broadcast_if_small(short, BROADCAST_WINDOWS), "h").filter("held = item_tokens")
+    n = F.size("item_tokens")
+    slots = F.size(F.filter("item_tokens", _slot)).cast("long")
+    return met.select(
+        "doc_id", "item_id", F.lit("verbatim").alias("kind"), n.alias("n_covered"), n.alias("n_tokens"), slots.alias("n_slots"), F.lit(0).cast("long").alias("n_changed"), "text_hash"
+    )
 
 
 def contaminated(
@@ -109,10 +136,17 @@ def contaminated(
     """
     items, windows = benchmark_windows(benchmark, width, literal)
     windows = stored(windows, "decontaminate-windows")
+    # the few lengths of items that are shorter than a window
+    sizes = items.select(F.size("item_tokens").alias("n")).filter(F.col("n").between(LEAST_TOKENS, width - 1)).distinct()
+    widths = sorted(r["n"] for r in sizes.collect())
+    whole_hashes = items.filter(F.size("item_tokens").isin(widths)).select(F.xxhash64(_template("item_tokens")).alias("h"))
     # first reading: ids with a matching window
-    keys = broadcast_if_small(windows.select("h").distinct(), BROADCAST_WINDOWS)
+    keys = broadcast_if_small(windows.select("h").union(whole_hashes).distinct(), BROADCAST_WINDOWS)
     hashed = docs.select("doc_id", canonical(F.col("text")).alias("tokens"))
-    hashed = hashed.select("doc_id", F.explode(window_hashes("tokens", width)).alias("h"))
+    hashes = window_hashes("tokens", width)
+    if widths:
+        hashes = F.flatten(F.array_compact(F.array(hashes, *[window_hashes("tokens", w) for w in widths])))
+    hashed = hashed.select("doc_id", F.explode(hashes).alias("h"))
     found = stored(hashed.join(keys, "h", "left_semi").select(F.col("doc_id").alias("found_id")).distinct(), "decontaminate-ids")
     # second reading: rows of those ids with their values
     rows = docs.select("doc_id", "text").join(
@@ -140,8 +174,9 @@ def contaminated(
     )
     met = met.select(
         "row", "doc_id", "text_hash", "item", "item_id", F.size("item_tokens").alias("n_tokens"),
-        (F.col("i") - F.col("j")).alias("offset"), "j", pairs.alias("slots"),
+        (F.col("i") - F.col("j")).alias("offset"), "j", pairs.alias("slots"), "rich",
     )
+    met = met.filter(~F.col("rich") | ~F.exists("slots", lambda s: s["asked"] != s["held"]))
     place = ["row", "item", "offset"]
     # an alignment has at most the item's tokens
     aligned = met.groupBy(*place).agg(
@@ -194,14 +229,21 @@ def contaminated(
     )
     enough = F.col("n_covered") >= need
     kind = F.when(F.col("n_changed") > 0, "reparameterised").otherwise("verbatim")
-    return whole.filter(enough).select(
+    found = whole.filter(enough).select(
         "doc_id", "item_id", kind.alias("kind"), "n_covered", "n_tokens", "n_slots", "n_changed", "text_hash"
     )
+    return found.union(_whole_items(rows, items, widths)) if widths else found
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("_held_id"), F.col("text_hash").alias("_held_text")).distinct()
+    """The rows of ``docs`` that hold no benchmark item, with their own columns only, whatever these are called.
+
+    Null and empty texts hold nothing and stay; of rows with one id only those with a found text go. An empty table or
+    benchmark takes nothing out.
+    """
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    held = contaminated(docs, benchmark).select(F.col("doc_id").alias("held_id"), F.col("text_hash").alias("held_text")).distinct()
     held = broadcast_if_small(stored(held, "decontaminate-held"), BROADCAST_IDS)
-    same = F.col("doc_id").eqNullSafe(F.col("_held_id")) & (F.xxhash64("text") == F.col("_held_text"))
-    return docs.join(held, same, "left_anti")
+    rows = docs.select(*[F.col(c).alias(n) for c, n in own.items()])
+    same = F.col(own["doc_id"]).eqNullSafe(F.col("held_id")) & (F.xxhash64(own["text"]) == F.col("held_text"))
+    return rows.join(held, same, "left_anti").select(*[F.col(n).alias(c) for c, n in own.items()])
