@@ -137,11 +137,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def apply(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their own columns only."""
+    """The rows of ``docs`` as often as the mix takes them, with their own columns only, whatever these are called.
+
+    Null sources are a source; a null text has size 0; repeated rows are taken each. An empty table gives no rows.
+    """
     sizes = stored(sized(docs), "mix-sizes")
-    limits = thresholds(sizes, source_targets(sizes, weights, share, most))
-    limits = limits.select("source", F.col("copies").alias("mix_copies"), F.col("cut").alias("mix_cut"))
-    times = F.col("mix_copies") + (row_hash("doc_id", "text") < F.col("mix_cut")).cast("long")
-    rows = _with_state(docs, limits).withColumn("mix_times", F.sequence(F.lit(1).cast("long"), times))
-    rows = rows.filter(times > 0).withColumn("mix_time", F.explode("mix_times"))
-    return rows.select(*docs.columns)
+    limits = thresholds(sizes, source_targets(sizes, weights, share, most)).select("source", "copies", "cut")
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(c).alias(n) for c, n in own.items()], "source", row_hash("doc_id", "text").alias("h"))
+    times = F.col("copies") + (F.col("h") < F.col("cut")).cast("long")
+    rows = _with_state(rows, limits).withColumn("times", times).filter("times > 0")
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return rows.select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -32,7 +32,7 @@ def docs(spark, cases):
     """The cases with columns whose names clash with those of results."""
     schema = "doc_id long, text string, lang string, source string"
     df = spark.createDataFrame(cases, schema).repartition(3)
-    extra = {n: f"'{n}'" for n in ("n_words", "h", "size", "kept", "slot", "shard", "fp", "mark", "component_id", "start", "score", "tokens", "target")}
+    extra = {n: f"'{n}'" for n in ("n_words", "h", "size", "kept", "slot", "shard", "fp", "mark", "component_id", "start", "score", "tokens", "target", "its_source", "mix_copies", "mix_time", "mix_times", "_held_id", "_held_text", "stratum", "pooled", "times", "proposes")}
     return df.selectExpr("*", *[f"{v} AS {n}" for n, v in extra.items()])
 
 

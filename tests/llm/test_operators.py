@@ -96,10 +96,71 @@ def test_cutoffs_limit_false_rejections(spark):
         assert kept[i] == (lang == "xx" or i % 5 != 0)
     good = quality.keep_good(docs.withColumn("n_words", F.lit("mine")), marks)
     assert good.columns == ["doc_id", "text", "lang", "n_words"] and good.count() == sum(kept.values())
-    # too few labels certify nothing
+    # too few labels certify nothing, neither alone nor together
     assert quality.judge(docs, marks.limit(100)).filter("kept").count() == 3000
 
 
+def plain_cutoffs(rows, limit=0.05, risk=0.05):
+    """Kept ids; rows are (id, lang, q or None, counts by name) past the base rules."""
+    digit = lambda i: hashlib.md5(str(i).encode()).hexdigest()[0] < "4"
+    out = lambda rule, cut, c: c[rule.amount] < c[rule.base] * cut if rule.low else c[rule.amount] > c[rule.base] * cut
+
+    def tail(n, k):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(limit) + (n - i) * math.log1p(-limit)) for i in range(k + 1)) if k < n * limit else 1.0
+
+    known = [r for r in rows if r[2] is not None]
+    langs = {r[1] for r in known}
+    level = risk / (len(langs) + 1)
+    own = {x for x in langs if sum(r[2] == 1 and not digit(r[0]) for r in known if r[1] == x) >= math.log(level) / math.log1p(-limit)}
+    cuts = {}
+    for stratum in [*own, ("pool",)]:
+        mine = [r for r in known if (r[1] if r[1] in own else ("pool",)) == stratum]
+        left, chosen = [r for r in mine if digit(r[0])], []
+        for rule in quality.RULES:
+            gains = [(sum((r[2] == 0) - quality.WORTH * (r[2] == 1) for r in left if out(rule, c, r[3])), c if not rule.low else -c, c) for c in rule.cutoffs]
+            gain, _, cut = max(gains)
+            chosen.append((rule, cut) if gain > 0 else None)
+            if gain > 0:
+                left = [r for r in left if not out(rule, cut, r[3])]
+        good = [r for r in mine if r[2] == 1 and not digit(r[0])]
+        taken = []
+        for k in range(len(chosen)):
+            some = [x for x in chosen[: k + 1] if x]
+            if tail(len(good), sum(any(out(*x, r[3]) for x in some) for r in good)) > level:
+                break
+            taken = some
+        cuts[stratum] = taken
+    return {r[0] for r in rows if not any(out(*x, r[3]) for x in cuts[r[1] if r[1] in own else ("pool",)])}
+
+
+def test_few_labels_a_language_certify(spark):
+    """Three languages of 200 good labels get cutoffs of their own; two of 72 get one together; one rule goes too far in fr."""
+    made, labels = [], []
+    sizes = {"en": 250, "de": 250, "fr": 250, "xx": 90, None: 90}
+    for lang, n in sizes.items():
+        for k in range(n):
+            i, junk = len(made), k % 5 == 0
+            mark = "#" if junk else ""
+            # in fr one good document in eight is of long words, and so is most junk
+            long_ = "long" * 4 if lang == "fr" and (k % 8 == 1 or junk) else ""
+            made.append((i, " ".join(f"wo{k}r{w}{mark}{long_}" for w in range(11 + k % 3)), lang))
+            labels.append((i, 0 if junk else 1))
+    made += [(9000, "unlabelled# text# of# a# language# without# labels,# with# marks# all# over# it#", "zz"), (9001, "too short", "en")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.judge(docs, marks).collect()}
+    q = dict(labels)
+    rows = [(i, lang, q.get(i), got[i].asDict()) for i, _, lang in made if not got[i]["base_failed"]]
+    assert {i for i, r in got.items() if r["kept"]} == plain_cutoffs(rows)
+    lost = {lang: sum(not got[i]["kept"] for i, _, x in made if x == lang and q.get(i) == 1) for lang in sizes}
+    caught = {lang: sum(not got[i]["kept"] for i, _, x in made if x == lang and q.get(i) == 0) for lang in sizes}
+    assert lost == dict.fromkeys(sizes, 0) and caught == {"en": 50, "de": 50, "fr": 50, "xx": 18, None: 18}
+    assert not got[9000]["kept"]
+    # with half of them no language is certified alone, but all together are
+    half = {r["doc_id"] for r in quality.judge(docs, marks.filter("doc_id % 3 = 0")).filter("kept").collect()}
+    assert half == plain_cutoffs([(i, x, v if v is not None and i % 3 == 0 else None, c) for i, x, v, c in rows])
+
+
 # ---------------------------------------------------------------- decontamination
 
 
@@ -131,6 +192,94 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_items_full_of_slots_and_short_ones(spark):
+    sums, list_ = "compute 3 + 4 + 5 + 6 - 7 * 8 and then 12 / 4", "pick Ann, Bob, Cid, Dan, Eve, Flo, Gus, Hal, Ida and Jan"
+    bench = spark.createDataFrame([(1, sums), (2, list_), (3, "Who wrote the old song"), (4, "far too short"), (5, "what is 2 + 2")], "item_id long, text string")
+    texts = [
+        (1, f"Some say: {sums}. So be it."), (2, f"Now {list_} go."), (3, f"please {sums.replace('3', '9').replace('7', '1')} at once"),
+        (4, "They ask: who wrote the old song? Nobody knows."), (5, "who wrote the very old song"), (6, "this is far too short"), (7, "what is 2+2 now"), (8, "what is 2 + 3 now"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1, "verbatim"), (2, 2, "verbatim"), (4, 3, "verbatim"), (7, 5, "verbatim")}
+
+
+def test_one_slot_a_number_and_a_name(spark):
+    asked = "how much does a farmer pay in all if she buys 1,200 sacks of oats at 3.5 dollars a sack in New York City and 20 more in May"
+    held = asked.replace("1,200", "900").replace("3.5", "4").replace("New York City", "Rome")
+    back = asked.replace("1,200", "900,000").replace("3.5", "40").replace("20", "7.25")
+    bench = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, held), (2, back), (3, held + " " + back)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {i: (r["kind"], r["n_covered"] == r["n_tokens"]) for i, r in got.items()} == {k: ("reparameterised", True) for k in (1, 2, 3)}
+
+
+def plain_templates(docs, items, width=8, literal=4, share=0.5, run=13):
+    """(doc, item) pairs by sliding every item over every document, without hashes or joins."""
+    units = set(decontaminate.UNITS)
+
+    def canonical(text):
+        text = re.sub(r"(?<=[0-9])[.,](?=[0-9])", "\x05", text)
+        out, held = [], False
+        for k, (space, word) in enumerate(re.findall(r"([^0-9A-Za-z\x05]*)([0-9\x05]+|[A-Za-z]+)", text)):
+            before = text[: 0] if k == 0 else out[-1][2]
+            name = word[0].isupper() and space in (" ", ", ", "; ") and k > 0
+            if word[0] in "0123456789\x05":
+                out.append(("\x02", word.lower(), word))
+            elif name and out[-1][0] == "\x01" and space == " ":
+                out[-1] = ("\x01", out[-1][1] + " " + word.lower(), word)
+            elif name:
+                out.append(("\x01", word.lower(), word))
+            elif out and out[-1][0] == "\x02" and word.lower() in units and set(space) <= {" "} and len(space) <= 2:
+                out.append(("\x03", word.lower(), word))
+            else:
+                out.append((word.lower(), word.lower(), word))
+        return [(a, b) for a, b, _ in out]
+
+    found = set()
+    for d, text in docs:
+        held = canonical(text)
+        for i, item in items:
+            asked, spots = canonical(item), set()
+            need = min(run, math.ceil(len(asked) * share))
+            for offset in range(-len(asked), len(held)):
+                for j in range(len(asked) - width + 1):
+                    at = j + offset
+                    if at < 0 or at + width > len(held):
+                        continue
+                    a, h = asked[j : j + width], held[at : at + width]
+                    if [x[0] for x in a] == [x[0] for x in h]:
+                        slots = [(x, y) for x, y in zip(a, h) if x[0] < "\x04"]
+                        if width - len(slots) >= literal or all(x == y for x, y in slots):
+                            spots |= set(range(j, j + width))
+            if len(asked) >= width and len(spots) >= need:
+                found.add((d, i))
+    return found
+
+
+def test_templates_against_a_plain_scan(spark):
+    """Items with values changed one to one, cut, repeated and mixed up with other text."""
+    import random
+
+    random.seed(11)
+    words = "the man buys some old red boxes of sweet dry figs and then pays for all but one when the shop shuts".split()
+    values = ["3", "1,200", "4.5", "17", "Rome", "Paris", "New York", "km", "dollars", "200"]
+    items = [(k, "so " + " ".join(random.choice(values) if random.random() < 0.25 else random.choice(words) for _ in range(random.choice([9, 14, 25])))) for k in range(8)]
+    docs = []
+    for k in range(40):
+        _, item = random.choice(items)
+        new = {v: f"{random.randrange(500, 900)}" for v in ("3", "1,200", "4.5", "17", "200")} if random.random() < 0.5 else {}
+        parts = [new.get(w, w) for w in item.split(" ")]
+        if random.random() < 0.4:
+            parts = parts[: random.randrange(4, len(parts))]
+        docs.append((k, "it is said " + " ".join(parts) + " " + " ".join(random.choices(words, k=6))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = plain_templates(docs, items)
+    # the plain scan has no rule of clashing slots, which can only take pairs away
+    assert got <= want and len(want - got) <= len(want) // 10 and len(got) > 15
+
+
 def test_clashing_slots_drop_their_windows_only(spark):
     tail = "and then asks who of the four paid most for the hay of the old grey horse"
     twice = f"the farmer buys 5 sacks of oats at the market and later on sells 5 sacks to a neighbour {tail}"

@@ -21,7 +21,7 @@ def test_pipeline(spark, folder):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     good, single, clean, mixed, sharded = (r for _, r in done)
-    # too few labels here to certify a cutoff
+    # too few labels here to certify a cutoff, also in the pooled stratum
     assert {r["doc_id"] for r in good} == {i for i, r in text.items() if not brute.quality_counts(r["text"])[-1]}
     prints = {r["doc_id"]: brute.fingerprint(r["text"]) for r in good}
     root = brute.linked(set(prints.values()))
