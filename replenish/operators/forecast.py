@@ -93,6 +93,11 @@ def series_stats(daily: DataFrame, key: str = "medicine_id") -> DataFrame:
         F.array(*weekdays).alias("wd_sum"),
         F.array(*months).alias("mo_sum"),
     )
+    return with_calendar(sums)
+
+
+def with_calendar(sums: DataFrame) -> DataFrame:
+    """Sums over selling days with the counts of all days, which have closed forms, and what follows from both."""
     n = (F.datediff("last_day", "first_day") + 1).cast("double")
     before = F.date_sub("first_day", 1)
     month_days = [(_month_days_until(F.col("last_day"), m) - _month_days_until(before, m)).cast("double") for m in range(1, 13)]

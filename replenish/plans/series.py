@@ -12,6 +12,7 @@ from replenish.operators import forecast as FC
 from replenish.operators import joins as J
 from replenish.operators import projections as P
 from replenish.operators import ranking as R
+from replenish.operators import series_state as SS
 from replenish.operators import smoothing as SM
 from replenish.operators import uncertainty as U
 from replenish.operators import validation as VA
@@ -21,7 +22,7 @@ from replenish.plans import inputs  # noqa: F401
 from replenish.plans.basics import u_sql
 from replenish.plans.registry import common, query
 from replenish.plans.tidy import big, day, r, sql_ts, ts
-from replenish.session import scratch_path
+from replenish.session import scratch_path, stored
 from replenish.sources import history as H
 from replenish.sources import tables as T
 
@@ -610,12 +611,40 @@ def src8(spark, d):
     stats = FC.demand_stats(A.daily_demand(T.dispensing(spark, d)))
     levels = T.stock_levels(spark, d).select("medicine_id", "prescription_count")
     H.write_forecasts(FC.baseline_forecast(stats), path, "2024-01-01")
-    stored = H.read_forecasts(spark, path)
-    known = stored.groupBy("medicine_id").agg(r(F.sum("forecast"), name="total")).withColumn("stored", F.lit(True))
-    todo = H.not_yet_forecast(levels, stored).select("medicine_id", F.lit(None).cast("double").alias("total"), F.lit(False).alias("stored"))
+    held = H.read_forecasts(spark, path)
+    known = held.groupBy("medicine_id").agg(r(F.sum("forecast"), name="total")).withColumn("stored", F.lit(True))
+    todo = H.not_yet_forecast(levels, held).select("medicine_id", F.lit(None).cast("double").alias("total"), F.lit(False).alias("stored"))
     return known.unionByName(todo)
 
 
+@query(
+    "src8_incremental_forecasts",
+    """SELECT t.medicine_id, h, round(forecast, 3) AS forecast, last_date >= (SELECT max(CAST(ts AS DATE)) - 30 FROM disp) AS refitted
+       FROM trend t JOIN (SELECT medicine_id, max(date) AS last_date FROM daily GROUP BY 1) l ON l.medicine_id = t.medicine_id WHERE own""",
+    ("trend", "daily", "disp"),
+)
+def src8_incremental(spark, d):
+    """A run over the history but its last month, then one that reads the last month and fits the items that sold in it."""
+    path = scratch_path(spark, "forecast-runs")
+    rx = T.dispensing(spark, d)
+    newest = rx.agg(F.date_sub(F.max(F.to_date("timestamp")), 30)).first()[0]
+    early = F.col("timestamp") < F.lit(newest).cast("timestamp")
+
+    def forecasts(state):
+        fitted_ = FC.fit_components(SS.stats_of(state))
+        return FC.trend_forecast(FC.component_forecasts(fitted_)).select("medicine_id", "h", "forecast")
+
+    daily = A.daily_demand(rx.filter(early))
+    state = stored(SS.advance(SS.no_state(daily), daily)[0].drop("changed"), "series-state")
+    H.write_forecasts(forecasts(state), path, "1")
+    state = stored(SS.advance(state, A.daily_demand(rx.filter(~early)))[0], "series-state")
+    H.write_forecasts(forecasts(state.filter("changed")), path, "2")
+    runs = H.read_forecasts(spark, path)
+    kept = state.filter("not changed").select("medicine_id")
+    rows = runs.filter("run_date = 2").unionByName(runs.filter("run_date = 1").join(kept, "medicine_id", "left_semi"))
+    return rows.select("medicine_id", "h", r("forecast", 3), (F.col("run_date") == 2).alias("refitted"))
+
+
 # ---------------------------------------------------------------- intervals
 
 

@@ -128,3 +128,43 @@ def test_smoothing_beats_a_straight_line_on_seasonal_items(spark):
     line = line.select("medicine_id", F.lit("line").alias("model"), F.date_add("last_day", F.col("h") + 1).alias("forecast_date"), (F.col("intercept") + F.col("slope") * (F.col("n") + F.col("h"))).alias("forecast"))
     straight = VA.errors(line, table, spans).agg(F.sqrt(F.sum(F.col("rmse") ** 2 * F.col("days")) / F.sum("days"))).first()[0]
     assert report["smoothing"] < 0.6 * straight
+
+
+@pytest.mark.parametrize("cuts", [(3,), (1, 2, 40), (60, 61, 62, 63), tuple(range(1, 100, 9))])
+def test_merged_sums_equal_a_whole_scan(spark, cuts):
+    from replenish.operators import series_state as SS
+
+    series = some_series()
+    table = daily(spark, series).withColumn("t", F.datediff("date", F.lit(DAY)))
+    # the newest day of each delivery comes in two parts
+    state, bounds = SS.no_state(table), [0, *cuts, 1000]
+    for low, high in zip(bounds, bounds[1:]):
+        some = table.filter(F.col("t").between(low, high)).withColumn("demand", F.when(F.col("t").isin(low, high) & (F.col("t") > 0) & (F.col("t") < 999), F.col("demand") / 2).otherwise(F.col("demand")))
+        merged, late = SS.advance(state, some)
+        assert late.count() == 0
+        state = spark.createDataFrame(merged.drop("changed").collect(), state.schema)
+    got = {r["medicine_id"]: r.asDict() for r in SS.stats_of(state).collect()}
+    want = {r["medicine_id"]: r.asDict() for r in FC.series_stats(table).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        for name, value in want[k].items():
+            if name == "selling_days" and k in got:
+                assert got[k][name] == value
+            elif isinstance(value, (int, float)):
+                assert got[k][name] == pytest.approx(value, abs=1e-6), (k, name)
+            elif isinstance(value, list):
+                assert got[k][name] == pytest.approx(value, abs=1e-6), (k, name)
+            else:
+                assert got[k][name] == value, (k, name)
+
+
+def test_late_days_and_unchanged_items(spark):
+    from replenish.operators import series_state as SS
+
+    first, _ = SS.advance(SS.no_state(daily(spark, {"a": [1.0]})), daily(spark, {"a": [1.0, 0, 4.0], "b": [2.0, 2.0]}))
+    state = spark.createDataFrame(first.drop("changed").collect(), first.drop("changed").schema)
+    more = spark.createDataFrame([("a", DAY + dt.timedelta(days=1), 9.0), ("a", DAY + dt.timedelta(days=2), 1.0), ("c", DAY, 3.0), (None, DAY, 1.0)], "medicine_id string, date date, demand double")
+    merged, late = SS.advance(state, more)
+    assert [tuple(r) for r in late.collect()] == [("a", DAY + dt.timedelta(days=1), 9.0)]
+    got = {r["medicine_id"]: (r["open_value"], r["changed"]) for r in merged.collect()}
+    assert got == {"a": (5.0, True), "b": (2.0, False), "c": (3.0, True), None: (1.0, True)}
