@@ -8,8 +8,10 @@ no shuffle, no dependence on partitioning.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,13 @@ def poisson1(u: Column, most: int = 12) -> Column:
     return expr
 
 
+def poisson1_values(draws: np.ndarray, most: int = 12) -> np.ndarray:
+    """The draws of :func:`poisson1` for integer draws of :func:`bits`, outside Spark."""
+    terms = math.exp(-1.0) / np.cumprod(np.maximum(np.arange(most), 1.0))
+    cums = np.fromiter(itertools.accumulate(terms.tolist()), float, most)
+    return np.searchsorted(cums, (draws + 0.5) / RANGE, side="right").astype(np.uint8)
+
+
 def normal_value(seed, *parts) -> float:
     """The same draw as :func:`normal`, for one key, outside Spark."""
 

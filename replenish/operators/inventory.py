@@ -55,6 +55,9 @@ def stock_targets(items: DataFrame, params: Params = Params()) -> DataFrame:
     return out.withColumn("order_quantity", F.when(F.col("should_order"), quantity).otherwise(0.0))
 
 
+ITEMS_AT_ONCE = 8
+
+
 def scenario_noise(scenarios: int, days: int, seed: int) -> np.ndarray:
     """Standard normal draws per (scenario, day), shared by all items; its size depends on the parameters only."""
     label = f"short{seed}"
@@ -74,14 +77,24 @@ def shortage_cost(level: str, params: Params = Params()) -> Column:
 
     @F.pandas_udf("double")
     def expected(level: pd.Series, forecast: pd.Series, uncertainty: pd.Series) -> pd.Series:
-        out = np.zeros(len(level))
-        for i, (stock, f, u) in enumerate(zip(level, forecast, uncertainty)):
-            days = min(len(f), noise.shape[1])
-            demand = np.maximum(f[:days] + u[:days] * noise[:, :days], 0.0)
-            excess = np.cumsum(demand, axis=1) - stock
-            hit = excess > 0
-            rows = hit.any(axis=1)
-            out[i] = excess[rows, hit[rows].argmax(axis=1)].sum() / len(noise) * cost
+        days = noise.shape[1]
+        mean, spread = np.zeros((2, len(level), days))
+        # days beyond a forecast have no demand, so nothing is first exceeded on them
+        for i, (f, u) in enumerate(zip(forecast, uncertainty)):
+            n = min(len(f), days)
+            mean[i, :n], spread[i, :n] = f[:n], u[:n]
+        stock, out = level.to_numpy(float), np.zeros(len(level))
+        for at in range(0, len(level), ITEMS_AT_ONCE):
+            some = slice(at, at + ITEMS_AT_ONCE)
+            excess = spread[some, None] * noise
+            excess += mean[some, None]
+            np.maximum(excess, 0.0, out=excess)
+            np.cumsum(excess, axis=2, out=excess)
+            excess -= stock[some, None, None]
+            first = (excess <= 0).sum(axis=2)
+            hit = first < days
+            reached = np.take_along_axis(excess, np.minimum(first, days - 1)[:, :, None], axis=2)[:, :, 0]
+            out[some] = np.where(hit, reached, 0.0).sum(axis=1) / len(noise) * cost
         return pd.Series(out)
 
     return expected(F.col(level), F.col("forecast"), F.col("uncertainty"))

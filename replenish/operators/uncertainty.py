@@ -73,6 +73,21 @@ def monte_carlo_interval(
     )
 
 
+ITEMS_AT_ONCE = 64
+
+
+def _quantiles(values: np.ndarray, known: np.ndarray, ends: list[float]) -> list[np.ndarray]:
+    """Interpolated quantiles of every row over its ``known`` values; missing ones are NaN and sort last."""
+    ordered = np.sort(values, axis=1)
+    row, last, out = np.arange(len(values)), np.maximum(known - 1, 0), []
+    for q in ends:
+        at = q * last
+        low = np.floor(at).astype(int)
+        a, b = ordered[row, low], ordered[row, np.minimum(low + 1, last)]
+        out.append(a + (b - a) * (at - low))
+    return out
+
+
 def bootstrap_mean(daily: DataFrame, rounds: int | None = None, params: Params = Params()) -> DataFrame:
     """Percentile interval of the mean selling-day demand by a Poisson bootstrap.
 
@@ -81,28 +96,35 @@ def bootstrap_mean(daily: DataFrame, rounds: int | None = None, params: Params =
     round. Rounds in which an item drew none of its days have no mean; ``rounds`` says how many have.
     """
     alpha, total = 1 - params.confidence, rounds or params.bootstrap_rounds
-    # days x rounds small numbers, bounded by the calendar
+    # days x rounds draws, bounded by the calendar
     draw = daily.select("date").distinct().select("date", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("b"))
-    draw = draw.withColumn("w", draws.poisson1(draws.uniform(f"boot{params.seed}", F.col("date"), F.col("b"))))
+    draw = draw.withColumn("w", draws.bits(f"boot{params.seed}", F.col("date"), F.col("b")))
     weights = draw.groupBy("date").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("w"))
-    rows = weights.orderBy("date").collect()
-    at = {row["date"]: i for i, row in enumerate(rows)}
-    matrix = np.array([row["w"] for row in rows], dtype=np.uint8).reshape(len(rows), total)
+    table = weights.toArrow()
+    at = {day: i for i, day in enumerate(table["date"].to_pylist())}
+    drawn = [chunk.flatten().to_numpy() for chunk in table["w"].chunks]
+    matrix = draws.poisson1_values(np.concatenate([np.empty(0, np.int64), *drawn])).reshape(len(at), total)
     shared = daily.sparkSession.sparkContext.broadcast((at, matrix))
     ends = [alpha / 2, 1 - alpha / 2]
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, all_weights = shared.value
         for batch in batches:
-            out = []
-            for days, demand in zip(batch["days"], batch["demands"]):
-                own = all_weights[[index[day] for day in days]].astype(float)
-                size = own.sum(axis=0)
-                means = (np.asarray(demand, float) @ own)[size > 0] / size[size > 0]
-                out.append((len(means), *(np.quantile(means, ends) if len(means) else (None, None))))
-            done = pd.DataFrame(out, columns=["rounds", "lower", "upper"])
-            done.insert(0, "medicine_id", batch["medicine_id"].to_numpy())
-            yield done
+            for start in range(0, len(batch), ITEMS_AT_ONCE):
+                some = batch.iloc[start : start + ITEMS_AT_ONCE]
+                # the block's days only, so that sparse items multiply what they sold on
+                used = sorted({index[day] for days in some["days"] for day in days})
+                place = {k: n for n, k in enumerate(used)}
+                demand, sold = np.zeros((2, len(some), len(used)))
+                for i, (days, values) in enumerate(zip(some["days"], some["demands"])):
+                    own = [place[index[day]] for day in days]
+                    demand[i, own], sold[i, own] = values, 1.0
+                block = all_weights[used].astype(float)
+                size = sold @ block
+                means = np.divide(demand @ block, size, out=np.full(size.shape, np.nan), where=size > 0)
+                rounds = (size > 0).sum(axis=1)
+                bounds = _quantiles(means, rounds, ends)
+                yield pd.DataFrame({"medicine_id": some["medicine_id"].to_numpy(), "rounds": rounds, "lower": bounds[0], "upper": bounds[1]})
 
     # one entry a selling day
     pairs = F.sort_array(F.collect_list(F.struct("date", "demand")))
