@@ -134,6 +134,10 @@ def bellman_residual(histograms: DataFrame, policy: DataFrame, params: Params =
 
 
 def apply_policy(stock: DataFrame, policy: DataFrame, params: Params = Params()) -> DataFrame:
-    """Order size for each item's current stock: nearest grid level, then an equi join on (item, level)."""
+    """Order size for each item's current stock: nearest grid level, then an equi join on (item, level).
+
+    An item without a policy, or of unknown stock, stays, with no order quantity.
+    """
     level = nearest_level(F.col("current_inventory"), params.policy_step, params.policy_max_stock) * params.policy_step
-    return stock.withColumn("stock_level", level.cast("bigint")).join(policy, ["medicine_id", "stock_level"])
+    level = F.when(F.col("current_inventory").isNotNull(), level)
+    return stock.withColumn("stock_level", level.cast("bigint")).join(policy, ["medicine_id", "stock_level"], "left")

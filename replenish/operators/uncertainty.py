@@ -74,6 +74,7 @@ def monte_carlo_interval(
 
 
 ITEMS_AT_ONCE = 64
+DEALT = 64
 
 
 def _quantiles(values: np.ndarray, known: np.ndarray, ends: list[float]) -> list[np.ndarray]:
@@ -97,7 +98,9 @@ def bootstrap_mean(daily: DataFrame, rounds: int | None = None, params: Params =
     """
     alpha, total = 1 - params.confidence, rounds or params.bootstrap_rounds
     # days x rounds draws, bounded by the calendar
-    draw = daily.select("date").distinct().select("date", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("b"))
+    # dates are few, what is made of them is not: they are dealt out first, and the lists keep that partitioning
+    dates = daily.select("date").distinct().repartition(DEALT, "date")
+    draw = dates.select("date", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("b"))
     draw = draw.withColumn("w", draws.bits(f"boot{params.seed}", F.col("date"), F.col("b")))
     weights = draw.groupBy("date").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("w"))
     table = weights.toArrow()

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replenish.operators import forecast as FC
+from replenish.operators.additive import change_point_forecast
 from replenish.operators.autoregression import autoregressive_forecast
 from replenish.operators.smoothing import smoothed_forecast
 from replenish.params import Params
@@ -42,6 +43,7 @@ def models(train: DataFrame, params: Params = Params()) -> DataFrame:
         lambda: FC.all_forecasts(components, params),
         lambda: autoregressive_forecast(train, params),
         lambda: smoothed_forecast(train, params),
+        lambda: change_point_forecast(train, params),
         lambda: flat_forecast(stats, params),
     ]
     out = parts[0]().select(*columns)

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from replenish.operators import additive as AD
 from replenish.operators import aggregates as A
 from replenish.operators import autoregression as AR
 from replenish.operators import forecast as FC
@@ -464,6 +465,29 @@ def fc2_smoothing(spark, d):
     return f.select("medicine_id", "h", r("forecast", 3), r("lower", 3), r("upper", 3))
 
 
+@query(
+    "fc4_design_sums",
+    """SELECT medicine_id, round(sum(demand), 3) AS flat, round(sum(demand * date_diff('day', (SELECT min(date) FROM daily), date) / 365.25), 3) AS time,
+       round(sum(demand * greatest(0, date_diff('day', (SELECT min(date) FROM daily), date) / 365.25 - 0.8 * (SELECT date_diff('day', min(date), max(date)) + 1 FROM daily) / 365.25 / 13)), 3) AS first_hinge,
+       round(sum(demand * sin(2 * pi() / 7 * date_diff('day', (SELECT min(date) FROM daily), date))), 3) AS week_sine,
+       round(sum(demand * cos(6 * pi() / 365.25 * date_diff('day', (SELECT min(date) FROM daily), date))), 3) AS third_year_cosine FROM daily GROUP BY 1""",
+    ("daily",),
+)
+def fc4_sums(spark, d):
+    daily = A.daily_demand(T.dispensing(spark, d))
+    sums = AD.design_sums(daily, AD.design_of(daily))
+    names = {"flat": 0, "time": 1, "first_hinge": 2, "week_sine": 2 + AD.HINGES, "third_year_cosine": -1}
+    last = F.size("xy") - 1
+    return sums.select("medicine_id", *[r(F.get("xy", last if k < 0 else F.lit(k)), 3, name) for name, k in names.items()])
+
+
+@query("fc4_change_points")
+def fc4_change_points(spark, d):
+    """Forecasts by ridge regression on hinges and waves."""
+    f = AD.change_point_forecast(A.daily_demand(T.dispensing(spark, d)))
+    return f.select("medicine_id", "h", r("forecast", 3), r("lower", 3), r("upper", 3))
+
+
 @query("fc10_validation_errors")
 def fc10_validation(spark, d):
     """Errors of all models on the last fifth of each series."""

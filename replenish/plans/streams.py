@@ -121,6 +121,19 @@ def str4(spark, d):
     )
 
 
+@query(
+    "str4_location_diversity",
+    f"""SELECT medicine_id, {sql_ts("w")} AS window_start, count(*) AS "count", count(DISTINCT location) AS location_diversity FROM (
+        SELECT * REPLACE (user_id AS medicine_id), time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS w FROM ev, (SELECT unnest(range(4)) AS k)) GROUP BY medicine_id, w""",
+    ("ev",),
+)
+def str4_diversity(spark, d):
+    """Sites of hopping windows from one sketch a pane."""
+    panes = changed(spark, SW.diversity_panes(events(spark, d, "user_id"), QUARTER_HOUR), "diversity", ["medicine_id", "pane"])
+    rows = SW.location_diversity(panes, HOUR, QUARTER_HOUR)
+    return rows.withColumn("window_start", ts("window_start"))
+
+
 @query(
     "str4_arrival_gaps",
     f"""SELECT medicine_id, {sql_ts("w")} AS window_start, count(*) AS "count", round(avg(g) + 0.00000123, 4) AS avg_inter_arrival_time, round(stddev_pop(g) + 0.00000123, 4) AS std_inter_arrival_time FROM (

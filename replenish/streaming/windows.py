@@ -62,6 +62,33 @@ def features(events: DataFrame, size: int, params: Params = Params(), key: str =
     return stats.select(key, F.col("_w.start").alias("window_start"), "count", *FEATURE_NAMES)
 
 
+LOG_REGISTERS = 12
+
+
+def diversity_panes(events: DataFrame, pane: int, params: Params = Params(), key: str = "medicine_id", registers: int = LOG_REGISTERS) -> DataFrame:
+    """The stream side of location diversity: a mergeable sketch of the sites per key and pane, for update mode.
+
+    State is 2^``registers`` small registers a pane at most, whatever the number of sites; a missing site is one of its own.
+    """
+    sites = F.hll_sketch_agg(F.coalesce(F.col("location"), F.lit("unknown")), registers)
+    rows = _marked(events, params).groupBy(key, F.window("timestamp", f"{pane} seconds").alias("_p")).agg(F.count("*").alias("count"), sites.alias("sites"))
+    return rows.select(key, F.unix_seconds(F.col("_p.start")).alias("pane"), "count", "sites")
+
+
+def location_diversity(panes: DataFrame, size: int, slide: int, key: str = "medicine_id") -> DataFrame:
+    """Sites per key and hopping window, by union of the current panes' sketches.
+
+    With 2^12 registers the standard error is 1.6 % for many sites; a few dozen are counted exactly.
+    """
+    if size % slide:
+        raise ValueError("size must be a multiple of slide")
+    start = F.col("pane")
+    starts = F.sequence(start - F.lit(size - slide), start, F.lit(slide).cast("bigint"))
+    windows = panes.withColumn("_w", F.explode(starts)).groupBy(key, "_w")
+    rows = windows.agg(F.sum("count").alias("count"), F.hll_sketch_estimate(F.hll_union_agg("sites")).alias("location_diversity"))
+    return rows.select(key, F.timestamp_seconds("_w").alias("window_start"), "count", "location_diversity")
+
+
 def hour_distribution(events: DataFrame, size: int, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
     window = F.window("timestamp", f"{size} seconds").alias("_w")
     counts = _marked(events, params).groupBy(key, window, "hour_of_day").agg(F.count("*").alias("n"))

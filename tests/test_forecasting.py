@@ -168,3 +168,33 @@ def test_late_days_and_unchanged_items(spark):
     assert [tuple(r) for r in late.collect()] == [("a", DAY + dt.timedelta(days=1), 9.0)]
     got = {r["medicine_id"]: (r["open_value"], r["changed"]) for r in merged.collect()}
     assert got == {"a": (5.0, True), "b": (2.0, False), "c": (3.0, True), None: (1.0, True)}
+
+
+def test_change_points_equal_a_plain_ridge_fit(spark):
+    from replenish.operators import additive as AD
+
+    rng = random.Random(6)
+    bend = [5 + 0.1 * min(t, 300) - 0.04 * max(0, t - 300) + 3 * (t % 7 == 1) + 2 * np.sin(2 * np.pi * t / 365.25) + rng.random() for t in range(700)]
+    series = {"bend": bend, **some_series()}
+    table = daily(spark, series)
+    got = {}
+    for r in AD.change_point_forecast(table, Params().but(horizon=9)).collect():
+        got.setdefault(r["medicine_id"], {})[r["h"]] = r
+    # "even" sells every day alike, "short" and "one" are too short
+    assert set(got) == {"bend", "wave", "sparse", "even"}
+    design = AD.design_of(table)
+    assert design.days == 700
+    for key, rows in got.items():
+        y = np.array(series[key], float)
+        x = design.matrix(np.arange(len(y)))
+        used = np.ones(x.shape[1], bool) if len(y) >= 365 else ~design.yearly
+        weights = np.linalg.solve(x[:, used].T @ x[:, used] + np.diag(design.costs[used]), x[:, used].T @ y)
+        ahead = design.matrix(len(y) + np.arange(9))[:, used] @ weights
+        width = np.sqrt(((y - x[:, used] @ weights) ** 2).sum() / (len(y) - 1))
+        assert [rows[h]["forecast"] for h in range(9)] == pytest.approx(np.maximum(ahead, 0.0), abs=1e-5)
+        assert rows[0]["uncertainty"] == pytest.approx(width, abs=1e-4)
+    # the turn and the week are followed: a straight line is far off
+    later = [5 + 30 - 0.04 * (t - 300) + 3 * (t % 7 == 1) + 2 * np.sin(2 * np.pi * t / 365.25) + 0.5 for t in range(700, 709)]
+    line = np.polyval(np.polyfit(np.arange(700), bend, 1), np.arange(700, 709))
+    error = lambda f: float(np.sqrt(np.mean((np.array(f) - later) ** 2)))
+    assert error([got["bend"][h]["forecast"] for h in range(9)]) < 0.5 * error(line)

@@ -106,6 +106,18 @@ def test_policy_equals_long_value_iteration(spark):
         assert got[s]["converged"] and got[s]["rounds"] < 20
 
 
+def test_policy_is_applied_to_every_item(spark):
+    params = Params().but(policy_max_stock=40, policy_max_order=20)
+    df = spark.createDataFrame([("a", [4.0, 12.0, 25.0], [3, 2, 1]), ("b", [30.0], [1])], "medicine_id string, demands array<double>, counts array<bigint>")
+    policy = PO.optimal_policy(df, params)
+    stock = spark.createDataFrame([("a", 5.0), ("a", 15.1), ("a", 1e6), ("b", -3.0), ("b", 35.0), ("c", 10.0), ("b", None)], "medicine_id string, current_inventory double")
+    orders = {(r["medicine_id"], r["stock_level"]): r["order_quantity"] for r in policy.collect()}
+    got = sorted(((r["medicine_id"], r["current_inventory"], r["stock_level"], r["order_quantity"]) for r in PO.apply_policy(stock, policy, params).collect()), key=repr)
+    levels = {("a", 5.0): 0, ("a", 15.1): 20, ("a", 1e6): 40, ("b", -3.0): 0, ("b", 35.0): 30, ("c", 10.0): 10, ("b", None): None}
+    assert got == sorted(((m, s, level, orders.get((m, level))) for (m, s), level in levels.items()), key=repr)
+    assert orders["b", 0] == 20 and orders["a", 40] == 0
+
+
 def test_nearest_level_ties_go_down(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (5.1,), (15.0,), (994.0,), (1e9,)], "x double")
     assert [r[0] for r in df.select(PO.nearest_level(F.col("x"))).collect()] == [0, 0, 1, 1, 99, 100]

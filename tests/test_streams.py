@@ -316,3 +316,19 @@ def test_tables_of_changes_compact_themselves(spark, feed, tmp_path):
     want = running_totals(SR.decode(spark.read.text(feed)))
     got = SK.current(spark, f"{tmp_path}/out", ["medicine_id"])
     assert flat(got.select(want.columns).collect()) == flat(want.collect())
+
+
+def test_sketched_sites_of_hopping_windows(spark, feed, tmp_path):
+    SK.drain(SK.changes_table(SW.diversity_panes(read(spark, feed), 60), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    panes = SK.current(spark, f"{tmp_path}/out", ["medicine_id", "pane"])
+    got = SW.location_diversity(panes, 300, 60)
+    from pyspark.sql import functions as F
+
+    rows = SR.decode(spark.read.text(feed)).groupBy("medicine_id", F.window("timestamp", "300 seconds", "60 seconds").alias("w"))
+    want = rows.agg(F.count("*"), F.count_distinct("location")).select("medicine_id", "w.start", "count(1)", "count(DISTINCT location)")
+    assert flat(got.collect()) == flat(want.collect())
+    # many sites: a fixed size and the stated error
+    many = spark.range(60_000).select(F.lit("a").alias("medicine_id"), F.lit(START).alias("timestamp"), F.concat(F.lit("S"), F.col("id") % 20_000).alias("location"))
+    panes = SW.diversity_panes(many, 60)
+    assert panes.select(F.octet_length("sites")).first()[0] < 2**12 * 2
+    assert SW.location_diversity(panes, 60, 60).first()["location_diversity"] == pytest.approx(20_000, rel=0.05)
