@@ -12,6 +12,7 @@ from replenish.operators import autoregression as AR
 from replenish.operators import forecast as FC
 from replenish.operators import joins as J
 from replenish.operators import projections as P
+from replenish.operators import quantiles as QR
 from replenish.operators import ranking as R
 from replenish.operators import series_state as SS
 from replenish.operators import smoothing as SM
@@ -755,6 +756,19 @@ def uq4(spark, d):
     return U.quantile_interval(A.daily_demand(T.dispensing(spark, d))).select("medicine_id", "weekday", r("lower"), r("upper"), "days")
 
 
+@query("uq4_quantile_regression")
+def uq4_regression(spark, d):
+    """Interval ends as models of the 2.5 and 97.5 % quantiles."""
+    f = QR.quantile_regression_interval(A.daily_demand(T.dispensing(spark, d)))
+    return f.select("medicine_id", "h", "forecast_date", r("lower", 3), r("upper", 3), "days")
+
+
+@query("uq4_interval_coverage")
+def uq4_coverage(spark, d):
+    """How many held-out days of each item lie below, inside and above its interval."""
+    return QR.coverage(A.daily_demand(T.dispensing(spark, d))).select("medicine_id", "days", "below", "inside", "above", r("width", 3))
+
+
 @query(
     "uq5_ensemble_interval",
     f"""SELECT medicine_id, h, round(avg(forecast), 3) AS mean, round(avg(forecast) - {Z95} * stddev_pop(forecast), 3) AS lower, round(avg(forecast) + {Z95} * stddev_pop(forecast), 3) AS upper FROM (

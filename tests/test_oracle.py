@@ -9,6 +9,7 @@ from replenish.plans.catalog import REGISTRY
 # queries that SQL can't express; each has a test of its own
 ROWS_ONLY = {
     "inv17_policy", "inv18_apply_policy", "fc2_seasonal_smoothing", "fc3_two_week_autoregression", "fc4_change_points", "fc10_validation_errors",
+    "uq4_quantile_regression", "uq4_interval_coverage",
 }
 
 
