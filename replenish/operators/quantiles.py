@@ -150,6 +150,8 @@ def quantile_regression_interval(
     known = daily.filter("date is not null and demand is not null").select(key, "date", place.alias("day"), F.col("demand").cast("double").alias("demand"))
     # one entry a selling day: a day's rows are summed before an item is put together
     per_day = known.groupBy(key, "date", "day").agg(F.sum("demand").alias("demand"))
+    # an item's work is its calendar's, not its bytes': a fixed number of tasks, which isn't merged by size
+    per_day = per_day.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     pairs = F.sort_array(F.collect_list(F.struct("day", "demand")))
     lists = per_day.groupBy(key).agg(
         F.max("date").alias("last_day"), F.min("day").alias("a"), F.max("day").alias("b"), pairs["day"].alias("days"), pairs["demand"].alias("demands")
