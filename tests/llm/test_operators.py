@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -461,6 +462,73 @@ def test_licences_inside_longer_parts(spark):
     assert got == want
 
 
+def test_close_relatives_have_their_own_names(spark):
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    commons = "This work is licensed under a Creative Commons {} License."
+    bsd = licences.TEMPLATES["BSD-3-Clause"][1]
+    third = bsd.index("Neither the name")
+    texts = {
+        gnu.format("program", ";", "General Public License", "2"): "GPL-2.0", gnu.format("program", ":", "General Public License", "3"): "GPL-3.0",
+        gnu.format("library", ";", "Lesser General Public License", "2.1"): "LGPL-2.1", gnu.format("program", ":", "Lesser General Public License", "3"): "LGPL-3.0",
+        gnu.format("program", ":", "Affero General Public License", "3"): "AGPL-3.0", gnu.format("program", ";", "General Public License", "1"): "ambiguous",
+        gnu.format("library", ";", "Lesser General Public License", "v3"): "LGPL-3.0",
+        commons.format("Attribution 3.0 Unported"): "CC-BY-3.0", commons.format("Attribution 3.0 International"): "CC-BY-3.0", commons.format("Attribution 2.5 Generic"): "ambiguous",
+        commons.format("Attribution-NonCommercial-ShareAlike 4.0 International"): "CC-BY-NC-SA-4.0", commons.format("Attribution-NoDerivatives 4.0 International"): "CC-BY-ND-4.0",
+        commons.format("Attribution-NonCommercial-NoDerivs 3.0 Unported"): "ambiguous", commons.format("Attribution 4.0 International"): "CC-BY-4.0",
+        bsd: "BSD-3-Clause", bsd[:third]: "BSD-2-Clause", bsd[: bsd.index("met:") + 4]: "BSD", "Copyright 12 of 1999. Licensed under the MIT License.": "MIT",
+    }
+    prose = "Here is a line of prose that has nothing to do with terms of use"
+    rows_in = [(k, t) for k, t in enumerate(texts)] + [(100 + k, f"{prose} and then {t} {prose}. {prose}\n{prose}") for k, t in enumerate(texts)]
+    got = {}
+    for r in licences.scan(spark.createDataFrame(rows_in, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["licence"])
+    for k, want in enumerate(texts.values()):
+        assert got[k] == {want} and got[100 + k] == {want}, list(texts)[k]
+    # every template has its own name
+    own = licences.Templates()
+    for name, notices in licences.TEMPLATES.items():
+        for text in notices:
+            assert own.best(licences.normal(text)) == (name, 1.0)
+
+
+def test_passages_equal_a_scan_of_all_runs():
+    own, rng = licences.Templates(), random.Random(9)
+    notices = [licences.normal(t) for texts in licences.TEMPLATES.values() for t in texts]
+    met = 0
+    for _ in range(25):
+        words = []
+        for _ in range(3):
+            piece = list(rng.choice(notices))
+            for _ in range(rng.randrange(4)):
+                piece[rng.randrange(len(piece))] = rng.choice(["of", "the", "x", "4", "nc"])
+            words += ["under"] * rng.randrange(3) + piece[rng.randrange(3) :]
+        words = words[:150]
+        pairs = list(zip(words, words[1:]))
+        found = []
+        for number, (name, _, bigrams) in enumerate(own.all):
+            size = bigrams.total()
+            for i, g in enumerate(pairs):
+                best = None
+                for j in range(i, min(len(pairs), i + int(1.5 * size) + 2) if g in bigrams else i):
+                    if pairs[j] in bigrams:
+                        shared = (Counter(pairs[i : j + 1]) & bigrams).total()
+                        score = 2 * shared / (j - i + 1 + size)
+                        if score >= 0.8 and (best is None or score > best[1]):
+                            best = shared, score, j + 2
+                if best:
+                    found.append((licences.telling(words[i : best[2]]) != own.telling[number], -best[0], -best[1], name, i, best[2]))
+        want, covered = [], set()
+        for other, _, score, name, first, end in sorted(found):
+            # a run's last word may be the next one's first
+            span = set(range(2 * first, 2 * end - 1))
+            if not span & covered:
+                covered |= set(range(2 * first, 2 * end))
+                want.append((first, end, "ambiguous" if other else name, -score))
+        met += len(want)
+        assert sorted(own.passages(words)) == sorted(want)
+    assert met > 25
+
+
 # ---------------------------------------------------------------- URLs
 
 
