@@ -2,8 +2,8 @@
 
 Text and templates are lower-cased and cut to words of letters and digits. A coefficient of t is
 only possible between bigram counts a and b with t / (2 - t) <= a / b <= (2 - t) / t, so the number of
-words leaves few templates or none; of those, one that shares too few words to reach t is passed
-over, and the rest are compared. Parts are sentences, lines, paragraphs and whole texts.
+words leaves few templates or none; parts with too few bigrams of any template, and templates that
+share too few words to reach t, are passed over, and the rest are compared. Parts are sentences, lines, paragraphs and whole texts.
 
 Notices that are none of these, as those wrapped in a longer comment or inside a line, are passages:
 runs of words over line ends from a shared bigram to another one, whose coefficient reaches the
@@ -16,7 +16,7 @@ must also have its template's telling words (kind, version, clauses). If it has
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from math import ceil
 
@@ -138,6 +138,10 @@ class Templates:
             for a in range(1, int(b / ratio) + 2):
                 if b * ratio <= a + 1e-9 and a * ratio <= b + 1e-9:
                     self.by_size.setdefault(a, []).append(number)
+        # the fewest shared bigrams that any template takes of a part of that size
+        self.need = {a: min(threshold * (a + self.all[n][2].total()) / 2 for n in near) for a, near in self.by_size.items()}
+        # of runs whose shared bigrams are two thirds, and four at least of a template's, three lie within five places
+        self.dense = 4 if threshold >= 0.8 and min((b.total() for _, _, b in self.all), default=0) >= 4 else None
         self.ratio = ratio
         self.with_bigram: dict[tuple[str, str], list[int]] = {}
         for number, (_, _, bigrams) in enumerate(self.all):
@@ -202,17 +206,23 @@ class Templates:
         if len(paragraphs) > 1:
             yield "text", 0, line_number, everything, 0
 
-    def passages(self, words: list[str]):
+    def known(self, words: list[str]) -> list[int]:
+        """Places of the bigrams that some template has."""
+        return [i for i, g in enumerate(zip(words, words[1:])) if g in self.with_bigram]
+
+    def passages(self, words: list[str], places: list[int] | None = None):
         """(first word, word after the last, licence, dice) of runs like a template; of those that overlap the one that shares most.
 
         Runs that agree in the telling words go before others, so a run is ``ambiguous`` only where no template agrees.
         """
+        places = self.known(words) if places is None else places
+        if self.dense and not any(b - a <= self.dense for a, b in zip(places, places[2:])):
+            return
         placed: dict[int, list[tuple[int, tuple[str, str]]]] = {}
-        known = self.with_bigram
-        for i, g in enumerate(zip(words, words[1:])):
-            if g in known:
-                for number in known[g]:
-                    placed.setdefault(number, []).append((i, g))
+        for i in places:
+            g = words[i], words[i + 1]
+            for number in self.with_bigram[g]:
+                placed.setdefault(number, []).append((i, g))
         found = []
         for number, hits in placed.items():
             name, _, bigrams = self.all[number]
@@ -247,15 +257,20 @@ class Templates:
 
         A part that is ``ambiguous`` as a whole gives way to a passage in it that is not.
         """
-        parts, starts, numbers, everything = [], [], [], []
+        parts, sized, starts, numbers, everything = [], [], [], [], []
         for kind, first, last, words, at in self.parts(text):
             if kind == "line":
                 starts.append(at)
                 numbers.append(first)
                 everything += words
-            if best := self.best(words):
+            if len(words) - 1 in self.need:
+                sized.append((kind, first, last, words, at))
+        places = self.known(everything)
+        for kind, first, last, words, at in sized:
+            size = len(words) - 1
+            if bisect_left(places, at + size) - bisect_left(places, at) >= self.need[size] and (best := self.best(words)):
                 parts.append((at, at + len(words), kind, first, last, *best))
-        passages = sorted(self.passages(everything))
+        passages = sorted(self.passages(everything, places))
         named = [(first, end) for first, end, licence, _ in passages if licence != AMBIGUOUS]
         spans = []
         for a, b, *part in parts:
