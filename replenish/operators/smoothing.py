@@ -1,7 +1,7 @@
 """Exponential smoothing with a damped trend and a weekly season.
 
 The recursion runs day by day and so can't be a sum; Spark gathers an item's selling days (bounded by the
-calendar) into one row, and a batch of items goes through the days together, all settings of a fixed grid at once.
+calendar) into one row, and a batch of items goes through them together, all settings of a fixed grid at once.
 The setting with the least squared one-step error makes the forecast.
 """
 
@@ -22,30 +22,106 @@ WEEK = 7
 # fixed values: level, trend and season rates, damping
 GRID = np.array(list(product((0.02, 0.1, 0.3), (0.0, 0.02), (0.0, 0.05, 0.2), (0.9, 0.98))))
 ITEMS_AT_ONCE = 256
+# runs of days without demand are taken in powers of two
+MOST_BITS = 24
 
 
-def smooth(series: np.ndarray, lengths: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(forecasts, error) of zero-filled series, one a row, ``lengths`` days each; settings are chosen per row."""
+def _idle() -> list[np.ndarray]:
+    """Per power of two (settings, 9, 18): what that many days without demand make of a state, beside the form of their squared errors.
+
+    A state is level, trend and the season from the next day on, so that one matrix serves every day.
+    """
     alpha, beta, gamma, phi = GRID.T
-    items, days = series.shape
-    level = np.repeat(np.array([s[: min(WEEK, n)].mean() for s, n in zip(series, lengths)])[:, None], len(GRID), axis=1)
-    trend, season = np.zeros_like(level), np.zeros((WEEK, *level.shape))
-    error = np.zeros_like(level)
-    for t in range(days):
-        on = (t < lengths)[:, None]
-        place = t % WEEK
-        expected = level + phi * trend
-        miss = series[:, t : t + 1] - expected - season[place]
-        if t >= WEEK:
-            error += np.where(on, miss * miss, 0.0)
-        level = np.where(on, expected + alpha * miss, level)
-        trend = np.where(on, phi * trend + alpha * beta * miss, trend)
-        season[place] = np.where(on, season[place] + gamma * (1 - alpha) * miss, season[place])
-    best, row = error.argmin(axis=1), np.arange(items)
-    damped = np.cumsum(phi[best][:, None] ** np.arange(1, steps + 1), axis=1)
-    places = (lengths[:, None] + np.arange(steps)) % WEEK
-    ahead = level[row, best][:, None] + damped * trend[row, best][:, None] + season[places, row[:, None], best[:, None]]
-    return ahead, np.sqrt(error[row, best] / np.maximum(lengths - WEEK, 1))
+    move = np.zeros((len(GRID), 2 + WEEK, 2 + WEEK))
+    # the day's miss is minus what was expected: level + phi * trend + season
+    seen = np.zeros((len(GRID), 2 + WEEK))
+    seen[:, 0], seen[:, 1], seen[:, 2] = 1.0, phi, 1.0
+    move[:, 0] = -alpha[:, None] * seen
+    move[:, 0, 0] += 1.0
+    move[:, 0, 1] += phi
+    move[:, 1] = -(alpha * beta)[:, None] * seen
+    move[:, 1, 1] += phi
+    move[:, 1 + WEEK] = -(gamma * (1 - alpha))[:, None] * seen
+    move[:, 1 + WEEK, 2] += 1.0
+    for k in range(WEEK - 1):
+        move[:, 2 + k, 3 + k] = 1.0
+    form, out = seen[:, :, None] * seen[:, None, :], []
+    for _ in range(MOST_BITS):
+        out.append(np.concatenate([move.transpose(0, 2, 1), form], axis=2))
+        form = form + move.transpose(0, 2, 1) @ form @ move
+        move = move @ move
+    return out
+
+
+IDLE = _idle()
+
+
+def smooth(items: list[tuple[np.ndarray, np.ndarray]], lengths: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(forecasts, error) of zero-filled series of ``lengths`` days, given as (days, demands) in order of day; settings are chosen per row.
+
+    Between two selling days the recursion is linear, so a run of days without demand is one step of matrix powers;
+    an item costs its selling days, not its calendar.
+    """
+    alpha, beta, gamma, phi = (c[:, None] for c in GRID.T)
+    rows = np.arange(len(items))
+    first = np.zeros((len(items), WEEK))
+    later = []
+    for i, (days, demand) in enumerate(items):
+        # of rows of one day the last counts
+        single = np.append(days[1:] != days[:-1], True)[: len(days)]
+        days, demand = days[single], demand[single]
+        early = days < WEEK
+        first[i, days[early]] = demand[early]
+        later.append((days[~early], demand[~early]))
+    state = np.zeros((len(GRID), len(items), 2 + WEEK))
+    state[:, :, 0] = [s[: min(WEEK, n)].mean() for s, n in zip(first, lengths)]
+    error = np.zeros(state.shape[:2])
+
+    def sell(on: np.ndarray, y: np.ndarray, counts: bool) -> None:
+        """A day of demand ``y`` for the items ``on``."""
+        own = state[:, on]
+        expected = own[:, :, 0] + phi * own[:, :, 1]
+        miss = y - expected - own[:, :, 2]
+        if counts:
+            error[:, on] += miss * miss
+        new = np.empty_like(own)
+        new[:, :, 0] = expected + alpha * miss
+        new[:, :, 1] = phi * own[:, :, 1] + alpha * beta * miss
+        new[:, :, 2:-1] = own[:, :, 3:]
+        new[:, :, -1] = own[:, :, 2] + gamma * (1 - alpha) * miss
+        state[:, on] = new
+
+    def idle(on: np.ndarray, days: np.ndarray) -> None:
+        """So many days without demand for the items ``on``."""
+        for bit, powers in enumerate(IDLE):
+            some = on[(days >> bit) & 1 == 1]
+            if len(some):
+                own = state[:, some]
+                both = own @ powers
+                error[:, some] += np.maximum(np.einsum("sik,sik->si", both[:, :, 2 + WEEK :], own), 0.0)
+                state[:, some] = both[:, :, : 2 + WEEK]
+
+    for t in range(WEEK):
+        on = rows[t < lengths]
+        sell(on, first[on, t], False)
+    # the next selling day of every item that has one more
+    at, sold = np.minimum(lengths, WEEK), np.array([len(days) for days, _ in later], int)
+    widest = int(sold.max(initial=0))
+    when, what = np.zeros((len(items), widest), np.int64), np.zeros((len(items), widest))
+    for i, (days, demand) in enumerate(later):
+        when[i, : len(days)], what[i, : len(days)] = days, demand
+    for k in range(widest):
+        on = rows[sold > k]
+        idle(on, when[on, k] - at[on])
+        sell(on, what[on, k], True)
+        at[on] = when[on, k] + 1
+    idle(rows, lengths - at)
+    error = error.T
+    best = error.argmin(axis=1)
+    level, trend, season = state[best, rows, 0], state[best, rows, 1], state[best, rows, 2:]
+    damped = np.cumsum(GRID[best, 3][:, None] ** np.arange(1, steps + 1), axis=1)
+    ahead = level[:, None] + damped * trend[:, None] + season[:, np.arange(steps) % WEEK]
+    return ahead, np.sqrt(error[rows, best] / np.maximum(lengths - WEEK, 1))
 
 
 def _forecast(steps: int, key: str):
@@ -54,9 +130,7 @@ def _forecast(steps: int, key: str):
             for at in range(0, len(batch), ITEMS_AT_ONCE):
                 some = batch.iloc[at : at + ITEMS_AT_ONCE]
                 lengths = some["n"].to_numpy(np.int64)
-                series = np.zeros((len(some), lengths.max()))
-                for i, (days, demand) in enumerate(zip(some["days"], some["demands"])):
-                    series[i, np.asarray(days, np.int64)] = demand
+                series = [(np.asarray(days, np.int64), np.asarray(demand, float)) for days, demand in zip(some["days"], some["demands"])]
                 ahead, error = smooth(series, lengths, steps)
                 yield pd.DataFrame(
                     {

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,20 @@ def test_smoothing_equals_plain_recursion(spark):
         assert rows[0]["uncertainty"] == pytest.approx(error, abs=1e-9)
 
 
+def test_smoothing_costs_selling_days_not_calendar_days():
+    days, demand = np.array([0, 3, 9, 1200, 1201, 1999]), np.array([4.0, 7.0, 2.0, 30.0, 1.0, 5.0])
+    y = np.zeros(2000)
+    y[days] = demand
+    far = np.array([0, 5, 2_900_000])
+    start = time.process_time()
+    ahead, error = SM.smooth([(days, demand), (far, np.array([3.0, 9.0, 6.0]))], np.array([2000, 2_900_001]), 10)
+    # going through the calendar day by day takes minutes
+    assert time.process_time() - start < 20
+    expected, spread = plain_smoothing(y.tolist(), 10)
+    assert ahead[0] == pytest.approx(np.array(expected)) and error[0] == pytest.approx(spread)
+    assert np.isfinite(ahead).all() and 0 < error[1] < 1
+
+
 def test_held_out_errors(spark):
     series = some_series()
     table = daily(spark, series)
