@@ -111,26 +111,43 @@ def optimal_policy(histograms: DataFrame, params: Params = Params()) -> DataFram
 def bellman_residual(histograms: DataFrame, policy: DataFrame, params: Params = Params()) -> DataFrame:
     """(medicine_id, residual): the largest gap between a value and the best that one step from it can give.
 
-    Worked out by joins on the demand histogram, apart from the solver.
+    Worked out from each item's demands one by one, apart from the solver's matrices. An item's values are put together
+    in one row and joined with its histogram; levels and orders are laid out inside a task, never as rows.
     """
     step, top, most = params.policy_step, params.policy_max_stock, params.policy_max_order
-    every = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, n: s + n)
-    each = histograms.select("medicine_id", F.explode(F.arrays_zip("demands", "counts")).alias("d"), every.alias("all"))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top + most), F.lit(step)))
-    reached = each.select("medicine_id", F.col("d.demands").alias("demand"), (F.col("d.counts") / F.col("all")).alias("p"), levels.alias("level"))
-    left = F.col("level") - F.col("demand")
-    reached = reached.withColumn("stock_level", (nearest_level(left.cast("double"), step, top) * step).cast("bigint"))
-    known = policy.select("medicine_id", "stock_level", "value")
-    ahead = reached.join(known, ["medicine_id", "stock_level"]).groupBy("medicine_id", "level").agg(
-        F.sum(F.col("p") * (params.policy_discount * F.col("value") - params.shortage_cost * F.greatest(-left, F.lit(0.0)))).alias("v")
-    )
-    ahead = ahead.withColumn("v", F.col("v") - params.holding_cost * F.col("level") / 2)
-    from_ = F.sequence(F.greatest(F.col("level") - most, F.lit(0)), F.least(F.col("level"), F.lit(top)), F.lit(step))
-    tried = ahead.select("medicine_id", "level", "v", F.explode(from_.cast("array<bigint>")).alias("stock_level"))
-    paid = F.when(F.col("level") > F.col("stock_level"), params.order_cost).otherwise(0.0)
-    best = tried.groupBy("medicine_id", "stock_level").agg(F.max(F.col("v") - paid).alias("best"))
-    gap = F.abs(F.col("value") - F.col("best"))
-    return known.join(best, ["medicine_id", "stock_level"]).groupBy("medicine_id").agg(F.max(gap).alias("residual"))
+    states, levels = np.arange(0, top + 1, step), np.arange(0, top + most + 1, step)
+    wide = most // step
+    pairs = F.sort_array(F.collect_list(F.struct("stock_level", "value")))
+    known = policy.filter("stock_level is not null").groupBy("medicine_id").agg(pairs["stock_level"].alias("at"), pairs["value"].alias("values"))
+    joined = histograms.select("medicine_id", "demands", "counts").join(known, "medicine_id")
+
+    def gap(demands: np.ndarray, counts: np.ndarray, at: np.ndarray, values: np.ndarray) -> float | None:
+        share = counts / counts.sum()
+        value, has = np.full(len(states), np.nan), np.zeros(len(states), bool)
+        place = at // step
+        value[place], has[place] = values, True
+        left = levels[:, None] - demands
+        # an unknown demand is as one that leaves the highest level
+        inside = np.where(np.isnan(left), top, np.clip(left, 0, top))
+        following = np.maximum(np.ceil(inside / step - 0.5), 0).astype(np.int64)
+        short = np.where(left < 0, -left, 0.0)
+        reached = has[following]
+        one = np.where(reached, share * (params.policy_discount * value[following] - params.shortage_cost * short), 0.0)
+        ahead = np.where(reached.any(axis=1), one.sum(axis=1) - params.holding_cost * levels / 2, -np.inf)
+        tried = sliding_window_view(np.append(ahead, np.full(wide, -np.inf)), wide + 1)[: len(states)].copy()
+        tried[:, 1:] -= params.order_cost
+        best = tried.max(axis=1)
+        asked = has & (best != -np.inf)
+        return float(np.abs(value - best)[asked].max()) if asked.any() else None
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists = (batch[c] for c in ("demands", "counts", "at", "values"))
+            gaps = [gap(np.asarray(d, float), np.asarray(n, float), np.asarray(a, np.int64), np.asarray(v, float)) for d, n, a, v in zip(*lists)]
+            yield pd.DataFrame({"medicine_id": batch["medicine_id"], "residual": pd.array(gaps, dtype="Float64") if None in gaps else gaps})
+
+    kind = histograms.schema["medicine_id"].dataType.simpleString()
+    return joined.mapInPandas(per_batch, f"medicine_id {kind}, residual double")
 
 
 def apply_policy(stock: DataFrame, policy: DataFrame, params: Params = Params()) -> DataFrame:
