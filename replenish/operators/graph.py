@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replenish.operators.joins import skew_safe_join
+from replenish.operators.joins import skew_safe_join, spread_by_item
 from replenish.operators.ranking import first_per_group
 from replenish.session import stored
 
@@ -18,19 +18,28 @@ def basket_items(rx: DataFrame) -> DataFrame:
 def basket_pairs(items: DataFrame, block: int = 256) -> DataFrame:
     """Item pairs ``a < b`` of each basket, every pair once.
 
-    A basket with more than ``block`` items is cut into hash blocks and its pairs
-    are produced per pair of blocks, so even one giant basket is spread over many
-    tasks of at most about ``block * block`` pairs; other baskets are one block.
-    Items that several steps read (see :func:`basket_items`) are stored first.
+    A basket of up to ``block`` items is put together in one row, which gives its pairs without a
+    join. A larger one is cut into hash blocks and its pairs are produced per pair of blocks, so even
+    one giant basket is spread over many tasks of at most about ``block * block`` pairs. Items that
+    several steps read (see :func:`basket_items`) are stored first.
     """
+    # a basket's pairs are many times its rows: a fixed number of tasks, which aren't merged by size
+    items = spread_by_item(items, "basket_id")
     big = items.groupBy("basket_id").agg(F.count("*").alias("_k")).filter(F.col("_k") > block)
     sized = skew_safe_join(items, big, "basket_id", "left")
-    blocks = F.coalesce(F.ceil(F.col("_k") / F.lit(block)), F.lit(1)).cast("int")
+    own = sized.filter("_k is null and basket_id is not null and medicine_id is not null")
+    whole = own.groupBy("basket_id").agg(F.sort_array(F.collect_list("medicine_id")).alias("_items"))
+    firsts = whole.select("basket_id", "_items", F.posexplode("_items").alias("_at", "med1"))
+    after = F.slice("_items", F.col("_at") + 2, F.size("_items"))
+    near = firsts.select("basket_id", "med1", F.explode(after).alias("med2")).filter("med1 < med2")
+    sized = sized.filter("_k is not null")
+    blocks = F.ceil(F.col("_k") / F.lit(block)).cast("int")
     cut = sized.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("medicine_id"), F.col("_n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     left = cut.select("basket_id", F.col("medicine_id").alias("med1"), F.col("_own").alias("_i"), other.alias("_j"))
     right = cut.select("basket_id", F.col("medicine_id").alias("med2"), other.alias("_i"), F.col("_own").alias("_j"))
-    return left.join(right, ["basket_id", "_i", "_j"]).filter("med1 < med2").select("basket_id", "med1", "med2")
+    far = left.join(right, ["basket_id", "_i", "_j"]).filter("med1 < med2").select("basket_id", "med1", "med2")
+    return near.union(far)
 
 
 def vertex_counts(items: DataFrame) -> DataFrame:

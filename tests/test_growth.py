@@ -2,6 +2,7 @@
 
 import pytest
 
+from replenish.operators import graph as G
 from replenish.operators import policy as PO
 from replenish.params import Params
 
@@ -20,3 +21,13 @@ def test_residual_lays_out_no_rows_and_sees_a_wrong_value(spark):
     wrong = policy.selectExpr("medicine_id", "stock_level", "value + if(medicine_id = 'b' and stock_level = 40, 3.0, 0.0) as value").filter("medicine_id != 'c'")
     off = {r["medicine_id"]: r["residual"] for r in PO.bellman_residual(df, wrong, params).collect()}
     assert set(off) == {"a", "b"} and off["a"] == pytest.approx(0.0, abs=1e-6) and off["b"] > 1
+
+
+def test_pairs_of_small_baskets_need_no_join_on_blocks(spark):
+    rows = [(1, "a"), (1, "b"), (1, None), (None, "a"), (None, "b"), (2, "c"), (3, "b"), (3, "a"), (3, "d"), *[(4, f"x{k}") for k in range(6)]]
+    items = spark.createDataFrame(rows, "basket_id int, medicine_id string")
+    found = G.basket_pairs(items, block=4)
+    want = {(1, "a", "b"), (3, "a", "b"), (3, "a", "d"), (3, "b", "d")} | {(4, f"x{i}", f"x{j}") for i in range(6) for j in range(i + 1, 6)}
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(want)
+    assert "REPARTITION_BY_NUM" in plan(found) and "collect_list" in plan(found)
