@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from replenish.functions import scalars as S
 from replenish.operators.aggregates import daily_demand
+from replenish.operators.joins import spread_by_item
 from replenish.operators.projections import usable_series
 from replenish.operators.ranking import top_items
 from replenish.params import Params
@@ -69,12 +70,13 @@ def series_stats(daily: DataFrame, key: str = "medicine_id") -> DataFrame:
     """Sufficient statistics of each zero-filled series, from its selling days only.
 
     One shuffle by item: the adjacent-day products use a window over at most one row per
-    day, and the aggregate that follows reuses its partitioning.
+    day, and the aggregate that follows reuses its partitioning. That shuffle isn't merged by size:
+    an item is a few bytes here, and many rows once its days and models are laid out.
     """
     w = W.partitionBy(key).orderBy("date")
     y, day = F.col("demand"), F.unix_date("date").cast("double")
     adjacent = F.when(F.datediff("date", F.lag("date").over(w)) == 1, y * F.lag("demand").over(w)).otherwise(0.0)
-    rows = daily.withColumn("_xy", adjacent)
+    rows = spread_by_item(daily, key).withColumn("_xy", adjacent)
     weekdays = [F.sum(F.when(F.weekday("date") == k, y).otherwise(0.0)) for k in range(7)]
     months = [F.sum(F.when(F.month("date") == m, y).otherwise(0.0)) for m in range(1, 13)]
     sums = rows.groupBy(key).agg(

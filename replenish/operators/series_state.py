@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replenish.operators.forecast import with_calendar
+from replenish.operators.joins import spread_by_item
 
 SUMS = ("selling_days", "positive_days", "sy", "syy", "sdy", "sxy")
 LISTS = {"wd_sum": 7, "mo_sum": 12}
@@ -49,6 +50,8 @@ def advance(state: DataFrame, daily: DataFrame, key: str = "medicine_id") -> tup
     rows = new.select(key, "date", "demand", "closed_day", "closed_value").union(opened).groupBy(key, "date").agg(
         F.sum("demand").alias("demand"), F.first("closed_day").alias("_before"), F.first("closed_value").alias("_before_value")
     )
+    # not merged by size, as in series_stats
+    rows = spread_by_item(rows, key)
     w = W.partitionBy(key).orderBy("date")
     y, day = F.col("demand"), F.unix_date("date").cast("double")
     previous, value = F.coalesce(F.lag("date").over(w), F.col("_before")), F.coalesce(F.lag("demand").over(w), F.col("_before_value"))

@@ -1,11 +1,17 @@
 """Steps whose memory or disk must not follow what their rows are laid out into."""
 
+import datetime as dt
+
 import pytest
 
+from replenish.operators import forecast as FC
 from replenish.operators import graph as G
 from replenish.operators import policy as PO
+from replenish.operators import series_state as SS
 from replenish.params import Params
 
+DAY = dt.date(2024, 1, 1)
+
 
 def plan(df, kind="executedPlan"):
     return getattr(df._jdf.queryExecution(), kind)().toString()
@@ -31,3 +37,9 @@ def test_pairs_of_small_baskets_need_no_join_on_blocks(spark):
     got = sorted(map(tuple, found.collect()))
     assert got == sorted(want)
     assert "REPARTITION_BY_NUM" in plan(found) and "collect_list" in plan(found)
+
+
+def test_series_are_not_merged_by_size_before_their_days_are_laid_out(spark):
+    daily = spark.createDataFrame([("a", DAY, 2.0), ("b", DAY, 3.0)], "medicine_id string, date date, demand double")
+    assert "REPARTITION_BY_NUM" in plan(FC.all_forecasts(FC.component_forecasts(FC.fit_components(FC.series_stats(daily)))))
+    assert "REPARTITION_BY_NUM" in plan(SS.advance(SS.no_state(daily), daily)[0])
