@@ -14,7 +14,8 @@ from replenish.params import Params
 
 def common_categories(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Categories that both have."""
-    return original.select("category").intersect(synthetic.select("category"))
+    # each side's few values meet, not its rows
+    return original.select("category").distinct().intersect(synthetic.select("category").distinct())
 
 
 def numeric_similarity(original: DataFrame, synthetic: DataFrame, columns: tuple[str, ...] = ("quantity", "patient_age")) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from replenish.operators import forecast as FC
 from replenish.operators import graph as G
 from replenish.operators import policy as PO
+from replenish.operators import privacy as PV
 from replenish.operators import series_state as SS
 from replenish.params import Params
 
@@ -43,3 +44,11 @@ def test_series_are_not_merged_by_size_before_their_days_are_laid_out(spark):
     daily = spark.createDataFrame([("a", DAY, 2.0), ("b", DAY, 3.0)], "medicine_id string, date date, demand double")
     assert "REPARTITION_BY_NUM" in plan(FC.all_forecasts(FC.component_forecasts(FC.fit_components(FC.series_stats(daily)))))
     assert "REPARTITION_BY_NUM" in plan(SS.advance(SS.no_state(daily), daily)[0])
+
+
+def test_common_categories_compare_values_not_rows(spark):
+    a = spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "category string")
+    b = spark.createDataFrame([("x",), ("z",), ("z",), (None,)], "category string")
+    found = PV.common_categories(a, b)
+    assert sorted((r[0] for r in found.collect()), key=str) == [None, "x"]
+    assert plan(found, "analyzed").count("Distinct") + plan(found, "analyzed").count("Deduplicate") >= 2
