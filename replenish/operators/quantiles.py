@@ -25,8 +25,12 @@ from replenish.session import stored
 
 WEEK_WAVES, YEAR_WAVES = 3, 1
 YEAR, WEEK = 365.25, 7.0
-ITEMS_AT_ONCE = 16
+ITEMS_AT_ONCE = 128
 STEPS, GAP, KEEP_INSIDE = 60, 1e-8, 0.9995
+# zero days looked at from the start, the least breach that adds a day, and tries to prove that zero is best
+EVERY, OTHER_SIDE, PROOF_STEPS = 13, 1e-7, 12
+# zero days of the first look, for each feature, below which all days are looked at
+MANY = 3
 # a weight's share of the largest, so that unneeded features do no harm
 REST_COST = 1e-10
 
@@ -44,69 +48,164 @@ def _inside(value: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.minimum(1.0, KEEP_INSIDE * limit.min(axis=1))
 
 
-def fit_quantile(x: np.ndarray, y: np.ndarray, used: np.ndarray, left_out: np.ndarray, tau: float) -> np.ndarray:
-    """(items, features) weights of least pinball loss.
+def _least_squares(x: np.ndarray, weight: np.ndarray, left_out: np.ndarray):
+    """Solver of the weighted normal equations of ``x`` (items, days, features); features left out get 0."""
+    a = np.matmul(x.transpose(0, 2, 1) * weight[:, None, :], x)
+    a[left_out] = 0.0
+    a.transpose(0, 2, 1)[left_out] = 0.0
+    size = np.maximum(np.einsum("ipp->ip", a).max(axis=1), 1e-300)
+    a += (REST_COST * size)[:, None, None] * np.eye(a.shape[1])
+    row, feature = np.nonzero(left_out)
+    a[row, feature, feature] = 1.0
+    return lambda target: np.linalg.solve(a, np.where(left_out, 0.0, target)[:, :, None])[:, :, 0]
 
-    ``x`` is (days, features) for all items, ``y`` (items, days), ``used`` says which days an item has, ``left_out``
-    which features it goes without (their weight is 0). An item without days gets zeros.
+
+def _sums(value: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.matmul(value[:, None, :], x)[:, 0]
+
+
+def _lines(beta: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.matmul(x, beta[:, :, None])[:, :, 0]
+
+
+def _span(x: np.ndarray, days: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """Whether an item's ``days`` span its features, so that only one line goes through them."""
+    a = np.matmul(x.transpose(0, 2, 1) * days[:, None, :], x)
+    a[left_out] = 0.0
+    a.transpose(0, 2, 1)[left_out] = 0.0
+    size = np.maximum(np.einsum("ipp->ip", a).max(axis=1), 1e-300)
+    row, feature = np.nonzero(left_out)
+    a[row, feature, feature] = size[row]
+    return np.linalg.eigvalsh(a)[:, 0] > 1e-9 * size
+
+
+def _zero_is_best(x: np.ndarray, y: np.ndarray, on: np.ndarray, left_out: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Which items' only best line is zero: a dual proves it, strictly inside on zero days that span the features."""
+    free = (y == 0) & (on > 0)
+    target = np.where(left_out, 0.0, target - _sums(((y > 0) & (on > 0)).astype(float), x))
+    scale = 1e-9 * np.maximum(on.sum(axis=1), 1.0)
+    proved, going = np.zeros(len(y), bool), np.flatnonzero(free.sum(axis=1) >= x.shape[2])
+    x, target, free, left_out, scale = (z[going] for z in (x, target, free, left_out, scale))
+    weight, push, miss = free.astype(float), np.zeros(target.shape), target
+    for _ in range(PROOF_STEPS):
+        push = push + _least_squares(x, weight, left_out)(miss)
+        dual = _lines(push, x)
+        inside = free & (dual > 1e-6) & (dual < 1 - 1e-6)
+        miss = np.where(left_out, 0.0, target - _sums(np.clip(dual, 0.0, 1.0) * free, x))
+        done = np.abs(miss).max(axis=1) <= scale
+        if done.any():
+            proved[going[done]] = _span(x[done], inside[done], left_out[done])
+        # one without a free day left can't be moved any more
+        stay = ~done & inside.any(axis=1)
+        x, target, free, left_out, push, miss, scale, going = (z[stay] for z in (x, target, free, left_out, push, miss, scale, going))
+        weight = inside[stay].astype(float)
+        if not len(going):
+            break
+    return proved
+
+
+def _interior(
+    x: np.ndarray, y: np.ndarray, on: np.ndarray, left_out: np.ndarray, tau: float, target: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of least loss over the days ``on``, and whether no others have it.
+
+    ``target`` is what the days' duals times features sum up to.
     """
-    items, p = y.shape[0], x.shape[1]
-    products = (x[:, :, None] * x[:, None, :]).reshape(len(x), p * p)
-    on = used.astype(float)
     count = np.maximum(on.sum(axis=1), 1.0)
-    # each item in its own unit, so that one tolerance serves all
-    unit = np.maximum(np.abs(y * on).max(axis=1, initial=0.0), 1e-12)
-    y = y * on / unit[:, None]
-
-    def least_squares(weight: np.ndarray, target: np.ndarray) -> np.ndarray:
-        a = (weight @ products).reshape(items, p, p)
-        a[left_out] = 0.0
-        a.transpose(0, 2, 1)[left_out] = 0.0
-        size = np.maximum(np.einsum("ipp->ip", a).max(axis=1), 1e-300)
-        a += (REST_COST * size)[:, None, None] * np.eye(p)
-        row, feature = np.nonzero(left_out)
-        a[row, feature, feature] = 1.0
-        return np.linalg.solve(a, np.where(left_out, 0.0, target)[:, :, None])[:, :, 0]
-
+    beta = _least_squares(x, on, left_out)(_sums(y, x))
     # u, v: how far a day's dual is from its lower and upper end; above, below: its residual's two sides
-    u = np.where(used, 1.0 - tau, 0.5)
+    u = np.where(on > 0, 1.0 - tau, 0.5)
     v = 1.0 - u
-    beta = least_squares(on, y @ x)
-    left = (y - beta @ x.T) * on
+    left = (y - _lines(beta, x)) * on
     margin = np.maximum(np.abs(left).sum(axis=1) / count, 1e-3)[:, None] * 0.5
     above, below = np.maximum(left, 0.0) + margin, np.maximum(-left, 0.0) + margin
+    found, only, going = beta.copy(), np.zeros(len(y), bool), np.arange(len(y))
     # a day above the line pushes its dual up, so `above` belongs to the upper end
     for _ in range(STEPS):
         gap = ((u * below + v * above) * on).sum(axis=1) / count
-        if gap.max(initial=0.0) < GAP:
-            break
-        weight = on / (below / u + above / v)
-        short = (1.0 - tau) * (on @ x) - (u * on) @ x
-        miss = (y - beta @ x.T - above + below) * on
+        stay = gap >= GAP
+        found[going] = beta
+        if not stay.all():
+            done = ~stay
+            held = (np.minimum(u, v) > np.maximum(above, below)) & (on > 0)
+            only[going[done]] = _span(x[done], held[done], left_out[done])
+            if not stay.any():
+                break
+            # items that are done stay as they are
+            x, y, on, left_out, target, count, beta, u, v, above, below, gap, going = (
+                z[stay] for z in (x, y, on, left_out, target, count, beta, u, v, above, below, gap, going)
+            )
+        down, up = below / u, above / v
+        weight = on / (down + up)
+        solve = _least_squares(x, weight, left_out)
+        short = target - _sums(u * on, x)
+        miss = (y - _lines(beta, x) - above + below) * on
 
-        def step(lower: np.ndarray, upper: np.ndarray):
+        def step(lower: np.ndarray | float, upper: np.ndarray | float):
             """Newton step towards u * below = lower and v * above = upper."""
-            pull = miss + lower / u - below - upper / v + above
-            d_beta = least_squares(weight, (weight * pull) @ x - short)
-            d_u = weight * (pull - d_beta @ x.T)
-            d_below = (lower / u - below - below * d_u / u) * on
-            d_above = (upper / v - above + above * d_u / v) * on
-            return d_beta, d_u, d_below, d_above
-
-        zero = np.zeros_like(u)
-        _, d_u, d_below, d_above = step(zero, zero)
+            lower, upper = lower / u - below, upper / v - above
+            pull = miss + lower - upper
+            d_beta = solve(_sums(weight * pull, x) - short)
+            d_u = weight * (pull - _lines(d_beta, x))
+            return d_beta, d_u, (lower - down * d_u) * on, (upper + up * d_u) * on
+
+        _, d_u, d_below, d_above = step(0.0, 0.0)
         dual = np.minimum(_inside(u, d_u), _inside(v, -d_u))[:, None]
         sides = np.minimum(_inside(below, d_below), _inside(above, d_above))[:, None]
         after = (((u + dual * d_u) * (below + sides * d_below) + (v - dual * d_u) * (above + sides * d_above)) * on).sum(axis=1) / count
-        centre = (np.divide(after, gap, out=np.zeros_like(gap), where=gap > 0) ** 3 * gap / 2)[:, None]
+        centre = ((after / gap) ** 3 * gap / 2)[:, None]
         d_beta, d_u, d_below, d_above = step(centre - d_u * d_below, centre + d_u * d_above)
         dual = np.minimum(_inside(u, d_u), _inside(v, -d_u))[:, None]
         sides = np.minimum(_inside(below, d_below), _inside(above, d_above))[:, None]
-        # items that are done stay as they are
-        going = (gap >= GAP)[:, None]
-        u, v = np.where(going, u + dual * d_u, u), np.where(going, v - dual * d_u, v)
-        beta = np.where(going, beta + sides * d_beta, beta)
-        below, above = np.where(going, below + sides * d_below, below), np.where(going, above + sides * d_above, above)
+        u, v, beta = u + dual * d_u, v - dual * d_u, beta + sides * d_beta
+        below, above = below + sides * d_below, above + sides * d_above
+    else:
+        found[going] = beta
+    return found, only
+
+
+def fit_quantile(x: np.ndarray, y: np.ndarray, used: np.ndarray, left_out: np.ndarray, tau: float) -> np.ndarray:
+    """(items, features) weights of least pinball loss.
+
+    ``x`` is (days, features) for all items, ``y`` (items, days), ``used`` says which days an item has, ``left_out``
+    which features it goes without (their weight is 0). An item without days gets zeros.
+
+    A zero day on the line's usual side costs a share of the line, whatever the line: all such days enter as one sum of
+    features. Every ``EVERY``-th zero day is looked at by itself, and so is any that a found line has on its other side,
+    until there is none: then the line is the best for all days. Of several best lines the one in their middle is
+    taken, which depends on all days, so all are looked at then.
+    """
+    items, p = y.shape[0], x.shape[1]
+    # each item in its own unit, so that one tolerance serves all
+    unit = np.maximum(np.abs(np.where(used, y, 0.0)).max(axis=1, initial=0.0), 1e-12)
+    y = np.where(used, y, 0.0) / unit[:, None]
+    whole = (1.0 - tau) * (used.astype(float) @ x)
+    taken = used.copy()
+    # days left out may not outweigh those looked at, or a line could leave them without end
+    if min(tau, 1.0 - tau) * EVERY < 0.5:
+        many = (used & (y == 0)).sum(axis=1) >= MANY * EVERY * p
+        taken &= (y != 0) | (np.arange(len(x)) % EVERY == 0) | ~many[:, None]
+    upper = tau >= 0.5
+    beta, todo, first = np.zeros((items, p)), np.arange(items), True
+    while len(todo):
+        row, day = np.nonzero(taken[todo])
+        counts = np.bincount(row, minlength=len(todo))
+        at = np.zeros((len(todo), max(counts.max(), 1)), int)
+        on = np.arange(at.shape[1]) < counts[:, None]
+        at[on] = day
+        xs, ys, on = x[at], np.take_along_axis(y[todo], at, axis=1) * on, on.astype(float)
+        # a dual is 0 below the line and 1 above it
+        target = whole[todo] if upper else whole[todo] - (used[todo] & ~taken[todo]).astype(float) @ x
+        if first:
+            open_ = ~_zero_is_best(xs, ys, on, left_out[todo], target)
+            todo, xs, ys, on, target, first = todo[open_], xs[open_], ys[open_], on[open_], target[open_], False
+        if not len(todo):
+            break
+        beta[todo], only = _interior(xs, ys, on, left_out[todo], tau, target)
+        line = beta[todo] @ x.T
+        wrong = used[todo] & ~taken[todo] & (~only[:, None] | ((line < -OTHER_SIDE) if upper else (line > OTHER_SIDE)))
+        taken[todo] |= wrong
+        todo = todo[wrong.any(axis=1)]
     return beta * unit[:, None]
 
 

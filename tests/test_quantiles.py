@@ -86,3 +86,36 @@ def test_interval_follows_spread_and_covers_held_out_days(spark):
     days, inside = (sum(r[c] for k, r in report.items() if k[0] == "i") for c in ("days", "inside"))
     assert days == 70 * 30 and 0.88 < inside / days < 0.98
     assert QR.quantile_regression_interval(table.filter("false")).count() == QR.coverage(table.filter("false")).count() == 0
+
+
+def test_days_without_demand_are_looked_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    n, items = 2000, 12
+    x = QR.features(9000 + np.arange(n))
+    y = np.where(rng.random((items, n)) < np.linspace(0.004, 0.06, items)[:, None], rng.integers(1, 50, (items, n)), 0).astype(float)
+    used, left_out = np.ones(y.shape, bool), np.zeros((items, x.shape[1]), bool)
+    used[1, :300], used[2, 1900:], used[3, 200:], left_out[4, -2:] = False, False, False, True
+    # few sales a day: zero is the only best line, without a search
+    assert (QR.fit_quantile(x, y, used, left_out, 0.025) == 0).all()
+    assert (QR.fit_quantile(x, y, used, left_out, 0.975)[0] == 0).all()
+    looked = []
+    solve = QR._interior
+    monkeypatch.setattr(QR, "_interior", lambda x, *rest: looked.append(x.shape[:2]) or solve(x, *rest))
+    found = {tau: QR.fit_quantile(x, y, used, left_out, tau) for tau in (0.025, 0.97, 0.975)}
+    assert sum(a * b for a, b in looked) < items * n
+    monkeypatch.setattr(QR, "MANY", 1e9)
+    for tau, lines in found.items():
+        whole = QR.fit_quantile(x, y, used, left_out, tau)
+        assert (lines[4, -2:] == 0).all() and np.abs(lines).max() > 1 or tau < 0.5
+        for i in range(items):
+            on = used[i]
+            assert loss(x[on], y[i, on], lines[i], tau) <= loss(x[on], y[i, on], whole[i], tau) + 1e-3
+
+
+def test_of_several_best_lines_the_middle_of_all_days_is_taken():
+    # half of the days at each value: every constant between them is best, and the barrier's middle is taken
+    n = 4000
+    x, used, none = np.ones((n, 1)), np.ones((1, n), bool), np.zeros((1, 1), bool)
+    y = np.where(np.arange(n) < n // 40, 10.0, 0.0)[None, :]
+    found = QR.fit_quantile(x, y, used, none, 0.975)[0, 0]
+    assert 1 < found < 9.5
