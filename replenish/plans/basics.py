@@ -134,7 +134,7 @@ def src10_lines(spark, d):
     """Whole baskets as messages of several lines, read back line by line."""
     path = scratch_path(spark, "edi-lines")
     lines = T.orders_with_items(spark, d).withColumn("order_id", F.concat_ws("-", F.lit("PO"), F.col("basket_id")))
-    X.edi_850_of_lines(lines).select("value").write.option("lineSep", "\n\n").text(path)
+    X.write_messages(X.edi_850_of_lines(lines), path)
     return X.parse_edi(X.read_edi(spark, path))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from replenish.sources.history import MICROS
 
 SEGMENT_END = "~"
+MESSAGES_A_FILE = 200_000
 
 
 def _line(number: Column, item: Column, quantity: Column, cost: Column) -> Column:
@@ -60,13 +61,21 @@ def edi_850(orders: DataFrame, lines: Column | None = None) -> Column:
     return F.concat(F.concat_ws(SEGMENT_END + "\n", *segments), F.lit(SEGMENT_END))
 
 
+def write_messages(messages: DataFrame, path: str) -> None:
+    """One message (``value``) per record, compressed; the record separator cannot occur inside a message.
+
+    A compressed file is read by one task, so a file ends after ``MESSAGES_A_FILE`` messages.
+    """
+    out = messages.select("value").write.mode("overwrite").option("lineSep", "\n\n")
+    out.option("compression", "gzip").option("maxRecordsPerFile", MESSAGES_A_FILE).text(path)
+
+
 def export_edi(orders: DataFrame, path: str) -> None:
-    """One message per record; the record separator cannot occur inside a message."""
-    messages = orders.select(edi_850(orders).alias("value"))
-    messages.write.mode("overwrite").option("lineSep", "\n\n").text(path)
+    write_messages(orders.select(edi_850(orders).alias("value")), path)
 
 
 def read_edi(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of plain or compressed files."""
     return spark.read.option("lineSep", "\n\n").text(path)
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from replenish.operators import forecast as FC
 from replenish.operators import graph as G
@@ -10,6 +11,7 @@ from replenish.operators import policy as PO
 from replenish.operators import privacy as PV
 from replenish.operators import series_state as SS
 from replenish.params import Params
+from replenish.sources import interchange as X
 
 DAY = dt.date(2024, 1, 1)
 
@@ -52,3 +54,19 @@ def test_common_categories_compare_values_not_rows(spark):
     found = PV.common_categories(a, b)
     assert sorted((r[0] for r in found.collect()), key=str) == [None, "x"]
     assert plan(found, "analyzed").count("Distinct") + plan(found, "analyzed").count("Deduplicate") >= 2
+
+
+def test_messages_are_written_compressed_in_files_that_tasks_can_share(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "MESSAGES_A_FILE", 300)
+    rows = [(f"PO-{k}", 1, f"m{k % 7}", float(k % 5), 2.5, dt.datetime(2024, 1, 1 + k % 28)) for k in range(1000)]
+    orders = spark.createDataFrame(rows, "order_id string, line int, medicine_id string, quantity double, unit_cost double, created_at timestamp")
+    plain = orders.select(F.sum(F.length(X.edi_850(orders)))).first()[0]
+    for number, write in enumerate([X.export_edi, lambda o, p: X.write_messages(X.edi_850_of_lines(o), p)]):
+        path = tmp_path / str(number)
+        write(orders.coalesce(1), str(path))
+        files = [f for f in path.iterdir() if f.name.startswith("part-")]
+        assert sum(f.stat().st_size for f in files) < plain / 5
+        assert number or len(files) == 4
+        assert X.read_edi(spark, str(path)).count() == 1000
+        back = X.parse_edi(X.read_edi(spark, str(path))).collect()
+        assert sorted(map(tuple, back)) == sorted((r[0], r[3], r[4], r[2]) for r in rows)
