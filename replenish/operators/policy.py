@@ -37,55 +37,142 @@ def optimal_policy(histograms: DataFrame, params: Params = Params()) -> DataFram
     A round solves the linear equations of the current policy's values exactly and then improves the policy at
     every level; it ends when no order changes, after a few rounds as a rule and ``policy_rounds`` at most. What
     follows an order depends on stock + order only, so one product per round gives the value of every reachable
-    level, and the best order is a sliding maximum over those. Many items are solved in one batch of equations of
-    fixed size. Of orders of equal value the smallest is taken.
+    level, and the best order is a sliding maximum over those. A level leads down by as much as its item's demands
+    reach, so products go over falls, not over all states. Many items are solved at once. Of orders of equal value the
+    smallest is taken.
     """
     step, top, most = params.policy_step, params.policy_max_stock, params.policy_max_order
     states, actions = np.arange(0, top + 1, step), np.arange(0, most + 1, step)
     levels = np.arange(0, top + most + 1, step)
     gamma, holding = params.policy_discount, params.holding_cost
     fixed, shortage = params.order_cost, params.shortage_cost
-    here = np.arange(len(states))
+    here, last = np.arange(len(states)), len(states) - 1
 
-    def transitions(demands: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Cost of every level, and where it leads."""
-        widest = max(map(len, demands))
-        demand, share = np.zeros((2, len(demands), widest))
+    def transitions(demands: list, counts: list) -> tuple[np.ndarray, tuple]:
+        """Cost of every level, and where it leads: shares of the falls by one, two.. levels, to the bottom and to the top."""
+        size, widest = len(demands), max(map(len, demands))
+        demand, share = np.zeros((2, size, widest))
         for i, (d, n) in enumerate(zip(demands, counts)):
             demand[i, : len(d)], share[i, : len(d)] = d, np.asarray(n, float) / np.sum(n)
-        left = levels[None, :, None] - demand[:, None, :]
-        following = np.ceil(np.clip(left, 0, top) / step - 0.5).astype(int).clip(0)
-        move = np.zeros((len(demands), len(levels), len(states)))
-        items, rows = np.ogrid[: len(demands), : len(levels)]
-        np.add.at(move, (items[:, :, None], rows[:, :, None], following), np.broadcast_to(share[:, None, :], left.shape))
-        short = (np.maximum(-left, 0.0) * share[:, None, :]).sum(axis=2)
-        return -shortage * short - holding * levels / 2.0, move
+        left = levels[:, None, None] - demand
+        inside = np.clip(left, 0, top)
+        inside /= step
+        inside -= 0.5
+        following = np.ceil(inside, out=inside).astype(np.int32)
+        np.maximum(following, 0, out=following)
+        level = np.arange(len(levels), dtype=np.int32)[:, None, None]
+        fall = level - following
+        low, high = following == 0, (following == last) & (level > last)
+        # returns lead upwards
+        up = max(0, -int(fall[~high].min(initial=0)))
+        width = up + 1 + max(0, int(fall[~low & ~high].max(initial=0)))
+        place = fall + up
+        place[low], place[high] = width, width + 1
+        place += level * (width + 2)
+        place *= size
+        place += np.arange(size, dtype=np.int32)[:, None]
+        shares = np.broadcast_to(share, place.shape)
+        move = np.bincount(place.ravel(), shares.ravel(), len(levels) * (width + 2) * size).reshape(len(levels), width + 2, size)
+        short = -np.einsum("lij,ij->li", np.minimum(left, 0.0, out=left), share)
+        cost = -shortage * short - holding * levels[:, None] / 2.0
+        return cost, (move[:, :width], move[:, width], move[:, width + 1], up)
+
+    def ahead(move: tuple, value: np.ndarray) -> np.ndarray:
+        """Mean of ``value`` (states, .., items) over where each level leads."""
+        falls, low, high, up = move
+        out = low.reshape(len(levels), *[1] * (value.ndim - 2), -1) * value[0] + high.reshape(len(levels), *[1] * (value.ndim - 2), -1) * value[last]
+        for k in range(falls.shape[1]):
+            fall = k - up
+            # from a level to the state `fall` below it, the bottom apart
+            first, end = max(fall, 0), min(len(levels), len(states) + fall)
+            out[first:end] += falls[first:end, k].reshape(end - first, *[1] * (value.ndim - 2), -1) * value[first - fall : end - fall]
+        return out
+
+    def dense(cost: np.ndarray, move: tuple, order: np.ndarray) -> np.ndarray:
+        """Values of a policy by the equations of all states."""
+        each, at = np.arange(cost.shape[1]), here[:, None] + order
+        steps = ahead(move, np.broadcast_to(np.eye(len(states))[:, :, None], (len(states), len(states), len(each))))
+        steps = steps[at, :, each].transpose(1, 0, 2)
+        gain = (cost[at, each] - fixed * (order > 0)).T
+        return np.linalg.solve(np.eye(len(states)) - gamma * steps, gain[:, :, None])[:, :, 0].T
+
+    def evaluate(cost: np.ndarray, move: tuple, order: np.ndarray) -> np.ndarray:
+        """Values (states, items) of a policy.
+
+        Without returns a state that orders nothing leads to lower ones only, and one that orders is worth what the level
+        it orders up to is: so values are a forward substitution in terms of the levels ordered up to, which are few as a
+        rule, and the equations are those of these levels.
+        """
+        falls, low, high, up = move
+        size = cost.shape[1]
+        each, at, orders = np.arange(size), here[:, None] + order, order > 0
+        reached = np.zeros((len(levels), size), bool)
+        state, item = np.nonzero(orders)
+        reached[at[state, item], item] = True
+        number = np.cumsum(reached, axis=0) - 1
+        many = int(reached.sum(axis=0).max(initial=0))
+        if up:
+            return dense(cost, move, order)
+        terms = np.zeros((len(states), 1 + many, size))
+        terms[:, 0] = np.where(orders, -fixed, cost[: len(states)])
+        terms[state, 1 + number[at[state, item], item], item] = 1.0
+        stays = 1.0 / (1.0 - gamma * np.where(here[:, None] == 0, low[: len(states)], falls[: len(states), 0]))
+        for s in range(len(states)):
+            found = terms[s]
+            if s:
+                found = found + gamma * low[s] * terms[0]
+                n = min(falls.shape[1] - 1, s)
+                if n:
+                    found += gamma * np.einsum("ki,kmi->mi", falls[s, 1 : n + 1], terms[s - n : s][::-1])
+            terms[s] = np.where(orders[s], terms[s], found * stays[s])
+        if not many:
+            return terms[:, 0]
+        # the levels ordered up to, ascending; an item with fewer has empty equations
+        level, item = np.nonzero(reached)
+        slot = number[level, item]
+        worth = ahead_of(move, terms, level, item)
+        a, b = np.broadcast_to(np.eye(many), (size, many, many)).copy(), np.zeros((size, many))
+        a[item, slot] -= gamma * worth[:, 1:]
+        b[item, slot] = cost[level, item] + gamma * worth[:, 0]
+        known = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+        return terms[:, 0] + np.einsum("smi,im->si", terms[:, 1:], known)
+
+    def ahead_of(move: tuple, terms: np.ndarray, level: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """(places, terms): as :func:`ahead`, of single levels of items."""
+        falls, low, high, _ = move
+        out = low[level, item][:, None] * terms[0, :, item] + high[level, item][:, None] * terms[last, :, item]
+        for k in range(falls.shape[1]):
+            share = np.where((level >= k) & (level - k <= last), falls[level, k, item], 0.0)
+            out += share[:, None] * terms[(level - k).clip(0, last), :, item]
+        return out
 
     def solve(demands: list, counts: list):
         cost, move = transitions(demands, counts)
-        size = len(cost)
-        order = np.zeros((size, len(states)), int)
+        size = len(demands)
+        order = np.zeros((len(states), size), int)
         rounds, open_ = np.zeros(size, int), np.ones(size, bool)
-        value = np.zeros((size, len(states)))
-        each = np.arange(size)[:, None]
+        each = np.arange(size)
         for number in range(1, params.policy_rounds + 1):
-            at = here + order
-            steps = move[each, at]
-            gain = cost[each, at] - fixed * (order > 0)
-            value = np.linalg.solve(np.eye(len(states)) - gamma * steps, gain[:, :, None])[:, :, 0]
-            by_level = cost + gamma * (move @ value[:, :, None])[:, :, 0]
+            value = evaluate(cost, move, order)
+            by_level = cost + gamma * ahead(move, value)
             # all orders of a state: its own level, or any of the levels above for the fixed cost
-            choices = sliding_window_view(by_level, len(actions), axis=1)[:, : len(states)] - fixed * (actions > 0)
-            best = choices.max(axis=2)
-            new = (choices >= best[:, :, None] - SAME).argmax(axis=2)
-            same = best <= np.take_along_axis(choices, order[:, :, None], axis=2)[:, :, 0] + SAME
+            best, wide, span = by_level[: len(states)], len(actions) - 1, 1
+            if wide:
+                reach = by_level[1:]
+                while 2 * span <= wide:
+                    reach, span = np.maximum(reach[:-span], reach[span:]), 2 * span
+                best = np.maximum(best, np.maximum(reach[: len(states)], reach[wide - span :]) - fixed)
+            same = best <= by_level[here[:, None] + order, each] - fixed * (order > 0) + SAME
             rounds[open_] = number
-            open_ = ~same.all(axis=1)
-            order = np.where(open_[:, None] & ~same, new, order) if open_.any() else order
-            if not open_.any():
-                order = new
+            open_ = ~same.all(axis=0)
+            # the smallest order as good as the best: of states that change, or of all once nothing does
+            ended = not open_.any()
+            state, item = np.nonzero(np.ones_like(same) if ended else open_ & ~same)
+            choices = by_level[state[:, None] + np.arange(len(actions)), item[:, None]] - fixed * (actions > 0)
+            order[state, item] = (choices >= best[state, item][:, None] - SAME).argmax(axis=1)
+            if ended:
                 break
-        return value, order, rounds, ~open_
+        return value.T, order.T, rounds, ~open_
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,47 @@ def test_messages_are_written_compressed_in_files_that_tasks_can_share(spark, tm
         assert X.read_edi(spark, str(path)).count() == 1000
         back = X.parse_edi(X.read_edi(spark, str(path))).collect()
         assert sorted(map(tuple, back)) == sorted((r[0], r[3], r[4], r[2]) for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["sales", "returns", "wide"])
+def test_policy_values_solve_the_equations_of_all_states(spark, kind):
+    params = Params().but(policy_max_stock=200, policy_max_order=100)
+    demands = {"sales": [4.0, 12.0, 25.0, 45.0], "returns": [-30.0, 5.0, 15.0, 45.0], "wide": [1.0, 95.0, 180.0, 1234.5]}[kind]
+    rows = [("a", demands, [5, 3, 2, 1]), ("b", demands[1:2], [4]), ("c", demands[:3], [1, 1, 7])]
+    df = spark.createDataFrame(rows, "medicine_id string, demands array<double>, counts array<bigint>").coalesce(1)
+    found = PO.optimal_policy(df, params).collect()
+    assert len(found) == 3 * 21 and all(r["converged"] for r in found)
+    for item, d, n in rows:
+        got = sorted((r["stock_level"], r["order_quantity"], r["value"]) for r in found if r["medicine_id"] == item)
+        at, share = [s + q for s, q, _ in got], [x / sum(n) for x in n]
+        move, gain = np.zeros((21, 21)), np.zeros(21)
+        for i, level in enumerate(at):
+            gain[i] = -params.holding_cost * level / 2 - params.order_cost * (got[i][1] > 0)
+            for x, p in zip(d, share):
+                gain[i] -= params.shortage_cost * max(x - level, 0) * p
+                move[i, max(0, int(np.ceil(min(max(level - x, 0), 200) / 10 - 0.5)))] += p
+        want = np.linalg.solve(np.eye(21) - params.policy_discount * move, gain)
+        assert [v for _, _, v in got] == pytest.approx(list(want), abs=1e-6)
+    residual = PO.bellman_residual(df, PO.optimal_policy(df, params), params).collect()
+    assert all(r["residual"] < 1e-6 for r in residual)
+
+
+def test_without_returns_no_equations_of_all_states_are_solved(spark, monkeypatch):
+    params = Params().but(policy_max_stock=400, policy_max_order=100)
+    solved = []
+    solve = np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: solved.append(a.shape[-1]) or solve(a, b))
+
+    class Rows:
+        schema = spark.createDataFrame([], "medicine_id int, demands array<double>, counts array<bigint>").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return pd.concat(run(iter([pd.DataFrame({"medicine_id": [1], "demands": [[4.0, 12.0]], "counts": [[3, 1]]})])))
+
+    monkeypatch.setattr(PO, "spread_by_item", lambda rows: rows)
+    out = PO.optimal_policy(Rows(), params)
+    assert len(out) == 41 and out["converged"].all() and out["order_quantity"].max() > 0
+    assert max(solved, default=0) < 41
