@@ -26,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ BLOCKS_A_FILE = 32
 MAGIC = b"TRB1"
 HEAD = struct.Struct("<4sIIQQIIII")
 _LOW = np.uint64(1 << 31)
-# parts (twice) and words whose ids a worker keeps, and texts that it encodes at a time
-_PARTS, _WORDS, _TEXTS = 400_000, 700_000, 256
+# characters of the pieces whose ids a worker keeps (16 more for each), of text that goes to the model at a time, and bytes of texts that are split at a time
+_PIECES, _NEW, _TEXTS = 25_000_000, 1 << 18, 1 << 24
 
 
 class Table:
@@ -171,16 +172,28 @@ _SEPARABLE = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-# a word of Latin letters that normalization only lower-cases, and a mark
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+# a word of Latin letters that normalization only lower-cases, and marks, which are one piece if no letter follows
+_PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-/:-@\\[-`{-~]*)$"
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _weight(pieces) -> int:
+    return sum(map(len, pieces)) + 16 * len(pieces)
+
+
+def _runs(sizes, most: int):
+    """(start, stop) of runs of rows, each of about so much in all."""
+    cuts = (np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1).tolist()
+    return zip([0, *cuts], [*cuts, len(sizes)])
 
 
 class _Encoder:
-    """Ids of a text by the tokenizers library, as bytes.
+    """Ids of texts by the tokenizers library, as bytes.
 
     A tokenizer that drops white space gives a text the ids of its parts between spaces and line ends,
-    so parts seen before need no new encoding. New plain words go to the model many at a time, without
-    the patterns that would only find each whole; the last id of each has the end-of-word mark.
+    so each distinct part of many texts is looked at once, as a word and marks or else whole, and pieces
+    known to the worker need no new encoding. New words go to the model many at a time, without the
+    patterns that would only find each whole; the last id of each has the end-of-word mark.
     """
 
     def __init__(self, path: str):
@@ -190,10 +203,8 @@ class _Encoder:
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.separable = json.loads(self.whole.to_str())["pre_tokenizer"] == _SEPARABLE
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.marks = dict(zip(".,;:!?", map(self._bytes, self._ids(self.whole, list(".,;:!?"))))) | {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.size = 0
         mark = getattr(self.whole.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
@@ -211,46 +222,56 @@ class _Encoder:
     def _bytes(self, ids: list) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def _learn_words(self, tokenizer, new: list[str]) -> None:
-        ids = np.array(self._ids(tokenizer, [" ".join(new)])[0], self.kind)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(new) and stops[-1] == len(ids):
-            raw, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
-            self.words.update(zip(new, [raw[i:j] for i, j in zip([0, *stops], stops)]))
-        else:
-            self.words.update(zip(new, map(self._bytes, self._ids(self.whole, new))))
-
-    def _learn(self, new: set[str]) -> None:
-        found = [(part, _PLAIN.fullmatch(part)) for part in new]
-        split = [(part, m[1].lower(), m[2]) for part, m in found if m]
-        words = {word for _, word, _ in split}.difference(self.words)
-        if len(self.words) + len(words) > _WORDS:
-            self.words.clear()
-            words = {word for _, word, _ in split}
-        for tokenizer, own in ((self.ascii, [w for w in words if w.isascii()]), (self.latin, [w for w in words if not w.isascii()])):
-            if own:
-                self._learn_words(tokenizer, own)
-        of, marks = self.words, self.marks
-        self.seen.update({part: of[word] + marks[mark] for part, word, mark in split})
-        rest = [part for part, m in found if not m]
-        self.seen.update(zip(rest, map(self._bytes, self._ids(self.whole, rest))))
+    def _learn_some(self, tokenizer, new: list[str]) -> None:
+        if tokenizer is not None:
+            ids = np.array(self._ids(tokenizer, [" ".join(new)])[0], self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(new) and stops[-1] == len(ids):
+                raw, stops = ids.tobytes(), (stops * ids.itemsize).tolist()
+                self.known.update(zip(new, [raw[i:j] for i, j in zip([0, *stops], stops)]))
+                return
+        self.known.update(zip(new, map(self._bytes, self._ids(self.whole, new))))
+
+    def _learn(self, new: list[str]) -> None:
+        plain, latin, rest = [], [], []
+        for piece in new:
+            if piece.isascii():
+                (plain if piece.isalpha() else rest).append(piece)
+            else:
+                (latin if _LATIN.fullmatch(piece) else rest).append(piece)
+        for tokenizer, own in ((self.ascii, plain), (self.latin, latin), (None, rest)):
+            for at, stop in _runs([len(piece) + 1 for piece in own], _NEW) if own else ():
+                self._learn_some(tokenizer, own[at:stop])
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """Ids of distinct parts."""
+        found = pc.extract_regex(parts, _PLAIN)
+        word, marks = pc.utf8_lower(pc.struct_field(found, "word")), pc.struct_field(found, "marks")
+        pieces = pa.concat_arrays([pc.coalesce(word, parts), marks.fill_null("")]).dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        new = [piece for piece in names if piece not in self.known]
+        if self.size + _weight(new) > _PIECES:
+            # what these texts use stays
+            self.known = {piece: self.known[piece] for piece in names if piece in self.known}
+            self.size = _weight(self.known)
+        self.size += _weight(new)
+        self._learn(new)
+        ids = pa.array([self.known[piece] for piece in names], pa.binary()).take(pieces.indices)
+        return pc.binary_join_element_wise(ids[: len(parts)], ids[len(parts) :], b"")
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        if not self.separable:
+            own = texts.to_pylist()
+            runs = _runs([len(text) for text in own], _NEW)
+            return pa.array([self._bytes(ids) for at, stop in runs for ids in self._ids(self.whole, own[at:stop])], pa.binary())
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        parts = lists.flatten().dictionary_encode()
+        stops = np.cumsum(np.concatenate(([0], lists.value_lengths().to_numpy())), dtype=np.int32)
+        ids = self._parts(parts.dictionary).take(parts.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(stops), ids), b"")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.separable:
-            return [self._bytes(ids) for ids in self._ids(self.whole, texts)]
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.seen) > _PARTS:
-            # what is still used comes back from there
-            self.older, self.seen = self.seen, {}
-        new = set().union(*parts).difference(self.seen)
-        if self.older:
-            back = {part: self.older[part] for part in new if part in self.older}
-            self.seen.update(back)
-            new.difference_update(back)
-        if new:
-            self._learn(new)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, own)) for own in parts]
+        return self.encode(pa.array(texts, pa.string())).to_pylist()
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -268,14 +289,12 @@ def _tokenize(path: str, end: int):
         encoder = _encoder(path)
         tail = np.array([end], encoder.kind).tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, _TEXTS):
-                batch = whole.slice(at, _TEXTS)
-                ids = [own + tail for own in encoder([t or "" for t in batch.column(2).to_pylist()])]
-                counts = pa.array([len(x) // len(tail) for x in ids], pa.int64())
+            for at, stop in _runs(pc.binary_length(whole.column(2)).fill_null(0).to_numpy(), _TEXTS):
+                batch = whole.slice(at, stop - at)
+                ids = pc.binary_join_element_wise(encoder.encode(batch.column(2).cast(pa.string()).fill_null("")), tail, b"")
+                counts = pc.divide(pc.binary_length(ids).cast(pa.int64()), len(tail))
                 wide = pa.array([len(tail)] * len(ids), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), counts, wide, pa.array(ids, pa.binary())], names=["doc_id", "tie", "n", "wide", "ids"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, wide, ids], names=["doc_id", "tie", "n", "wide", "ids"])
 
     return rows
 

@@ -353,6 +353,44 @@ def test_parts_of_texts_encode_as_texts():
         assert np.frombuffer(own([text])[0], own.kind).tolist() == own.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_a_piece_goes_to_the_model_once(monkeypatch):
+    own, given = token_files._Encoder(tokenizer_path()), []
+    ids = token_files._Encoder._ids
+
+    def spied(tokenizer, texts):
+        given.extend(piece for text in texts for piece in text.split(" "))
+        return ids(tokenizer, texts)
+
+    monkeypatch.setattr(token_files._Encoder, "_ids", staticmethod(spied))
+    words = ["oak", "Oak", "elm", "Été", "été"]
+    texts = [" ".join(w + m for w in words) for m in ("", ".", ",", "!!", "$$$", "%%'", "***", ")", '".')]
+    got = own(texts) + own(texts[::-1])[::-1]
+    assert sorted(given) == sorted(["", ".", ",", "!!", "$$$", "%%'", "***", ")", '".', "oak", "elm", "été"])
+    for text, raw in zip(texts * 2, got):
+        assert np.frombuffer(raw, own.kind).tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_forgotten_and_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "_PIECES", 800)
+    monkeypatch.setattr(token_files, "_NEW", 15)
+    monkeypatch.setattr(token_files, "_TEXTS", 100)
+    monkeypatch.setattr(token_files, "_ENCODERS", {})
+    latin = [f"a{chr(c)}B {chr(c)}{chr(c)}? (x{chr(c)}" for c in range(0xC0, 0x100)]
+    texts = [None, "", *latin, "don't <|endoftext|>x <| end|> 'the' a'b'' 7th", "w " * 90, *latin[:5], None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "tie", "text"])
+    got = [row for out in token_files._tokenize(tokenizer_path(), 1)(iter([batch, batch.slice(0, 0), batch.slice(3, 9)])) for row in out.to_pylist()]
+    own = token_files._encoder(tokenizer_path())
+    assert own.size == token_files._weight(own.known) < 800
+    want = [[*own.whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(r["ids"], own.kind).tolist() for r in got] == want + want[3:12]
+    assert [r["doc_id"] for r in got] == [*range(len(texts)), *range(3, 12)]
+    assert all(r["n"] * r["wide"] == len(r["ids"]) for r in got)
+    own.separable = False
+    assert own([t or "" for t in texts]) == [r["ids"][: -r["wide"]] for r in got[: len(texts)]]
+
+
 def test_coder_and_checkpoints():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.zipf(1.3, 70_001), 49_000).astype(np.uint32)
