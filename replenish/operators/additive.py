@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,47 +95,50 @@ def solve(design: Design, first: np.ndarray, last: np.ndarray, xy: np.ndarray, r
     return np.linalg.solve(a, np.where(short, 0.0, xy)[:, :, None])[:, :, 0], products
 
 
-def _forecast(design: Design, running, steps: int, key: str):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            first, last = batch["a"].to_numpy(np.int64), batch["b"].to_numpy(np.int64)
-            xy = np.stack(batch["xy"].to_list()).astype(float)
-            weights, products = solve(design, first, last, xy, running.value)
-            ahead = design.matrix(last[:, None] + np.arange(1, steps + 1))
-            value = np.einsum("ihp,ip->ih", ahead, weights)
-            left = batch["syy"].to_numpy(float) - 2 * (weights * xy).sum(axis=1) + np.einsum("ip,ipq,iq->i", weights, products, weights)
-            width = np.sqrt(np.maximum(left, 0.0) / np.maximum(last - first, 1))
-            yield pd.DataFrame(
-                {
-                    key: batch[key].repeat(steps).to_numpy(), "last_day": batch["last_day"].repeat(steps).to_numpy(),
-                    "h": np.tile(np.arange(steps), len(batch)), "value": value.ravel(), "uncertainty": width.repeat(steps),
-                }
-            )
+def _forecast(design: Design, running, steps: int):
+    @F.pandas_udf("ahead array<double>, uncertainty double")
+    def rows(a: pd.Series, b: pd.Series, squares: pd.Series, sums: pd.Series) -> pd.DataFrame:
+        first, last, xy = a.to_numpy(np.int64), b.to_numpy(np.int64), np.stack(sums.to_list()).astype(float)
+        weights, products = solve(design, first, last, xy, running.value)
+        ahead = design.matrix(last[:, None] + np.arange(1, steps + 1))
+        value = np.einsum("ihp,ip->ih", ahead, weights)
+        left = squares.to_numpy(float) - 2 * (weights * xy).sum(axis=1) + np.einsum("ip,ipq,iq->i", weights, products, weights)
+        return pd.DataFrame({"ahead": list(value), "uncertainty": np.sqrt(np.maximum(left, 0.0) / np.maximum(last - first, 1))})
 
     return rows
 
 
-def change_point_forecast(daily: DataFrame, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
-    """Forecast of ``horizon`` days of items with ``min_series_days`` days and two with demand, in the long form of the other models."""
-    design = design_of(daily)
+def change_point_forecast(
+    daily: DataFrame, params: Params = Params(), key: str = "medicine_id", beside: DataFrame | None = None, design: Design | None = None
+) -> DataFrame:
+    """Forecast of ``horizon`` days of items with ``min_series_days`` days and two with demand, in the long form of the other models.
+
+    Columns of ``beside``, which has a row for every item, come along under their names. ``design`` is known where
+    the ends of the calendar were found before.
+    """
+    design = design or design_of(daily)
     x = design.matrix(np.arange(design.days))
     # one matrix a calendar day
     running = np.concatenate([np.zeros((1, x.shape[1], x.shape[1])), np.cumsum(x[:, :, None] * x[:, None, :], axis=0)])
     shared = daily.sparkSession.sparkContext.broadcast(running)
     place = lambda c: F.datediff(c, F.lit(design.first))
     sums = design_sums(daily, design, key).filter((F.datediff("last_day", "first_day") + 1 >= params.min_series_days) & (F.col("positive_days") >= 2))
-    sums = sums.select(key, "last_day", place("first_day").alias("a"), place("last_day").alias("b"), "syy", "xy")
-    kind = daily.schema[key].dataType.simpleString()
-    rows = sums.mapInPandas(_forecast(design, shared, params.horizon, key), f"{key} {kind}, last_day date, h bigint, value double, uncertainty double")
-    value, width = F.col("value"), params.z * F.col("uncertainty")
+    items = sums.select(key, F.col("last_day").alias("_last"), place("first_day").alias("_a"), place("last_day").alias("_b"), F.col("syy").alias("_yy"), F.col("xy").alias("_xy"))
+    more = [] if beside is None else [name for name in beside.columns if name != key]
+    if beside is not None:
+        items = items.join(beside.hint("shuffle_hash"), key)
+    made = items.select(key, "_last", *more, _forecast(design, shared, params.horizon)("_a", "_b", "_yy", "_xy").alias("_f"))
+    rows = made.select(key, "_last", *more, F.posexplode_outer("_f.ahead").alias("h", "_value"), F.col("_f.uncertainty").alias("uncertainty"))
+    value, width = F.col("_value"), params.z * F.col("uncertainty")
     return rows.select(
         key,
         F.lit("change_points").alias("model"),
         F.lit(params.confidence).alias("confidence"),
-        "h",
-        S.forecast_date(F.col("last_day"), F.col("h")).alias("forecast_date"),
+        F.col("h").cast("bigint").alias("h"),
+        S.forecast_date(F.col("_last"), F.col("h")).alias("forecast_date"),
         S.at_least_zero(value).alias("forecast"),
         S.at_least_zero(value - width).alias("lower"),
         S.at_least_zero(value + width).alias("upper"),
         "uncertainty",
+        *more,
     )

@@ -7,7 +7,6 @@ The setting with the least squared one-step error makes the forecast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -124,47 +123,51 @@ def smooth(items: list[tuple[np.ndarray, np.ndarray]], lengths: np.ndarray, step
     return ahead, np.sqrt(error[rows, best] / np.maximum(lengths - WEEK, 1))
 
 
-def _forecast(steps: int, key: str):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), ITEMS_AT_ONCE):
-                some = batch.iloc[at : at + ITEMS_AT_ONCE]
-                lengths = some["n"].to_numpy(np.int64)
-                series = [(np.asarray(days, np.int64), np.asarray(demand, float)) for days, demand in zip(some["days"], some["demands"])]
-                ahead, error = smooth(series, lengths, steps)
-                yield pd.DataFrame(
-                    {
-                        key: some[key].repeat(steps).to_numpy(), "last_day": some["last_day"].repeat(steps).to_numpy(),
-                        "h": np.tile(np.arange(steps), len(some)), "value": ahead.ravel(), "uncertainty": error.repeat(steps),
-                    }
-                )
+def _forecast(steps: int):
+    @F.pandas_udf("ahead array<double>, uncertainty double")
+    def rows(n: pd.Series, days: pd.Series, demands: pd.Series) -> pd.DataFrame:
+        ahead, error = [], []
+        for at in range(0, len(n), ITEMS_AT_ONCE):
+            some = slice(at, at + ITEMS_AT_ONCE)
+            series = [(np.asarray(d, np.int64), np.asarray(y, float)) for d, y in zip(days.iloc[some], demands.iloc[some])]
+            values, spread = smooth(series, n.iloc[some].to_numpy(np.int64), steps)
+            ahead.extend(values)
+            error.append(spread)
+        return pd.DataFrame({"ahead": ahead, "uncertainty": np.concatenate(error) if error else []})
 
     return rows
 
 
-def smoothed_forecast(daily: DataFrame, params: Params = Params(), key: str = "medicine_id") -> DataFrame:
-    """Forecast of ``horizon`` days of every item with at least ``min_series_days`` days, in the long form of the other models."""
+def smoothed_forecast(daily: DataFrame, params: Params = Params(), key: str = "medicine_id", beside: DataFrame | None = None) -> DataFrame:
+    """Forecast of ``horizon`` days of every item with at least ``min_series_days`` days, in the long form of the other models.
+
+    Columns of ``beside``, which has a row for every item, come along under their names.
+    """
     day = F.unix_date("date")
     pairs = F.sort_array(F.collect_list(F.struct(day.alias("day"), "demand")))
-    items = daily.groupBy(key).agg(F.min("date").alias("_first"), F.max("date").alias("last_day"), pairs.alias("_p"))
+    items = daily.groupBy(key).agg(F.min("date").alias("_first"), F.max("date").alias("_last"), pairs.alias("_p"))
     items = items.select(
         key,
-        "last_day",
-        (F.datediff("last_day", "_first") + 1).alias("n"),
-        F.transform("_p", lambda x: x["day"] - F.unix_date("_first")).alias("days"),
-        F.transform("_p", lambda x: x["demand"].cast("double")).alias("demands"),
-    ).filter(F.col("n") >= params.min_series_days)
-    kind = daily.schema[key].dataType.simpleString()
-    rows = items.mapInPandas(_forecast(params.horizon, key), f"{key} {kind}, last_day date, h bigint, value double, uncertainty double")
-    value, width = F.col("value"), params.z * F.col("uncertainty")
+        "_last",
+        (F.datediff("_last", "_first") + 1).alias("_n"),
+        F.transform("_p", lambda x: x["day"] - F.unix_date("_first")).alias("_days"),
+        F.transform("_p", lambda x: x["demand"].cast("double")).alias("_demands"),
+    ).filter(F.col("_n") >= params.min_series_days)
+    more = [] if beside is None else [name for name in beside.columns if name != key]
+    if beside is not None:
+        items = items.join(beside.hint("shuffle_hash"), key)
+    made = items.select(key, "_last", *more, _forecast(params.horizon)("_n", "_days", "_demands").alias("_f"))
+    rows = made.select(key, "_last", *more, F.posexplode_outer("_f.ahead").alias("h", "_value"), F.col("_f.uncertainty").alias("uncertainty"))
+    value, width = F.col("_value"), params.z * F.col("uncertainty")
     return rows.select(
         key,
         F.lit("smoothing").alias("model"),
         F.lit(params.confidence).alias("confidence"),
-        "h",
-        S.forecast_date(F.col("last_day"), F.col("h")).alias("forecast_date"),
+        F.col("h").cast("bigint").alias("h"),
+        S.forecast_date(F.col("_last"), F.col("h")).alias("forecast_date"),
         S.at_least_zero(value).alias("forecast"),
         S.at_least_zero(value - width).alias("lower"),
         S.at_least_zero(value + width).alias("upper"),
         "uncertainty",
+        *more,
     )

@@ -12,6 +12,7 @@ from replenish.operators import graph as G
 from replenish.operators import policy as PO
 from replenish.operators import privacy as PV
 from replenish.operators import series_state as SS
+from replenish.operators import validation as VA
 from replenish.params import Params
 from replenish.sources import interchange as X
 
@@ -116,3 +117,30 @@ def test_without_returns_no_equations_of_all_states_are_solved(spark, monkeypatc
     out = PO.optimal_policy(Rows(), params)
     assert len(out) == 41 and out["converged"].all() and out["order_quantity"].max() > 0
     assert max(solved, default=0) < 41
+
+
+def test_held_out_errors_shuffle_days_and_sums_but_no_forecasts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, DAY + dt.timedelta(days=int(t)), float(rng.integers(1, 9))) for k in (1, 2, 3) for t in sorted({0, 99, *rng.integers(1, 99, 40)})]
+    # beside the cut on day 79: no demand, a day that comes twice
+    odd = [(None, DAY, 1.0), (1, None, 4.0), (4, DAY, 5.0), (5, DAY, 2.0), (5, DAY + dt.timedelta(days=9), 3.0), (1, DAY + dt.timedelta(days=81), None), (2, DAY + dt.timedelta(days=99), 7.0)]
+    daily = spark.createDataFrame(rows + odd, "medicine_id bigint, date date, demand double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        validated = VA.validate(daily)
+        shuffles = [line for line in plan(validated).splitlines() if "Exchange " in line]
+        got = {(r["medicine_id"], r["model"]): r for r in validated.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shuffles and not [line for line in shuffles if "forecast_date" in line]
+    assert plan(validated).split("Initial Plan")[-1].count("ArrowEvalPython ") == 2
+    assert {k for k, _ in got} == {1, 2, 3, 5} and {m for k, m in got if k == 1} >= {"mean", "ar", "trend", "additive", "ensemble", "autoregression", "smoothing", "change_points", "historical_baseline"}
+    for key in (1, 2, 3, 5):
+        sold = [((d - DAY).days, y) for k, d, y in rows + odd if k == key and d]
+        cut = int((max(t for t, _ in sold) + 1) * 0.8)
+        mean = sum(y or 0.0 for t, y in sold if t < cut) / cut
+        misses = [mean - (y or 0.0) for day in range(cut, min(cut + 30, max(t for t, _ in sold) + 1)) for y in ([y for t, y in sold if t == day] or [0.0])]
+        found = got[key, "mean"]
+        assert found["days"] == len(misses) and found["bias"] == pytest.approx(np.mean(misses)) and found["mae"] == pytest.approx(np.mean(np.abs(misses)))
+        assert found["rmse"] == pytest.approx(np.sqrt(np.mean(np.square(misses))))
